@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import canonical, encode, formatting, packing, splitting
+from graphloom.llm import canonical, encode, formatting, packing, similar, splitting
 from graphloom.session import blank, table
 
 #: Capacity of a container; limit and overlap of pieces; all in tokens of byte_bpe_50k.
 CAPACITY, LIMIT, OVERLAP = 4096, 512, 64
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "kept_qualities").select("vec_id", "vector").unionByName(table(spark, folder, "neighbor_views").select("vec_id", "vector"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.pairs(similar.nearest(_vectors(spark, folder), "vec_id", "vector"), "vec_id")
+
+
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the true nearest are missed, by exact search for every vector whose id is divisible by 100."""
+    v = _vectors(spark, folder)
+    return similar.recall(similar.nearest(v, "vec_id", "vector"), v, "vec_id", "vector")
+
+
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "predicate_vocab")
     return v.select("pred_id", F.explode(F.concat(F.array("canonical", "rel_type"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling"))
@@ -64,7 +78,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_unmatched, p6_found, p6_groups, p7_ids, p8_containers, p8_fill, p9_pieces)}
+    return {f.__name__: f for f in (p4_found, p4_recall, p5_found, p5_unmatched, p6_found, p6_groups, p7_ids, p8_containers, p8_fill, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
