@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import canonical, encode, formatting, packing, similar, splitting
+from graphloom.llm import canonical, encode, formatting, packing, pairs, sentences, similar, splitting
 from graphloom.session import blank, table
 
 #: Capacity of a container; limit and overlap of pieces; all in tokens of byte_bpe_50k.
 CAPACITY, LIMIT, OVERLAP = 4096, 512, 64
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    languages = pairs.fit_languages(table(spark, folder, "documents"), "text", "lang")
+    return pairs.find_defects(table(spark, folder, "novelty_results"), languages)
+
+
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of defective results of each kind."""
+    return p1_found(spark, folder).groupBy("defect").agg(F.count("*").alias("n_results"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "paragraph_matches").groupBy("para_id").agg(F.max_by("paragraph", F.struct("ingested_at", "paragraph")).alias("paragraph"))
+    return sentences.split_sentences(rows, "para_id", "paragraph")
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "kept_qualities").select("vec_id", "vector").unionByName(table(spark, folder, "neighbor_views").select("vec_id", "vector"))
 
@@ -78,7 +93,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_recall, p5_found, p5_unmatched, p6_found, p6_groups, p7_ids, p8_containers, p8_fill, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p4_found, p4_recall, p5_found, p5_unmatched, p6_found, p6_groups, p7_ids, p8_containers, p8_fill, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
