@@ -89,21 +89,21 @@ class Sources:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the character 1- to 3-grams of the letters of all texts, the text of each, and each text's letters."""
+    """Buckets of the blocks and 1- to 3-grams of the letters of all texts, the text of each, and each text's letters."""
     kept = [_RUN.findall(t.lower()) for t in texts]
     letters = np.array([sum(map(len, k)) for k in kept], np.int64)
     padded = [f" {' '.join(k)} " for k in kept]
     c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
     grams, rows = [], []
-    for n in (1, 2, 3):
+    for n in (0, 1, 2, 3):  # 0: the block of 128 characters, which tells scripts apart
         if len(c) < n:
             break
-        h = c[: len(c) - n + 1].copy()
+        h = (c >> np.uint64(7)) + np.uint64(1 << 40) if n == 0 else c[: len(c) - n + 1].copy()
         for k in range(1, n):
             h = h * np.uint64(1_000_003) + c[k : len(c) - n + 1 + k]
         h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-        own = row[: len(h)] == row[n - 1 :]
+        own = row[: len(h)] == row[max(0, n - 1) :]
         grams.append(h[own].astype(np.int64))
         rows.append(row[: len(h)][own])
     return (np.concatenate(grams), np.concatenate(rows), letters) if grams else (np.zeros(0, np.int64), np.zeros(0, np.int64), letters)
@@ -134,7 +134,7 @@ class Languages:
         if len(grams):
             at = rows[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            out[at[first]] = np.add.reduceat(self.logp[grams[order]], first, axis=0, dtype=np.float64) / 3
+            out[at[first]] = np.add.reduceat(self.logp[grams[order]], first, axis=0, dtype=np.float64) / 4
         return out, letters
 
 
@@ -254,7 +254,7 @@ def breaks_off(text: str, sources: Sources, ends: np.ndarray) -> bool:
         # The last word as the beginning of a longer one of the prompt.
         w = toks[-1]
         source = {x for s in sources.words for x in s}
-        if w not in source and any(x.startswith(w) for x in source) and ends[1, contexts(toks, len(toks))[0]] == 0:
+        if w not in source and any(x.startswith(w) for x in source) and ends[1, (c := contexts(toks, len(toks))[0])] <= ends[0, c]:
             return True
     for cell in reversed(contexts(toks, len(toks))):
         done, more = max(0, ends[0, cell] - 1), ends[1, cell]

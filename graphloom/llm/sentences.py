@@ -174,7 +174,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     """Spans of code points, without white space around them; none for a null or blank text."""
     spans: list[tuple[int, int]] = []
     for low, high in _blocks(text or ""):
-        block = text[low:high]
+        block = (text or "")[low:high]
         if block.strip() == "":
             continue
         rules, cuts = cascade(block), []
