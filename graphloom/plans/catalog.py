@@ -5,13 +5,583 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators import hierarchy
+from graphloom.functions import text
+from graphloom.operators import ambiguity, components, conflicts, hierarchy, ingest, preview, provenance, retrieval, store, verify
+from graphloom.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": hierarchy.p3_found, "p3_descendants": hierarchy.p3_descendants}
+KEYWORD, DOCS = "drift", ("iso-0000001.pdf", "gl-0000001.pdf", "std-0000001.pdf", "memo-0000002.pdf", "rec-0000010.pdf")
+TERMS = ("appropriate", "audit", "where feasible", "sampling plan")
+BM25_WORDS = ("drift", "report", "retraining")
+
+# --- shared pieces of SQL -------------------------------------------------------------------------
+_SPACE = r"[\s\x0b\x85\p{Z}]+"
+_NAME = lambda c: f"trim(regexp_replace({c}, '{_SPACE}', ' ', 'g'))"
+_NORM = lambda c: f"lower({_NAME(c)})"
+_SNAKE = lambda c: f"regexp_replace(regexp_replace(lower(regexp_replace(trim({c}), '([A-Z])', '_\\1', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_REL = lambda c: f"CASE WHEN regexp_matches({_SNAKE(c)}, '^[a-z][a-z0-9_]*$') THEN {_SNAKE(c)} END"
+_BLANK = lambda c: f"nullif(trim({c}), '')"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_ONCE = "raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM provenance_edges) WHERE nth = 1)"
+_EDGES = f"""{_ONCE}, e AS (
+  SELECT * FROM (SELECT edge_id, {_NAME("source")} AS source, {_REL("predicate")} AS predicate, {_NAME("target")} AS target, docs, records, knowledge_type, created_at FROM raw)
+  WHERE source <> '' AND target <> '' AND predicate IS NOT NULL
+)"""
+_RECORDS = f"""{_EDGES}, r0 AS (
+  SELECT source, predicate, target, edge_id, unnest(records) AS r, generate_subscripts(records, 1) AS pos FROM e
+), r1 AS (
+  SELECT source, predicate, target, edge_id, pos, {_BLANK("r.doc")} AS doc, upper({_BLANK("r.modality")}) AS modality, coalesce({_BLANK("r.quality")}, {_BLANK("r.chunk_excerpt")}) AS text, r.chunk_index AS chunk_index FROM r0 WHERE r IS NOT NULL
+), r AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, doc, modality, text, chunk_index ORDER BY edge_id, pos) AS k FROM r1 WHERE doc IS NOT NULL) WHERE k = 1
+)"""
+# Dimension aliases of the concept reports: base concepts of the tables that stand for one dimension.
+ALIASES = {"operator of record": "Accountability", "adaptive override panel": "Human oversight", "adaptive fallback mode": "Robustness", "synthetic consent ledger": "Privacy", "règle d’équité": "Fairness"}
+_CANON = f"""canon AS (SELECT name, canonical FROM (SELECT name, CASE lower(name) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())} END AS canonical FROM (SELECT source AS name FROM e UNION SELECT target FROM e)) WHERE canonical IS NOT NULL)"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.delivered(table(spark, d, "provenance_edges"), "edge_id")
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.edges(table(spark, d, "provenance_edges"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.records(edges(spark, d))
+
+
+def canon(spark: SparkSession, d: str) -> DataFrame:
+    label = F.coalesce(*(F.when(F.lower("name") == a, b) for a, b in ALIASES.items()))
+    return store.nodes(edges(spark, d)).select("name", label.alias("canonical")).filter("canonical is not null")
+
+
+# --- overlap and coverage ---------------------------------------------------------------------------
+@query(
+    "overlap_relations",
+    f"""WITH {_RECORDS}, d AS (
+  SELECT source, predicate, target, count(DISTINCT doc) AS n_docs FROM (SELECT source, predicate, target, {_BLANK("doc")} AS doc FROM (SELECT source, predicate, target, unnest(docs) AS doc FROM e) UNION ALL SELECT source, predicate, target, doc FROM r1)
+  WHERE doc IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc) >= 2
+), m AS (SELECT source, predicate, target, modality FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, doc ORDER BY edge_id, pos) AS f FROM r WHERE modality IS NOT NULL) WHERE f = 1),
+g AS (SELECT source, predicate, target, string_agg(DISTINCT modality, '|' ORDER BY modality) AS modalities FROM m GROUP BY ALL)
+SELECT source, predicate, target, n_docs, coalesce(modalities, '') AS modalities, CASE WHEN coalesce(modalities, '') LIKE '%|%' THEN 'TENSION' ELSE 'AGREEMENT' END AS verdict FROM d LEFT JOIN g USING (source, predicate, target)""",
+)
+def overlap_relations(spark, d):
+    e = edges(spark, d)
+    return provenance.overlap_relations(e, provenance.records(e))
+
+
+_COVER = "SELECT doc, count(*) AS assertions, (SELECT count(DISTINCT n) FROM (SELECT source AS n, doc AS dd FROM {0} UNION ALL SELECT target, doc FROM {0}) WHERE dd = x.doc) AS concepts, count(modality) AS normative FROM {0} AS x GROUP BY doc"
+
+
+@query("document_coverage", f"WITH {_RECORDS} {_COVER.format('r')}")
+def document_coverage(spark, d):
+    return provenance.document_coverage(records(spark, d))
+
+
+@query(
+    "source_filtered_coverage",
+    f"""WITH {_EDGES.replace("e AS (", "e0 AS (")}, e AS (SELECT * FROM e0 WHERE list_has_any(coalesce(docs, []), {list(DOCS)}) OR list_has_any(coalesce(list_transform(records, lambda x: x.doc), []), {list(DOCS)})), {_RECORDS.split(", r0 AS", 1)[0] and "r0 AS" + _RECORDS.split(", r0 AS", 1)[1]} {_COVER.format('r')}""",
+)
+def source_filtered_coverage(spark, d):
+    return provenance.document_coverage(provenance.records(provenance.source_filter(edges(spark, d), list(DOCS))))
+
+
+_COUNTS = f"""WITH {_RECORDS}, {_CANON}, c AS (
+  SELECT doc, coalesce(a.canonical, source) AS cs, coalesce(b.canonical, target) AS ct FROM r LEFT JOIN canon a ON a.name = source LEFT JOIN canon b ON b.name = target
+), counts AS (SELECT concept, doc, count(*) AS n FROM (SELECT cs AS concept, doc FROM c UNION ALL SELECT ct, doc FROM c WHERE ct <> cs) GROUP BY ALL)"""
+
+
+@query("concept_matrix", _COUNTS + " SELECT * FROM counts")
+def concept_matrix(spark, d):
+    """The sparse matrix of concepts and documents."""
+    return provenance.concept_counts(records(spark, d), canon(spark, d))
+
+
+@query("concept_coverage", _COUNTS + " SELECT concept, count(*) AS n_docs, sum(n) AS total FROM counts GROUP BY concept ORDER BY n_docs DESC, total DESC, concept LIMIT 500")
+def concept_coverage(spark, d):
+    return provenance.concept_coverage(concept_matrix(spark, d))
+
+
+@query("distinct_sources", f"WITH {_RECORDS} SELECT DISTINCT doc FROM r")
+def distinct_sources(spark, d):
+    return records(spark, d).select("doc").distinct()
+
+
+@query("node_names", f"WITH {_EDGES} SELECT source AS name FROM e UNION SELECT target FROM e")
+def node_names(spark, d):
+    return store.nodes(edges(spark, d))
+
+
+@query("dimension_names", f"WITH {_EDGES}, {_CANON} SELECT name, canonical FROM canon")
+def dimension_names(spark, d):
+    return canon(spark, d)
+
+
+# --- conflicts --------------------------------------------------------------------------------------
+_ID = "substr(sha1(concat_ws(chr(31), type, concept, predicate, side_a, doc_a, side_b, doc_b)), 1, 12) AS conflict_id"
+_CONFLICT = lambda body: f"SELECT {_ID}, type, concept, predicate, side_a, doc_a, side_b, doc_b FROM ({body})"
+VALUED, TAXONOMY = ("has_threshold", "has_parameter", "sampled_every"), ("is_subclass_of", "is_instance_of")
+_MODALITY = """SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM fm a JOIN fm b USING (source, predicate, target) WHERE a.mr = 1 AND b.mr = 2 AND a.doc <> b.doc"""
+_FM = "fm AS (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY modality) AS mr FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, modality ORDER BY edge_id, pos) AS f FROM r WHERE modality IS NOT NULL) WHERE f = 1)"
+_DEFS = f"df AS (SELECT source, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, doc ORDER BY edge_id, pos) AS f FROM r WHERE predicate IN {_IN(text.DEFINING)}) WHERE f = 1)"
+_DEFINITION = "SELECT 'DEFINITION_DIVERGENCE' AS type, a.source AS concept, 'defines' AS predicate, a.value AS side_a, a.doc AS doc_a, b.value AS side_b, b.doc AS doc_b FROM df a JOIN df b ON a.source = b.source AND a.doc < b.doc AND lower(a.value) <> lower(b.value)"
+_TAX = f"tx AS (SELECT source, predicate, target, coalesce(doc, '') AS doc FROM (SELECT DISTINCT source, predicate, target FROM e WHERE predicate IN {_IN(TAXONOMY)}) LEFT JOIN (SELECT source, predicate, target, doc FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY edge_id, pos) AS f FROM r) WHERE f = 1) USING (source, predicate, target))"
+_TAXONOMY = "SELECT 'TAXONOMY_CONFLICT' AS type, a.source AS concept, a.predicate AS predicate, a.source AS side_a, a.doc AS doc_a, a.target AS side_b, b.doc AS doc_b FROM tx a JOIN tx b ON a.source = b.target AND a.target = b.source AND a.predicate = b.predicate AND a.source < a.target"
+_VALS = f"vl AS (SELECT *, row_number() OVER (PARTITION BY source, predicate ORDER BY doc) AS dr FROM (SELECT source, predicate, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, doc ORDER BY edge_id, pos) AS f FROM r WHERE predicate IN {_IN(VALUED)}) WHERE f = 1)), vd AS (SELECT source, predicate FROM vl GROUP BY ALL HAVING count(DISTINCT lower(value)) >= 2)"
+_VALUE = "SELECT 'VALUE_CONFLICT' AS type, a.source AS concept, a.predicate AS predicate, a.value AS side_a, a.doc AS doc_a, b.value AS side_b, b.doc AS doc_b FROM vl a JOIN vl b ON a.source = b.source AND a.predicate = b.predicate AND a.dr = 1 AND b.dr = 2 JOIN vd ON vd.source = a.source AND vd.predicate = a.predicate"
+
+
+@query("conflict_modality", f"WITH {_RECORDS}, {_FM} {_CONFLICT(_MODALITY)}")
+def conflict_modality(spark, d):
+    return conflicts.modality(records(spark, d))
+
+
+@query(
+    "conflict_modality_full",
+    f"WITH {_RECORDS}, dm AS (SELECT DISTINCT source, predicate, target, modality, doc FROM r WHERE modality IS NOT NULL) "
+    + _CONFLICT("SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM dm a JOIN dm b USING (source, predicate, target) WHERE a.modality < b.modality AND a.doc <> b.doc"),
+)
+def conflict_modality_full(spark, d):
+    return conflicts.modality(records(spark, d), full=True)
+
+
+@query("conflict_definition", f"WITH {_RECORDS}, {_DEFS} {_CONFLICT(_DEFINITION)}")
+def conflict_definition(spark, d):
+    return conflicts.definition(records(spark, d))
+
+
+@query("conflict_taxonomy", f"WITH {_RECORDS}, {_TAX} {_CONFLICT(_TAXONOMY)}")
+def conflict_taxonomy(spark, d):
+    e = edges(spark, d)
+    return conflicts.taxonomy(e, provenance.records(e), TAXONOMY)
+
+
+@query("conflict_value", f"WITH {_RECORDS}, {_VALS} {_CONFLICT(_VALUE)}")
+def conflict_value(spark, d):
+    return conflicts.value(records(spark, d), VALUED)
+
+
+@query("conflicts_excluding_recorded", f"WITH {_RECORDS}, {_FM}, {_DEFS}, {_TAX}, {_VALS}, c AS ({_CONFLICT(' UNION ALL '.join((_MODALITY, _DEFINITION, _TAXONOMY, _VALUE)))}) SELECT * FROM c WHERE conflict_id NOT LIKE 'a%'")
+def conflicts_excluding_recorded(spark, d):
+    """All four kinds without those recorded; as recorded count the conflicts whose id begins with `a`."""
+    e = edges(spark, d)
+    r = provenance.records(e)
+    found = conflicts.modality(r).unionByName(conflicts.definition(r)).unionByName(conflicts.taxonomy(e, r, TAXONOMY)).unionByName(conflicts.value(r, VALUED))
+    return conflicts.excluding(found, found.filter("conflict_id like 'a%'"))
+
+
+# --- ambiguity --------------------------------------------------------------------------------------
+@query(
+    "undefined_normative_terms",
+    f"""WITH {_RECORDS}, ob AS (SELECT * FROM r WHERE predicate NOT IN {_IN(text.DEFINING)} AND (predicate IN {_IN(text.NORMATIVE)} OR modality IN ('MANDATORY', 'PROHIBITED'))),
+t AS (SELECT doc, source AS term, edge_id, pos, predicate, coalesce(text, '') AS example FROM ob UNION ALL SELECT doc, target, edge_id, pos, predicate, coalesce(text, '') FROM ob WHERE target <> source),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, term ORDER BY edge_id, pos) AS k FROM t) WHERE k = 1),
+u AS (SELECT doc, term, predicate, example, row_number() OVER (PARTITION BY doc ORDER BY term) AS nth FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE predicate IN {_IN(text.DEFINING)} AND r.doc = f.doc AND lower(r.source) = lower(f.term)))
+SELECT doc, term, predicate, example FROM u WHERE nth <= 50""",
+)
+def undefined_normative_terms(spark, d):
+    return ambiguity.undefined_terms(records(spark, d))
+
+
+@query(
+    "vague_language",
+    f"""WITH p AS (SELECT doc_id AS doc, paragraph AS text, min(para_id) AS first_id FROM paragraph_matches WHERE doc_id IS NOT NULL AND paragraph IS NOT NULL GROUP BY ALL),
+t AS (SELECT unnest({list(TERMS)}) AS term), h AS (SELECT doc, text, first_id, term FROM p, t WHERE regexp_matches(lower(text), '(^|[^a-z])' || term || '([^a-z]|$)')),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, term ORDER BY first_id, text) AS nth FROM h)
+SELECT doc, term, count(*) AS n, string_agg(text, ' | ' ORDER BY nth) FILTER (WHERE nth <= 3) AS examples FROM k GROUP BY doc, term""",
+)
+def vague_language(spark, d):
+    p = table(spark, d, "paragraph_matches").select(F.col("doc_id").alias("doc"), F.col("paragraph").alias("text"), F.col("para_id").alias("at"))
+    return ambiguity.vague_language(p, TERMS)
+
+
+# --- verification -----------------------------------------------------------------------------------
+_PLACE = lambda c: f"lower(trim(coalesce({c}, ''))) IN {_IN(text.PLACEHOLDER_NAMES)}"
+_CHECK = lambda n, bad, total, src, passed=None: f"SELECT '{n}' AS \"check\", CAST({bad} AS BIGINT) AS bad, CAST({total} AS BIGINT) AS total, round(CASE WHEN {total} = 0 THEN 1.0 ELSE ({total} - {bad}) / {total} END, 6) AS score, {passed or f'CASE WHEN {total} = 0 THEN 1.0 ELSE ({total} - {bad}) / {total} END >= {verify.THRESHOLDS[n]}'} AS passed FROM {src}"
+_S1 = _CHECK("S1", "(total - hit)", "total", f"(SELECT count(*) AS total, count(h.k) AS hit FROM (SELECT DISTINCT {_NORM('quality')} AS k FROM kept_qualities WHERE {_NORM('quality')} <> '') w LEFT JOIN (SELECT DISTINCT {_NORM('sentence')} AS k FROM neighbor_views WHERE {_NORM('sentence')} <> '') h ON w.k = h.k)")
+_S2 = _CHECK("S2", "bad", "total", f"(SELECT count(*) AS total, count(*) FILTER (WHERE {_PLACE('source')} OR {_PLACE('target')}) AS bad FROM raw)")
+_PAIRS = f"SELECT {_NORM('source')} AS s, {_NORM('target')} AS t, string_agg(DISTINCT predicate, '|' ORDER BY predicate) AS predicates FROM e GROUP BY 1, 2 "
+_BAD = f" HAVING bool_or(predicate IN {_IN(text.POSITIVE)}) AND bool_or(predicate IN {_IN(text.NEGATIVE)})"
+_S3 = f"SELECT 'S3' AS \"check\", bad, total, CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END AS score, bad = 0 AS passed FROM (SELECT (SELECT count(*) FROM ({_PAIRS}{_BAD})) AS bad, (SELECT count(*) FROM ({_PAIRS})) AS total)"
+_S4 = _CHECK("S4", "bad", "total", f"(SELECT count(*) AS total, count(*) FILTER (WHERE {_PLACE('source')} OR {_PLACE('target')} OR trim(coalesce(predicate, '')) = '' OR (coalesce(len(records), 0) = 0 AND coalesce(len(docs), 0) = 0)) AS bad FROM raw)")
+_S5 = _CHECK("S5", "bad", "total", "(SELECT coalesce(sum(n), 0) AS total, coalesce(sum(n - 1), 0) AS bad FROM (SELECT count(*) AS n FROM e GROUP BY source, predicate, target))", "bad = 0")
+
+
+@query("verify_s1", _S1)
+def verify_s1(spark, d):
+    """How many distinct kept qualities are covered by a neighbour sentence."""
+    return verify.s1(table(spark, d, "kept_qualities").select(F.col("quality").alias("sentence")), table(spark, d, "neighbor_views"))
+
+
+@query("verify_s2", f"WITH {_ONCE} {_S2}")
+def verify_s2(spark, d):
+    return verify.s2(raw(spark, d))
+
+
+@query("verify_s3", f"WITH {_EDGES} {_S3}")
+def verify_s3(spark, d):
+    return verify.s3(edges(spark, d))
+
+
+@query("contradictory_pairs", f"WITH {_EDGES} {_PAIRS}{_BAD}")
+def contradictory_pairs(spark, d):
+    return verify.contradictions(edges(spark, d))
+
+
+@query("verify_s4", f"WITH {_ONCE} {_S4}")
+def verify_s4(spark, d):
+    return verify.s4(raw(spark, d))
+
+
+@query("verify_s5", f"WITH {_EDGES} {_S5}")
+def verify_s5(spark, d):
+    return verify.s5(edges(spark, d))
+
+
+@query("verify_verdict", f"WITH {_EDGES}, c AS ({_S1} UNION ALL {_S2} UNION ALL {_S3} UNION ALL {_S4} UNION ALL {_S5}) SELECT CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) FILTER (WHERE NOT passed) AS failed FROM c")
+def verify_verdict(spark, d):
+    return verify.verdict([f(spark, d) for f in (verify_s1, verify_s2, verify_s3, verify_s4, verify_s5)])
+
+
+# --- preview and duplicates ---------------------------------------------------------------------------
+_MOD = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.MODALITY_OF.items()) + " END"
+_PREVIEW = f"""WITH {_RECORDS}, sd AS (SELECT source, predicate, target, list(DISTINCT modality) AS m FROM r WHERE modality IS NOT NULL GROUP BY ALL),
+own AS (SELECT {_NORM("source")} AS s, {_NORM("target")} AS t, predicate, coalesce(m, CASE WHEN {_MOD("predicate")} IS NOT NULL THEN [{_MOD("predicate")}] END, []) AS m FROM (SELECT DISTINCT source, predicate, target FROM e) LEFT JOIN sd USING (source, predicate, target)),
+bp AS (SELECT s, t, predicate AS rel, flatten(list(m)) AS kb FROM own GROUP BY ALL), pr AS (SELECT s, t, bool_or(rel IN {_IN(text.PREVIEW_POSITIVE)}) AS pos, bool_or(rel IN {_IN(text.NEGATIVE)}) AS neg FROM bp GROUP BY ALL),
+nm AS (SELECT {_NORM("source")} AS n FROM e UNION SELECT {_NORM("target")} FROM e),
+tr AS (SELECT triple_id, trim(subject) AS subject, trim(predicate) AS predicate, trim(object) AS object, coalesce({_REL("trim(predicate)")}, lower(trim(predicate))) AS rel, {_NORM("trim(subject)")} AS s, {_NORM("trim(object)")} AS t FROM seed_triples WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> ''),
+i AS (SELECT triple_id, subject, predicate, object, CASE
+  WHEN kb IS NOT NULL AND len(kb) > 0 AND (({_MOD("tr.rel")} = 'PROHIBITED' AND NOT list_contains(kb, 'PROHIBITED')) OR ({_MOD("tr.rel")} <> 'PROHIBITED' AND list_contains(kb, 'PROHIBITED'))) THEN 'CONFLICT'
+  WHEN kb IS NOT NULL AND {_MOD("tr.rel")} IS NOT NULL AND len(kb) > 0 AND NOT list_contains(kb, {_MOD("tr.rel")}) THEN 'TENSION'
+  WHEN kb IS NOT NULL THEN 'EXISTING'
+  WHEN (tr.rel IN {_IN(text.PREVIEW_POSITIVE)} AND neg) OR (tr.rel IN {_IN(text.NEGATIVE)} AND pos) THEN 'CONFLICT'
+  WHEN pos IS NOT NULL THEN 'RELATED' ELSE 'NEW' END AS category, a.n IS NOT NULL AS subject_known, b.n IS NOT NULL AS object_known
+  FROM tr LEFT JOIN bp ON tr.s = bp.s AND tr.t = bp.t AND tr.rel = bp.rel LEFT JOIN pr ON tr.s = pr.s AND tr.t = pr.t LEFT JOIN nm a ON a.n = tr.s LEFT JOIN nm b ON b.n = tr.t)"""
+
+
+@query("preview_items", _PREVIEW + " SELECT * FROM i")
+def preview_items(spark, d):
+    """The seed triples against the stored edges."""
+    e = edges(spark, d)
+    return preview.preview(table(spark, d, "seed_triples"), e, provenance.records(e))
+
+
+@query("preview_summary", _PREVIEW + " SELECT category, count(*) AS n FROM i GROUP BY category")
+def preview_summary(spark, d):
+    return preview_items(spark, d).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "relation_duplicates",
+    f"""SELECT * FROM (SELECT {_NORM("subject")} AS s, coalesce({_REL("predicate")}, lower(trim(predicate))) AS rel, {_NORM("object")} AS t, count(*) AS n, string_agg(DISTINCT trim(predicate), '|' ORDER BY trim(predicate)) AS predicates
+FROM seed_triples WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> '' GROUP BY 1, 2, 3) WHERE n > 1""",
+)
+def relation_duplicates(spark, d):
+    return preview.relation_duplicates(table(spark, d, "seed_triples"))
+
+
+# --- graph --------------------------------------------------------------------------------------------
+@query("same_as_clusters")
+def same_as_clusters(spark, d):
+    """Clusters over is_equivalent_to links; tested against union-find on small graphs."""
+    return components.same_as(edges(spark, d).filter("predicate = 'is_equivalent_to'").select(F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@query(
+    "type_closure",
+    f"""WITH RECURSIVE {_EDGES}, up AS (SELECT DISTINCT source AS name, target AS parent FROM e WHERE predicate = 'is_subclass_of' AND source <> target),
+ty AS (SELECT DISTINCT source AS name, target AS type FROM e WHERE predicate = 'is_instance_of'),
+cl AS (SELECT name, type FROM ty UNION SELECT up.name, cl.type FROM cl JOIN up ON up.parent = cl.name)
+SELECT DISTINCT name, type FROM cl""",
+)
+def type_closure(spark, d):
+    e = edges(spark, d)
+    own = e.filter("predicate = 'is_instance_of'").select(F.col("source").alias("name"), F.col("target").alias("type"))
+    return components.inherit(own, e.filter("predicate = 'is_subclass_of'").select(F.col("source").alias("name"), F.col("target").alias("parent")))
+
+
+@query(
+    "keyword_subgraph",
+    f"""WITH {_EDGES}, h AS (
+  (SELECT 1 AS pattern, edge_id, source, predicate, target FROM e WHERE contains(lower(source), '{KEYWORD}') ORDER BY edge_id LIMIT 50) UNION ALL
+  (SELECT 2, edge_id, source, predicate, target FROM e WHERE contains(lower(target), '{KEYWORD}') ORDER BY edge_id LIMIT 50) UNION ALL
+  (SELECT 3, edge_id, source, predicate, target FROM e WHERE contains(predicate, '{KEYWORD}') OR len(list_filter(coalesce(records, []), lambda x: contains(lower(coalesce(x.quality, '')), '{KEYWORD}'))) > 0 ORDER BY edge_id LIMIT 50))
+SELECT edge_id, source, predicate, target, pattern FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY pattern, edge_id) AS k FROM h) WHERE k = 1""",
+)
+def keyword_subgraph(spark, d):
+    return store.keyword_subgraph(edges(spark, d), KEYWORD)
+
+
+@query("full_graph", f"WITH {_EDGES} SELECT edge_id, source, predicate, target FROM e ORDER BY edge_id LIMIT 5000")
+def full_graph(spark, d):
+    return store.full_graph(edges(spark, d))
+
+
+@query(
+    "two_hop_neighbourhood",
+    f"""WITH {_EDGES}, b AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), s AS (SELECT DISTINCT a AS name FROM b WHERE starts_with(lower(a), 'operator of')),
+h1 AS (SELECT DISTINCT b.b AS name FROM b JOIN s ON b.a = s.name WHERE b.b NOT IN (SELECT name FROM s)), h2 AS (SELECT DISTINCT b.b AS name FROM b JOIN h1 ON b.a = h1.name WHERE b.b NOT IN (SELECT name FROM s) AND b.b NOT IN (SELECT name FROM h1))
+SELECT name, 0 AS distance FROM s UNION ALL SELECT name, 1 FROM h1 UNION ALL SELECT name, 2 FROM h2""",
+)
+def two_hop_neighbourhood(spark, d):
+    e = edges(spark, d)
+    return store.neighbourhood(e, store.nodes(e).filter("lower(name) like 'operator of%'"))
+
+
+@query("incident_relations", f"WITH {_EDGES} SELECT name, sum(o) AS out_edges, sum(i) AS in_edges FROM (SELECT source AS name, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY name")
+def incident_relations(spark, d):
+    return store.incident(edges(spark, d))
+
+
+@query("display_nodes", f"WITH {_EDGES} SELECT substr(sha1(name), 1, 12) AS node_id, name AS label FROM (SELECT source AS name FROM e UNION SELECT target FROM e)")
+def display_nodes(spark, d):
+    return store.display_nodes(edges(spark, d))
+
+
+@query(
+    "upsert_merge",
+    f"""WITH {_EDGES}, h AS (SELECT source, predicate, target, min(edge_id) AS edge_id, arg_min(knowledge_type, edge_id) FILTER (WHERE knowledge_type IS NOT NULL) AS knowledge_type, min(created_at) AS created_at FROM e GROUP BY ALL),
+dd AS (SELECT source, predicate, target, string_agg(x, '|' ORDER BY edge_id, pos) AS docs FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, x ORDER BY edge_id, pos) AS k FROM (SELECT source, predicate, target, edge_id, unnest(docs) AS x, generate_subscripts(docs, 1) AS pos FROM e) WHERE x IS NOT NULL) WHERE k = 1 GROUP BY ALL),
+rr AS (SELECT source, predicate, target, count(DISTINCT x) AS n_records FROM (SELECT source, predicate, target, unnest(records) AS x FROM e) WHERE x IS NOT NULL GROUP BY ALL)
+SELECT edge_id, source, predicate, target, coalesce(docs, '') AS docs, coalesce(n_records, 0) AS n_records, knowledge_type, created_at FROM h LEFT JOIN dd USING (source, predicate, target) LEFT JOIN rr USING (source, predicate, target)""",
+)
+def upsert_merge(spark, d):
+    """The stored table after seed edges are there and all edges are upserted."""
+    e = edges(spark, d)
+    m = store.upsert(e.filter("knowledge_type = 'seed'"), e)
+    return m.select("edge_id", *provenance.TRIPLE, F.array_join("docs", "|").alias("docs"), F.size("records").cast("long").alias("n_records"), "knowledge_type", "created_at")
+
+
+@query("purge_seed", f"WITH {_EDGES}, k AS (SELECT * FROM e WHERE knowledge_type IS DISTINCT FROM 'seed') SELECT source AS name FROM k UNION SELECT target FROM k")
+def purge_seed(spark, d):
+    """Nodes left when seed knowledge is purged."""
+    return store.nodes(store.purge(edges(spark, d), "seed"))
+
+
+_LOG = f"lg AS (SELECT source AS term_a, target AS term_b, edge_id % 3 <> 0 AS accept, round((edge_id % 100) / 100.0, 2) AS score, created_at AS decided_at FROM e WHERE predicate = 'is_equivalent_to' AND source <> target)"
+
+
+@query(
+    "latest_alignment_decision",
+    f"WITH {_EDGES}, {_LOG} SELECT term_a, term_b, accept, score, decided_at FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, score, decided_at, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1",
+)
+def latest_alignment_decision(spark, d):
+    """Decisions on equivalent names, taken from the links: accepted unless the edge_id is divisible by 3."""
+    return store.latest_decisions(_decisions(spark, d))
+
+
+def _decisions(spark, d):
+    e = edges(spark, d).filter("predicate = 'is_equivalent_to' and source <> target")
+    return e.select(F.col("source").alias("term_a"), F.col("target").alias("term_b"), (F.col("edge_id") % 3 != 0).alias("accept"), F.round((F.col("edge_id") % 100) / 100.0, 2).alias("score"), F.col("created_at").alias("decided_at"))
+
+
+@query("near_synonyms", f"WITH {_EDGES}, {_LOG}, l AS (SELECT * FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, score, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1) SELECT term_a, term_b, score FROM l WHERE NOT accept AND score >= 0.8")
+def near_synonyms(spark, d):
+    """Names judged different although they score 0.8 or more."""
+    return latest_alignment_decision(spark, d).filter("not accept and score >= 0.8").select("term_a", "term_b", "score")
+
+
+# --- vectors and texts ----------------------------------------------------------------------------------
+_COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6)"
+_TOP = f"tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, row_id) AS nth FROM (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE nth <= 10)"
+
+
+@query("topk_neighbours", f"WITH {_TOP} SELECT * FROM tk")
+def topk_neighbours(spark, d):
+    """The stated query set - vectors whose id is divisible by 100 - against all vectors."""
+    v = table(spark, d, "embeddings")
+    return retrieval.top_k(v.filter("vec_id % 100 = 0"), v, "vec_id", "embedding", 10)
+
+
+@query("similarity_kept", f"WITH {_TOP} SELECT query_id, max(cos) AS max_score, CASE WHEN max(cos) >= 0.4 THEN 'KEPT' ELSE 'DROPPED' END AS decision FROM tk GROUP BY query_id")
+def similarity_kept(spark, d):
+    return retrieval.kept(topk_neighbours(spark, d), 0.4)
+
+
+@query("alignment_candidates", f"WITH {_TOP} SELECT least(query_id, row_id) AS a, greatest(query_id, row_id) AS b, max(round(cos, 4)) AS score FROM tk WHERE cos >= 0.35 AND nth <= 10 GROUP BY ALL ORDER BY score DESC, a, b LIMIT 200")
+def alignment_candidates(spark, d):
+    """The best 200 candidate pairs of the query set, undecided ones of at least 0.35."""
+    t = topk_neighbours(spark, d).filter("cos >= 0.35")
+    return t.groupBy(F.least("query_id", "row_id").alias("a"), F.greatest("query_id", "row_id").alias("b")).agg(F.max(F.round("cos", 4)).alias("score")).orderBy(F.desc("score"), "a", "b").limit(200)
+
+
+_LINES = "ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, line FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE line <> '')"
+
+
+@query("document_lines", f"WITH {_LINES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, line FROM ln")
+def document_lines(spark, d):
+    return ingest.lines(table(spark, d, "documents"))
+
+
+@query("document_paragraphs")
+def document_paragraphs(spark, d):
+    return ingest.paragraphs(table(spark, d, "documents"))
+
+
+@query(
+    "reference_cut",
+    f"""WITH {_LINES}, n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY 1),
+h AS (SELECT doc_id, min(idx) AS cut FROM ln JOIN n USING (doc_id) WHERE length(line) <= 90 AND regexp_matches(regexp_replace(lower(line), '^[#*\\s\\x0b\\x85\\p{{Z}}]+|[#*:.\\s\\x0b\\x85\\p{{Z}}]+$', '', 'g'), '^(?:(?:[0-9]+(?:\\.[0-9]+)*|[ivx]+)[.)]?\\s+)?(?:{'|'.join(ingest.REFERENCE_HEADINGS)})$') AND idx >= greatest(5, CAST(ceil(0.45 * n) AS INTEGER)) GROUP BY 1)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, line FROM ln LEFT JOIN h USING (doc_id) WHERE cut IS NULL OR idx < cut""",
+)
+def reference_cut(spark, d):
+    return ingest.cut_references(ingest.lines(table(spark, d, "documents")), body="line")
+
+
+@query("clean_chunks")
+def clean_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", ingest.clean_chunk(F.col("text")).alias("chunk"))
+
+
+_PARA = "pm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY para_id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM paragraph_matches) WHERE nth = 1)"
+GATE, GATE_SYNONYMS = "audit", ("review", "assessor")
+
+
+@query(
+    "keyword_gate",
+    f"""WITH {_PARA} SELECT para_id, CASE WHEN regexp_matches(lower(paragraph), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){GATE}([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') THEN 'exact'
+WHEN regexp_matches(lower(paragraph), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({'|'.join(GATE_SYNONYMS)})([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') THEN 'synonym' WHEN cosine_sim_score >= 0.45 THEN 'near_paragraph_global' ELSE 'unmatched' END AS match FROM pm""",
+)
+def keyword_gate(spark, d):
+    p = provenance.delivered(table(spark, d, "paragraph_matches"), "para_id")
+    return ingest.keyword_gate(p, "paragraph", GATE, [*GATE_SYNONYMS], "cosine_sim_score").select("para_id", "match")
+
+
+_RELEVANCE = f"""{_PARA}, tm AS (SELECT doc_id, para_index, string_agg(DISTINCT t, '|' ORDER BY t) AS terms FROM (SELECT doc_id, para_index, unnest(matched_terms) AS t FROM pm) WHERE t IS NOT NULL GROUP BY ALL),
+rl AS (SELECT doc_id, para_index, max(cosine_sim_score) AS max_score, bool_or(coalesce(match_type IN ('exact', 'synonym'), false)) AS literal FROM pm GROUP BY ALL)"""
+
+
+@query("paragraph_relevance", f"WITH {_RELEVANCE} SELECT doc_id, para_index, max_score, literal, coalesce(terms, '') AS terms FROM rl LEFT JOIN tm USING (doc_id, para_index)")
+def paragraph_relevance(spark, d):
+    return ingest.paragraph_relevance(provenance.delivered(table(spark, d, "paragraph_matches"), "para_id"))
+
+
+@query("newly_included", f"WITH {_RELEVANCE} SELECT rl.doc_id, rl.para_index, max_score, coalesce(terms, '') AS terms FROM rl LEFT JOIN tm USING (doc_id, para_index) WHERE NOT literal AND max_score >= 0.4 AND NOT EXISTS (SELECT 1 FROM rl k WHERE k.max_score >= 0.6 AND k.doc_id = rl.doc_id AND k.para_index = rl.para_index)")
+def newly_included(spark, d):
+    """What a threshold lowered from 0.6 to 0.4 adds."""
+    r = paragraph_relevance(spark, d)
+    return ingest.newly_included(r, r.filter("max_score >= 0.6"), 0.4).select("doc_id", "para_index", "max_score", "terms")
+
+
+_NOVEL = """nv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM novelty_results) WHERE nth = 1),
+nd AS (SELECT result_id, regexp_replace(upper(trim(decision)), '[ -]+', '_', 'g') AS d, len(list_filter(coalesce(novel_spans, []), lambda s: s IS NOT NULL AND trim(s) <> '')) AS n_spans, greatest(0.0, least(1.0, coalesce(confidence, 0.5))) AS confidence FROM nv),
+nk AS (SELECT result_id, CASE WHEN k = 'EXISTING' AND n_spans > 0 THEN 'PARTIALLY_NEW' ELSE k END AS decision, confidence, n_spans FROM (SELECT *, CASE WHEN d IN ('EXISTING', 'PARTIALLY_NEW', 'NEW') THEN d ELSE 'PARTIALLY_NEW' END AS k FROM nd))"""
+
+
+@query("novelty_coercion", f"WITH {_NOVEL} SELECT * FROM nk")
+def novelty_coercion(spark, d):
+    return ingest.coerce_novelty(provenance.delivered(table(spark, d, "novelty_results"), "result_id"))
+
+
+@query("novelty_counts", f"WITH {_NOVEL} SELECT decision, count(*) AS n FROM nk GROUP BY decision")
+def novelty_counts(spark, d):
+    return novelty_coercion(spark, d).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+_TRIPLES = f"tp AS (SELECT triple_id, trim(subject) AS subject, trim(predicate) AS predicate, trim(object) AS object FROM seed_triples WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> '')"
+
+
+@query("triplet_coercion", f"WITH {_TRIPLES} SELECT tp.*, v.l IS NULL AS non_standard, {_MOD('lower(predicate)')} AS modality FROM tp LEFT JOIN (SELECT DISTINCT lower(canonical) AS l FROM predicate_vocab) v ON v.l = lower(predicate)")
+def triplet_coercion(spark, d):
+    return ingest.coerce_triples(table(spark, d, "seed_triples"), table(spark, d, "predicate_vocab"))
+
+
+@query("triplet_coercion_strict", f"WITH {_TRIPLES} SELECT tp.*, false AS non_standard, {_MOD('lower(predicate)')} AS modality FROM tp JOIN (SELECT DISTINCT lower(canonical) AS l FROM predicate_vocab) v ON v.l = lower(predicate)")
+def triplet_coercion_strict(spark, d):
+    return ingest.coerce_triples(table(spark, d, "seed_triples"), table(spark, d, "predicate_vocab"), relaxed=False)
+
+
+@query("graph_flatten", f"WITH {_TRIPLES}, l AS (SELECT lower(subject) AS s, lower(predicate) AS p, lower(object) AS o FROM tp) SELECT 'entity' AS kind, s AS value FROM l UNION SELECT 'entity', o FROM l UNION SELECT 'edge', p FROM l UNION SELECT 'relation', s || ' | ' || p || ' | ' || o FROM l")
+def graph_flatten(spark, d):
+    return ingest.flatten_graph(table(spark, d, "seed_triples"))
+
+
+@query("distinct_qualities", "SELECT vec_id, quality FROM (SELECT vec_id, quality, row_number() OVER (PARTITION BY trim(quality) ORDER BY vec_id) AS k FROM kept_qualities WHERE trim(quality) <> '') WHERE k = 1")
+def distinct_qualities(spark, d):
+    """The first of each quality by its trimmed text."""
+    return ingest.first_by(table(spark, d, "kept_qualities"), text.text_or_null(F.col("quality")), "vec_id", "quality")
+
+
+@query("quality_batches", "SELECT vec_id, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / 5) AS BIGINT) AS batch FROM kept_qualities")
+def quality_batches(spark, d):
+    return retrieval.batches(table(spark, d, "kept_qualities"), "vec_id", 5)
+
+
+@query("best_neighbours", "SELECT vec_id, sentence, score FROM (SELECT vec_id, sentence, score, row_number() OVER (PARTITION BY lower(trim(sentence)) ORDER BY score DESC NULLS LAST, vec_id) AS k FROM neighbor_views WHERE trim(sentence) <> '') WHERE k = 1")
+def best_neighbours(spark, d):
+    """The best scored view of each sentence, case aside."""
+    n = table(spark, d, "neighbor_views").withColumn("o", F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), "vec_id"))
+    return ingest.first_by(n, F.lower(text.text_or_null(F.col("sentence"))), "o", "vec_id", "sentence", "score").select("vec_id", "sentence", "score")
+
+
+def _bm25_sql(words, table_="documents", k=10):
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(words))
+    score = " + ".join(f"ln(1.0 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * l / avgdl))" for i in range(len(words)))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(words)))
+    has = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
+    return f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS nth FROM (SELECT doc_id, round({score}, 6) AS score FROM (SELECT doc_id, len(w) AS l, {tf} FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)) t, (SELECT count(*) AS n, avg(l) AS avgdl, {df} FROM (SELECT len(w) AS l, {tf} FROM (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents))) s WHERE {has} ORDER BY score DESC, doc_id LIMIT {k})"
+
+
+@query("bm25_topk", _bm25_sql(BM25_WORDS))
+def bm25_topk(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), "doc_id", "text", [*BM25_WORDS], 10)
+
+
+OTHER_WORDS = ("audit", "cycle")
+
+
+@query("rank_fusion", f"WITH a AS ({_bm25_sql(BM25_WORDS)}), b AS ({_bm25_sql(OTHER_WORDS)}) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(0.5 / (60 + a.nth), 0.0) + coalesce(0.5 / (60 + b.nth), 0.0), 9) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+def rank_fusion(spark, d):
+    t = table(spark, d, "documents")
+    return retrieval.fuse(retrieval.bm25(t, "doc_id", "text", [*BM25_WORDS], 10), retrieval.bm25(t, "doc_id", "text", [*OTHER_WORDS], 10), "doc_id")
+
+
+@query("stat_block", "SELECT doc_type, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, round(median(n_chars), 6) AS median, round(stddev_samp(n_chars) / sqrt(count(n_chars)), 6) AS sem FROM documents GROUP BY doc_type")
+def stat_block(spark, d):
+    return retrieval.stat_block(table(spark, d, "documents"), "doc_type", "n_chars")
+
+
+@query("mine_accuracy", f"WITH {_NOVEL} SELECT count(*) AS n_groups, round(avg(m), 6) AS mean FROM (SELECT model, avg(CASE WHEN nk.decision = 'EXISTING' THEN 1.0 ELSE 0.0 END) AS m, bool_or(nv.rationale IS NULL AND nv.model IS NULL) AS f FROM nv JOIN nk USING (result_id) GROUP BY model) WHERE NOT f")
+def mine_accuracy(spark, d):
+    """Mean of the models' shares of EXISTING; a model with a row without rationale and name is left out."""
+    r = provenance.delivered(table(spark, d, "novelty_results"), "result_id").select("result_id", "model", (F.col("rationale").isNull() & F.col("model").isNull()).alias("failed"))
+    return retrieval.two_level_mean(r.join(novelty_coercion(spark, d).select("result_id", (F.col("decision") == "EXISTING").cast("int").alias("hit")), "result_id"), "model", "hit", "failed")
+
+
+QUERIES["p3_found"] = hierarchy.p3_found
+QUERIES["p3_descendants"] = hierarchy.p3_descendants
+
+
+def _full_trim(sql: str) -> str:
+    """trim() of every kind of white space, as the Spark side does."""
+    while (at := sql.find("trim(")) >= 0:
+        depth, end = 1, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}regexp_replace({sql[at + 5 : end - 1]}, '^{_SPACE}|{_SPACE}$', '', 'g'){sql[end:]}"
+    return sql
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: _full_trim(v) for k, v in SQL.items()}
