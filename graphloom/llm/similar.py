@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ SEED = 7
 LINES, HITS, LEVELS, SPREAD = 24, 15, (0.25, 0.5, 1.0), 1.5
 #: Vectors of one random cell, about; hashes of a cell's code -> tables.
 CELL, TABLES = 32, {1: 8, 2: 20, 3: 48, 4: 110}
-#: Queries of a cell that are counted at a time.
-BLOCK = 512
+#: Queries of a cell that are counted at a time; cells up to SMALL are counted in one go, at the last level.
+BLOCK, SMALL = 512, 160
 
 
 def hashes_for(n: int, dim: int) -> int:
@@ -41,6 +42,7 @@ def rotations(n: int, dim: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(n)]).astype(np.float32)
 
 
+@lru_cache(maxsize=None)
 def lines(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED + 1).standard_normal((dim, LINES)).astype(np.float32)
 
@@ -56,52 +58,88 @@ def codes(unit: np.ndarray, turns: np.ndarray, tables: int) -> np.ndarray:
     return out
 
 
-def search(raw: np.ndarray, key: np.ndarray, table: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one cell: (query row, neighbour row, cosine), at most k for each query.
+def small_cell(proj: np.ndarray, width: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (i < j) of a cell: in as many windows of the width around each other as HITS."""
+    count = np.count_nonzero(np.abs(proj[:, None, :] - proj[None, :, :]) <= width, axis=2)
+    return np.nonzero(np.triu(count >= HITS, 1))
 
-    raw has the vectors (double), key their cell codes in all tables: a pair that met in an earlier table is left out.
+
+def large_cell(unit: np.ndarray, proj: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate (query, neighbour) rows of a cell, level by level, from the sorted arrays of its lines.
+
+    A query goes on to the next level unless it has k neighbours within the distance of the level.
     """
-    n = len(raw)
-    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
-    proj = (unit.astype(np.float32) @ lines(raw.shape[1])).T
+    n, proj = len(unit), proj.T
     order = np.argsort(proj, axis=1)
     arrays = np.take_along_axis(proj, order, 1)
     reach = math.sqrt(max(0.0, 2 - 2 * least))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for start in range(0, n, BLOCK):
         todo = np.arange(start, min(n, start + BLOCK))
         for level in LEVELS:
             width = np.float32(SPREAD * reach * level)
             count = np.zeros((len(todo), n), np.int8)
+            row = np.arange(len(todo))
             for line in range(LINES):
                 centre = proj[line, todo]
-                low, high = np.searchsorted(arrays[line], centre - width, "left"), np.searchsorted(arrays[line], centre + width, "right")
                 step = np.zeros((len(todo), n + 1), np.int8)
-                step[np.arange(len(todo)), low] = 1
-                step[np.arange(len(todo)), high] -= 1
+                step[row, np.searchsorted(arrays[line], centre - width, "left")] = 1
+                step[row, np.searchsorted(arrays[line], centre + width, "right")] -= 1
                 count[:, order[line]] += np.cumsum(step[:, :n], axis=1, dtype=np.int8)
             q, c = np.nonzero(count >= HITS)
-            keep = todo[q] != c
-            q, c = q[keep], c[keep]
-            cos = np.zeros(len(q))
-            for at in range(0, len(q), 200_000):
-                s = slice(at, at + 200_000)
-                cos[s] = np.round(np.einsum("ij,ij->i", unit[todo[q[s]]], unit[c[s]]), 6)
-            near = cos >= least
-            q, c, cos = q[near], c[near], cos[near]
-            inside = np.bincount(q[2 - 2 * cos <= (reach * level) ** 2], minlength=len(todo))
-            over = (inside >= k) | (level == LEVELS[-1])
-            take = over[q]
-            new = ~(key[todo[q[take]], :table] == key[c[take], :table]).any(1) if table else np.ones(take.sum(), bool)
-            found.append((todo[q[take]][new], c[take][new], cos[take][new]))
+            if level == LEVELS[-1]:
+                found.append((todo[q], c))
+                break
+            near = np.bincount(q[2 - 2 * _cosines(unit, todo[q], c) <= (reach * level) ** 2], minlength=len(todo))
+            over = near > k  # the query itself counts
+            found.append((todo[q[over[q]]], c[over[q]]))
             todo = todo[~over]
             if not len(todo):
                 break
-    q, c, cos = (np.concatenate(x) for x in zip(*found))
-    best = np.lexsort((c, -cos, q))
+    q, c = (np.concatenate(x) for x in zip(*found))
+    return q[q != c], c[q != c]
+
+
+def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for at in range(0, len(a), 200_000):
+        s = slice(at, at + 200_000)
+        out[s] = np.einsum("ij,ij->i", unit[a[s]], unit[b[s]])
+    return np.round(out, 6)
+
+
+def search(raw: np.ndarray, key: np.ndarray, tbl: np.ndarray, rep: np.ndarray, edge: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, neighbour row, cosine), at most k for each query, of cells that lie between the edges.
+
+    raw has the vectors (double), key their cell codes in all tables: a pair that met in an earlier table is left out.
+    """
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    proj = unit.astype(np.float32) @ lines(raw.shape[1])
+    width = np.float32(SPREAD * math.sqrt(max(0.0, 2 - 2 * least)))
+    qs, cs = [], []
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if high - low > SMALL:
+            q, c = large_cell(unit[low:high], proj[low:high], k, least)
+            qs.append(q + low)
+            cs.append(c + low)
+        elif high - low > 1:
+            i, j = small_cell(proj[low:high], width)
+            if len(i):
+                qs += [i + low, j + low]
+                cs += [j + low, i + low]
+    if not qs:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    q, c = np.concatenate(qs), np.concatenate(cs)
+    cos = _cosines(unit, q, c)
+    near = cos >= least
+    q, c, cos = q[near], c[near], cos[near]
+    earlier = np.arange(key.shape[1])[None, :] < tbl[q][:, None]
+    new = ~((key[q] == key[c]) & earlier).any(1)
+    q, c, cos = q[new], c[new], cos[new]
+    best = np.lexsort((rep[c], -cos, q))
     q, c, cos = q[best], c[best], cos[best]
-    first = np.searchsorted(q, q, "left")
-    top = np.arange(len(q)) - first < k
+    top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
     return q[top], c[top], cos[top]
 
 
@@ -130,14 +168,9 @@ def _search(dim: int, tables: int, k: int, least: float):
         key = np.frombuffer(b"".join(t["codes"].to_pylist()), np.int64).reshape(n, tables)
         rep, tbl, cell = (t[c].to_numpy() for c in ("rep", "tbl", "cell"))
         edge = np.flatnonzero(np.concatenate([[True], (tbl[1:] != tbl[:-1]) | (cell[1:] != cell[:-1]), [True]]))
-        out = []
-        for low, high in zip(edge[:-1], edge[1:]):
-            if high - low > 1:
-                q, c, cos = search(raw[low:high], key[low:high], int(tbl[low]), k, least)
-                out.append((rep[low:high][q], rep[low:high][c], cos))
-        if out:
-            q, c, cos = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(cos)], names=["rep", "other", "cos"])
+        q, c, cos = search(raw, key, tbl, rep, edge, k, least)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[q]), pa.array(rep[c]), pa.array(cos)], names=["rep", "other", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
