@@ -30,6 +30,8 @@ LINES, HITS, LEVELS, SPREAD = 24, 15, (0.25, 0.5, 1.0), 1.5
 CELL, TABLES = 32, {1: 8, 2: 20, 3: 48, 4: 110}
 #: Queries of a cell that are counted at a time; cells up to SMALL are counted in one go, at the last level.
 BLOCK, SMALL = 512, 160
+#: Pairs verified at a time, and pairs of small cells that are looked at before their best are kept.
+VERIFY, GATHER = 20_000, 250_000
 
 
 def hashes_for(n: int, dim: int) -> int:
@@ -64,83 +66,104 @@ def small_cell(proj: np.ndarray, width: np.float32) -> tuple[np.ndarray, np.ndar
     return np.nonzero(np.triu(count >= HITS, 1))
 
 
-def large_cell(unit: np.ndarray, proj: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate (query, neighbour) rows of a cell, level by level, from the sorted arrays of its lines.
-
-    A query goes on to the next level unless it has k neighbours within the distance of the level.
-    """
-    n, proj = len(unit), proj.T
-    order = np.argsort(proj, axis=1)
-    arrays = np.take_along_axis(proj, order, 1)
-    reach = math.sqrt(max(0.0, 2 - 2 * least))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for start in range(0, n, BLOCK):
-        todo = np.arange(start, min(n, start + BLOCK))
-        for level in LEVELS:
-            width = np.float32(SPREAD * reach * level)
-            count = np.zeros((len(todo), n), np.int8)
-            row = np.arange(len(todo))
-            for line in range(LINES):
-                centre = proj[line, todo]
-                step = np.zeros((len(todo), n + 1), np.int8)
-                step[row, np.searchsorted(arrays[line], centre - width, "left")] = 1
-                step[row, np.searchsorted(arrays[line], centre + width, "right")] -= 1
-                count[:, order[line]] += np.cumsum(step[:, :n], axis=1, dtype=np.int8)
-            q, c = np.nonzero(count >= HITS)
-            if level == LEVELS[-1]:
-                found.append((todo[q], c))
-                break
-            near = np.bincount(q[2 - 2 * _cosines(unit, todo[q], c) <= (reach * level) ** 2], minlength=len(todo))
-            over = near > k  # the query itself counts
-            found.append((todo[q[over[q]]], c[over[q]]))
-            todo = todo[~over]
-            if not len(todo):
-                break
-    q, c = (np.concatenate(x) for x in zip(*found))
-    return q[q != c], c[q != c]
-
-
-def _cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a))
-    for at in range(0, len(a), 200_000):
-        s = slice(at, at + 200_000)
-        out[s] = np.einsum("ij,ij->i", unit[a[s]], unit[b[s]])
-    return np.round(out, 6)
+class Cells:
+    """The rows of some cells: unit vectors, projections, cell codes in all tables, the cells' table, and keys."""
+
+    def __init__(self, raw: np.ndarray, key: np.ndarray, tbl: np.ndarray, rep: np.ndarray, k: int, least: float):
+        self.unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+        self.proj = self.unit.astype(np.float32) @ lines(raw.shape[1])
+        self.key, self.tbl, self.rep, self.k, self.least = key, tbl, rep, k, least
+        self.reach = math.sqrt(max(0.0, 2 - 2 * least))
+
+    def cosines(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a))
+        for at in range(0, len(a), VERIFY):
+            s = slice(at, at + VERIFY)
+            out[s] = np.einsum("ij,ij->i", self.unit[a[s]], self.unit[b[s]])
+        return np.round(out, 6)
+
+    def best(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Verified pairs that did not meet in an earlier table, at most k for each query."""
+        cos = self.cosines(q, c)
+        near = cos >= self.least
+        q, c, cos = q[near], c[near], cos[near]
+        new = np.ones(len(q), bool)
+        earlier = np.arange(self.key.shape[1])[None, :]
+        for at in range(0, len(q), VERIFY):
+            s = slice(at, at + VERIFY)
+            new[s] = ~((self.key[q[s]] == self.key[c[s]]) & (earlier < self.tbl[q[s]][:, None])).any(1)
+        q, c, cos = q[new], c[new], cos[new]
+        order = np.lexsort((self.rep[c], -cos, q))
+        q, c, cos = q[order], c[order], cos[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
+        return q[top], c[top], cos[top]
+
+    def large(self, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The best of one cell, level by level, from the sorted arrays of its lines.
+
+        A query goes on to the next level unless it has k neighbours within the distance of the level.
+        """
+        n, proj = high - low, self.proj[low:high].T
+        order = np.argsort(proj, axis=1)
+        arrays = np.take_along_axis(proj, order, 1)
+        found = []
+        for start in range(0, n, BLOCK):
+            todo = np.arange(start, min(n, start + BLOCK))
+            for level in LEVELS:
+                width = np.float32(SPREAD * self.reach * level)
+                count = np.zeros((len(todo), n), np.int8)
+                row = np.arange(len(todo))
+                for line in range(LINES):
+                    centre = proj[line, todo]
+                    step = np.zeros((len(todo), n + 1), np.int8)
+                    step[row, np.searchsorted(arrays[line], centre - width, "left")] = 1
+                    step[row, np.searchsorted(arrays[line], centre + width, "right")] -= 1
+                    count[:, order[line]] += np.cumsum(step[:, :n], axis=1, dtype=np.int8)
+                q, c = np.nonzero(count >= HITS)
+                keep = todo[q] != c
+                q, c = q[keep], c[keep]
+                if level == LEVELS[-1]:
+                    over = np.ones(len(todo), bool)
+                else:
+                    near = 2 - 2 * self.cosines(todo[q] + low, c + low) <= (self.reach * level) ** 2
+                    over = np.bincount(q[near], minlength=len(todo)) >= self.k
+                take = over[q]
+                found.append(self.best(todo[q[take]] + low, c[take] + low))
+                todo = todo[~over]
+                if not len(todo):
+                    break
+        return found
 
 
 def search(raw: np.ndarray, key: np.ndarray, tbl: np.ndarray, rep: np.ndarray, edge: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, neighbour row, cosine), at most k for each query, of cells that lie between the edges.
+    """(query row, neighbour row, cosine), at most k for each query, of cells that lie between the edges."""
+    cells = Cells(raw, key, tbl, rep, k, least)
+    width = np.float32(SPREAD * cells.reach)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def settle() -> None:
+        if held:
+            i, j = (np.concatenate(x) for x in zip(*held))
+            found.append(cells.best(np.concatenate([i, j]), np.concatenate([j, i])))
+            held.clear()
 
-    raw has the vectors (double), key their cell codes in all tables: a pair that met in an earlier table is left out.
-    """
-    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
-    proj = unit.astype(np.float32) @ lines(raw.shape[1])
-    width = np.float32(SPREAD * math.sqrt(max(0.0, 2 - 2 * least)))
-    qs, cs = [], []
     for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if high - low > SMALL:
-            q, c = large_cell(unit[low:high], proj[low:high], k, least)
-            qs.append(q + low)
-            cs.append(c + low)
+            found += cells.large(low, high)
         elif high - low > 1:
-            i, j = small_cell(proj[low:high], width)
-            if len(i):
-                qs += [i + low, j + low]
-                cs += [j + low, i + low]
-    if not qs:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    q, c = np.concatenate(qs), np.concatenate(cs)
-    cos = _cosines(unit, q, c)
-    near = cos >= least
-    q, c, cos = q[near], c[near], cos[near]
-    earlier = np.arange(key.shape[1])[None, :] < tbl[q][:, None]
-    new = ~((key[q] == key[c]) & earlier).any(1)
-    q, c, cos = q[new], c[new], cos[new]
-    best = np.lexsort((rep[c], -cos, q))
-    q, c, cos = q[best], c[best], cos[best]
-    top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
-    return q[top], c[top], cos[top]
+            i, j = small_cell(cells.proj[low:high], width)
+            held.append((i + low, j + low))
+            size += len(i)
+            if size > GATHER:
+                settle()
+                size = 0
+    settle()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    q, c, cos = (np.concatenate(x) for x in zip(*found))
+    return q, c, cos
 
 
 def _cells(dim: int, hashes: int, tables: int):
