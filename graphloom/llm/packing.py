@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.session import Scratch
+
 #: Items of one group; a group is one task, so this bounds its memory and time.
 GROUP_ITEMS = 20_000
 
@@ -55,7 +57,8 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, seed: int = 42, grou
         raise ValueError("capacity must be positive")
     kind = df.schema[key].dataType
     items = df.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("s"))
-    groups = max(1, -(-df.count() // group_items))
+    items = Scratch(df.sparkSession).write(items)  # two numbers a row: what it takes to size them is done once
+    groups = max(1, -(-items.count() // group_items))
     items = items.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "k", "s"), F.lit(groups)).cast("int"))
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("part", "n_parts", "part_size")), T.StructField("container_group", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("container", "place", "start"))])
 
