@@ -178,7 +178,7 @@ def canonicalise(df: DataFrame, value: str, entries: DataFrame, entry_id: str, s
     salts = 32
     parts = listed.withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(shards))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     values = df.select(F.col(value).cast("string").alias("v")).filter(~blank("v")).distinct()
-    values = values.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    values = values.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")))
 
     def shard(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         got = Matcher([*zip(e["t"], e["i"])])(list(v["v"]))

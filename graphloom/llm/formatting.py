@@ -13,7 +13,8 @@ FIELDS = ("subject", "predicate", "object")
 def canonical(c: Column) -> Column:
     """Only letters and digits, case folded; null counts as empty."""
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")
-    return F.lower(F.upper(kept))
+    # Letters whose case forms differ in number or place in a word.
+    return F.replace(F.replace(F.lower(F.upper(kept)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def read_fields(df: DataFrame, raw: str | None, fields: tuple[str, ...]) -> DataFrame:

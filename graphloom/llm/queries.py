@@ -107,9 +107,9 @@ WITH r AS (
   FROM seed_triples
 ), c AS (
   SELECT triple_id,
-    lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.subject') ELSE subject END, ''), '[^\p{L}\p{N}]', '', 'g'))) AS subject,
-    lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.predicate') ELSE predicate END, ''), '[^\p{L}\p{N}]', '', 'g'))) AS predicate,
-    lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.object') ELSE object END, ''), '[^\p{L}\p{N}]', '', 'g'))) AS object,
+    replace(replace(lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.subject') ELSE subject END, ''), '[^\p{L}\p{N}]', '', 'g'))), 'ß', 'ss'), 'ς', 'σ') AS subject,
+    replace(replace(lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.predicate') ELSE predicate END, ''), '[^\p{L}\p{N}]', '', 'g'))), 'ß', 'ss'), 'ς', 'σ') AS predicate,
+    replace(replace(lower(upper(regexp_replace(coalesce(CASE WHEN is_raw THEN json_extract_string(raw_record, '$.object') ELSE object END, ''), '[^\p{L}\p{N}]', '', 'g'))), 'ß', 'ss'), 'ς', 'σ') AS object,
     concat_ws('|', coalesce(r.subject, chr(1)), coalesce(r.predicate, chr(1)), coalesce(r.object, chr(1)), coalesce(raw_record, chr(1))) AS spelt
   FROM r
 )
