@@ -27,10 +27,6 @@ def edges(rows: DataFrame) -> DataFrame:
     return e.filter("source <> '' and target <> '' and predicate is not null")
 
 
-def edges_of(rows: DataFrame) -> DataFrame:
-    return edges(rows.withColumns({c: F.col(c) for c in TRIPLE}))
-
-
 def records(e: DataFrame) -> DataFrame:
     """(source, predicate, target, edge_id, pos, doc, modality, text, chunk_index), one row for each distinct record of a stored triple.
 

@@ -564,6 +564,67 @@ def mine_accuracy(spark, d):
     return retrieval.two_level_mean(r.join(novelty_coercion(spark, d).select("result_id", (F.col("decision") == "EXISTING").cast("int").alias("hit")), "result_id"), "model", "hit", "failed")
 
 
+# --- presentation and grouping ----------------------------------------------------------------------------
+@query("relation_texts", f"WITH {_EDGES} SELECT DISTINCT source, predicate, target, upper(substr(t, 1, 1)) || substr(t, 2) AS text FROM (SELECT source, predicate, target, replace(source || ' ' || predicate || ' ' || target, '_', ' ') AS t FROM e)")
+def relation_texts(spark, d):
+    """Stored triples in words, with a capital first letter."""
+    e = edges(spark, d).select(*provenance.TRIPLE).distinct()
+    return e.select("*", text.relation_text(F.col("source"), F.col("predicate"), F.col("target"), F.lit(None).cast("string")).alias("text"))
+
+
+@query("family_counts", f"WITH {_EDGES} SELECT coalesce(family, 'other') AS family, count(*) AS n, count(DISTINCT predicate) AS n_predicates FROM e LEFT JOIN (SELECT DISTINCT rel_type, family FROM predicate_vocab) v ON v.rel_type = predicate GROUP BY 1")
+def family_counts(spark, d):
+    """Edges and distinct predicates by family of the vocabulary; the vocabulary is a fixed small table."""
+    v = table(spark, d, "predicate_vocab").select(F.col("rel_type").alias("predicate"), "family").distinct()
+    by = edges(spark, d).groupBy("predicate").agg(F.count("*").alias("n")).join(v, "predicate", "left")
+    return by.groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("n").alias("n"), F.count("*").alias("n_predicates"))
+
+
+@query("score_histogram", "SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n FROM neighbor_views WHERE score BETWEEN 0 AND 1 GROUP BY 1")
+def score_histogram(spark, d):
+    """Ten bins of the neighbour scores between 0 and 1."""
+    n = table(spark, d, "neighbor_views").filter("score between 0 and 1")
+    return n.groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("included_results", f"WITH {_PARA} SELECT para_id FROM pm WHERE match_type IN ('exact', 'synonym') OR cosine_sim_score IS NULL OR cosine_sim_score >= 0.6")
+def included_results(spark, d):
+    """Literal matches, those without a score, and those that reach the threshold."""
+    p = provenance.delivered(table(spark, d, "paragraph_matches"), "para_id")
+    return p.filter("match_type in ('exact', 'synonym') or cosine_sim_score is null or cosine_sim_score >= 0.6").select("para_id")
+
+
+@query("payload_groups", f"WITH {_RECORDS} SELECT doc, text, count(DISTINCT (source, predicate, target)) AS n_triples, count(*) AS n_records FROM r WHERE text IS NOT NULL GROUP BY doc, text")
+def payload_groups(spark, d):
+    """Distinct triples and records by document and sentence."""
+    r = records(spark, d).filter("text is not null")
+    by = r.groupBy("doc", "text", *provenance.TRIPLE).agg(F.count("*").alias("n"))
+    return by.groupBy("doc", "text").agg(F.count("*").alias("n_triples"), F.sum("n").alias("n_records"))
+
+
+@query(
+    "strongest_modality",
+    f"""WITH {_RECORDS}, m AS (SELECT DISTINCT source, predicate, target, modality FROM r WHERE modality IS NOT NULL)
+SELECT source, predicate, target, CASE WHEN bool_or(modality = 'PROHIBITED') THEN 'PROHIBITED' WHEN bool_or(modality = 'MANDATORY') THEN 'MANDATORY' WHEN bool_or(modality = 'RECOMMENDED') THEN 'RECOMMENDED' WHEN bool_or(modality = 'OPTIONAL') THEN 'OPTIONAL' END AS modality FROM m GROUP BY ALL""",
+)
+def strongest_modality(spark, d):
+    """The strongest known modality of each triple that has any; null if none of them is known."""
+    m = records(spark, d).filter("modality is not null").groupBy(*provenance.TRIPLE).agg(F.collect_set("modality").alias("m"))
+    return m.select(*provenance.TRIPLE, text.strongest(F.col("m")).alias("modality"))
+
+
+@query("key_words", f"WITH {_EDGES} SELECT name, array_to_string(regexp_extract_all(lower(replace(name, '_', ' ')), '[a-z0-9+#.-]+'), ' ') AS words FROM (SELECT source AS name FROM e UNION SELECT target FROM e)")
+def key_words(spark, d):
+    """The schema key of every node name."""
+    return node_names(spark, d).select("name", text.key_words(F.col("name")).alias("words"))
+
+
+@query("rejected_edges", f"WITH {_EDGES} SELECT edge_id FROM raw WHERE edge_id NOT IN (SELECT edge_id FROM e)")
+def rejected_edges(spark, d):
+    """Rows that the store rejects: a blank name or no safe predicate."""
+    return raw(spark, d).select("edge_id").join(edges(spark, d).select("edge_id"), "edge_id", "left_anti")
+
+
 QUERIES["p3_found"] = hierarchy.p3_found
 QUERIES["p3_descendants"] = hierarchy.p3_descendants
 
