@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import blank, unique_join
+from graphloom.session import blank, free_name, unique_join
 
 #: Spellings of a reference list that is broadcast whole; a longer one is searched in shards of this size.
 BROADCAST_ENTRIES = 20_000
@@ -185,6 +185,7 @@ def canonicalise(df: DataFrame, value: str, entries: DataFrame, entry_id: str, s
         return pd.DataFrame({"v": v["v"], "got": got})[got >= 0]
 
     won = values.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInPandas(shard, "v string, got long")
-    won = won.groupBy("v").agg(F.min("got").alias("got")).select("v", F.expr("cast(got & 4294967295L as int)").alias("__entry"))
-    joined = unique_join(df.withColumn("v", F.col(value).cast("string")), won, "v", "left").drop("v")
-    return joined.withColumn(out, F.coalesce("__entry", F.lit(-1))).drop("__entry")
+    at, entry = free_name(df, "value_text"), free_name(df, "entry_found")
+    won = won.groupBy("v").agg(F.min("got").alias("got")).select(F.col("v").alias(at), F.expr("cast(got & 4294967295L as int)").alias(entry))
+    joined = unique_join(df.withColumn(at, F.col(value).cast("string")), won, at, "left").drop(at)
+    return joined.withColumn(out, F.coalesce(entry, F.lit(-1))).drop(entry)

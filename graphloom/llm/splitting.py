@@ -72,7 +72,7 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     """
     if not 0 <= overlap or limit - overlap < 8:
         raise ValueError("limit must exceed overlap by 8 tokens or more")
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("txt", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("own_key", df.schema[key].dataType), T.StructField("txt", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name, folder)
@@ -83,10 +83,10 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
                 offsets = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
                 flat = np.concatenate(ends).astype(np.int32)
                 part = b.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=[key, "txt", "cls", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=["own_key", "txt", "cls", "ends"])
 
     body = limit - overlap
-    tokens = df.select(F.col(key), F.col(text).cast("string").alias("txt")).filter("length(txt) > 0").mapInArrow(run, schema)
+    tokens = df.select(F.col(key).alias("own_key"), F.col(text).cast("string").alias("txt")).filter("length(txt) > 0").mapInArrow(run, schema)
     first = rf"\A(?:{piece_pattern(limit, max(1, limit // 2))})"
     rest = piece_pattern(body, max(1, body // 2))
     # The first piece repeats nothing and so may fill the whole limit.
@@ -94,7 +94,7 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     cut = cut.withColumn("bodies", F.concat(F.array("head"), F.expr("regexp_extract_all(substring(cls, length(head) + 1), pattern, 0)".replace("pattern", "'" + rest.replace("\\", "\\\\") + "'"))))
     cut = cut.withColumn("sizes", F.expr("transform(bodies, b -> length(b))"))
     cut = cut.withColumn("stops", F.expr("aggregate(sizes, cast(array() as array<int>), (a, n) -> concat(a, array(coalesce(try_element_at(a, -1), 0) + n)))"))
-    cut = cut.select(F.col(key), "txt", "cls", "ends", F.size("stops").alias("n_pieces"), F.posexplode(F.arrays_zip("stops", "sizes")).alias("piece", "p"))
+    cut = cut.select("own_key", "txt", "cls", "ends", F.size("stops").alias("n_pieces"), F.posexplode(F.arrays_zip("stops", "sizes")).alias("piece", "p"))
     cut = cut.select("*", (F.col("p.stops") - F.col("p.sizes")).alias("own"), F.col("p.stops").alias("stop"))
     # Look back `overlap` tokens and move forward to the next whole word, or at least to a whole character.
     cut = cut.withColumn("back", F.expr(f"greatest(own - {overlap}, 0)"))
@@ -103,4 +103,4 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     cut = cut.withColumn("from", F.expr(f"if({overlap} = 0 or piece = 0, own, least(back + skip, own))"))
     at = "if({0} = 0, 0, element_at(ends, {0}))"
     cut = cut.withColumns({"start_pos": F.expr(at.format("`from`")), "own_pos": F.expr(at.format("own")), "end_pos": F.expr(at.format("stop"))})
-    return cut.select(F.col(key), F.col("piece").cast("int").alias("piece"), F.col("n_pieces"), "start_pos", "end_pos", "own_pos", F.expr("stop - `from`").alias("n_tokens"), F.expr("substring(txt, start_pos + 1, end_pos - start_pos)").alias("piece_text"))
+    return cut.select(F.col("own_key").alias(key), F.col("piece").cast("int").alias("piece"), F.col("n_pieces"), "start_pos", "end_pos", "own_pos", F.expr("stop - `from`").alias("n_tokens"), F.expr("substring(txt, start_pos + 1, end_pos - start_pos)").alias("piece_text"))

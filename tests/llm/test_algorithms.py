@@ -44,10 +44,10 @@ def test_canonicalise(spark):
     entries = spark.createDataFrame([(1, "IsSubclassOf"), (1, "kind of"), (2, "Requires"), (2, None), (3, "DependsOn")], "pid int, name string")
     values = ["is_subclass_of", "KIND  OF", "reqiures", "requires (draft)", "rel: depends on", "dеpends-on", "Ｒｅｑｕｉｒｅｓ", "smells like", "", None, "%%%", "requires " + "x" * 9000, "requires"]
     want = [1, 1, 2, 2, 3, 3, 2, -1, -1, -1, -1, -1, 2]
-    df = spark.createDataFrame([(i, v, "kept") for i, v in enumerate(values)], "id int, value string, entry_id string")
+    df = spark.createDataFrame([(i, v, "kept") for i, v in enumerate(values)], "v int, value string, entry_id string")
     for limit in (1000, 2):  # broadcast, and in shards
         got = canonical.canonicalise(df, "value", entries, "pid", "name", limit=limit)
-        assert [r.entry_id for r in got.orderBy("id").collect()] == want
+        assert [r.entry_id for r in got.orderBy("v").collect()] == want
     assert {r.entry_id for r in canonical.canonicalise(df, "value", entries.limit(0), "pid", "name").collect()} == {-1}
     assert canonical.canonicalise(df.limit(0), "value", entries, "pid", "name").count() == 0
 

@@ -62,11 +62,11 @@ def test_split_round_trip(spark):
     t = Tokenizer.from_file(FILE)
     t.encode_special_tokens = True
     texts = [*ODD, "# One\n\nFirst part. " * 40, "word " * 300, "x" * 3000, "中文句子。" * 200, "😀" * 200]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "txt int, text string")
     for limit, overlap in ((40, 8), (16, 0)):
         by: dict = {}
-        for r in splitting.split_long(df, "id", "text", limit, overlap).collect():
-            by.setdefault(r.id, []).append(r)
+        for r in splitting.split_long(df, "txt", "text", limit, overlap).collect():
+            by.setdefault(r.txt, []).append(r)
         for i, x in enumerate(texts):
             own = sorted(by.get(i, []), key=lambda r: r.piece)
             assert "".join(x[r.own_pos : r.end_pos] for r in own) == (x or "")
