@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cosine(a: str, b: str) -> Column:
@@ -25,6 +28,46 @@ def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, le
     return scored.selectExpr("*", "row_number() over (partition by query_id order by cos desc, row_id) as nth").filter(f"nth <= {k}")
 
 
+def best_pairs(rows: DataFrame, key: str, vector: str, least: float, k: int, decided: DataFrame | None = None, block: int = 2048) -> DataFrame:
+    """(a, b, score): the k pairs a < b of the highest cosine of at least `least`, over all pairs of rows; ties by a, then b.
+
+    Rows fall into blocks of about `block` by the hash of their key, and each pair of blocks is matched in one task, which gives
+    its k best; the k best of these are those of all pairs. decided has pairs (a, b) in either order that are left out
+    before that. Null, empty, zero and non-finite vectors and unlike lengths have no cosine. The work grows with the square of the rows.
+    """
+    usable = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
+    n = max(1, -(-usable.count() // block))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    kind = usable.schema["key"].dataType
+    own = usable.withColumn("own", at(F.col("key"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own = own.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "v")
+    gone = usable.sparkSession.createDataFrame([], T.StructType([T.StructField("a", kind), T.StructField("b", kind)])) if decided is None else decided.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    gone = gone.select(F.least(at(F.col("a")), at(F.col("b"))).alias("i"), F.greatest(at(F.col("a")), at(F.col("b"))).alias("j"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def match(group: tuple, x: pd.DataFrame, no: pd.DataFrame) -> pd.DataFrame:
+        i, j = group
+        parts = []
+        for _, same in x.groupby(x["v"].map(len)):
+            left, right = (same[same["own"] == q] for q in (i, j))
+            if len(left) and len(right):
+                unit = [(m := np.stack(s["v"].to_list())) / np.linalg.norm(m, axis=1)[:, None] for s in (left, right)]
+                cos = np.floor(unit[0] @ unit[1].T * 1e6 + 0.5) / 1e6
+                hit = cos >= least
+                at_left, at_right = np.nonzero(np.triu(hit, 1) if i == j else hit)
+                a, b = left["key"].to_numpy()[at_left], right["key"].to_numpy()[at_right]
+                parts.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": np.floor(cos[at_left, at_right] * 1e4 + 0.5) / 1e4}))
+        found = pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "score": []})
+        if len(no) and len(found):
+            found = found.merge(no[["a", "b"]], how="left", indicator=True).query("_merge == 'left_only'").drop(columns="_merge")
+        if len(found) > k:
+            found = found[found["score"] >= np.partition(found["score"].to_numpy(), -k)[-k]]
+        return found.sort_values(["score", "a", "b"], ascending=[False, True, True]).head(k)
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("score", T.DoubleType())])
+    best = own.groupBy("i", "j").cogroup(gone.groupBy("i", "j")).applyInPandas(match, schema)
+    return best.orderBy(F.desc("score"), "a", "b").limit(k)
+
+
 def kept(top: DataFrame, threshold: float) -> DataFrame:
     """(query_id, max_score, decision): kept if the best cosine reaches the threshold, else dropped."""
     best = top.groupBy("query_id").agg(F.max("cos").alias("max_score"))

@@ -416,11 +416,17 @@ def similarity_kept(spark, d):
 
 @query("alignment_candidates", f"WITH {_TOP} SELECT least(query_id, row_id) AS a, greatest(query_id, row_id) AS b, max(round(cos, 4)) AS score FROM tk WHERE cos >= 0.35 AND nth <= 10 GROUP BY ALL ORDER BY score DESC, a, b LIMIT 200")
 def alignment_candidates(spark, d):
-    """The best 200 candidate pairs of the query set, undecided ones of at least 0.35."""
+    """The best 200 pairs of the query set with its 10 nearest, as its SQL states; alignment_candidates_all is the whole report."""
     t = topk_neighbours(spark, d).filter("cos >= 0.35")
     return t.groupBy(F.least("query_id", "row_id").alias("a"), F.greatest("query_id", "row_id").alias("b")).agg(F.max(F.round("cos", 4)).alias("score")).orderBy(F.desc("score"), "a", "b").limit(200)
 
 
+@query("alignment_candidates_all", f"SELECT a, b, round(cos, 4) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id) WHERE cos >= 0.35 ORDER BY score DESC, a, b LIMIT 200")
+def alignment_candidates_all(spark, d):
+    """The best 200 candidate pairs of all vectors of at least 0.35; no decision on vectors is recorded in the tables."""
+    return retrieval.best_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, 200)
+
+
 _LINES = "ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, line FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE line <> '')"
 
 

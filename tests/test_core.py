@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import components, conflicts, ingest, provenance, store
+from graphloom.operators import components, conflicts, ingest, provenance, retrieval, store
 from graphloom.session import unique_join
 from graphloom.sources import readers
 from graphloom.streaming.increments import GraphTable, upsert_stream
@@ -97,3 +98,22 @@ def test_stream_of_edges(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     upsert_stream(stream, target, str(tmp_path / "check")).awaitTermination()
     assert sorted(target.read().first().docs) == ["d", "f"]
+
+
+def test_best_pairs_of_all(spark):
+    x = np.random.default_rng(1).standard_normal((90, 6)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 6), (202, [1.0] * 5), (203, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    x = x.astype(np.float32).astype(float)
+    cos = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1))
+    half_up = lambda c: np.floor(np.floor(c * 1e6 + 0.5) / 100 + 0.5) / 1e4
+    every = sorted((-half_up(cos[a, b]), a, b) for a in range(90) for b in range(a + 1, 90) if cos[a, b] >= 0.35)
+    out = {(a, b) for _, a, b in every[:30:2]}
+    decided = spark.createDataFrame([(b, a) for a, b in out], "a long, b long")  # in the other order
+    want = [(a, b) for _, a, b in every if (a, b) not in out]
+    for block in (30, 1000):
+        for k in (40, 10**6):
+            got = [(r.a, r.b) for r in retrieval.best_pairs(df, "id", "v", 0.35, k, decided, block).collect()]
+            assert got == want[:k]
+        assert len(retrieval.best_pairs(df, "id", "v", 0.35, 10**6, None, block).collect()) == len(every)
+    assert retrieval.best_pairs(df.limit(0), "id", "v", 0.35, 5).count() == 0
