@@ -42,6 +42,11 @@ def same_as(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return c.join(best.select("root", F.col("m.name").alias("canonical")), "root").select("name", "canonical")
 
 
+def overlay(aliases: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(name, canonical) of the aliases, or of the clusters for names that are in one; the two are not composed."""
+    return aliases.select("name", "canonical").join(clusters, "name", "left_anti").unionByName(clusters.select("name", "canonical"))
+
+
 def inherit(types: DataFrame, parents: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(name, type): types of names and of all that is above them over (name, parent), to a fixpoint; cycles are harmless.
 

@@ -2,6 +2,9 @@
 
 `reference` mode compares the first two modalities or documents in the order of their names, each with its first
 record; `full` gives every pair of different modalities with different documents.
+
+With canon, (name, canonical) unique in name, sources and targets are grouped by their canonical names, and concepts are canonical
+names; the definitions and values shown stay as they are written. Names that it lacks stand for themselves.
 """
 
 from __future__ import annotations
@@ -31,9 +34,19 @@ def _first_two(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return pair.join(second, keys)
 
 
-def modality(r: DataFrame, full: bool = False) -> DataFrame:
+def _canonical(rows: DataFrame, canon: DataFrame | None, *columns: str) -> DataFrame:
+    """The rows with canonical names in the columns."""
+    if canon is None:
+        return rows
+    for c in columns:
+        to = canon.select(F.col("name").alias(c), F.col("canonical").alias("_canonical"))
+        rows = rows.join(to, c, "left").withColumn(c, F.coalesce("_canonical", c)).drop("_canonical")
+    return rows
+
+
+def modality(r: DataFrame, full: bool = False, canon: DataFrame | None = None) -> DataFrame:
     """A triple stated with different obligation strengths by different documents."""
-    rows = r.filter("modality is not null")
+    rows = _canonical(r.filter("modality is not null"), canon, "source", "target")
     if full:
         each = rows.select(*TRIPLE, "modality", "doc").distinct()
         b = each.withColumnsRenamed({"modality": "side_b", "doc": "doc_b"})
@@ -44,31 +57,31 @@ def modality(r: DataFrame, full: bool = False) -> DataFrame:
     return _out(both, "MODALITY_CONFLICT", "source", F.concat_ws(" ", "predicate", "target"))
 
 
-def _by_doc(r: DataFrame, predicates: tuple[str, ...], keys: list[str]) -> DataFrame:
-    return r.filter(F.col("predicate").isin(*predicates)).groupBy(*keys, "doc").agg(F.min_by("target", F.struct(*_AT)).alias("value"))
+def _by_doc(r: DataFrame, predicates: tuple[str, ...], keys: list[str], canon: DataFrame | None) -> DataFrame:
+    return _canonical(r.filter(F.col("predicate").isin(*predicates)), canon, "source").groupBy(*keys, "doc").agg(F.min_by("target", F.struct(*_AT)).alias("value"))
 
 
-def definition(r: DataFrame, predicates: tuple[str, ...] = text.DEFINING) -> DataFrame:
+def definition(r: DataFrame, predicates: tuple[str, ...] = text.DEFINING, canon: DataFrame | None = None) -> DataFrame:
     """A concept defined differently by two documents, each with its first definition."""
-    d = _by_doc(r, predicates, ["source"])
+    d = _by_doc(r, predicates, ["source"], canon)
     b = d.withColumnsRenamed({"value": "side_b", "doc": "doc_b"})
     both = d.withColumnsRenamed({"value": "side_a", "doc": "doc_a"}).join(b, "source").filter("doc_a < doc_b and lower(side_a) <> lower(side_b)")
     return _out(both, "DEFINITION_DIVERGENCE", "source", F.lit("defines"))
 
 
-def taxonomy(e: DataFrame, r: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
+def taxonomy(e: DataFrame, r: DataFrame, predicates: tuple[str, ...], canon: DataFrame | None = None) -> DataFrame:
     """Two names placed below each other; the smaller name comes first, with the first document of each side or ''."""
-    t = e.filter(F.col("predicate").isin(*predicates)).select(*TRIPLE).distinct()
-    docs = r.groupBy(*TRIPLE).agg(F.min_by("doc", F.struct(*_AT)).alias("doc"))
+    t = _canonical(e.filter(F.col("predicate").isin(*predicates)).select(*TRIPLE).distinct(), canon, "source", "target").distinct()
+    docs = _canonical(r.filter(F.col("predicate").isin(*predicates)), canon, "source", "target").groupBy(*TRIPLE).agg(F.min_by("doc", F.struct(*_AT)).alias("doc"))
     t = t.join(docs, [*TRIPLE], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
     b = t.select(F.col("target").alias("source"), "predicate", F.col("source").alias("target"), F.col("doc").alias("doc_b"))
     both = t.join(b, [*TRIPLE]).filter("source < target").select(F.col("source").alias("side_a"), F.col("doc").alias("doc_a"), F.col("target").alias("side_b"), "doc_b", "predicate")
     return _out(both, "TAXONOMY_CONFLICT", F.col("side_a"), "predicate")
 
 
-def value(r: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
+def value(r: DataFrame, predicates: tuple[str, ...], canon: DataFrame | None = None) -> DataFrame:
     """Different values of a concept; the first two documents are shown, even if a third has the different one."""
-    d = _by_doc(r, predicates, ["source", "predicate"])
+    d = _by_doc(r, predicates, ["source", "predicate"], canon)
     some = d.groupBy("source", "predicate").agg(F.min(F.lower("value")).alias("lo"), F.max(F.lower("value")).alias("hi")).filter("lo <> hi").select("source", "predicate")
     both = _first_two(d.join(some, ["source", "predicate"], "left_semi"), ["source", "predicate"], "doc")
     both = both.selectExpr("source", "predicate", "a.value as side_a", "a.doc as doc_a", "b.value as side_b", "b.doc as doc_b")

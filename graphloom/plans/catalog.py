@@ -186,6 +186,71 @@ def conflicts_excluding_recorded(spark, d):
     return conflicts.excluding(found, found.filter("conflict_id like 'a%'"))
 
 
+# --- conflicts and concepts by canonical names ----------------------------------------------------------
+_LOG = f"lg AS (SELECT source AS term_a, target AS term_b, edge_id % 3 <> 0 AS accept, round((edge_id % 100) / 100.0, 2) AS score, created_at AS decided_at FROM e WHERE predicate = 'is_equivalent_to' AND source <> target)"
+_FULL_CANON = f"""{_CANON.replace("canon AS", "alias AS", 1)}, {_LOG},
+ac AS (SELECT term_a, term_b FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1 AND accept),
+lk AS (SELECT term_a AS a, term_b AS b FROM ac UNION SELECT term_b, term_a FROM ac), rc AS (SELECT a AS name, a AS other FROM lk UNION SELECT rc.name, lk.b FROM rc JOIN lk ON lk.a = rc.other),
+sa AS (SELECT name, arg_min(other, (length(other), other)) AS canonical FROM rc GROUP BY name),
+canon AS (SELECT name, canonical FROM alias WHERE name NOT IN (SELECT name FROM sa) UNION ALL SELECT name, canonical FROM sa)"""
+_TO_CANON = lambda t: f"SELECT {t}.* REPLACE (coalesce(ca.canonical, {t}.source) AS source, coalesce(cb.canonical, {t}.target) AS target) FROM {t} LEFT JOIN canon ca ON ca.name = {t}.source LEFT JOIN canon cb ON cb.name = {t}.target"
+_TO_CANON_SOURCE = "SELECT r.* REPLACE (coalesce(ca.canonical, r.source) AS source) FROM r LEFT JOIN canon ca ON ca.name = r.source"
+_BY_CANON = f"WITH RECURSIVE {_RECORDS}, {_FULL_CANON}, cr AS ({_TO_CANON('r')}), sr AS ({_TO_CANON_SOURCE}), ce AS ({_TO_CANON('e')})"
+_CFM, _CTAX = (x.replace("FROM r", "FROM cr").replace("FROM e", "FROM ce") for x in (_FM, _TAX))
+_CDEFS, _CVALS = (x.replace("FROM r", "FROM sr") for x in (_DEFS, _VALS))
+
+
+def full_canon(spark: SparkSession, d: str) -> DataFrame:
+    """The aliases overlaid by the clusters of accepted decisions."""
+    accepted = latest_alignment_decision(spark, d).filter("accept")
+    return components.overlay(canon(spark, d), components.same_as(accepted, "term_a", "term_b"))
+
+
+@query("canonical_names", f"WITH RECURSIVE {_EDGES}, {_FULL_CANON} SELECT name, canonical FROM canon")
+def canonical_names(spark, d):
+    return full_canon(spark, d)
+
+
+@query("conflict_modality_canonical", f"{_BY_CANON}, {_CFM} {_CONFLICT(_MODALITY)}")
+def conflict_modality_canonical(spark, d):
+    return conflicts.modality(records(spark, d), canon=full_canon(spark, d))
+
+
+@query(
+    "conflict_modality_full_canonical",
+    f"{_BY_CANON}, dm AS (SELECT DISTINCT source, predicate, target, modality, doc FROM cr WHERE modality IS NOT NULL) "
+    + _CONFLICT("SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM dm a JOIN dm b USING (source, predicate, target) WHERE a.modality < b.modality AND a.doc <> b.doc"),
+)
+def conflict_modality_full_canonical(spark, d):
+    return conflicts.modality(records(spark, d), full=True, canon=full_canon(spark, d))
+
+
+@query("conflict_definition_canonical", f"{_BY_CANON}, {_CDEFS} {_CONFLICT(_DEFINITION)}")
+def conflict_definition_canonical(spark, d):
+    return conflicts.definition(records(spark, d), canon=full_canon(spark, d))
+
+
+@query("conflict_taxonomy_canonical", f"{_BY_CANON}, {_CTAX} {_CONFLICT(_TAXONOMY)}")
+def conflict_taxonomy_canonical(spark, d):
+    e = edges(spark, d)
+    return conflicts.taxonomy(e, provenance.records(e), TAXONOMY, full_canon(spark, d))
+
+
+@query("conflict_value_canonical", f"{_BY_CANON}, {_CVALS} {_CONFLICT(_VALUE)}")
+def conflict_value_canonical(spark, d):
+    return conflicts.value(records(spark, d), VALUED, full_canon(spark, d))
+
+
+@query("conflicts_excluding_recorded_canonical", f"{_BY_CANON}, {_CFM}, {_CDEFS}, {_CTAX}, {_CVALS}, c AS ({_CONFLICT(' UNION ALL '.join((_MODALITY, _DEFINITION, _TAXONOMY, _VALUE)))}) SELECT * FROM c WHERE conflict_id NOT LIKE 'a%'")
+def conflicts_excluding_recorded_canonical(spark, d):
+    """conflicts_excluding_recorded by canonical names."""
+    e, s = edges(spark, d), Scratch(spark)
+    r, c = s.write(provenance.records(e)), s.write(full_canon(spark, d))
+    found = conflicts.modality(r, canon=c).unionByName(conflicts.definition(r, canon=c)).unionByName(conflicts.taxonomy(e, r, TAXONOMY, c)).unionByName(conflicts.value(r, VALUED, c))
+    found = s.write(found)
+    return conflicts.excluding(found, found.filter("conflict_id like 'a%'"))
+
+
 # --- ambiguity --------------------------------------------------------------------------------------
 @query(
     "undefined_normative_terms",
@@ -374,9 +439,6 @@ def purge_seed(spark, d):
     return store.nodes(store.purge(edges(spark, d), "seed"))
 
 
-_LOG = f"lg AS (SELECT source AS term_a, target AS term_b, edge_id % 3 <> 0 AS accept, round((edge_id % 100) / 100.0, 2) AS score, created_at AS decided_at FROM e WHERE predicate = 'is_equivalent_to' AND source <> target)"
-
-
 @query(
     "latest_alignment_decision",
     f"WITH {_EDGES}, {_LOG} SELECT term_a, term_b, accept, score, decided_at FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, score, decided_at, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1",

@@ -40,6 +40,16 @@ def test_conflicts(spark):
     assert left.count() == 3
 
 
+def test_conflicts_by_canonical_names(spark):
+    e = frame(spark, [("s", "requires", "t", [rec("a", "MANDATORY")]), ("S2", "requires", "T2", [rec("b", "OPTIONAL")]), ("s", "defines", "one", [rec("a")]), ("S2", "defines", "two", [rec("b")]), ("s", "is_a", "t", [rec("a")]), ("T2", "is_a", "S2", [rec("b")]), ("s", "has_threshold", "1", [rec("a")]), ("S2", "has_threshold", "2", [rec("b")])])
+    r = provenance.records(e)
+    aliases = spark.createDataFrame([("S2", "elsewhere"), ("T2", "t")], "name string, canonical string")
+    canon = components.overlay(aliases, components.same_as(spark.createDataFrame([("s", "S2")], "a string, b string")))
+    assert {tuple(x) for x in canon.collect()} == {("T2", "t"), ("s", "s"), ("S2", "s")}
+    each = [conflicts.modality(r, canon=canon), conflicts.modality(r, True, canon), conflicts.definition(r, canon=canon), conflicts.taxonomy(e, r, ("is_a",), canon), conflicts.value(r, ("has_threshold",), canon)]
+    assert [[(x.concept, x.side_a, x.side_b) for x in df.collect()] for df in each] == [[("s", "MANDATORY", "OPTIONAL")]] * 2 + [[("s", "one", "two")], [("s", "s", "t")], [("s", "1", "2")]]
+
+
 def test_predicates(spark):
     rows = spark.createDataFrame([("IsSubclassOf",), ("Shall Not Use!",), ("123",), ("!!!",), (None,)], "p string")
     assert [x[0] for x in rows.select(text.relationship_type(F.col("p"))).collect()] == ["is_subclass_of", "shall_not_use", None, None, None]
