@@ -211,6 +211,20 @@ def canonical_names(spark, d):
     return full_canon(spark, d)
 
 
+_COUNTS_CANON = _COUNTS.replace("WITH ", "WITH RECURSIVE ", 1).replace(_CANON, _FULL_CANON, 1)
+
+
+@query("concept_matrix_canonical", _COUNTS_CANON + " SELECT * FROM counts")
+def concept_matrix_canonical(spark, d):
+    """The sparse matrix of concepts, aligned names being one, and documents."""
+    return provenance.concept_counts(records(spark, d), full_canon(spark, d))
+
+
+@query("concept_coverage_canonical", _COUNTS_CANON + " SELECT concept, count(*) AS n_docs, sum(n) AS total FROM counts GROUP BY concept ORDER BY n_docs DESC, total DESC, concept LIMIT 500")
+def concept_coverage_canonical(spark, d):
+    return provenance.concept_coverage(concept_matrix_canonical(spark, d))
+
+
 @query("conflict_modality_canonical", f"{_BY_CANON}, {_CFM} {_CONFLICT(_MODALITY)}")
 def conflict_modality_canonical(spark, d):
     return conflicts.modality(records(spark, d), canon=full_canon(spark, d))

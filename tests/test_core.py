@@ -50,6 +50,16 @@ def test_conflicts_by_canonical_names(spark):
     assert [[(x.concept, x.side_a, x.side_b) for x in df.collect()] for df in each] == [[("s", "MANDATORY", "OPTIONAL")]] * 2 + [[("s", "one", "two")], [("s", "s", "t")], [("s", "1", "2")]]
 
 
+def test_concepts_by_canonical_names(spark):
+    from graphloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    same = {x.name: x.canonical for x in catalog.full_canon(spark, d).collect()}
+    aligned = {x.term_a for x in catalog.latest_alignment_decision(spark, d).filter("accept").collect()}
+    assert aligned and aligned <= set(same)
+    assert not {x.concept for x in catalog.concept_matrix_canonical(spark, d).collect()} & {k for k, v in same.items() if k != v}
+
+
 def test_predicates(spark):
     rows = spark.createDataFrame([("IsSubclassOf",), ("Shall Not Use!",), ("123",), ("!!!",), (None,)], "p string")
     assert [x[0] for x in rows.select(text.relationship_type(F.col("p"))).collect()] == ["is_subclass_of", "shall_not_use", None, None, None]
