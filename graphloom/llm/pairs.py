@@ -7,6 +7,7 @@ the words taken from the prompt as one token, is followed by the end of a senten
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.session import Scratch
+
 #: Labelled texts that the language model is fitted on, of each language, none longer than this.
 PER_LANGUAGE, LONGEST = 300, 20_000
 BUCKETS, ALPHA = 1 << 15, 0.05
@@ -203,8 +206,22 @@ def _ends_at(toks: list[str], at: int) -> bool:
     return at == len(toks) or toks[at] in _STOP
 
 
-def count_ends(texts: list[tuple[str, Sources]]) -> np.ndarray:
-    """2 x CELLS: followers of each context that end a sentence, and that don't."""
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+
+
+def copy_keys(toks: list[str], runs: list[list[str]]) -> list[int]:
+    """Of a text without a full stop, what its copies share: the hash of its skeleton, and that with the last word if it ends in a run."""
+    n = len(toks)
+    while n and toks[n - 1] in _CLOSERS:
+        n -= 1
+    if not n or toks[n - 1] in _STOP:
+        return []
+    return [_hash("", *toks[:n]), *([_hash(runs[n - 1][-1], *toks[:n])] if runs[n - 1] else [])]
+
+
+def count_ends(texts: list[tuple[str, Sources]], copies: Counter[int] | None = None) -> np.ndarray:
+    """2 x CELLS: followers of each context that end a sentence, and that don't. The copy keys of the texts are counted in `copies`."""
     out = np.zeros((2, CELLS), np.int64)
     shapes: Counter[tuple[str, ...]] = Counter()
     last: Counter[str] = Counter()
@@ -212,6 +229,8 @@ def count_ends(texts: list[tuple[str, Sources]]) -> np.ndarray:
     for text, sources in texts:
         toks, runs = skeleton(text, sources)
         shapes[tuple(toks)] += 1
+        if copies is not None:
+            copies.update(copy_keys(toks, runs))
         for run in runs:
             if run:
                 last[run[-1]] += 1
@@ -226,8 +245,36 @@ def count_ends(texts: list[tuple[str, Sources]]) -> np.ndarray:
     return out
 
 
-def breaks_off(text: str, sources: Sources, ends: np.ndarray) -> bool:
-    """Whether the text stops before its end."""
+@dataclass
+class Evidence:
+    """What tells of a text whose form does not tell how it ends: sentence ends and other followers of its last run (zeros without one) and of
+    its contexts, the longest first, each with all its own copies, and the keys by which these are counted."""
+
+    skeleton: int
+    run: int | None
+    counts: list[int]
+
+
+def broke_off(counts: list[int], copies: int, run_copies: int) -> bool:
+    """Whether the text stops before its end, by its evidence.
+
+    Where other texts go on after its longest context, none of its copies is evidence that it is whole. Where none does, as with a
+    short note that is always written without a full stop, only the text itself is left out.
+    """
+    if not counts[3]:
+        copies = 1
+    done, more = max(0, counts[0] - run_copies), counts[1]
+    if done + more >= SUPPORT and done < ENDS * (done + more):
+        return True
+    for ended, more in zip(counts[2::2], counts[3::2]):
+        done = max(0, ended - copies)
+        if done + more >= SUPPORT:
+            return bool(done < ENDS * (done + more))
+    return True  # no other text ends so
+
+
+def breaks_off(text: str, sources: Sources, ends: np.ndarray) -> bool | Evidence:
+    """Whether the text stops before its end, or the evidence if its form does not tell."""
     bare = text.strip()
     if re.search(r"(?:…|\.\.\.)[\"'”’»)\]]*$", bare):
         return True
@@ -245,11 +292,10 @@ def breaks_off(text: str, sources: Sources, ends: np.ndarray) -> bool:
         runs.pop()
     if not toks:
         return False
+    counts = [0, 0]
     if runs[-1] and len(toks) == n:
         cell = _run_cell(runs[-1][-1])
-        done, more = max(0, ends[0, cell] - 1), ends[1, cell]
-        if done + more >= SUPPORT and done < ENDS * (done + more):
-            return True
+        counts = [int(ends[0, cell]), int(ends[1, cell])]
     elif not runs[-1] and toks[-1].isalpha():
         # The last word as the beginning of a longer one of the prompt.
         w = toks[-1]
@@ -257,10 +303,11 @@ def breaks_off(text: str, sources: Sources, ends: np.ndarray) -> bool:
         if w not in source and any(x.startswith(w) for x in source) and ends[1, (c := contexts(toks, len(toks))[0])] <= ends[0, c]:
             return True
     for cell in reversed(contexts(toks, len(toks))):
-        done, more = max(0, ends[0, cell] - 1), ends[1, cell]
-        if done + more >= SUPPORT:
-            return bool(done < ENDS * (done + more))
-    return True  # no text ends so
+        counts += [int(ends[0, cell]), int(ends[1, cell])]
+    keys = copy_keys(toks, runs)
+    if not keys:
+        return broke_off(counts, 1, 1)
+    return Evidence(keys[0], keys[1] if len(keys) > 1 else None, counts)
 
 
 def span_breaks_off(span: str, quality: str) -> bool:
@@ -326,9 +373,9 @@ def other_language(answers: list[str], qualities: list[str], model: Languages) -
 Pair = tuple[str | None, list[str], str | None, list[str | None] | None]
 
 
-def defects(rows: list[Pair], languages: Languages, ends: np.ndarray) -> list[str | None]:
-    """The defect of each (quality, neighbour sentences, rationale, spans), or None."""
-    out: list[str | None] = [None] * len(rows)
+def defects(rows: list[Pair], languages: Languages, ends: np.ndarray) -> list[str | Evidence | None]:
+    """The defect of each (quality, neighbour sentences, rationale, spans), or None, or the evidence that tells whether it is truncated."""
+    out: list[str | Evidence | None] = [None] * len(rows)
     open_: list[tuple[int, Sources]] = []
     for i, (quality, sentences, rationale, _) in enumerate(rows):
         if is_empty(rationale):
@@ -347,8 +394,10 @@ def defects(rows: list[Pair], languages: Languages, ends: np.ndarray) -> list[st
         told = [s for s in spans or [] if s and s.strip()]
         if f:
             out[i] = "wrong_language"
-        elif breaks_off(rationale, sources, ends) or (told and quality and span_breaks_off(told[-1], quality)):
+        elif told and quality and span_breaks_off(told[-1], quality):
             out[i] = "truncated"
+        elif broken := breaks_off(rationale, sources, ends):
+            out[i] = broken if isinstance(broken, Evidence) else "truncated"
     return out
 
 
@@ -363,7 +412,7 @@ def find_defects(df: DataFrame, languages: Languages, key: str = "result_id", qu
     Rows delivered again under the same key count once; a null key is a row like any other of its key. A null or
     blank rationale is empty; a null quality has no language to compare; null neighbours, sentences, spans
     and empty lists are fine. The end-of-text counts are taken over all rows and held in a table of fixed size
-    (CELLS counters by hash), which is all that reaches the driver. An empty table gives an empty result.
+    (CELLS counters by hash), which is all that reaches the driver; the copies of a text are counted by joins. An empty table gives an empty result.
     """
     rows = df.select(F.col(key).alias("key"), F.col(quality).cast("string").alias("quality"), F.transform(F.coalesce(F.col(neighbors), F.expr("array()")), lambda n: n["sentence"]).alias("neighbors"), F.col(rationale).cast("string").alias("rationale"), F.col(spans).cast("array<string>").alias("spans")).dropDuplicates(["key"])
 
@@ -371,13 +420,17 @@ def find_defects(df: DataFrame, languages: Languages, key: str = "result_id", qu
         total = np.zeros((2, CELLS), np.int64)
         for b in batches:
             texts = [(r, Sources(q, n)) for q, n, r, _ in _rows(b) if not is_empty(r)]
+            copies: Counter[int] = Counter()
             for at in range(0, len(texts), 2000):
-                total += count_ends(texts[at : at + 2000])
+                total += count_ends(texts[at : at + 2000], copies)
+            if copies:
+                yield pa.RecordBatch.from_arrays([pa.array([2] * len(copies), pa.int64()), pa.array([*copies], pa.int64()), pa.array([*copies.values()], pa.int64())], names=["kind", "cell", "n"])
         kind, cell = np.nonzero(total)
         if len(cell):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cell), pa.array(total[kind, cell])], names=["kind", "cell", "n"])
 
-    counted = rows.mapInArrow(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
+    every = Scratch(df.sparkSession).write(rows.mapInArrow(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")))
+    counted = every.filter("kind < 2").toPandas()
     ends = np.zeros((2, CELLS), np.int32)
     ends[counted["kind"].to_numpy(np.int64), counted["cell"].to_numpy(np.int64)] = counted["n"].clip(upper=2**31 - 1).to_numpy(np.int32)
 
@@ -386,7 +439,20 @@ def find_defects(df: DataFrame, languages: Languages, key: str = "result_id", qu
             rows = [*_rows(b)]
             found = [f for at in range(0, len(rows), 1000) for f in defects(rows[at : at + 1000], languages, ends)]
             hit = pa.array(np.flatnonzero([f is not None for f in found]), pa.int64())
+            found = [f for f in found if f]
+            open_ = [f if isinstance(f, Evidence) else None for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(hit), pa.array([None if e else f for f, e in zip(found, open_)], pa.string()), pa.array([e and e.skeleton for e in open_], pa.int64()), pa.array([e and e.run for e in open_], pa.int64()), pa.array([e and e.counts for e in open_], pa.list_(pa.int64()))], names=["key", "defect", "skeleton", "run", "counts"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = zip(*(b.column(i).to_pylist() for i in range(1, 5)))
+            found = [d or ("truncated" if broke_off(c, n or 1, m or 1) else None) for d, c, n, m in told]
+            hit = pa.array(np.flatnonzero([f is not None for f in found]), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(hit), pa.array([f for f in found if f], pa.string())], names=[key, "defect"])
 
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("defect", T.StringType())])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("defect", T.StringType()), T.StructField("skeleton", T.LongType()), T.StructField("run", T.LongType()), T.StructField("counts", T.ArrayType(T.LongType()))])
+    judged = rows.mapInArrow(run, schema)
+    # Rows that need no count are spread by their key, so that nulls do not meet in one task.
+    for c, n in (("skeleton", "copies"), ("run", "run_copies")):
+        judged = judged.withColumn(c, F.coalesce(c, F.xxhash64("key", F.lit(c)))).join(every.filter("kind = 2").select(F.col("cell").alias(c), F.col("n").alias(n)), c, "left")
+    return judged.select("key", "defect", "counts", "copies", "run_copies").mapInArrow(settle, T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("defect", T.StringType())]))

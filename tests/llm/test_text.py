@@ -142,6 +142,14 @@ def test_defects(spark):
     assert pairs.find_defects(df.limit(0), languages).count() == 0
 
 
+def test_copies_of_a_truncated_answer(spark):
+    whole = "The neighbour rejects this claim because they never saw the plan."
+    said = ["The neighbour rejects this claim because they never"] * 40 + [whole] * 4 + ["Known core, new scope"] * 20 + ["Adds a condition."] * 30
+    df = spark.createDataFrame([(i, "Every auditor must review it.", [], s, []) for i, s in enumerate(said)], "result_id int, quality string, neighbors array<struct<score double, sentence string>>, rationale string, novel_spans array<string>")
+    languages = pairs.Languages.fit([(k, v) for k, v in pairs.SEED_TEXTS.items()])
+    assert {(r.result_id, r.defect) for r in pairs.find_defects(df, languages).collect()} == {(i, "truncated") for i in range(40)}
+
+
 def test_language_accuracy():
     model = pairs.Languages.fit([(k, v) for k, v in pairs.SEED_TEXTS.items() for _ in range(5)])
     said = {"en": "This statement adds nothing to the list of rules.", "de": "Diese Aussage ergänzt nichts in der Liste der Regeln.", "fr": "Cette phrase n’ajoute rien à la liste des règles.", "es": "Esta frase no añade nada a la lista de reglas.", "it": "Questa frase non aggiunge nulla alla lista delle regole."}
