@@ -1,13 +1,13 @@
 """Nearest vectors by cosine, with collision-counting hashing.
 
-Equal vectors are collapsed first. The distinct directions are sharded into cells of several tables by
-cross-polytope hashes (the largest coordinate after a random rotation), so that cells stay about equally
-large as the collection grows. Within a cell every vector is a query: the projections on each of LINES random
-lines stand in a sorted array, windows centred on the query are widened level by level (virtual
+Equal vectors are collapsed first. The distinct directions are sharded into cells around pivots, a bounded
+sample of the vectors themselves, so that dense regions have more pivots; each vector goes to the pivots that are
+almost as near as its nearest one. Within a cell every vector is a query: the projections on each of LINES
+orthogonal lines stand in a sorted array, windows centred on the query are widened level by level (virtual
 rehashing), and a vector that falls into at least HITS windows of the level is verified by its exact
 cosine. A query ends at the level at which it has its k verified neighbours within the level's distance. At the last
 level the window is 1.5 times the distance that belongs to the least cosine, so that a vector at
-exactly this distance collides on 0.87 of the lines and misses HITS with a probability of 0.0003.
+exactly this distance collides on about 0.87 of the lines.
 """
 
 from __future__ import annotations
@@ -25,55 +25,51 @@ from graphloom.session import Scratch, free_name, unique_join
 
 SEED = 7
 #: Sorted arrays of a cell, collisions that make a candidate, and window widths as shares of the last.
-LINES, HITS, LEVELS, SPREAD = 24, 15, (0.25, 0.5, 1.0), 1.5
-#: Vectors of one random cell, about; hashes of a cell's code -> tables.
-CELL, TABLES = 32, {1: 8, 2: 20, 3: 48, 4: 110}
-#: Queries of a cell that are counted at a time; cells up to SMALL are counted in one go, at the last level.
-BLOCK, SMALL = 512, 160
-#: Pairs verified at a time, and pairs of small cells that are looked at before their best are kept.
-VERIFY, GATHER = 20_000, 250_000
+LINES, HITS, LEVELS, SPREAD = 24, 15, (0.4, 1.0), 1.5
+#: Pivots are PIVOTS * sqrt(n), MOST_PIVOTS at most: the bounded sample on which the index is fitted.
+PIVOTS, MOST_PIVOTS = 4, 40_000
+#: A vector lies in the cells of the pivots whose cosine is within MARGIN of its best one, MOST_CELLS at most.
+MARGIN, MOST_CELLS = 0.08, 8
+#: A cell of more vectors is cut into blocks of this size, each pair of which is a task of its own.
+BLOCK = 8192
+#: Pairs counted at a time, and pairs verified at a time.
+COUNT, VERIFY = 150_000, 20_000
 
 
-def hashes_for(n: int, dim: int) -> int:
-    """Hashes in a code, so that n random vectors leave about CELL in a cell."""
-    return min(max(TABLES), max(1, round(math.log(max(1, n / CELL)) / math.log(2 * dim))))
-
-
-def rotations(n: int, dim: int) -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(n)]).astype(np.float32)
+def pivots_for(n: int) -> int:
+    return max(1, min(MOST_PIVOTS, n, round(PIVOTS * math.sqrt(n))))
 
 
 @lru_cache(maxsize=None)
 def lines(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED + 1).standard_normal((dim, LINES)).astype(np.float32)
-
-
-def codes(unit: np.ndarray, turns: np.ndarray, tables: int) -> np.ndarray:
-    """rows x tables cell codes."""
-    out = np.zeros((len(unit), tables), np.int64)
-    for i, turn in enumerate(turns):
-        p = unit @ turn
-        at = np.abs(p).argmax(1)
-        t = i % tables
-        out[:, t] = out[:, t] * (2 * unit.shape[1]) + at * 2 + (p[np.arange(len(p)), at] > 0)
+    """Random directions, orthogonal as far as the dimension allows, on which the difference of unit vectors has their distance as its scale."""
+    rng = np.random.default_rng(SEED)
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-LINES // dim))]
+    return (np.concatenate(turns, axis=1)[:, :LINES] * math.sqrt(dim)).astype(np.float32)
+
+
+def assign(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """rows x MOST_CELLS pivots of each vector, the nearest first, -1 where there are fewer."""
+    most = min(MOST_CELLS, len(pivots))
+    out = np.full((len(unit), MOST_CELLS), -1, np.int32)
+    for at in range(0, len(unit), 2000):
+        cos = unit[at : at + 2000] @ pivots.T
+        near = np.argpartition(-cos, most - 1, axis=1)[:, :most] if most < len(pivots) else np.tile(np.arange(most), (len(cos), 1))
+        held = np.take_along_axis(cos, near, 1)
+        order = np.argsort(-held, axis=1, kind="stable")
+        near, held = np.take_along_axis(near, order, 1), np.take_along_axis(held, order, 1)
+        out[at : at + 2000, :most] = np.where(held >= held[:, :1] - MARGIN, near, -1)
     return out
 
 
-def small_cell(proj: np.ndarray, width: np.float32) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (i < j) of a cell: in as many windows of the width around each other as HITS."""
-    count = np.count_nonzero(np.abs(proj[:, None, :] - proj[None, :, :]) <= width, axis=2)
-    return np.nonzero(np.triu(count >= HITS, 1))
-
-
-class Cells:
-    """The rows of some cells: unit vectors, projections, cell codes in all tables, the cells' table, and keys."""
+class Cell:
+    """The vectors of one cell, or of two blocks of it, with the sorted arrays of their projections."""
 
-    def __init__(self, raw: np.ndarray, key: np.ndarray, tbl: np.ndarray, rep: np.ndarray, k: int, least: float):
+    def __init__(self, raw: np.ndarray, cells: np.ndarray, rep: np.ndarray, cell: int, k: int, least: float):
         self.unit = raw / np.linalg.norm(raw, axis=1)[:, None]
-        self.proj = self.unit.astype(np.float32) @ lines(raw.shape[1])
-        self.key, self.tbl, self.rep, self.k, self.least = key, tbl, rep, k, least
+        self.cells, self.rep, self.cell, self.k, self.least = cells, rep, cell, k, least
         self.reach = math.sqrt(max(0.0, 2 - 2 * least))
+        self.proj = np.ascontiguousarray((self.unit.astype(np.float32) @ lines(raw.shape[1])).T)
 
     def cosines(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a))
@@ -82,127 +78,128 @@ class Cells:
             out[s] = np.einsum("ij,ij->i", self.unit[a[s]], self.unit[b[s]])
         return np.round(out, 6)
 
-    def best(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Verified pairs that did not meet in an earlier table, at most k for each query."""
-        cos = self.cosines(q, c)
-        near = cos >= self.least
-        q, c, cos = q[near], c[near], cos[near]
-        new = np.ones(len(q), bool)
-        earlier = np.arange(self.key.shape[1])[None, :]
-        for at in range(0, len(q), VERIFY):
-            s = slice(at, at + VERIFY)
-            new[s] = ~((self.key[q[s]] == self.key[c[s]]) & (earlier < self.tbl[q[s]][:, None])).any(1)
-        q, c, cos = q[new], c[new], cos[new]
-        order = np.lexsort((self.rep[c], -cos, q))
-        q, c, cos = q[order], c[order], cos[order]
-        top = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
-        return q[top], c[top], cos[top]
-
-    def large(self, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The best of one cell, level by level, from the sorted arrays of its lines.
-
-        A query goes on to the next level unless it has k neighbours within the distance of the level.
-        """
-        n, proj = high - low, self.proj[low:high].T
-        order = np.argsort(proj, axis=1)
-        arrays = np.take_along_axis(proj, order, 1)
-        found = []
-        for start in range(0, n, BLOCK):
-            todo = np.arange(start, min(n, start + BLOCK))
+    def first_met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether this cell is the first of those that the two vectors share."""
+        x, y = self.cells[a], self.cells[b]
+        shared = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+        return np.where(shared, x, np.iinfo(np.int32).max).min(1) == self.cell
+
+    def search(self, queries: np.ndarray, objects: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, neighbour, cosine), at most k for each query: windows on the sorted arrays of the objects, level by level."""
+        n, found = len(objects), []
+        order = np.argsort(self.proj[:, objects], axis=1, kind="stable")
+        arrays = np.take_along_axis(self.proj[:, objects], order, 1)
+        rank = np.empty((LINES, n), np.uint16)
+        np.put_along_axis(rank, order, np.arange(n, dtype=np.uint16)[None, :], 1)
+        step = max(8, COUNT // max(1, n))
+        for start in range(0, len(queries), step):
+            todo = queries[start : start + step]
             for level in LEVELS:
                 width = np.float32(SPREAD * self.reach * level)
-                count = np.zeros((len(todo), n), np.int8)
-                row = np.arange(len(todo))
+                count = np.zeros((len(todo), n), np.uint8)
                 for line in range(LINES):
-                    centre = proj[line, todo]
-                    step = np.zeros((len(todo), n + 1), np.int8)
-                    step[row, np.searchsorted(arrays[line], centre - width, "left")] = 1
-                    step[row, np.searchsorted(arrays[line], centre + width, "right")] -= 1
-                    count[:, order[line]] += np.cumsum(step[:, :n], axis=1, dtype=np.int8)
+                    centre = self.proj[line, todo]
+                    low = np.searchsorted(arrays[line], centre - width, "left").astype(np.uint16)
+                    high = np.searchsorted(arrays[line], centre + width, "right").astype(np.uint16)
+                    # Places from low to high - 1 of the sorted array; smaller ones wrap around.
+                    count += (rank[line] - low[:, None]) < (high - low)[:, None]
                 q, c = np.nonzero(count >= HITS)
-                keep = todo[q] != c
-                q, c = q[keep], c[keep]
+                a, b = todo[q], objects[c]
+                keep = a != b
+                q, a, b = q[keep], a[keep], b[keep]
+                cos = self.cosines(a, b)
                 if level == LEVELS[-1]:
                     over = np.ones(len(todo), bool)
                 else:
-                    near = 2 - 2 * self.cosines(todo[q] + low, c + low) <= (self.reach * level) ** 2
+                    near = 2 - 2 * cos <= (self.reach * level) ** 2
                     over = np.bincount(q[near], minlength=len(todo)) >= self.k
-                take = over[q]
-                found.append(self.best(todo[q[take]] + low, c[take] + low))
+                take = over[q] & (cos >= self.least)
+                found.append(self.best(a[take], b[take], cos[take]))
                 todo = todo[~over]
                 if not len(todo):
                     break
         return found
 
+    def best(self, q: np.ndarray, c: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best verified neighbours of each query, of the pairs that meet in this cell first."""
+        new = self.first_met(q, c)
+        q, c, cos = q[new], c[new], cos[new]
+        order = np.lexsort((self.rep[c], -cos, q))
+        q, c, cos = q[order], c[order], cos[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
+        return q[top], c[top], cos[top]
+
 
-def search(raw: np.ndarray, key: np.ndarray, tbl: np.ndarray, rep: np.ndarray, edge: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, neighbour row, cosine), at most k for each query, of cells that lie between the edges."""
-    cells = Cells(raw, key, tbl, rep, k, least)
-    width = np.float32(SPREAD * cells.reach)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.asarray(column.flatten()).reshape(-1, dim)
+    return raw, (raw / np.linalg.norm(raw.astype(np.float64), axis=1)[:, None]).astype(np.float32)
+
+
+def _sizes(dim: int, pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pivots), np.int64)
+        for b in batches:
+            cells = assign(_unit(b.column(0), dim)[1], pivots)
+            total += np.bincount(cells[cells >= 0], minlength=len(pivots))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
+
+    return run
+
+
+def _place(dim: int, pivots: np.ndarray, blocks: np.ndarray):
+    """Each vector once for each of its cells, or for each pair of blocks of a cell that has its block."""
 
-    def settle() -> None:
-        if held:
-            i, j = (np.concatenate(x) for x in zip(*held))
-            found.append(cells.best(np.concatenate([i, j]), np.concatenate([j, i])))
-            held.clear()
-
-    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if high - low > SMALL:
-            found += cells.large(low, high)
-        elif high - low > 1:
-            i, j = small_cell(cells.proj[low:high], width)
-            held.append((i + low, j + low))
-            size += len(i)
-            if size > GATHER:
-                settle()
-                size = 0
-    settle()
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    q, c, cos = (np.concatenate(x) for x in zip(*found))
-    return q, c, cos
-
-
-def _cells(dim: int, hashes: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = rotations(hashes * tables, dim)
         for b in batches:
-            raw = np.asarray(b.column(1).flatten()).reshape(-1, dim)
-            unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1)[:, None]).astype(np.float32)
-            code = codes(unit, turns, tables)
-            for at in range(0, len(raw), 2000):
-                part, own = raw[at : at + 2000], code[at : at + 2000]
-                vectors, keys = [r.tobytes() for r in part], [r.tobytes() for r in own]
-                rep = b.column(0).slice(at, len(part))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t, np.int32)), pa.array(own[:, t]), rep, pa.array(vectors, pa.binary()), pa.array(keys, pa.binary())], names=["tbl", "cell", "rep", "v", "codes"])
+            for at in range(0, len(b), 4000):
+                part = b.slice(at, 4000)
+                raw, unit = _unit(part.column(1), dim)
+                cells, rep = assign(unit, pivots), part.column(0).to_numpy()
+                row, col = np.nonzero(cells >= 0)
+                cell = cells[row, col]
+                n = blocks[cell]
+                own = (rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, cell, own = (np.repeat(x, n) for x in (row, cell, own))
+                vectors, keys = [r.tobytes() for r in raw], [r.tobytes() for r in cells]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.minimum(own, other), pa.int32()), pa.array(np.maximum(own, other), pa.int32()), pa.array(own, pa.int32()), pa.array(rep[row], pa.int64()), pa.array(vectors, pa.binary()).take(take), pa.array(keys, pa.binary()).take(take)], names=["cell", "i", "j", "own", "rep", "v", "cells"])
 
     return run
 
 
-def _search(dim: int, tables: int, k: int, least: float):
+def _search(dim: int, k: int, least: float):
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        n = len(t)
-        raw = np.frombuffer(b"".join(t["v"].to_pylist()), np.float32).reshape(n, dim).astype(np.float64)
-        key = np.frombuffer(b"".join(t["codes"].to_pylist()), np.int64).reshape(n, tables)
-        rep, tbl, cell = (t[c].to_numpy() for c in ("rep", "tbl", "cell"))
-        edge = np.flatnonzero(np.concatenate([[True], (tbl[1:] != tbl[:-1]) | (cell[1:] != cell[:-1]), [True]]))
-        q, c, cos = search(raw, key, tbl, rep, edge, k, least)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[q]), pa.array(rep[c]), pa.array(cos)], names=["rep", "other", "cos"])
+        raw = np.frombuffer(b"".join(t["v"].to_pylist()), np.float32).reshape(len(t), dim).astype(np.float64)
+        cells = np.frombuffer(b"".join(t["cells"].to_pylist()), np.int32).reshape(len(t), MOST_CELLS)
+        cell, i, j, own, rep = (t[c].to_numpy() for c in ("cell", "i", "j", "own", "rep"))
+        edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if high - low < 2:
+                continue
+            c = Cell(raw[low:high], cells[low:high], rep[low:high], int(cell[low]), k, least)
+            left, right = (np.flatnonzero(own[low:high] == x) for x in (i[low], j[low]))
+            found = c.search(left, right)
+            if i[low] != j[low]:
+                found += c.search(right, left)
+            q, o, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(c.rep[q]), pa.array(c.rep[o]), pa.array(cos)], names=["rep", "other", "cos"])
+
+    def ident(b: pa.RecordBatch, at: int) -> tuple:
+        return tuple(b.column(c)[at].as_py() for c in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:  # sorted by table and cell; a cell may go on in the next batch
+        for b in batches:  # sorted by cell and blocks; a cell may go on in the next batch
             if not len(b):
                 continue
-            tbl, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
-            at = int(np.flatnonzero((tbl != tbl[-1]) | (cell != cell[-1]))[-1]) + 1 if ((tbl != tbl[-1]) | (cell != cell[-1])).any() else 0
-            if at or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (tbl[0], cell[0])):
+            last = ident(b, len(b) - 1)
+            other = np.flatnonzero(np.any([b.column(c).to_numpy() != last[c] for c in range(3)], axis=0))
+            at = int(other[-1]) + 1 if len(other) else 0
+            if at or (held and ident(held[-1], len(held[-1]) - 1) != ident(b, 0)):
                 yield from flush([*held, b.slice(0, at)] if at else held)
                 held = []
             held.append(b.slice(at))
@@ -220,22 +217,33 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.
     searched once, and each copy gets its neighbours, its other copies among them (a key given twice counts
     once); of a group of copies only the k + 1 smallest keys can be neighbours, so that a vector held by a third of
     all rows costs no more than any other. Fewer than two vectors give an empty result. Other columns are ignored.
+
+    The index is fitted on at most MOST_PIVOTS vectors (pivots_for), the smallest by hash; every vector is indexed. What
+    reaches the driver is these and the sizes of their cells.
     """
     spark = df.sparkSession
     s = Scratch(spark)
     v = F.col(vector).cast("array<float>")
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)").dropDuplicates(["id"])
+    rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("same", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
-    ranked = s.write(rows)
+    ranked = s.write(rows.groupBy("id").agg(F.min("same").alias("same")))
     heads = ranked.selectExpr("*", "row_number() over (partition by same order by id) as nth").filter(f"nth <= {k + 1}")
-    reps = s.write(heads.groupBy("same").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min("v").alias("v")))
-    hashes = hashes_for(reps.count(), dim)
-    tables = TABLES[hashes]
-    cells = reps.select("rep", "v").mapInArrow(_cells(dim, hashes, tables), "tbl int, cell long, rep long, v binary, codes binary")
-    cells = cells.repartition("tbl", "cell").sortWithinPartitions("tbl", "cell")
-    pairs = cells.mapInArrow(_search(dim, tables, k, least), "rep long, other long, cos double")
-    # At most k of each table for a vector: a bounded list.
+    reps = s.write(heads.groupBy("same").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
+    n = reps.count()
+    vectors = rows.select(F.col("id").alias("rep"), "same", "v").join(reps.select("rep", "same"), ["rep", "same"]).select("rep", "v")
+    vectors = s.write(vectors)
+    if vectors.count() > n:  # a key given twice with one vector
+        vectors = s.write(vectors.groupBy("rep").agg(F.first("v").alias("v")))
+    sample = np.array([r.v for r in vectors.withColumn("h", F.xxhash64(F.lit(SEED), "rep")).orderBy("h", "rep").limit(pivots_for(n)).select("v").collect()], np.float64).reshape(-1, dim)
+    pivots = (sample / np.linalg.norm(sample, axis=1)[:, None]).astype(np.float32)
+    blocks = np.ones(max(1, len(pivots)), np.int64)
+    for r in vectors.select("v").mapInArrow(_sizes(dim, pivots), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(f"n > {BLOCK}").collect():
+        blocks[r.cell] = -(-r.n // BLOCK)
+    cells = vectors.select("rep", "v").mapInArrow(_place(dim, pivots, blocks), "cell int, i int, j int, own int, rep long, v binary, cells binary")
+    cells = cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    pairs = cells.mapInArrow(_search(dim, k, least), "rep long, other long, cos double")
+    # At most k of each cell for a vector: a bounded list.
     top = pairs.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("d"), "other"))), 1, k).alias("near"))
     near = top.select("rep", F.explode("near").alias("n")).select("rep", F.col("n.d").alias("d"), F.col("n.other").alias("other"))
     near = near.join(reps.select(F.col("rep").alias("other"), F.slice("ids", 1, k).alias("ids")), "other").select("rep", F.explode("ids").alias("id"), "d").groupBy("rep").agg(F.collect_list(F.struct("d", "id")).alias("near"))
