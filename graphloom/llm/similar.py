@@ -33,7 +33,9 @@ MARGIN, MOST_CELLS = 0.08, 8
 #: A cell of more vectors is cut into blocks of this size, each pair of which is a task of its own.
 BLOCK = 8192
 #: Pairs counted at a time, and pairs verified at a time.
-COUNT, VERIFY = 150_000, 20_000
+COUNT, VERIFY = 100_000, 20_000
+#: Share of candidates in a block above which a product of matrices is the cheaper way to their cosines.
+DENSE = 0.03
 
 
 def pivots_for(n: int) -> int:
@@ -71,63 +73,82 @@ class Cell:
         self.reach = math.sqrt(max(0.0, 2 - 2 * least))
         self.proj = np.ascontiguousarray((self.unit.astype(np.float32) @ lines(raw.shape[1])).T)
 
-    def cosines(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a))
-        for at in range(0, len(a), VERIFY):
-            s = slice(at, at + VERIFY)
-            out[s] = np.einsum("ij,ij->i", self.unit[a[s]], self.unit[b[s]])
-        return np.round(out, 6)
-
     def first_met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether this cell is the first of those that the two vectors share."""
         x, y = self.cells[a], self.cells[b]
         shared = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
         return np.where(shared, x, np.iinfo(np.int32).max).min(1) == self.cell
 
+    def verify(self, queries: np.ndarray, objects: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, object, cosine) of the candidates that reach the least cosine, rows and columns being places in queries and objects.
+
+        Where many of the block are candidates their cosines are taken from one product of the block.
+        """
+        q, c = np.nonzero(hit)
+        if len(q) > DENSE * hit.size:
+            cos = (self.unit[queries] @ self.unit[objects].T)[q, c]
+        else:
+            cos = np.zeros(len(q))
+            for at in range(0, len(q), VERIFY):
+                s = slice(at, at + VERIFY)
+                cos[s] = np.einsum("ij,ij->i", self.unit[queries[q[s]]], self.unit[objects[c[s]]])
+        cos = np.round(cos, 6)
+        near = (cos >= self.least) & (queries[q] != objects[c])
+        return q[near], c[near], cos[near]
+
     def search(self, queries: np.ndarray, objects: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, neighbour, cosine), at most k for each query: windows on the sorted arrays of the objects, level by level."""
         n, found = len(objects), []
+        objects = objects[np.argsort(self.rep[objects], kind="stable")]
         order = np.argsort(self.proj[:, objects], axis=1, kind="stable")
         arrays = np.take_along_axis(self.proj[:, objects], order, 1)
         rank = np.empty((LINES, n), np.uint16)
         np.put_along_axis(rank, order, np.arange(n, dtype=np.uint16)[None, :], 1)
         step = max(8, COUNT // max(1, n))
+        place, inside, total = np.empty((step, n), np.uint16), np.empty((step, n), bool), np.empty((step, n), np.uint8)
         for start in range(0, len(queries), step):
             todo = queries[start : start + step]
             for level in LEVELS:
                 width = np.float32(SPREAD * self.reach * level)
-                count = np.zeros((len(todo), n), np.uint8)
+                m = len(todo)
+                count = total[:m]
+                count[:] = 0
                 for line in range(LINES):
                     centre = self.proj[line, todo]
                     low = np.searchsorted(arrays[line], centre - width, "left").astype(np.uint16)
                     high = np.searchsorted(arrays[line], centre + width, "right").astype(np.uint16)
                     # Places from low to high - 1 of the sorted array; smaller ones wrap around.
-                    count += (rank[line] - low[:, None]) < (high - low)[:, None]
-                q, c = np.nonzero(count >= HITS)
-                a, b = todo[q], objects[c]
-                keep = a != b
-                q, a, b = q[keep], a[keep], b[keep]
-                cos = self.cosines(a, b)
-                if level == LEVELS[-1]:
-                    over = np.ones(len(todo), bool)
-                else:
+                    np.subtract(rank[line], low[:, None], out=place[:m])
+                    np.less(place[:m], (high - low)[:, None], out=inside[:m])
+                    np.add(count, inside[:m].view(np.uint8), out=count)
+                q, c, cos = self.verify(todo, objects, np.greater_equal(count, HITS, out=inside[:m]))
+                over = np.ones(m, bool)
+                if level != LEVELS[-1]:
                     near = 2 - 2 * cos <= (self.reach * level) ** 2
-                    over = np.bincount(q[near], minlength=len(todo)) >= self.k
-                take = over[q] & (cos >= self.least)
-                found.append(self.best(a[take], b[take], cos[take]))
+                    over = np.bincount(q[near], minlength=m) >= self.k
+                    q, c, cos = (x[over[q]] for x in (q, c, cos))
+                found.append(self.best(todo, objects, q, c, cos))
                 todo = todo[~over]
                 if not len(todo):
                     break
         return found
 
-    def best(self, q: np.ndarray, c: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best verified neighbours of each query, of the pairs that meet in this cell first."""
-        new = self.first_met(q, c)
-        q, c, cos = q[new], c[new], cos[new]
-        order = np.lexsort((self.rep[c], -cos, q))
+    def best(self, queries: np.ndarray, objects: np.ndarray, q: np.ndarray, c: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best verified neighbours of each query, those of them that meet in this cell first; ties by place, which is that by key."""
+        size = np.bincount(q, minlength=len(queries))
+        if len(q) and size.max() > 4 * self.k:  # a long row: only what reaches its k-th best goes on
+            first = np.cumsum(size) - size
+            keep = np.ones(len(q), bool)
+            for r in np.flatnonzero(size > 4 * self.k).tolist():
+                row = cos[first[r] : first[r] + size[r]]
+                keep[first[r] : first[r] + size[r]] = row >= np.partition(row, size[r] - self.k)[size[r] - self.k]
+            q, c, cos = q[keep], c[keep], cos[keep]
+        order = np.lexsort((c, -cos, q))
         q, c, cos = q[order], c[order], cos[order]
         top = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
-        return q[top], c[top], cos[top]
+        a, b, cos = queries[q[top]], objects[c[top]], cos[top]
+        new = self.first_met(a, b)
+        return a[new], b[new], cos[new]
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

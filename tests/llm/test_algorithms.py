@@ -92,3 +92,15 @@ def test_nearest(spark):
     assert similar.nearest(df.limit(0), "vec_id", "vector").count() == 0
     r = similar.recall(near, df, "vec_id", "vector").first()
     assert r.queries > 0 and r.recall >= 0.9
+
+
+def test_nearest_in_a_hot_cell(spark, monkeypatch):
+    """Different vectors within a narrow cone, in cells that are cut into blocks; a key is given twice."""
+    monkeypatch.setattr(similar, "BLOCK", 150)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    vectors = {i: (centre + 0.1 * rng.standard_normal(64)).astype(np.float32).tolist() for i in range(700)} | {700 + i: rng.standard_normal(64).astype(np.float32).tolist() for i in range(100)}
+    df = spark.createDataFrame([*vectors.items(), (3, vectors[3])], "vec_id long, vector array<float>")
+    got = {tuple(r) for r in similar.pairs(similar.nearest(df, "vec_id", "vector"), "vec_id").collect()}
+    want = exact(vectors)
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
