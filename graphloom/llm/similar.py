@@ -26,8 +26,8 @@ from graphloom.session import Scratch, free_name, unique_join
 SEED = 7
 #: Sorted arrays of a cell, collisions that make a candidate, and window widths as shares of the last.
 LINES, HITS, LEVELS, SPREAD = 24, 15, (0.4, 1.0), 1.5
-#: Pivots are PIVOTS * sqrt(n), MOST_PIVOTS at most: the bounded sample on which the index is fitted.
-PIVOTS, MOST_PIVOTS = 4, 40_000
+#: Pivots are PIVOTS * sqrt(n), MOST_PIVOTS at most: the bounded sample on which the index is fitted. Of those that are as near to each other as THIN one is left.
+PIVOTS, MOST_PIVOTS, THIN = 5, 40_000, 0.9
 #: A vector lies in the cells of the pivots whose cosine is within MARGIN of its best one, MOST_CELLS at most.
 MARGIN, MOST_CELLS = 0.08, 8
 #: A cell of more vectors is cut into blocks of this size, each pair of which is a task of its own.
@@ -42,6 +42,17 @@ def pivots_for(n: int) -> int:
     return max(1, min(MOST_PIVOTS, n, round(PIVOTS * math.sqrt(n))))
 
 
+def thin(unit: np.ndarray) -> np.ndarray:
+    """The vectors without those that are within THIN of an earlier one, so that a narrow cone is one cell."""
+    gone = np.zeros(len(unit), bool)
+    for at in range(0, len(unit), 2000):
+        near = unit[at : at + 2000] @ unit.T >= THIN
+        for i in np.flatnonzero(near.sum(1) > 1).tolist():
+            if not gone[at + i]:
+                gone[at + i + 1 :] |= near[i, at + i + 1 :]
+    return unit[~gone]
+
+
 @lru_cache(maxsize=None)
 def lines(dim: int) -> np.ndarray:
     """Random directions, orthogonal as far as the dimension allows, on which the difference of unit vectors has their distance as its scale."""
@@ -104,30 +115,33 @@ class Cell:
         arrays = np.take_along_axis(self.proj[:, objects], order, 1)
         rank = np.empty((LINES, n), np.uint16)
         np.put_along_axis(rank, order, np.arange(n, dtype=np.uint16)[None, :], 1)
+        width = np.array([SPREAD * self.reach * level for level in LEVELS], np.float32)
+        # The windows of all queries, by level and line: places from low to high - 1 of the sorted array.
+        low, span = np.empty((2, len(LEVELS), LINES, len(queries)), np.uint16)
+        for line in range(LINES):
+            centre = self.proj[line, queries]
+            low[:, line] = np.searchsorted(arrays[line], centre - width[:, None], "left")
+            span[:, line] = np.searchsorted(arrays[line], centre + width[:, None], "right")
+        span -= low
         step = max(8, COUNT // max(1, n))
         place, inside, total = np.empty((step, n), np.uint16), np.empty((step, n), bool), np.empty((step, n), np.uint8)
         for start in range(0, len(queries), step):
-            todo = queries[start : start + step]
-            for level in LEVELS:
-                width = np.float32(SPREAD * self.reach * level)
+            todo = np.arange(start, min(len(queries), start + step))
+            for at, level in enumerate(LEVELS):
                 m = len(todo)
-                count = total[:m]
+                count, own, wide = total[:m], low[at][:, todo, None], span[at][:, todo, None]
                 count[:] = 0
                 for line in range(LINES):
-                    centre = self.proj[line, todo]
-                    low = np.searchsorted(arrays[line], centre - width, "left").astype(np.uint16)
-                    high = np.searchsorted(arrays[line], centre + width, "right").astype(np.uint16)
-                    # Places from low to high - 1 of the sorted array; smaller ones wrap around.
-                    np.subtract(rank[line], low[:, None], out=place[:m])
-                    np.less(place[:m], (high - low)[:, None], out=inside[:m])
+                    np.subtract(rank[line], own[line], out=place[:m])  # smaller places wrap around
+                    np.less(place[:m], wide[line], out=inside[:m])
                     np.add(count, inside[:m].view(np.uint8), out=count)
-                q, c, cos = self.verify(todo, objects, np.greater_equal(count, HITS, out=inside[:m]))
+                q, c, cos = self.verify(queries[todo], objects, np.greater_equal(count, HITS, out=inside[:m]))
                 over = np.ones(m, bool)
                 if level != LEVELS[-1]:
                     near = 2 - 2 * cos <= (self.reach * level) ** 2
                     over = np.bincount(q[near], minlength=m) >= self.k
                     q, c, cos = (x[over[q]] for x in (q, c, cos))
-                found.append(self.best(todo, objects, q, c, cos))
+                found.append(self.best(queries[todo], objects, q, c, cos))
                 todo = todo[~over]
                 if not len(todo):
                     break
@@ -246,7 +260,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.
     s = Scratch(spark)
     v = F.col(vector).cast("array<float>")
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
+    rows = rows.filter("not array_contains(v, float('nan')) and array_max(v) < float('inf') and array_min(v) > float('-inf') and (array_max(v) <> 0 or array_min(v) <> 0)")  # array_contains is null where it holds a null
     rows = rows.withColumn("same", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     ranked = s.write(rows.groupBy("id").agg(F.min("same").alias("same")))
     heads = ranked.selectExpr("*", "row_number() over (partition by same order by id) as nth").filter(f"nth <= {k + 1}")
@@ -257,7 +271,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.
     if vectors.count() > n:  # a key given twice with one vector
         vectors = s.write(vectors.groupBy("rep").agg(F.first("v").alias("v")))
     sample = np.array([r.v for r in vectors.withColumn("h", F.xxhash64(F.lit(SEED), "rep")).orderBy("h", "rep").limit(pivots_for(n)).select("v").collect()], np.float64).reshape(-1, dim)
-    pivots = (sample / np.linalg.norm(sample, axis=1)[:, None]).astype(np.float32)
+    pivots = thin((sample / np.linalg.norm(sample, axis=1)[:, None]).astype(np.float32))
     blocks = np.ones(max(1, len(pivots)), np.int64)
     for r in vectors.select("v").mapInArrow(_sizes(dim, pivots), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(f"n > {BLOCK}").collect():
         blocks[r.cell] = -(-r.n // BLOCK)
