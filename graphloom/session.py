@@ -16,9 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a local master; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -56,16 +58,21 @@ class Scratch:
 HOT = 1 / 128
 
 
-def unique_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The keys of a (key, n) table that hold more than HOT of all rows; fewer than 1 / HOT, none of them null."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter(F.col(key).isNotNull() & (F.col(n) > max(total * HOT, 1000))).select(key).collect()]
+
+
+def unique_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Join with a right side unique in `on`, however skewed the left side is.
 
-    Keys that hold more than HOT of the left rows are found by a count with map-side combining; fewer
-    than 1 / HOT rows of the right side belong to them, and these are broadcast. The other rows are
+    Keys that hold more than HOT of the left rows are given as hot (see hot_keys) or found by a count with map-side
+    combining; fewer than 1 / HOT rows of the right side belong to them, and these are broadcast. The other rows are
     shuffled. how is inner or left; null keys find nothing.
     """
-    counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n"))
-    total = left.count()
-    hot = [r[0] for r in counts.filter(F.col("n") > max(total * HOT, 1000)).select(on).collect()]
+    if hot is None:
+        hot = hot_keys(left.groupBy(on).agg(F.count("*").alias("n")), on, "n")
     if not hot:
         return left.join(right, on, how)
     is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
