@@ -25,7 +25,7 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 NONE = np.int32(2**31 - 1)
 PAD = np.int32(-1)
 #: Words of more bytes than this are merged one by one, all equal pairs in a round.
-WIDEST = 256
+WIDEST = 4096
 #: Cells of one matrix.
 CELLS = 1 << 18
 #: Words, chunks and ids that a worker keeps before it starts anew.
@@ -47,6 +47,7 @@ class PairTable:
     BITS = 18
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
+        assert not len(left) or max(left.max(), right.max()) < 1 << 16, "ids are packed in 16 bits"
         self.keys = np.full(1 << self.BITS, 0xFFFFFFFF, np.uint32)
         self.ranks = np.full(1 << self.BITS, NONE, np.int32)
         mask = (1 << self.BITS) - 1

@@ -8,6 +8,7 @@ within the threshold of an edge go on.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import blank, free_name, unique_join
+from graphloom.session import Scratch, blank, free_name, unique_join
 
 #: Spellings of a reference list that is broadcast whole; a longer one is searched in shards of this size.
 BROADCAST_ENTRIES = 20_000
 #: Values that a worker remembers before it starts anew, and values compared with a node at a time.
 CACHE, TOGETHER = 200_000, 1024
+#: Distinct values, about, that are searched in one shard by one task.
+SHARD_VALUES = 50_000
+#: Entries below a node of the tree up to which distances are worked out one by one.
+FEW = 24
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("абвгдезиіјкмнорстухѕԁһԛԝүαβεικμνορτυχγω", "abbrdeeiijkmhopctyxsdhqwyabeikuvoptuxyw")
 _BRACKETS = re.compile(r"[(\[{<][^()\[\]{}<>]*[)\]}>]")
@@ -73,6 +78,24 @@ def distances(entry: str, codes: np.ndarray, lens: np.ndarray, alphabet: dict[st
     return h[len(a) + 1, lens + 1, row].astype(np.int64)
 
 
+def distance(a: str, b: str) -> int:
+    """As distances, of two strings."""
+    last: dict[str, int] = {}
+    far = len(a) + len(b)
+    h = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    for i, c in enumerate(a, 1):
+        up, row, column = h[i], [far, i], 0
+        for j, x in enumerate(b, 1):
+            i1, j1 = last.get(x, 0), column
+            if x == c:
+                column = j
+            best = min(up[j] + (x != c), up[j + 1] + 1, row[j] + 1)
+            row.append(min(best, h[i1][j1] + (i - i1) + (j - j1) - 1))
+        h.append(row)
+        last[c] = i
+    return h[-1][-1]
+
+
 class BkTree:
     def __init__(self, spellings: list[tuple[str, int]]):
         """(bare spelling, entry id); of equal spellings the smallest id stays."""
@@ -84,15 +107,19 @@ class BkTree:
         self.texts = self.texts[len(self.texts) // 2 :] + self.texts[: len(self.texts) // 2]  # a root of middle length
         self.ids = [best[t] for t in self.texts]
         self.children: list[dict[int, int]] = [{} for _ in self.texts]
-        for k in range(1, len(self.texts)):
-            at = 0
-            while True:
-                codes, lens, alphabet = _codes([self.texts[k]], [])
-                d = int(distances(self.texts[at], codes, lens, alphabet)[0])
-                if d not in self.children[at]:
-                    self.children[at][d] = k
-                    break
-                at = self.children[at][d]
+        # All below a node are compared with it at a time; of those at one distance the first is the child.
+        todo = [(0, np.arange(1, len(self.texts)))] if self.texts else []
+        while todo:
+            at, below = todo.pop()
+            if len(below) <= FEW:
+                d = np.array([distance(self.texts[at], self.texts[k]) for k in below.tolist()], np.int64)
+            else:
+                d = np.concatenate([distances(self.texts[at], *_codes([self.texts[k] for k in part.tolist()], [])) for part in np.array_split(below, -(-len(below) // TOGETHER))])
+            for edge in np.unique(d).tolist():
+                same = below[d == edge]
+                self.children[at][edge] = int(same[0])
+                if len(same) > 1:
+                    todo.append((int(same[0]), same[1:]))
 
     def nearest(self, values: list[str], limits: np.ndarray) -> np.ndarray:
         """For each value the smallest distance * 2**32 + entry id within its limit, or -1."""
@@ -126,8 +153,8 @@ class Matcher:
 
     NONE = np.iinfo(np.int64).max
 
-    def __init__(self, spellings: list[tuple[str, int]]):
-        self.tree = BkTree([(bare(t), i) for t, i in spellings])
+    def __init__(self, tree: BkTree):
+        self.tree = tree
         self.longest = max((len(t) for t in self.tree.texts), default=0) + threshold(10**6)
         self._reset()
 
@@ -151,40 +178,51 @@ class Matcher:
         return np.array([-1 if best[v] == self.NONE else best[v] for v in values], np.int64)
 
 
+def tree_of(spellings: list[tuple[str, int]]) -> BkTree:
+    """The tree of raw spellings with their entry ids."""
+    return BkTree([(bare(t), i) for t, i in spellings])
+
+
 def canonicalise(df: DataFrame, value: str, entries: DataFrame, entry_id: str, spelling: str, out: str = "entry_id", limit: int = BROADCAST_ENTRIES) -> DataFrame:
     """Add `out` (int): the entry whose spelling is nearest to the value, ties by smaller id, or -1 if none is within the threshold.
 
     entries has one row for each spelling; null or letterless spellings are ignored. Values are
     compared by their bare letters (see readings), with threshold() edits allowed. A null, blank or
     letterless value gives -1. All rows and columns are kept, repeated ones too (a column already
-    named `out` is replaced); empty tables are fine. A list of at most `limit` spellings goes to every worker;
-    a longer one is cut into shards by hash, the distinct values visit every shard, and the winners of the
-    shards are merged by distance, then id.
+    named `out` is replaced); empty tables are fine. A list of at most `limit` spellings is made a tree once, which goes to every worker;
+    a longer one is cut into shards by hash, each made a tree once, the distinct values visit every shard in groups of about
+    SHARD_VALUES, and the winners of the shards are merged by distance, then id.
     """
     listed = entries.select(F.col(entry_id).cast("long").alias("i"), F.col(spelling).cast("string").alias("t")).filter(~blank("t")).distinct()
     n = listed.count()
     df = df.drop(out)
     if n <= limit:
-        spellings = [(r.t, r.i) for r in listed.collect()]
+        tree = tree_of([(r.t, r.i) for r in listed.collect()])
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            match = Matcher(spellings)
+            match = Matcher(tree)
             for b in batches:
                 got = match(["" if v is None else v for v in b])
                 yield pd.Series(np.where(got < 0, -1, got & 0xFFFFFFFF).astype(np.int32))
 
         return df.withColumn(out, F.pandas_udf(run, T.IntegerType(), F.PandasUDFType.SCALAR_ITER)(F.col(value).cast("string")))
+    scratch = Scratch(df.sparkSession)
     shards = -(-n // limit)
-    salts = 32
-    parts = listed.withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(shards))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    values = df.select(F.col(value).cast("string").alias("v")).filter(~blank("v")).distinct()
+    values = scratch.write(df.select(F.col(value).cast("string").alias("v")).filter(~blank("v")).distinct())
+    salts = max(1, -(-values.count() // SHARD_VALUES))
+
+    def plant(e: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": e["shard"][:1], "tree": [pickle.dumps(tree_of([*zip(e["t"], e["i"])]))]})
+
+    trees = listed.withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(shards))).groupBy("shard").applyInPandas(plant, "shard long, tree binary")
+    trees = scratch.write(trees).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     values = values.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")))
 
-    def shard(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        got = Matcher([*zip(e["t"], e["i"])])(list(v["v"]))
+    def shard(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        got = Matcher(pickle.loads(t["tree"].iloc[0]))(list(v["v"])) if len(t) else np.full(len(v), -1)
         return pd.DataFrame({"v": v["v"], "got": got})[got >= 0]
 
-    won = values.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInPandas(shard, "v string, got long")
+    won = values.groupBy("shard", "salt").cogroup(trees.groupBy("shard", "salt")).applyInPandas(shard, "v string, got long")
     at, entry = free_name(df, "value_text"), free_name(df, "entry_found")
     won = won.groupBy("v").agg(F.min("got").alias("got")).select(F.col("v").alias(at), F.expr("cast(got & 4294967295L as int)").alias(entry))
     joined = unique_join(df.withColumn(at, F.col(value).cast("string")), won, at, "left").drop(at)
