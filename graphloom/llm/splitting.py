@@ -19,7 +19,15 @@ HEADING, PARAGRAPH, SENTENCE, WORD, CHARACTER, INSIDE = "hpswcx"
 _HEADING = re.compile(r"(?<=\n)(?=[ \t]*(?:#{1,6}[ \t]|\d+(?:\.\d+)*\.?[ \t]+\w[^\n]{0,80}\n[ \t]*\n))")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\n(?=[^\S\n]*[-*•][^\S\n])")
 _SENTENCE = re.compile(r"""[.!?…؟।]["'”’»)\]]*(?=\s)\s?|[。！？]["”』」’]*\s?|\n""")
-_WORD = re.compile(r"\s+(?=\S)")
+#: White space by code point.
+_SPACE = np.array([chr(c).isspace() for c in range(0x110000)])
+
+
+def word_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of white space before a word begin and end."""
+    space = np.concatenate([[False], _SPACE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]])
+    turn = np.flatnonzero(space[1:] != space[:-1])  # begin, end, begin ...
+    return turn[: len(turn) // 2 * 2 : 2], turn[1::2]
 
 
 def token_classes(bpe: ByteBpe, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
@@ -32,26 +40,34 @@ def token_classes(bpe: ByteBpe, texts: list[str]) -> tuple[list[str], list[np.nd
         kind[:-1][bpe.inside[ids[1:]]] = ord(INSIDE)
         whole = kind == ord(CHARACTER)
 
-        def mark(spans: list[tuple[int, int]], letter: str) -> None:
+        def mark(low: np.ndarray, high: np.ndarray, letter: str) -> None:
             """The last token that ends within each span, both ends counting."""
-            if spans:
-                low, high = np.array(spans, np.int64).T
+            if len(low):
                 at = np.searchsorted(end, high, "right") - 1
                 ok = at >= 0
                 at, low = at[ok], low[ok]
                 at = at[(end[at] >= low) & whole[at]]
                 kind[at] = ord(letter)
 
-        mark([m.span() for m in _WORD.finditer(text)], WORD)
-        mark([m.span() for m in _SENTENCE.finditer(text)], SENTENCE)
-        if "\n" in text:
-            mark([m.span() for m in _PARAGRAPH.finditer(text)], PARAGRAPH)
-            mark([m.span() for m in _HEADING.finditer(text)], HEADING)
+        mark(*word_starts(text), WORD)
+        for rule, letter in ((_SENTENCE, SENTENCE), *(((_PARAGRAPH, PARAGRAPH), (_HEADING, HEADING)) if "\n" in text else ())):
+            mark(*np.array([m.span() for m in rule.finditer(text)], np.int64).reshape(-1, 2).T, letter)
         classes.append(kind.tobytes().decode("ascii"))
         ends.append(end)
     return classes, ends
 
 
+def next_starts(classes: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the first token from it on that follows a word boundary, and the first that begins a character; past the end if there is none."""
+    kind = np.frombuffer(classes.encode("ascii"), np.uint8)
+    n = len(kind)
+    out = []
+    for ends in (np.isin(kind, np.frombuffer(b"hpsw", np.uint8)), kind != ord(INSIDE)):
+        at = np.concatenate([[0], np.flatnonzero(ends) + 1])
+        out.append(np.append(at, n + 1)[np.searchsorted(at, np.arange(n))])
+    return out[0], out[1]
+
+
 def piece_pattern(limit: int, least: int) -> str:
     """Up to `limit` tokens, ending at the strongest boundary that leaves at least `least`; a text's rest; else any whole character."""
     tries = [rf".{{{least - 1},{limit - 1}}}{c}" for c in (HEADING, PARAGRAPH, SENTENCE, WORD, "[hpswc]")]
@@ -72,7 +88,9 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     """
     if not 0 <= overlap or limit - overlap < 8:
         raise ValueError("limit must exceed overlap by 8 tokens or more")
-    schema = T.StructType([T.StructField("own_key", df.schema[key].dataType), T.StructField("txt", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    kind = df.schema[key].dataType
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("own_key", kind), T.StructField("txt", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("ends", numbers), T.StructField("word", numbers), T.StructField("whole", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name, folder)
@@ -80,10 +98,23 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
             texts = b.column(1).to_pylist()
             for s in steps(texts):
                 classes, ends = token_classes(bpe, texts[s])
-                offsets = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
-                flat = np.concatenate(ends).astype(np.int32)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]), pa.int32())
+                nexts = [next_starts(c) for c in classes]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (ends, [n[0] for n in nexts], [n[1] for n in nexts])]
                 part = b.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=["own_key", "txt", "cls", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.string()), *lists], names=schema.names)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(len(b)):
+                text, pieces = b.column(1)[at].as_py(), b.column(2)[at].values
+                start, own, end = (pieces.field(c).to_numpy() for c in ("start_pos", "own_pos", "end_pos"))
+                n = len(pieces)
+                keys = b.column(0).take(pa.array(np.full(n, at)))
+                for low in range(0, n, 1000):
+                    s = slice(low, min(n, low + 1000))
+                    said = pa.array([text[x:y] for x, y in zip(start[s].tolist(), end[s].tolist())], pa.string())
+                    yield pa.RecordBatch.from_arrays([keys[s], pa.array(np.arange(s.start, s.stop), pa.int32()), pa.array(np.full(s.stop - s.start, n), pa.int32()), pa.array(start[s]), pa.array(end[s]), pa.array(own[s]), pieces.field("n_tokens")[s], said], names=out.names)
 
     body = limit - overlap
     tokens = df.select(F.col(key).alias("own_key"), F.col(text).cast("string").alias("txt")).filter("length(txt) > 0").mapInArrow(run, schema)
@@ -94,13 +125,13 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     cut = cut.withColumn("bodies", F.concat(F.array("head"), F.expr("regexp_extract_all(substring(cls, length(head) + 1), pattern, 0)".replace("pattern", "'" + rest.replace("\\", "\\\\") + "'"))))
     cut = cut.withColumn("sizes", F.expr("transform(bodies, b -> length(b))"))
     cut = cut.withColumn("stops", F.expr("aggregate(sizes, cast(array() as array<int>), (a, n) -> concat(a, array(coalesce(try_element_at(a, -1), 0) + n)))"))
-    cut = cut.select("own_key", "txt", "cls", "ends", F.size("stops").alias("n_pieces"), F.posexplode(F.arrays_zip("stops", "sizes")).alias("piece", "p"))
-    cut = cut.select("*", (F.col("p.stops") - F.col("p.sizes")).alias("own"), F.col("p.stops").alias("stop"))
     # Look back `overlap` tokens and move forward to the next whole word, or at least to a whole character.
-    cut = cut.withColumn("back", F.expr(f"greatest(own - {overlap}, 0)"))
-    cut = cut.withColumn("seen", F.expr("if(back = 0, '', substring(cls, back, own - back + 1))"))
-    cut = cut.withColumn("skip", F.expr("if(back = 0, 0, if(seen rlike '^[^hpsw]*[hpsw].', length(regexp_extract(seen, '^[^hpsw]*[hpsw]', 0)), length(regexp_extract(seen, '^x*[^x]', 0))) - 1)"))
-    cut = cut.withColumn("from", F.expr(f"if({overlap} = 0 or piece = 0, own, least(back + skip, own))"))
-    at = "if({0} = 0, 0, element_at(ends, {0}))"
-    cut = cut.withColumns({"start_pos": F.expr(at.format("`from`")), "own_pos": F.expr(at.format("own")), "end_pos": F.expr(at.format("stop"))})
-    return cut.select(F.col("own_key").alias(key), F.col("piece").cast("int").alias("piece"), F.col("n_pieces"), "start_pos", "end_pos", "own_pos", F.expr("stop - `from`").alias("n_tokens"), F.expr("substring(txt, start_pos + 1, end_pos - start_pos)").alias("piece_text"))
+    back = f"greatest(p.stops - p.sizes - {overlap}, 0)"
+    begin = f"if({overlap} = 0 or p.stops = p.sizes, p.stops - p.sizes, if({back} = 0, 0, if(word[{back}] < p.stops - p.sizes, word[{back}], least(whole[{back}], p.stops - p.sizes))))"
+    spots = f"transform(arrays_zip(stops, sizes), p -> struct({begin} as start, p.stops - p.sizes as own, p.stops as stop))"
+    end_of = "if({0} = 0, 0, ends[{0} - 1])".format
+    cut = cut.select("own_key", "txt", "ends", F.expr(spots).alias("spots"))
+    cut = cut.select("own_key", "txt", F.expr(f"transform(spots, p -> struct({end_of('p.start')} as start_pos, {end_of('p.own')} as own_pos, {end_of('p.stop')} as end_pos, p.stop - p.start as n_tokens))").alias("pieces"))
+    # The text is sliced by one more step, so that no piece carries the whole of it.
+    out = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.IntegerType()) for c in ("piece", "n_pieces", "start_pos", "end_pos", "own_pos", "n_tokens")), T.StructField("piece_text", T.StringType())])
+    return cut.mapInArrow(slices, out)
