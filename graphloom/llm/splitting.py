@@ -19,6 +19,8 @@ HEADING, PARAGRAPH, SENTENCE, WORD, CHARACTER, INSIDE = "hpswcx"
 _HEADING = re.compile(r"(?<=\n)(?=[ \t]*(?:#{1,6}[ \t]|\d+(?:\.\d+)*\.?[ \t]+\w[^\n]{0,80}\n[ \t]*\n))")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\n(?=[^\S\n]*[-*•][^\S\n])")
 _SENTENCE = re.compile(r"""[.!?…؟।]["'”’»)\]]*(?=\s)\s?|[。！？]["”』」’]*\s?|\n""")
+#: Code points of a block, in which texts are handed on.
+BLOCK = 1000
 #: White space by code point.
 _SPACE = np.array([chr(c).isspace() for c in range(0x110000)])
 
@@ -57,15 +59,20 @@ def token_classes(bpe: ByteBpe, texts: list[str]) -> tuple[list[str], list[np.nd
     return classes, ends
 
 
-def next_starts(classes: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the first token from it on that follows a word boundary, and the first that begins a character; past the end if there is none."""
+def next_starts(classes: str, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each token, within its text, the first token from it on that follows a word boundary, and the first that begins a character.
+
+    The classes of several texts stand in a row, cut by the offsets. Where there is no such token in the text a number past its end is given.
+    """
     kind = np.frombuffer(classes.encode("ascii"), np.uint8)
-    n = len(kind)
+    start = np.repeat(offsets[:-1], np.diff(offsets))
+    first = np.zeros(len(kind) + 1, bool)
+    first[offsets] = True  # a text's own beginning follows a boundary
     out = []
     for ends in (np.isin(kind, np.frombuffer(b"hpsw", np.uint8)), kind != ord(INSIDE)):
-        at = np.concatenate([[0], np.flatnonzero(ends) + 1])
-        out.append(np.append(at, n + 1)[np.searchsorted(at, np.arange(n))])
-    return out[0], out[1]
+        at = np.append(np.flatnonzero(first | np.concatenate([[False], ends])), len(kind) + 1)
+        out.append(at[np.searchsorted(at, np.arange(len(kind)))] - start)
+    return out
 
 
 def piece_pattern(limit: int, least: int) -> str:
@@ -90,7 +97,7 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
         raise ValueError("limit must exceed overlap by 8 tokens or more")
     kind = df.schema[key].dataType
     numbers = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("own_key", kind), T.StructField("txt", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("ends", numbers), T.StructField("word", numbers), T.StructField("whole", numbers)])
+    schema = T.StructType([T.StructField("own_key", kind), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("cls", T.StringType()), T.StructField("ends", numbers), T.StructField("word", numbers), T.StructField("whole", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name, folder)
@@ -99,22 +106,10 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
             for s in steps(texts):
                 classes, ends = token_classes(bpe, texts[s])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]), pa.int32())
-                nexts = [next_starts(c) for c in classes]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (ends, [n[0] for n in nexts], [n[1] for n in nexts])]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (np.concatenate(ends), *next_starts("".join(classes), offsets.to_numpy()))]
                 part = b.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes, pa.string()), *lists], names=schema.names)
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(len(b)):
-                text, pieces = b.column(1)[at].as_py(), b.column(2)[at].values
-                start, own, end = (pieces.field(c).to_numpy() for c in ("start_pos", "own_pos", "end_pos"))
-                n = len(pieces)
-                keys = b.column(0).take(pa.array(np.full(n, at)))
-                for low in range(0, n, 1000):
-                    s = slice(low, min(n, low + 1000))
-                    said = pa.array([text[x:y] for x, y in zip(start[s].tolist(), end[s].tolist())], pa.string())
-                    yield pa.RecordBatch.from_arrays([keys[s], pa.array(np.arange(s.start, s.stop), pa.int32()), pa.array(np.full(s.stop - s.start, n), pa.int32()), pa.array(start[s]), pa.array(end[s]), pa.array(own[s]), pieces.field("n_tokens")[s], said], names=out.names)
+                blocks = [[t[i : i + BLOCK] for i in range(0, len(t), BLOCK)] for t in texts[s]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blocks, pa.list_(pa.string())), pa.array(classes, pa.string()), *lists], names=schema.names)
 
     body = limit - overlap
     tokens = df.select(F.col(key).alias("own_key"), F.col(text).cast("string").alias("txt")).filter("length(txt) > 0").mapInArrow(run, schema)
@@ -130,8 +125,9 @@ def split_long(df: DataFrame, key: str, text: str, limit: int, overlap: int, nam
     begin = f"if({overlap} = 0 or p.stops = p.sizes, p.stops - p.sizes, if({back} = 0, 0, if(word[{back}] < p.stops - p.sizes, word[{back}], least(whole[{back}], p.stops - p.sizes))))"
     spots = f"transform(arrays_zip(stops, sizes), p -> struct({begin} as start, p.stops - p.sizes as own, p.stops as stop))"
     end_of = "if({0} = 0, 0, ends[{0} - 1])".format
-    cut = cut.select("own_key", "txt", "ends", F.expr(spots).alias("spots"))
-    cut = cut.select("own_key", "txt", F.expr(f"transform(spots, p -> struct({end_of('p.start')} as start_pos, {end_of('p.own')} as own_pos, {end_of('p.stop')} as end_pos, p.stop - p.start as n_tokens))").alias("pieces"))
-    # The text is sliced by one more step, so that no piece carries the whole of it.
-    out = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.IntegerType()) for c in ("piece", "n_pieces", "start_pos", "end_pos", "own_pos", "n_tokens")), T.StructField("piece_text", T.StringType())])
-    return cut.mapInArrow(slices, out)
+    cut = cut.select("own_key", "blocks", "ends", F.expr(spots).alias("spots"))
+    cut = cut.select("own_key", "blocks", F.expr(f"transform(spots, p -> struct({end_of('p.start')} as start_pos, {end_of('p.own')} as own_pos, {end_of('p.stop')} as end_pos, p.stop - p.start as n_tokens))").alias("pieces"))
+    # Each piece takes its text from the blocks that it touches, before the pieces are exploded: none carries the whole text.
+    said = f"substring(array_join(slice(blocks, p.start_pos div {BLOCK} + 1, (p.end_pos - 1) div {BLOCK} - p.start_pos div {BLOCK} + 1), ''), p.start_pos % {BLOCK} + 1, p.end_pos - p.start_pos)"
+    cut = cut.select("own_key", F.size("pieces").alias("n_pieces"), F.posexplode(F.expr(f"transform(pieces, p -> struct(p.start_pos, p.end_pos, p.own_pos, p.n_tokens, {said} as piece_text))")).alias("piece", "p"))
+    return cut.select(F.col("own_key").alias(key), F.col("piece").cast("int").alias("piece"), "n_pieces", "p.start_pos", "p.end_pos", "p.own_pos", "p.n_tokens", "p.piece_text")
