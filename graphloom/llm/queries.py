@@ -16,7 +16,8 @@ CAPACITY, LIMIT, OVERLAP = 4096, 512, 64
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     languages = pairs.fit_languages(table(spark, folder, "documents"), "text", "lang")
-    return pairs.find_defects(table(spark, folder, "novelty_results"), languages)
+    results = table(spark, folder, "novelty_results")
+    return pairs.find_defects(results, languages, pairs.fit_refusals(results, "rationale"), when="ingested_at")
 
 
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:

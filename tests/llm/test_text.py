@@ -137,21 +137,46 @@ def test_defects(spark):
     docs = spark.createDataFrame([("DE-at", "Das Labor darf den Bericht nicht ohne Anfrage der Behörde offenlegen. " * 3), ("en", "Every auditor must publish the open record before the review. " * 3), (None, "x"), ("fr", None)], "lang string, text string")
     languages = pairs.fit_languages(docs, "text", "lang")
     df = spark.createDataFrame(rows, schema)
-    got = {r[0]: r[1] for r in pairs.find_defects(df, languages).collect()}
+    got = {r[0]: r[1] for r in pairs.find_defects(df, languages, pairs.fit_refusals(df, "rationale")).collect()}
     assert got == {i: c[3] for i, c in cases.items() if c[3]}
-    assert pairs.find_defects(df.limit(0), languages).count() == 0
+    assert pairs.find_defects(df.limit(0), languages, pairs.fit_refusals(df.limit(0), "rationale")).count() == 0
 
 
 def test_copies_of_a_truncated_answer(spark):
     whole = "The neighbour rejects this claim because they never saw the plan."
     said = ["The neighbour rejects this claim because they never"] * 40 + [whole] * 4 + ["Known core, new scope"] * 20 + ["Adds a condition."] * 30
     df = spark.createDataFrame([(i, "Every auditor must review it.", [], s, []) for i, s in enumerate(said)], "result_id int, quality string, neighbors array<struct<score double, sentence string>>, rationale string, novel_spans array<string>")
-    languages = pairs.Languages.fit([(k, v) for k, v in pairs.SEED_TEXTS.items()])
-    assert {(r.result_id, r.defect) for r in pairs.find_defects(df, languages).collect()} == {(i, "truncated") for i in range(40)}
+    languages = pairs.Languages.fit([*pairs.GENERAL.items()])
+    assert {(r.result_id, r.defect) for r in pairs.find_defects(df, languages, pairs.Refusals.fit(said)).collect()} == {(i, "truncated") for i in range(40)}
 
 
 def test_language_accuracy():
-    model = pairs.Languages.fit([(k, v) for k, v in pairs.SEED_TEXTS.items() for _ in range(5)])
+    model = pairs.Languages.fit([*pairs.GENERAL.items()])
     said = {"en": "This statement adds nothing to the list of rules.", "de": "Diese Aussage ergänzt nichts in der Liste der Regeln.", "fr": "Cette phrase n’ajoute rien à la liste des règles.", "es": "Esta frase no añade nada a la lista de reglas.", "it": "Questa frase non aggiunge nulla alla lista delle regole."}
     scores, _ = model.scores([*said.values()])
     assert [model.names[i] for i in scores.argmax(1)] == [*said]
+
+
+SOUND = """The neighbour covers the plan, but the condition is missing there. | Nothing is added beyond the closest edge. | I read this as a repetition of the second neighbour. | No legal advice is implied, the duty is new. | The edges cannot support the claim.
+None of the neighbours mentions the record, so I would call it new. | The assessor must not decide this alone, says the closest edge. | Der Nachbar nennt den Plan, aber die Bedingung fehlt. | Kein Nachbar nennt die Pflicht, ich halte sie daher für neu. | Der Satz wiederholt den ersten Nachbarn.
+Le voisin couvre le plan, mais la condition n’y figure pas. | Aucun voisin ne mentionne ce point. | El vecino cubre el plan, pero falta la condición. | Ningún vecino menciona este punto, por lo tanto es nuevo. | La frase no añade nada nuevo."""
+
+
+def test_refusals_with_phrasings_that_were_not_seen():
+    sound = [t.strip() for line in SOUND.splitlines() for t in line.split("|")]
+    model = pairs.Refusals.fit(sound[::2] * 20)
+    refused = [
+        "I'd prefer not to weigh in on whether this is new.",
+        "Sorry, giving a verdict on legal matters is outside my role.",
+        "I am not authorised to offer an opinion about that.",
+        "My policy does not permit me to answer, please ask a professional.",
+        "Ich möchte mich zu diesem Satz lieber nicht äußern.",
+        "Es steht mir nicht zu, darüber ein Urteil zu fällen.",
+        "Je préfère m’abstenir de donner un avis sur cette phrase.",
+        "Il ne m’est pas permis de juger, veuillez demander à un spécialiste.",
+        "Me abstengo de opinar sobre esta frase.",
+        "No me corresponde decidir, consulte a un profesional.",
+    ]
+    declined = [model.declines(t) or bool(pairs.REFUSAL.search(t)) for t in refused]
+    assert sum(declined) >= 9, [t for t, d in zip(refused, declined) if not d]
+    assert not [t for t in sound if model.declines(t)]
