@@ -2,12 +2,13 @@
 
 A rule is a pair of regular expressions, for the text before and after a position, and says break or no
 break. At each position that could end a sentence the tables are tried in order - those of the
-languages found in the text, by their votes, then those of its scripts, then the common one - and the first
-rule whose pair matches decides. Blank lines always end a sentence.
+languages found in the text, by their votes (all of them where no word votes), then those of its scripts, then the common one - and the first
+rule whose pair matches decides. A table is compiled into one alternation of its rules. Blank lines always end a sentence.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 BREAK, NO_BREAK = True, False
 _CLOSE = r"[\"'”’»)\]」』）〉》“‘]"
 _LATIN_END = rf"[.!?…؟]+(?:{_CLOSE}|[\s ]»)*"
-#: Positions that could end a sentence: after an end mark with its closing quotes, or at white space between Thai words.
-CANDIDATE = regex.compile(rf"(?:{_LATIN_END}|[。！？।॥｡]+[”’」』）»\"]*)|(?<=[\u0e00-\u0e7f\d%\"”»)])(?=\s+[\u0e00-\u0e7f\p{{Lu}}“\"«(])|(?<=[\p{{L}}\d])(?=\s+[\u0e00-\u0e7f])")
+#: Positions that could end a sentence: after an end mark with its closing quotes; with Thai also at white space next to Thai words.
+_MARKS = rf"(?:{_LATIN_END}|[。！？।॥｡]+[”’」』）»\"]*)"
+CANDIDATE = regex.compile(_MARKS)
+CANDIDATE_THAI = regex.compile(rf"{_MARKS}|(?<=[\u0e00-\u0e7f\d%\"”»)])(?=\s+[\u0e00-\u0e7f\p{{Lu}}“\"«(])|(?<=[\p{{L}}\d])(?=\s+[\u0e00-\u0e7f])")
 BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])(?:[^\S\r\n]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]))+|[\u2029]")
 _SPACE = r"[\s\u200b\ufeff]"
 _OPEN = r"[\"'“”‘„«¿¡(\[「『]"
@@ -34,20 +37,20 @@ def _words(*words: str) -> str:
     return "|".join(regex.escape(w).replace("\\ ", rf"{_SPACE}*") for w in sorted(words, key=len, reverse=True))
 
 
-# Words that open a sentence and are hardly part of a name, by language.
+# Words that open a sentence and are hardly part of a name, by language: articles, pronouns, question words, conjunctions, prepositions, adverbs, titles.
 STARTERS = {
-    "en": "The Each Every An A Any Who Why What When Where Which How Does Do Did Is Are Was At By In On If It Its This That These Those Stop Version Results See No All Some Never Always Please Mail Dr Ms Mr Mrs Prof Approx".split(),
-    "de": "Der Die Das Ein Eine Jede Jeder Jedes Wer Wie Was Wann Warum Im In Am Bei Es Dies Diese Alle Kein Keine Prof Dr Frau Herr".split(),
-    "fr": "Le La Les Un Une Chaque Cela Ce Cette Ces Qui Que Quand Pourquoi Est Il Elle On Dans En Tout Tous Aucun Mme M Dr".split(),
-    "es": "El La Los Las Un Una Cada Se Incluye Quién Qué Cuándo Por Es Esto Este Esta En Todo Todos Ningún Sr Sra Dr Dra".split(),
-    "it": "Il La Lo I Gli Le Un Una Ogni Chi Che Quando Questo Questa In Nel Tutti Nessun".split(),
+    "en": "A About Above After Afterwards All Also Although Among An And Another Any Anyone Are As At Because Before Below Between Both But By Can Did Do Does During Each Either Even Every Everyone Few Finally For From Given He Hence Her Here His How However I If In Indeed Instead Is It Its Last Later Many Meanwhile More Moreover Most Much My Neither Never Next No Nobody None Nor Nothing Now Of On Once One Only Or Other Otherwise Our Over Please See Several She Since So Some Somebody Someone Soon Still Such That The Their Then There Therefore These They This Those Though Thus To Today Two Under Until Was We What When Where Which While Who Whoever Why With Within Without Yet You Dr Mr Mrs Ms Prof".split(),
+    "de": "Aber Alle Als Also Am An Auch Auf Aus Bei Beide Bis Da Dabei Dadurch Daher Damit Danach Dann Das Dazu Denn Der Die Dies Diese Dieser Dieses Doch Dort Durch Ein Eine Einer Er Erst Es Etwa Für Gegen Hier Ich Ihr Im In Ist Jede Jeder Jedes Jetzt Kein Keine Man Manche Mit Nach Nicht Nichts Niemand Noch Nun Nur Ob Oder Ohne Sein Seine Seit Sie So Sobald Später Trotz Über Um Und Unter Viele Vom Von Vor Wann Warum Was Weil Weiter Wenn Wer Wie Wir Wo Zu Zuletzt Zum Zur Zwischen Dr Frau Herr Prof".split(),
+    "fr": "À Afin Ainsi Alors Après Au Aucun Aucune Aussi Avant Avec Ce Cela Celui Cependant Ces Cet Cette Ceux Chacun Chaque Chez Comme Comment Dans De Depuis Des Dès Donc Du Elle Elles En Enfin Ensuite Est Et Il Ils Je La Le Les Leur Lors Mais Même Nous On Or Où Ou Par Pendant Plus Plusieurs Pour Pourquoi Puis Quand Que Quel Quelle Qui Sa Sans Selon Si Son Sous Sur Tous Tout Toute Toutes Très Un Une Vers Vous Dr M Mme".split(),
+    "es": "A Ahora Al Algunos Allí Antes Aquí Así Aún Aunque Bajo Cada Casi Como Con Contra Cuál Cuando Cuándo De Desde Después Donde Dónde El Él Ella Ellos En Entonces Entre Es Esa Ese Esta Está Este Esto Estos Hasta Hay La Las Lo Los Luego Mas Más Mientras Mucho Muchos Muy Nada Nadie Ni Ningún Ninguna No Nunca O Otra Otro Para Pero Poco Por Porque Pues Qué Que Quién Se Según Si Sí Siempre Sin Sobre Solo Su Sus También Tampoco Tanto Toda Todas Todo Todos Tras Un Una Unos Y Ya Yo Dr Dra Sr Sra".split(),
+    "it": "A Al Alcuni Allora Anche Ancora Appena Che Chi Ci Ciascuno Come Con Contro Così Da Dal Dei Del Della Di Dopo Dove E È Ecco Essa Esso Fino Già Gli I Il In Infine Io L La Le Lo Loro Ma Mentre Molti Molto Ne Nel Nella Nessun Nessuna Nessuno Niente Noi Non Ogni Ognuno Oggi Ora Per Perché Però Più Poi Prima Qual Quale Quando Quanto Quella Quello Questa Questo Qui Quindi Se Sebbene Senza Si Sono Sotto Sua Sui Suo Tale Tra Tutte Tutti Un Una Uno Dott Sig".split(),
 }
 _START = rf"{_SPACE}*(?:[\"“„«¿¡]|(?:{'|'.join(sorted({w for s in STARTERS.values() for w in s}, key=len, reverse=True))})(?!\w)|[Ll][’']|\p{{Lo}}|\d)"
 
 # Abbreviations after which the sentence goes on, before a number only, and those that may also end it.
 ONWARD = {
     "en": ("Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Rev", "Gen", "Col", "Hon", "e.g", "i.e", "viz", "cf", "vs", "approx", "incl", "excl", "resp", "esp", "Messrs"),
-    "de": ("Dr", "Prof", "Hr", "Fr", "z. B", "d. h", "u. a", "i. d. R", "i. S. v", "o. ä", "s. o", "s. u", "u. U", "bzw", "vgl", "ca", "ggf", "inkl", "evtl", "sog", "gem", "insb", "Mio", "Mrd", "Dipl", "Ing"),
+    "de": ("Dr", "Prof", "Hr", "Fr", "z. B", "d. h", "u. a", "i. d. R", "i. S. v", "o. ä", "s. o", "s. u", "u. U", "bzw", "vgl", "ca", "ggf", "inkl", "evtl", "sog", "gem", "insb", "Mio", "Mrd", "Dipl", "Ing", "Fa", "geb", "verh", "Hrsg", "Tel", "Str"),
     "fr": ("M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "p. ex", "c.-à-d", "cf", "env", "not", "éd", "av"),
     "es": ("Sr", "Sra", "Sres", "Srta", "Dr", "Dra", "D", "Dña", "Prof", "Lic", "Ing", "p. ej", "aprox", "cf", "Ud", "Uds"),
     "it": ("Sig", "Sig.ra", "Dott", "Dott.ssa", "Prof", "Ing", "Avv", "p. es", "ad es", "cfr", "ca"),
@@ -66,15 +69,19 @@ EITHER = {
     "es": ("etc", "Cía", "EE. UU", "S.A", "Ltda", "a. m", "p. m"),
     "it": ("ecc", "S.p.A", "S.r.l"),
 }
+# Last words of the abbreviations, and small Roman numbers: after any other word of three letters or more no rule comes before the common break.
+_LAST = {a.split(" ")[-1].split(".")[-1] for t in (ONWARD, NUMBERED, EITHER) for v in t.values() for a in v} | {"iii", "vii", "viii", "xii", "xiii", "xvi", "xiv", "xix", "xxi", "xxx"}
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 # Frequent words that tell the Latin-script languages apart.
 VOTES = {
-    "en": r"\b(?:the|each|every|is|of|and|for|shall|should|may|must|needs|to|any|by)\b",
-    "de": r"\b(?:der|die|das|den|des|und|ist|soll|muss|darf|kann|nicht|jede|für|nach|wer|im)\b",
-    "fr": r"\b(?:le|les|des|du|doit|peut|devrait|est|et|pour|dans|qui|une|au|chaque)\b",
-    "es": r"\b(?:el|los|las|del|debe|puede|debería|es|para|después|quién|cada|sin|un|al)\b",
-    "it": r"\b(?:il|gli|della|deve|può|dovrebbe|è|di|che|per|ogni|nel)\b",
+    "en": "the each every is of and for shall should may must needs to any by with from it this that are was not".split(),
+    "de": "der die das den des und ist soll muss darf kann nicht jede für nach wer im er es ein eine mit von zu auf in".split(),
+    "fr": "le les des du doit peut devrait est et pour dans qui une au chaque il elle la un ne pas".split(),
+    "es": "el los las del debe puede debería es para después quién cada sin un al la una y en se no".split(),
+    "it": "il gli della deve può dovrebbe è di che per ogni nel la un una e non si".split(),
 }
+_VOTERS = {w: tuple(k for k, v in VOTES.items() if w in v) for v in VOTES.values() for w in v}
+_LETTERS = re.compile(r"[^\W\d_]+")
 _B = r"(?<![\p{L}\p{M}\d])(?<!(?<!\p{L})\p{L}\.)"
 # What an acronym with points may qualify.
 BODIES = "Board|Committee|Council|Agency|Commission|Authority|Office|Bureau|Government|Department|Ministry|Court|Group|Panel|Secretary|Senate|Congress|Army|Navy|Act|Code|Standard|Union|Institute|University|Treaty|Programme|Program"
@@ -83,6 +90,10 @@ TITLES = _words("Dr", "Mr", "Mrs", "Ms", "Prof", "M", "MM", "Mme", "Mlle", "Sr",
 #: (break?, before, after) in the order in which they are tried.
 Rule = tuple[bool, str, str]
 TABLES: dict[str, list[Rule]] = {}
+# A class or annex named by a letter, before all languages: the letter is no abbreviation there.
+TABLES["labels"] = [
+    (BREAK, rf"(?i:\b(?:class|classe|clase|klasse|annex|annexe|anexo|anhang|appendix|type|tipo|typ|part|parte|partie|teil|group|grupo|gruppe|groupe|level|stufe|system|option|plan|block|vitamin|zone|zona|phase|fase|table|figure|section|sección|abschnitt|room|raum|gate|line|linie|grade|category|kategorie|case|fall|point|punkt|schedule|module|modul|version|variant|variante|scenario|szenario))s?{_SPACE}+\p{{Lu}}[.!?…]+{_CLOSE}*", rf"{_SPACE}*{_OPEN}*[\p{{Lu}}\p{{Lo}}\d]"),
+]
 for _lang in VOTES:
     TABLES[_lang] = [
         (NO_BREAK, rf"{_B}(?:{_words(*ONWARD[_lang])})\.", rf"{_SPACE}*\S"),
@@ -128,9 +139,8 @@ TABLES["common"] = [
     (NO_BREAK, rf"[.!?…؟]+(?:{_CLOSE}|{_SPACE}»)*", rf"{_SPACE}*[,;:،؛、，；：)\]}}»–—-]"),
     (NO_BREAK, rf"[.!?…؟]+(?:{_CLOSE}|{_SPACE}»)*", rf"{_SPACE}+{_OPEN}?\p{{Ll}}"),
     (NO_BREAK, r"[.!?…]+", r"[\p{Ll}\d_@/&=%+-]"),
-    # Initials of a name, and a class or annex named by a letter.
+    # Initials of a name.
     (NO_BREAK, rf"{_B}(?:{TITLES})\.?{_SPACE}+(?:\p{{Lu}}\.[{_SPACE[1:-1]}-]?)+", rf"{_SPACE}*-?\p{{Lu}}"),
-    (BREAK, rf"(?i:\b(?:class|classe|clase|klasse|annex|annexe|anexo|anhang|appendix|type|tipo|typ|part|teil|group|grupo|gruppe|groupe|level|stufe|system|option|plan))s?{_SPACE}+\p{{Lu}}[.!?…]+{_CLOSE}*", rf"{_SPACE}*{_OPEN}*[\p{{Lu}}\p{{Lo}}\d]"),
     (NO_BREAK, r"(?:\p{Lu}\.){2,}", rf"{_SPACE}+(?:{BODIES})\b"),
     (BREAK, rf"(?:\p{{Lu}}\.){{2,}}{_CLOSE}*", rf"{_SPACE}*{_OPEN}*(?:\p{{Lu}}\p{{Ll}}|\p{{Lu}}{_SPACE}|\p{{Lo}})|{_SPACE}+{_OPEN}*[\p{{Lu}}\d]"),
     (NO_BREAK, r"(?:\p{Lu}\.){2,}", r""),
@@ -145,21 +155,37 @@ TABLES["common"] = [
 ]
 SCRIPTS = {"ar": r"\p{Arabic}", "hi": r"\p{Devanagari}", "ja": r"[\p{Hiragana}\p{Katakana}]", "zh": r"\p{Han}", "th": r"\p{Thai}"}
 _SCRIPT = {k: regex.compile(v) for k, v in SCRIPTS.items()}
-_VOTE = {k: regex.compile(v, regex.IGNORECASE) for k, v in VOTES.items()}
+_ANY_SCRIPT = regex.compile("[" + "".join(v.strip("[]") for v in SCRIPTS.values()) + "]")
 _SOLID = regex.compile(r"[\p{L}\p{N}\p{S}]")
 
 
 @lru_cache(maxsize=None)
-def _table(name: str) -> list[tuple[bool, regex.Pattern]]:
-    return [(yes, regex.compile(rf"(?<={before})(?={after})" if after else rf"(?<={before})")) for yes, before, after in TABLES[name]]
+def _table(name: str) -> tuple[regex.Pattern, tuple[bool, ...]]:
+    """The rules of a table as one pattern, the group that matched being the number of the first rule that does, and what each rule says."""
+    return regex.compile("|".join(rf"(?<={before})(?={after})()" if after else rf"(?<={before})()" for _, before, after in TABLES[name])), tuple(r[0] for r in TABLES[name])
+
+
+def breaks(cascade: list[tuple[regex.Pattern, tuple[bool, ...]]], text: str, at: int) -> bool:
+    """What the first rule that matches says of the position."""
+    for rules, says in cascade:
+        if rule := rules.match(text, at):
+            return says[rule.lastindex - 1]
+    return False
 
 
-def cascade(text: str) -> list[tuple[bool, regex.Pattern]]:
-    """The rules for a text: its languages' tables by votes, its scripts', the common one."""
-    votes = {k: len(p.findall(text)) for k, p in _VOTE.items()}
-    names = sorted((k for k in votes if votes[k]), key=lambda k: (-votes[k], k)) or ["en"]
-    names += [k for k, p in _SCRIPT.items() if p.search(text) and not (k == "zh" and "ja" in names)]
-    return [r for n in (*names, "common") for r in _table(n)]
+def tables(text: str) -> tuple[str, ...]:
+    """The tables for a text: its languages by votes, the first ahead of the others, its scripts, the common one."""
+    votes = dict.fromkeys(VOTES, 0)
+    for w in _LETTERS.findall(text.lower()):
+        for k in _VOTERS.get(w, ()):
+            votes[k] += 1
+    found: list[str] = []
+    if not text.isascii() and _ANY_SCRIPT.search(text):
+        found = [k for k, p in _SCRIPT.items() if p.search(text)]
+        found = [k for k in found if not (k == "zh" and "ja" in found)]
+    best = max(votes, key=lambda k: (votes[k], k == "en"))
+    names = [best, *(k for k in VOTES if votes[k] and k != best)] if votes[best] else [] if found else [*VOTES]
+    return ("labels", *names, *found, "common")
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -170,21 +196,31 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
+def plain_end(text: str, at: int) -> bool:
+    """A word of three small letters or more, one mark, white space and a capital letter: no rule but the common break fits, unless the word is in _LAST."""
+    if text[at - 1] not in ".!?" or not text[at : at + 1].isspace() or not text[at + 1 : at + 2].isupper():
+        return False
+    word = text[max(0, at - 40) : at - 1].rsplit(None, 1)[-1:]
+    return bool(word) and len(word[0]) > 2 and word[0].isalpha() and word[0][-1].islower() and word[0] not in _LAST
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Spans of code points, without white space around them; none for a null or blank text."""
     spans: list[tuple[int, int]] = []
-    for low, high in _blocks(text or ""):
-        block = (text or "")[low:high]
+    if not text or text.isspace():
+        return spans
+    names = tables(text)
+    cascade = [_table(n) for n in names]
+    candidates = CANDIDATE_THAI if "th" in names else CANDIDATE
+    for low, high in _blocks(text):
+        block = text[low:high]
         if block.strip() == "":
             continue
-        rules, cuts = cascade(block), []
-        for m in CANDIDATE.finditer(block):
+        cuts = []
+        for m in candidates.finditer(block):
             at = m.end()
-            for yes, rule in rules:
-                if rule.match(block, at):
-                    if yes:
-                        cuts.append(at)
-                    break
+            if plain_end(block, at) or breaks(cascade, block, at):
+                cuts.append(at)
         begin, own = 0, []
         for cut in (*cuts, len(block)):
             part = block[begin:cut]
@@ -214,7 +250,9 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.slice(at, 1000)
-                found = [sentences(t) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                once = {t: sentences(t) for t in {*texts}}
+                found = [once[t] for t in texts]
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 flat = np.array([s for f in found for s in f], np.int32).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[key, "start_pos", "end_pos"])

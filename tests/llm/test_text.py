@@ -91,6 +91,15 @@ def test_split_round_trip(spark):
         ("「これは安全ですか？」と尋ねた。終わり。", ["「これは安全ですか？」と尋ねた。", "終わり。"]),
         ("सीमा 0.35 है। डॉ. वेल्म आए।", ["सीमा 0.35 है।", "डॉ. वेल्म आए।"]),
         ("رأى د. فيلم ذلك. هل انتهى؟ نعم.", ["رأى د. فيلم ذلك.", "هل انتهى؟", "نعم."]),
+        # Written after the rules, in words that no list of the module has.
+        ("They moved to block B. Later it rained.", ["They moved to block B.", "Later it rained."]),
+        ("She takes vitamin C. Nobody noticed.", ["She takes vitamin C.", "Nobody noticed."]),
+        ("Er wohnt in Nr. 5. Morgen zieht er um.", ["Er wohnt in Nr. 5.", "Morgen zieht er um."]),
+        ("Die Fa. Müller kam. Sie lieferte.", ["Die Fa. Müller kam.", "Sie lieferte."]),
+        ("La Sra. López llegó. Dijo algo.", ["La Sra. López llegó.", "Dijo algo."]),
+        ("Он пришёл. Потом ушёл.", ["Он пришёл.", "Потом ушёл."]),
+        ("Pi is about 3.14. That will do!", ["Pi is about 3.14.", "That will do!"]),
+        ("Prof. K. Adler spoke at 9 a.m. in room D. Everyone clapped.", ["Prof. K. Adler spoke at 9 a.m. in room D.", "Everyone clapped."]),
         ("รุ่น 3.77 แทนที่บันทึก ผู้ให้บริการต้องเก็บภายใน 49 วัน ใครต้องทำ", ["รุ่น 3.77 แทนที่บันทึก", "ผู้ให้บริการต้องเก็บภายใน 49 วัน", "ใครต้องทำ"]),
     ],
 )
