@@ -51,7 +51,7 @@ _START = rf"{_SPACE}*(?:[\"“„«¿¡]|(?:{'|'.join(sorted({w for s in STARTER
 ONWARD = {
     "en": ("Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Rev", "Gen", "Col", "Hon", "e.g", "i.e", "viz", "cf", "vs", "approx", "incl", "excl", "resp", "esp", "Messrs"),
     "de": ("Dr", "Prof", "Hr", "Fr", "z. B", "d. h", "u. a", "i. d. R", "i. S. v", "o. ä", "s. o", "s. u", "u. U", "bzw", "vgl", "ca", "ggf", "inkl", "evtl", "sog", "gem", "insb", "Mio", "Mrd", "Dipl", "Ing", "Fa", "geb", "verh", "Hrsg", "Tel", "Str"),
-    "fr": ("M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "p. ex", "c.-à-d", "cf", "env", "not", "éd", "av"),
+    "fr": ("M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "p. ex", "c.-à-d", "cf", "env", "éd", "av"),
     "es": ("Sr", "Sra", "Sres", "Srta", "Dr", "Dra", "D", "Dña", "Prof", "Lic", "Ing", "p. ej", "aprox", "cf", "Ud", "Uds"),
     "it": ("Sig", "Sig.ra", "Dott", "Dott.ssa", "Prof", "Ing", "Avv", "p. es", "ad es", "cfr", "ca"),
 }
@@ -69,6 +69,9 @@ EITHER = {
     "es": ("etc", "Cía", "EE. UU", "S.A", "Ltda", "a. m", "p. m"),
     "it": ("ecc", "S.p.A", "S.r.l"),
 }
+for _listed in (ONWARD, NUMBERED):  # any of them may also open a sentence
+    for _lang, _short in _listed.items():
+        _listed[_lang] = (*dict.fromkeys((*_short, *(a[0].upper() + a[1:] for a in _short if len(a) > 2))),)
 # Last words of the abbreviations, and small Roman numbers: after any other word of three letters or more no rule comes before the common break.
 _LAST = {a.split(" ")[-1].split(".")[-1] for t in (ONWARD, NUMBERED, EITHER) for v in t.values() for a in v} | {"iii", "vii", "viii", "xii", "xiii", "xvi", "xiv", "xix", "xxi", "xxx"}
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"

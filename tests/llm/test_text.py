@@ -97,6 +97,7 @@ def test_split_round_trip(spark):
         ("Er wohnt in Nr. 5. Morgen zieht er um.", ["Er wohnt in Nr. 5.", "Morgen zieht er um."]),
         ("Die Fa. Müller kam. Sie lieferte.", ["Die Fa. Müller kam.", "Sie lieferte."]),
         ("La Sra. López llegó. Dijo algo.", ["La Sra. López llegó.", "Dijo algo."]),
+        ("Approx. 15 vs. 9 cases were found. Incl. Mr. Ochs.", ["Approx. 15 vs. 9 cases were found.", "Incl. Mr. Ochs."]),
         ("Он пришёл. Потом ушёл.", ["Он пришёл.", "Потом ушёл."]),
         ("Pi is about 3.14. That will do!", ["Pi is about 3.14.", "That will do!"]),
         ("Prof. K. Adler spoke at 9 a.m. in room D. Everyone clapped.", ["Prof. K. Adler spoke at 9 a.m. in room D.", "Everyone clapped."]),
