@@ -37,6 +37,40 @@ DEFINING = ("defines", "with_description", "with_long_description")
 POSITIVE, NEGATIVE = ("requires", "recommends", "permits"), ("prohibits",)
 PREVIEW_POSITIVE = (*POSITIVE, "ensures", "should_ensure")
 DECISIONS = ("EXISTING", "PARTIALLY_NEW", "NEW")
+# Names that stand for a dimension, in lower case.
+DIMENSION_ALIASES = {
+    "interpretability": "Explainability",
+    "explicability": "Explainability",
+    "explainable ai": "Explainability",
+    "explainability": "Explainability",
+    "transparency": "Transparency",
+    "traceability": "Transparency",
+    "non-discrimination": "Fairness",
+    "non discrimination": "Fairness",
+    "nondiscrimination": "Fairness",
+    "bias mitigation": "Fairness",
+    "fairness": "Fairness",
+    "robustness": "Robustness",
+    "reliability": "Robustness",
+    "resilience": "Robustness",
+    "technical robustness": "Robustness",
+    "safety": "Safety",
+    "privacy": "Privacy",
+    "data governance": "Privacy",
+    "data protection": "Privacy",
+    "privacy and data governance": "Privacy",
+    "accountability": "Accountability",
+    "auditability": "Accountability",
+    "human oversight": "Human oversight",
+    "human agency": "Human oversight",
+    "human agency and oversight": "Human oversight",
+    "human-in-the-loop": "Human oversight",
+}
+# Predicates of taxonomies and of values.
+TAXONOMY = ("is_subclass_of", "is_dimension_of")
+VALUED = ("with_low", "with_high", "has_threshold", "with_default")
+# Endings of keywords, and the endings that stand in their place, the first that fits deciding.
+SUFFIXES = {"ability": ("able", "ation", ""), "ibility": ("ible", "ion", ""), "ness": ("",), "ity": ("",), "tion": ("te",), "ment": ("",)}
 
 
 def strip(c: Column | str) -> Column:
@@ -103,13 +137,42 @@ def short_id(*parts: Column) -> Column:
 
 
 def synonyms_by_suffix(word: Column) -> Column:
-    """Other forms of a keyword by its ending."""
-    stem = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    """Other forms of a keyword by its ending, without itself and blank ones."""
+    out = F.array().cast("array<string>")
+    for ending, others in reversed(SUFFIXES.items()):
+        stem = F.substring(word, F.lit(1), F.length(word) - len(ending))
+        out = F.when(word.endswith(ending), F.array_distinct(F.array(*(F.concat(stem, F.lit(o)) for o in others)))).otherwise(out)
+    return F.filter(out, lambda x: (F.trim(x) != "") & (x != word))
+
+
+def dimension(name: Column) -> Column:
+    """The dimension that a name stands for, null if none or if it is that name already."""
+    known = F.create_map(*(F.lit(x) for pair in DIMENSION_ALIASES.items() for x in pair))
+    return F.nullif(F.element_at(known, F.lower(strip(name))), name)
+
+
+def display_label(c: Column) -> Column:
+    """A predicate in words: `_` and changes of case become spaces, the first letter a capital."""
+    spaced = F.regexp_replace(F.replace(strip(c), F.lit("_"), F.lit(" ")), "([a-z0-9])([A-Z])", "$1 $2")
+    spaced = name(F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2"))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 2**31 - 1))
+
+
+def entity_key(c: Column) -> Column:
+    """The key of an entity: `_` as space, collapsed, in lower case."""
+    return normal(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def wording_modality(sentence: Column) -> Column:
+    """The strongest obligation that the wording of a sentence states, else NONE; a null sentence says none.
+
+    A rule of this library that stands in for a model's answer: shall not, must not; shall, must; should; may, can.
+    """
+    low = F.coalesce(F.lower(sentence), F.lit(""))
     return (
-        F.when(word.endswith("ability"), F.array(F.concat(stem(7), F.lit("able"))))
-        .when(word.endswith("ibility"), F.array(F.concat(stem(7), F.lit("ible"))))
-        .when(word.endswith("ency"), F.array(F.concat(stem(4), F.lit("ent"))))
-        .when(word.endswith("ness"), F.array(stem(4)))
-        .when(word.endswith("ity"), F.array(stem(3)))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(low.rlike(r"\b(?:shall|must|may)\s+not\b|\bcannot\b|\bcan\s+not\b"), "PROHIBITED")
+        .when(low.rlike(r"\b(?:shall|must)\b"), "MANDATORY")
+        .when(low.rlike(r"\bshould\b"), "RECOMMENDED")
+        .when(low.rlike(r"\b(?:may|can)\b"), "OPTIONAL")
+        .otherwise("NONE")
     )

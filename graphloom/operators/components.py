@@ -47,19 +47,21 @@ def overlay(aliases: DataFrame, clusters: DataFrame) -> DataFrame:
     return aliases.select("name", "canonical").join(clusters, "name", "left_anti").unionByName(clusters.select("name", "canonical"))
 
 
-def inherit(types: DataFrame, parents: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(name, type): types of names and of all that is above them over (name, parent), to a fixpoint; cycles are harmless.
+def inherit(types: DataFrame, parents: DataFrame) -> DataFrame:
+    """(name, type): types of names and of all that is above them over (name, parent), to the fixpoint, whatever the depth; cycles are harmless.
 
-    Round k joins only the pairs new in round k - 1.
+    Links are doubled: in round k each name takes the types of what is 2**k links above it, so that rounds grow with the logarithm of the
+    depth. A round that brings nothing new ends it: a type first met farther up would have been brought to a name on the way.
     """
     s = Scratch(types.sparkSession)
-    up = s.write(parents.select("name", "parent").filter("name is not null and parent is not null and name <> parent").distinct())
+    jump = s.write(parents.select("name", "parent").filter("name is not null and parent is not null and name <> parent").distinct())
     known = s.write(types.select("name", "type").filter("name is not null and type is not null").distinct())
-    fresh = known
-    for _ in range(max_rounds):
-        got = up.join(fresh.select(F.col("name").alias("parent"), "type"), "parent").select("name", "type").distinct()
+    while True:
+        got = jump.join(known.select(F.col("name").alias("parent"), "type"), "parent").select("name", "type").distinct()
         fresh = s.write(got.join(known, ["name", "type"], "left_anti"))
         if fresh.isEmpty():
-            break
-        known = s.write(known.unionByName(fresh))
-    return known
+            return known
+        known = known.unionByName(fresh)  # what is known is only read, never written again
+        longer = s.write(jump.join(jump.select(F.col("name").alias("parent"), F.col("parent").alias("above")), "parent").select("name", F.col("above").alias("parent")).distinct())
+        s.drop(jump)
+        jump = longer

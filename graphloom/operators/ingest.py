@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 
 # Headings that open a list of references.
-REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "reference list", "cited references", "references and notes", "literature", "sources", "citations")
+REFERENCE_HEADINGS = (
+    "references",
+    "reference",
+    "bibliography",
+    "works cited",
+    "literature cited",
+    "cited literature",
+    "references and notes",
+    "notes and references",
+    "reference list",
+    "bibliographical references",
+)
+# What may number a heading.
+SECTION_PREFIX = r"(?i)^\s*(?:(?:section|chapter)\s+)?(?:(?:\d+(?:\.\d+)*)|(?:[ivxlcdm]+)|(?:[a-z]))(?:[.):\-])?\s+"
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -24,10 +37,10 @@ def lines(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame
 
 
 def heading_key(c):
-    """A heading in lower case without markers, section number and end marks, `&` as and."""
-    c = F.regexp_replace(F.lower(text.strip(c)), r"(?U)^[#*\s]+|[#*:.\s]+$", "")
-    c = F.regexp_replace(c, r"^(?:[0-9]+(?:\.[0-9]+)*|[ivx]+)[.)]?\s+", "")
-    return F.trim(F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"\s+", " "))
+    """A heading in lower case without markers, section number and marks at its ends, `&` as and."""
+    c = text.strip(F.regexp_replace(text.strip(c), "^[#*•\\-–— ]+", ""))
+    c = F.regexp_replace(text.strip(F.regexp_replace(c, SECTION_PREFIX, "")), r"^[ .:;,\-–—()\[\]{}]+|[ .:;,\-–—()\[\]{}]+$", "")
+    return F.lower(text.name(F.replace(c, F.lit("&"), F.lit(" and "))))
 
 
 def cut_references(parts: DataFrame, key: str = "doc_id", idx: str = "idx", body: str = "paragraph") -> DataFrame:
@@ -40,11 +53,16 @@ def cut_references(parts: DataFrame, key: str = "doc_id", idx: str = "idx", body
     return parts.join(cut, key).filter(f"cut is null or {idx} < cut").select(key, idx, body)
 
 
+# Lines that are no text: identifiers, numbered lines, addresses and bare numbers.
+NOISE = (r"(?i)doi:\s*\d+\.\d+/\S+", r"^\d+[:.]", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"^\s*\d+\s*$")
+
+
 def clean_chunk(c):
-    """A chunk without DOI, numbered, e-mail and bare-number lines, its lines joined by one space."""
-    noise = r"(?i)(doi\.org|^doi:)|^\[?[0-9]+[\].)]|[^\s@]+@[^\s@]+\.[a-z]+|^[0-9\s.,-]+$"
-    kept = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: (x != "") & ~x.rlike(noise))
-    return F.array_join(kept, " ")
+    """A chunk without the lines of NOISE, its lines collapsed and joined by one space; null gives an empty text."""
+    kept = F.split(F.coalesce(c, F.lit("")), "\n")
+    for rule in NOISE:
+        kept = F.filter(kept, lambda x, rule=rule: ~x.rlike(rule))
+    return F.array_join(F.filter(F.transform(kept, text.name), lambda x: x != ""), " ")
 
 
 def keyword_gate(parts: DataFrame, body: str, keyword: str, synonyms: list[str], score: str, at_least: float = 0.45) -> DataFrame:

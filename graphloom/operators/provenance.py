@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.session import free_name
 
 TRIPLE = ("source", "predicate", "target")
+#: An edge and a place within it as one number, which hash aggregation can hold: edge_id * PLACES + place.
+PLACES = 2**32
 
 
 def delivered(rows: DataFrame, key: str, when: str = "ingested_at") -> DataFrame:
-    """Rows delivered more than once under a key, once: the last delivery."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce(F.col(when), F.lit("0001-01-01").cast("timestamp_ntz"))).alias("r")).select(key, "r.*")
+    """Rows delivered more than once under a key, once: the last delivery.
+
+    A ranking and not an aggregate of whole rows, so that only the columns that are used later are read and shuffled.
+    """
+    nth = free_name(rows, "nth")
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last()))
+    return rows.withColumn(nth, last).filter(F.col(nth) == 1).drop(nth)
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -34,10 +41,11 @@ def records(e: DataFrame) -> DataFrame:
     or blank doc are left out; blank modalities are null; the text is the quality, else the chunk excerpt.
     """
     r = e.select(*TRIPLE, "edge_id", F.posexplode("records").alias("pos", "r")).filter(F.col("r").isNotNull())
-    r = r.select(*TRIPLE, F.struct("edge_id", "pos").alias("at"), text.text_or_null(F.col("r.doc")).alias("doc"), F.upper(text.text_or_null(F.col("r.modality"))).alias("modality"), F.coalesce(text.text_or_null(F.col("r.quality")), text.text_or_null(F.col("r.chunk_excerpt"))).alias("text"), F.col("r.chunk_index").alias("chunk_index"))
+    r = r.select(*TRIPLE, (F.col("edge_id").cast("decimal(20,0)") * PLACES + F.col("pos")).alias("at"), text.text_or_null(F.col("r.doc")).alias("doc"), F.upper(text.text_or_null(F.col("r.modality"))).alias("modality"), F.coalesce(text.text_or_null(F.col("r.quality")), text.text_or_null(F.col("r.chunk_excerpt"))).alias("text"), F.col("r.chunk_index").alias("chunk_index"))
     key = [*TRIPLE, "doc", "modality", "text", "chunk_index"]
     first = r.filter("doc is not null").groupBy(*key).agg(F.min("at").alias("at"))
-    return first.select(*TRIPLE, "at.edge_id", "at.pos", "doc", "modality", "text", "chunk_index")
+    edge = F.floor(F.col("at") / PLACES).cast("long")
+    return first.select(*TRIPLE, edge.alias("edge_id"), (F.col("at") - edge * PLACES).cast("int").alias("pos"), "doc", "modality", "text", "chunk_index")
 
 
 def triple_docs(e: DataFrame) -> DataFrame:

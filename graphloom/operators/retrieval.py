@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
-def cosine(a: str, b: str) -> Column:
-    """Cosine of two arrays in double precision; null for null, empty or zero vectors and unlike lengths."""
-    dot = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> cast(p as double) * cast(q as double)), 0.0D, (s, v) -> s + v)")
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm)
+#: A vector that has a cosine.
+USABLE = "key is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)"
+#: Queries of a block, and rows that are multiplied with it at a time.
+QUERIES, ROWS = 2000, 4000
 
 
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, least: float = -1.0) -> DataFrame:
     """(query_id, row_id, cos, nth): the k rows of the highest cosine for each query, other than itself, ties by key.
 
-    A stated set of queries against all rows: the queries are matched in blocks with every row where the row lies, and only the k
-    best of each task are shuffled.
+    A stated set of queries against all rows, in blocks: the queries lie in matrices of about QUERIES, each of which visits every part of the
+    rows, and only the k best of a query in a part go on. One matrix and one part are what a task holds. Vectors that are null, empty,
+    zero or not finite have no cosine, nor have two of unlike lengths. Cosines are rounded half up to 6 decimals.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv"))
-    both = rows.select(F.col(key).alias("row_id"), F.col(vector).alias("rv")).join(q, F.col("row_id") != F.col("query_id"))
-    scored = both.select("query_id", "row_id", F.round(cosine("qv", "rv"), 6).alias("cos")).filter(F.col("cos") >= least)
+    usable = lambda df: df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter(USABLE)
+    q, x = usable(queries), usable(rows)
+    n, m = max(1, -(-q.count() // QUERIES)), max(1, -(-x.count() // ROWS))
+    part = lambda df, c, of: df.withColumn(c, F.pmod(F.xxhash64("key"), F.lit(of)).cast("int")).withColumn("dim", F.size("v"))
+    blocks = part(q, "block", n).groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("q"))
+    data = part(x, "part", m).groupBy("part", "dim").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("x"))
+    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kind = rows.schema[key].dataType
+    arrow = pa.schema([("query_id", to_arrow_type(kind)), ("row_id", to_arrow_type(kind)), ("cos", pa.float64())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for left, right in zip(b.column(0), b.column(1)):
+                keys, unit = [], []
+                for side in (left.values, right.values):
+                    keys.append(side.field("key").to_numpy(zero_copy_only=False))
+                    raw = side.field("v").flatten().to_numpy().reshape(len(side), -1)
+                    unit.append(raw / np.linalg.norm(raw, axis=1)[:, None])
+                cos = np.floor(unit[0] @ unit[1].T * 1e6 + 0.5) / 1e6
+                r, c = np.nonzero((cos >= least) & (keys[0][:, None] != keys[1][None, :]))
+                order = np.lexsort((c, -cos[r, c], r))
+                r, c = r[order], c[order]
+                top = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+                r, c = r[top], c[top]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][r], arrow.types[0]), pa.array(keys[1][c], arrow.types[1]), pa.array(cos[r, c])], schema=arrow)
+
+    met = blocks.join(data, ["block", "dim"]).select("q", "x")
+    scored = met.mapInArrow(best, T.StructType([T.StructField("query_id", kind), T.StructField("row_id", kind), T.StructField("cos", T.DoubleType())]))
     return scored.selectExpr("*", "row_number() over (partition by query_id order by cos desc, row_id) as nth").filter(f"nth <= {k}")
 
 
@@ -35,7 +64,7 @@ def best_pairs(rows: DataFrame, key: str, vector: str, least: float, k: int, dec
     its k best; the k best of these are those of all pairs. decided has pairs (a, b) in either order that are left out
     before that. Null, empty, zero and non-finite vectors and unlike lengths have no cosine. The work grows with the square of the rows.
     """
-    usable = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("key is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
+    usable = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter(USABLE)
     n = max(1, -(-usable.count() // block))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     kind = usable.schema["key"].dataType

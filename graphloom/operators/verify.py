@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 
+# The least score of each check.
 THRESHOLDS = {"S1": 0.9, "S2": 1.0, "S3": 1.0, "S4": 1.0, "S5": 1.0}
 
 
@@ -27,9 +28,11 @@ def s1(inputs: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def s2(e: DataFrame) -> DataFrame:
-    """Edges without placeholder endpoints."""
-    c = e.agg(F.count("*").alias("total"), F.count_if(text.is_placeholder(F.col("source")) | text.is_placeholder(F.col("target"))).alias("bad"))
-    return _row(c, "S2", F.col("bad"), F.col("total"))
+    """Edges without placeholder endpoints, and nodes with a name: blank and null names are one node each that has none."""
+    names = e.select(F.explode(F.array("source", "target")).alias("name")).filter(F.coalesce(text.strip(F.col("name")), F.lit("")) == "")
+    nodes = names.select(F.coalesce("name", F.lit("null")).alias("name")).distinct().agg(F.count("*").alias("nodes"))
+    c = e.agg(F.count("*").alias("edges"), F.count_if(text.is_placeholder(F.col("source")) | text.is_placeholder(F.col("target"))).alias("bad")).join(F.broadcast(nodes))
+    return _row(c, "S2", F.col("bad") + F.col("nodes"), F.col("edges") + F.col("nodes"))
 
 
 def pairs(e: DataFrame) -> DataFrame:

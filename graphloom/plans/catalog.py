@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import ambiguity, components, conflicts, hierarchy, ingest, preview, provenance, retrieval, store, verify
+from graphloom.operators import ambiguity, components, conflicts, encoder, hierarchy, ingest, preview, provenance, retrieval, store, verify
 from graphloom.session import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 KEYWORD, DOCS = "drift", ("iso-0000001.pdf", "gl-0000001.pdf", "std-0000001.pdf", "memo-0000002.pdf", "rec-0000010.pdf")
-TERMS = ("appropriate", "audit", "where feasible", "sampling plan")
+TERMS = text.VAGUE_TERMS
 BM25_WORDS = ("drift", "report", "retraining")
 
 # --- shared pieces of SQL -------------------------------------------------------------------------
@@ -39,9 +39,15 @@ _RECORDS = f"""{_EDGES}, r0 AS (
 ), r AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, doc, modality, text, chunk_index ORDER BY edge_id, pos) AS k FROM r1 WHERE doc IS NOT NULL) WHERE k = 1
 )"""
-# Dimension aliases of the concept reports: base concepts of the tables that stand for one dimension.
-ALIASES = {"operator of record": "Accountability", "adaptive override panel": "Human oversight", "adaptive fallback mode": "Robustness", "synthetic consent ledger": "Privacy", "règle d’équité": "Fairness"}
-_CANON = f"""canon AS (SELECT name, canonical FROM (SELECT name, CASE lower(name) {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())} END AS canonical FROM (SELECT source AS name FROM e UNION SELECT target FROM e)) WHERE canonical IS NOT NULL)"""
+_DIMENSION = "CASE lower(trim(name)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.DIMENSION_ALIASES.items()) + " END"
+_CANON = f"""alias AS (SELECT name, canonical FROM (SELECT name, {_DIMENSION} AS canonical FROM (SELECT source AS name FROM e UNION SELECT target FROM e)) WHERE canonical <> name)"""
+# Decisions on equivalent names, taken from the links.
+_LOG = f"lg AS (SELECT source AS term_a, target AS term_b, edge_id % 3 <> 0 AS accept, round((edge_id % 100) / 100.0, 2) AS score, created_at AS decided_at FROM e WHERE predicate = 'is_equivalent_to' AND source <> target)"
+_FULL_CANON = f"""{_CANON}, {_LOG},
+ac AS (SELECT term_a, term_b FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1 AND accept),
+lk AS (SELECT term_a AS a, term_b AS b FROM ac UNION SELECT term_b, term_a FROM ac), rc AS (SELECT a AS name, a AS other FROM lk UNION SELECT rc.name, lk.b FROM rc JOIN lk ON lk.a = rc.other),
+sa AS (SELECT name, arg_min(other, (length(other), other)) AS canonical FROM rc GROUP BY name),
+canon AS (SELECT name, canonical FROM alias WHERE name NOT IN (SELECT name FROM sa) UNION ALL SELECT name, canonical FROM sa)"""
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -66,9 +72,15 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return provenance.records(edges(spark, d))
 
 
+def dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """(name, canonical) of the names that stand for a dimension of another name."""
+    return node_names(spark, d).select("name", text.dimension(F.col("name")).alias("canonical")).filter("canonical is not null")
+
+
 def canon(spark: SparkSession, d: str) -> DataFrame:
-    label = F.coalesce(*(F.when(F.lower("name") == a, b) for a, b in ALIASES.items()))
-    return store.nodes(edges(spark, d)).select("name", label.alias("canonical")).filter("canonical is not null")
+    """The dimension aliases overlaid by the clusters of accepted decisions, written once: reports read it more than once."""
+    accepted = latest_alignment_decision(spark, d).filter("accept")
+    return Scratch(spark).write(components.overlay(dimensions(spark, d), components.same_as(accepted, "term_a", "term_b")))
 
 
 # --- overlap and coverage ---------------------------------------------------------------------------
@@ -102,14 +114,14 @@ def source_filtered_coverage(spark, d):
     return provenance.document_coverage(provenance.records(provenance.source_filter(edges(spark, d), list(DOCS))))
 
 
-_COUNTS = f"""WITH {_RECORDS}, {_CANON}, c AS (
+_COUNTS = f"""WITH RECURSIVE {_RECORDS}, {_FULL_CANON}, c AS (
   SELECT doc, coalesce(a.canonical, source) AS cs, coalesce(b.canonical, target) AS ct FROM r LEFT JOIN canon a ON a.name = source LEFT JOIN canon b ON b.name = target
 ), counts AS (SELECT concept, doc, count(*) AS n FROM (SELECT cs AS concept, doc FROM c UNION ALL SELECT ct, doc FROM c WHERE ct <> cs) GROUP BY ALL)"""
 
 
 @query("concept_matrix", _COUNTS + " SELECT * FROM counts")
 def concept_matrix(spark, d):
-    """The sparse matrix of concepts and documents."""
+    """The sparse matrix of concepts, names of one concept being one, and documents."""
     return provenance.concept_counts(records(spark, d), canon(spark, d))
 
 
@@ -128,141 +140,119 @@ def node_names(spark, d):
     return store.nodes(edges(spark, d))
 
 
-@query("dimension_names", f"WITH {_EDGES}, {_CANON} SELECT name, canonical FROM canon")
+@query("dimension_names", f"WITH {_EDGES}, {_CANON} SELECT name, canonical FROM alias")
 def dimension_names(spark, d):
+    return dimensions(spark, d)
+
+
+@query("canonical_names", f"WITH RECURSIVE {_EDGES}, {_FULL_CANON} SELECT name, canonical FROM canon")
+def canonical_names(spark, d):
     return canon(spark, d)
 
 
-# --- conflicts --------------------------------------------------------------------------------------
+# --- conflicts, by canonical names ------------------------------------------------------------------
 _ID = "substr(sha1(concat_ws(chr(31), type, concept, predicate, side_a, doc_a, side_b, doc_b)), 1, 12) AS conflict_id"
 _CONFLICT = lambda body: f"SELECT {_ID}, type, concept, predicate, side_a, doc_a, side_b, doc_b FROM ({body})"
-VALUED, TAXONOMY = ("has_threshold", "has_parameter", "sampled_every"), ("is_subclass_of", "is_instance_of")
+_TO_CANON = lambda t: f"SELECT {t}.* REPLACE (coalesce(ca.canonical, {t}.source) AS source, coalesce(cb.canonical, {t}.target) AS target) FROM {t} LEFT JOIN canon ca ON ca.name = {t}.source LEFT JOIN canon cb ON cb.name = {t}.target"
+_TO_CANON_SOURCE = "SELECT r.* REPLACE (coalesce(ca.canonical, r.source) AS source) FROM r LEFT JOIN canon ca ON ca.name = r.source"
+_BY_CANON = f"WITH RECURSIVE {_RECORDS}, {_FULL_CANON}, cr AS ({_TO_CANON('r')}), sr AS ({_TO_CANON_SOURCE}), ce AS ({_TO_CANON('e')})"
 _MODALITY = """SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM fm a JOIN fm b USING (source, predicate, target) WHERE a.mr = 1 AND b.mr = 2 AND a.doc <> b.doc"""
-_FM = "fm AS (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY modality) AS mr FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, modality ORDER BY edge_id, pos) AS f FROM r WHERE modality IS NOT NULL) WHERE f = 1)"
-_DEFS = f"df AS (SELECT source, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, doc ORDER BY edge_id, pos) AS f FROM r WHERE predicate IN {_IN(text.DEFINING)}) WHERE f = 1)"
-_DEFINITION = "SELECT 'DEFINITION_DIVERGENCE' AS type, a.source AS concept, 'defines' AS predicate, a.value AS side_a, a.doc AS doc_a, b.value AS side_b, b.doc AS doc_b FROM df a JOIN df b ON a.source = b.source AND a.doc < b.doc AND lower(a.value) <> lower(b.value)"
-_TAX = f"tx AS (SELECT source, predicate, target, coalesce(doc, '') AS doc FROM (SELECT DISTINCT source, predicate, target FROM e WHERE predicate IN {_IN(TAXONOMY)}) LEFT JOIN (SELECT source, predicate, target, doc FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY edge_id, pos) AS f FROM r) WHERE f = 1) USING (source, predicate, target))"
+_FM = "fm AS (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY modality) AS mr FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, modality ORDER BY edge_id, pos) AS f FROM cr WHERE modality IS NOT NULL) WHERE f = 1)"
+_DEFS = f"df AS (SELECT source, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, doc ORDER BY edge_id, pos) AS f FROM sr WHERE predicate IN {_IN(text.DEFINING)}) WHERE f = 1), dc AS (SELECT source, doc, value FROM (SELECT *, row_number() OVER (PARTITION BY source, lower(value) ORDER BY doc, value) AS f FROM df) WHERE f = 1)"
+_DEFINITION = "SELECT 'DEFINITION_DIVERGENCE' AS type, a.source AS concept, 'defines' AS predicate, a.value AS side_a, a.doc AS doc_a, b.value AS side_b, b.doc AS doc_b FROM dc a JOIN dc b ON a.source = b.source AND a.doc < b.doc"
+_TAX = f"tx AS (SELECT source, predicate, target, coalesce(doc, '') AS doc FROM (SELECT DISTINCT source, predicate, target FROM ce WHERE predicate IN {_IN(text.TAXONOMY)}) LEFT JOIN (SELECT source, predicate, target, doc FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target ORDER BY edge_id, pos) AS f FROM cr) WHERE f = 1) USING (source, predicate, target))"
 _TAXONOMY = "SELECT 'TAXONOMY_CONFLICT' AS type, a.source AS concept, a.predicate AS predicate, a.source AS side_a, a.doc AS doc_a, a.target AS side_b, b.doc AS doc_b FROM tx a JOIN tx b ON a.source = b.target AND a.target = b.source AND a.predicate = b.predicate AND a.source < a.target"
-_VALS = f"vl AS (SELECT *, row_number() OVER (PARTITION BY source, predicate ORDER BY doc) AS dr FROM (SELECT source, predicate, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, doc ORDER BY edge_id, pos) AS f FROM r WHERE predicate IN {_IN(VALUED)}) WHERE f = 1)), vd AS (SELECT source, predicate FROM vl GROUP BY ALL HAVING count(DISTINCT lower(value)) >= 2)"
+_VALS = f"vl AS (SELECT *, row_number() OVER (PARTITION BY source, predicate ORDER BY doc) AS dr FROM (SELECT source, predicate, doc, target AS value FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, doc ORDER BY edge_id, pos) AS f FROM sr WHERE predicate IN {_IN(text.VALUED)}) WHERE f = 1)), vd AS (SELECT source, predicate FROM vl GROUP BY ALL HAVING count(DISTINCT lower(value)) >= 2)"
 _VALUE = "SELECT 'VALUE_CONFLICT' AS type, a.source AS concept, a.predicate AS predicate, a.value AS side_a, a.doc AS doc_a, b.value AS side_b, b.doc AS doc_b FROM vl a JOIN vl b ON a.source = b.source AND a.predicate = b.predicate AND a.dr = 1 AND b.dr = 2 JOIN vd ON vd.source = a.source AND vd.predicate = a.predicate"
+_ALL_CONFLICTS = f"{_BY_CANON}, {_FM}, {_DEFS}, {_TAX}, {_VALS} {_CONFLICT(' UNION ALL '.join((_MODALITY, _DEFINITION, _TAXONOMY, _VALUE)))}"
 
 
-@query("conflict_modality", f"WITH {_RECORDS}, {_FM} {_CONFLICT(_MODALITY)}")
+@query("conflict_modality", f"{_BY_CANON}, {_FM} {_CONFLICT(_MODALITY)}")
 def conflict_modality(spark, d):
-    return conflicts.modality(records(spark, d))
+    return conflicts.modality(records(spark, d), canon(spark, d))
 
 
 @query(
     "conflict_modality_full",
-    f"WITH {_RECORDS}, dm AS (SELECT DISTINCT source, predicate, target, modality, doc FROM r WHERE modality IS NOT NULL) "
-    + _CONFLICT("SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM dm a JOIN dm b USING (source, predicate, target) WHERE a.modality < b.modality AND a.doc <> b.doc"),
+    f"{_BY_CANON}, g AS (SELECT source, predicate, target, modality, min(doc) AS low, max(doc) AS high FROM cr WHERE modality IS NOT NULL GROUP BY ALL), "
+    "p AS (SELECT source, predicate, target, a.modality AS side_a, b.modality AS side_b, a.low, a.high, CASE WHEN a.low <> b.low THEN b.low ELSE b.high END AS doc_b FROM g a JOIN g b USING (source, predicate, target) WHERE a.modality < b.modality) "
+    + _CONFLICT("SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, side_a, CASE WHEN low <> doc_b THEN low ELSE high END AS doc_a, side_b, doc_b FROM p")
+    + " WHERE doc_a <> doc_b",
 )
 def conflict_modality_full(spark, d):
-    return conflicts.modality(records(spark, d), full=True)
-
+    """Pairs of modalities of a triple with a document for each; conflict_modality_members has the others."""
+    return conflicts.modality_pairs(records(spark, d), canon(spark, d))
 
-@query("conflict_definition", f"WITH {_RECORDS}, {_DEFS} {_CONFLICT(_DEFINITION)}")
-def conflict_definition(spark, d):
-    return conflicts.definition(records(spark, d))
-
-
-@query("conflict_taxonomy", f"WITH {_RECORDS}, {_TAX} {_CONFLICT(_TAXONOMY)}")
-def conflict_taxonomy(spark, d):
-    e = edges(spark, d)
-    return conflicts.taxonomy(e, provenance.records(e), TAXONOMY)
-
-
-@query("conflict_value", f"WITH {_RECORDS}, {_VALS} {_CONFLICT(_VALUE)}")
-def conflict_value(spark, d):
-    return conflicts.value(records(spark, d), VALUED)
 
-
-@query("conflicts_excluding_recorded", f"WITH {_RECORDS}, {_FM}, {_DEFS}, {_TAX}, {_VALS}, c AS ({_CONFLICT(' UNION ALL '.join((_MODALITY, _DEFINITION, _TAXONOMY, _VALUE)))}) SELECT * FROM c WHERE conflict_id NOT LIKE 'a%'")
-def conflicts_excluding_recorded(spark, d):
-    """All four kinds without those recorded; as recorded count the conflicts whose id begins with `a`."""
-    e, s = edges(spark, d), Scratch(spark)
-    r = s.write(provenance.records(e))  # four reports read the records, and the result is read twice
-    found = s.write(conflicts.modality(r).unionByName(conflicts.definition(r)).unionByName(conflicts.taxonomy(e, r, TAXONOMY)).unionByName(conflicts.value(r, VALUED)))
-    return conflicts.excluding(found, found.filter("conflict_id like 'a%'"))
+@query("conflict_modality_members", f"{_BY_CANON} SELECT DISTINCT source, predicate, target, modality, doc FROM cr WHERE modality IS NOT NULL")
+def conflict_modality_members(spark, d):
+    return conflicts.modality_members(records(spark, d), canon(spark, d))
 
 
-# --- conflicts and concepts by canonical names ----------------------------------------------------------
-_LOG = f"lg AS (SELECT source AS term_a, target AS term_b, edge_id % 3 <> 0 AS accept, round((edge_id % 100) / 100.0, 2) AS score, created_at AS decided_at FROM e WHERE predicate = 'is_equivalent_to' AND source <> target)"
-_FULL_CANON = f"""{_CANON.replace("canon AS", "alias AS", 1)}, {_LOG},
-ac AS (SELECT term_a, term_b FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1 AND accept),
-lk AS (SELECT term_a AS a, term_b AS b FROM ac UNION SELECT term_b, term_a FROM ac), rc AS (SELECT a AS name, a AS other FROM lk UNION SELECT rc.name, lk.b FROM rc JOIN lk ON lk.a = rc.other),
-sa AS (SELECT name, arg_min(other, (length(other), other)) AS canonical FROM rc GROUP BY name),
-canon AS (SELECT name, canonical FROM alias WHERE name NOT IN (SELECT name FROM sa) UNION ALL SELECT name, canonical FROM sa)"""
-_TO_CANON = lambda t: f"SELECT {t}.* REPLACE (coalesce(ca.canonical, {t}.source) AS source, coalesce(cb.canonical, {t}.target) AS target) FROM {t} LEFT JOIN canon ca ON ca.name = {t}.source LEFT JOIN canon cb ON cb.name = {t}.target"
-_TO_CANON_SOURCE = "SELECT r.* REPLACE (coalesce(ca.canonical, r.source) AS source) FROM r LEFT JOIN canon ca ON ca.name = r.source"
-_BY_CANON = f"WITH RECURSIVE {_RECORDS}, {_FULL_CANON}, cr AS ({_TO_CANON('r')}), sr AS ({_TO_CANON_SOURCE}), ce AS ({_TO_CANON('e')})"
-_CFM, _CTAX = (x.replace("FROM r", "FROM cr").replace("FROM e", "FROM ce") for x in (_FM, _TAX))
-_CDEFS, _CVALS = (x.replace("FROM r", "FROM sr") for x in (_DEFS, _VALS))
-
-
-def full_canon(spark: SparkSession, d: str) -> DataFrame:
-    """The aliases overlaid by the clusters of accepted decisions."""
-    accepted = latest_alignment_decision(spark, d).filter("accept")
-    return components.overlay(canon(spark, d), components.same_as(accepted, "term_a", "term_b"))
+@query("conflict_definition", f"{_BY_CANON}, {_DEFS} {_CONFLICT(_DEFINITION)}")
+def conflict_definition(spark, d):
+    """Pairs of the different definitions of a concept with a document for each; conflict_definition_members has the others."""
+    return conflicts.definition(records(spark, d), canon=canon(spark, d))
 
 
-@query("canonical_names", f"WITH RECURSIVE {_EDGES}, {_FULL_CANON} SELECT name, canonical FROM canon")
-def canonical_names(spark, d):
-    return full_canon(spark, d)
+@query("conflict_definition_members", f"{_BY_CANON}, {_DEFS} SELECT source AS concept, lower(value) AS definition, doc FROM df")
+def conflict_definition_members(spark, d):
+    return conflicts.definition_members(records(spark, d), canon=canon(spark, d))
 
 
-_COUNTS_CANON = _COUNTS.replace("WITH ", "WITH RECURSIVE ", 1).replace(_CANON, _FULL_CANON, 1)
+@query("conflict_taxonomy", f"{_BY_CANON}, {_TAX} {_CONFLICT(_TAXONOMY)}")
+def conflict_taxonomy(spark, d):
+    e = edges(spark, d)
+    return conflicts.taxonomy(e, provenance.records(e), canon=canon(spark, d))
 
 
-@query("concept_matrix_canonical", _COUNTS_CANON + " SELECT * FROM counts")
-def concept_matrix_canonical(spark, d):
-    """The sparse matrix of concepts, aligned names being one, and documents."""
-    return provenance.concept_counts(records(spark, d), full_canon(spark, d))
+@query("conflict_value", f"{_BY_CANON}, {_VALS} {_CONFLICT(_VALUE)}")
+def conflict_value(spark, d):
+    return conflicts.value(records(spark, d), canon=canon(spark, d))
 
 
-@query("concept_coverage_canonical", _COUNTS_CANON + " SELECT concept, count(*) AS n_docs, sum(n) AS total FROM counts GROUP BY concept ORDER BY n_docs DESC, total DESC, concept LIMIT 500")
-def concept_coverage_canonical(spark, d):
-    return provenance.concept_coverage(concept_matrix_canonical(spark, d))
+def _scan(spark: SparkSession, e: DataFrame, canon: DataFrame) -> DataFrame:
+    """All four kinds of conflicts; four reports read the records, which are written once."""
+    r = Scratch(spark).write(provenance.records(e))
+    return conflicts.modality(r, canon).unionByName(conflicts.definition(r, canon=canon)).unionByName(conflicts.taxonomy(e, r, canon=canon)).unionByName(conflicts.value(r, canon=canon))
 
 
-@query("conflict_modality_canonical", f"{_BY_CANON}, {_CFM} {_CONFLICT(_MODALITY)}")
-def conflict_modality_canonical(spark, d):
-    return conflicts.modality(records(spark, d), canon=full_canon(spark, d))
+def _equivalences(e: DataFrame) -> DataFrame:
+    """Decisions on equivalent names, taken from the links: accepted unless the edge_id is divisible by 3."""
+    e = e.filter("predicate = 'is_equivalent_to' and source <> target")
+    return e.select(F.col("source").alias("term_a"), F.col("target").alias("term_b"), (F.col("edge_id") % 3 != 0).alias("accept"), F.round((F.col("edge_id") % 100) / 100.0, 2).alias("score"), F.col("created_at").alias("decided_at"))
 
 
-@query(
-    "conflict_modality_full_canonical",
-    f"{_BY_CANON}, dm AS (SELECT DISTINCT source, predicate, target, modality, doc FROM cr WHERE modality IS NOT NULL) "
-    + _CONFLICT("SELECT 'MODALITY_CONFLICT' AS type, source AS concept, predicate || ' ' || target AS predicate, a.modality AS side_a, a.doc AS doc_a, b.modality AS side_b, b.doc AS doc_b FROM dm a JOIN dm b USING (source, predicate, target) WHERE a.modality < b.modality AND a.doc <> b.doc"),
-)
-def conflict_modality_full_canonical(spark, d):
-    return conflicts.modality(records(spark, d), full=True, canon=full_canon(spark, d))
+#: A first review of the conflicts took place then: what it saw is recorded, half of it accepted.
+REVIEW = "2025-09-01 00:00:00"
+_REVIEWED = _ALL_CONFLICTS.replace("FROM provenance_edges)", f"FROM provenance_edges WHERE ingested_at < TIMESTAMP '{REVIEW}')", 1)
+_DECIDED = f"SELECT conflict_id, concept, CASE WHEN ascii(right(conflict_id, 1)) % 2 = 0 THEN 'accepted' ELSE 'dismissed' END AS status, TIMESTAMP '{REVIEW}' AS decided_at FROM ({_REVIEWED})"
 
 
-@query("conflict_definition_canonical", f"{_BY_CANON}, {_CDEFS} {_CONFLICT(_DEFINITION)}")
-def conflict_definition_canonical(spark, d):
-    return conflicts.definition(records(spark, d), canon=full_canon(spark, d))
+def _review_log(spark: SparkSession, d: str) -> DataFrame:
+    """The decisions of the first review: the conflicts among what had been delivered by then."""
+    e = provenance.edges(table(spark, d, "provenance_edges").filter(f"ingested_at < timestamp_ntz '{REVIEW}'"))
+    names = store.nodes(e).select("name", text.dimension(F.col("name")).alias("canonical")).filter("canonical is not null")
+    accepted = store.latest_decisions(_equivalences(e)).filter("accept")
+    seen = _scan(spark, e, Scratch(spark).write(components.overlay(names, components.same_as(accepted, "term_a", "term_b"))))
+    return seen.select("conflict_id", "concept", (F.ascii(F.right("conflict_id", F.lit(1))) % 2 == 0).alias("accepted"), F.expr(f"timestamp_ntz '{REVIEW}'").alias("decided_at"))
 
 
-@query("conflict_taxonomy_canonical", f"{_BY_CANON}, {_CTAX} {_CONFLICT(_TAXONOMY)}")
-def conflict_taxonomy_canonical(spark, d):
-    e = edges(spark, d)
-    return conflicts.taxonomy(e, provenance.records(e), TAXONOMY, full_canon(spark, d))
+@query("recorded_conflicts", _DECIDED)
+def recorded_conflicts(spark, d):
+    return conflicts.recorded(_review_log(spark, d))
 
 
-@query("conflict_value_canonical", f"{_BY_CANON}, {_CVALS} {_CONFLICT(_VALUE)}")
-def conflict_value_canonical(spark, d):
-    return conflicts.value(records(spark, d), VALUED, full_canon(spark, d))
+@query("conflict_nodes", f"SELECT conflict_id, concept AS name FROM ({_DECIDED}) WHERE status = 'accepted' AND concept IN (SELECT name FROM (WITH {_EDGES} SELECT source AS name FROM e UNION SELECT target FROM e))")
+def conflict_nodes(spark, d):
+    """The nodes that accepted conflicts are about."""
+    return conflicts.involved(recorded_conflicts(spark, d), node_names(spark, d))
 
 
-@query("conflicts_excluding_recorded_canonical", f"{_BY_CANON}, {_CFM}, {_CDEFS}, {_CTAX}, {_CVALS}, c AS ({_CONFLICT(' UNION ALL '.join((_MODALITY, _DEFINITION, _TAXONOMY, _VALUE)))}) SELECT * FROM c WHERE conflict_id NOT LIKE 'a%'")
-def conflicts_excluding_recorded_canonical(spark, d):
-    """conflicts_excluding_recorded by canonical names."""
-    e, s = edges(spark, d), Scratch(spark)
-    r, c = s.write(provenance.records(e)), s.write(full_canon(spark, d))
-    found = conflicts.modality(r, canon=c).unionByName(conflicts.definition(r, canon=c)).unionByName(conflicts.taxonomy(e, r, TAXONOMY, c)).unionByName(conflicts.value(r, VALUED, c))
-    found = s.write(found)
-    return conflicts.excluding(found, found.filter("conflict_id like 'a%'"))
+@query("conflicts_excluding_recorded", f"SELECT * FROM ({_ALL_CONFLICTS}) WHERE conflict_id NOT IN (SELECT conflict_id FROM ({_REVIEWED}))")
+def conflicts_excluding_recorded(spark, d):
+    """All four kinds without those that a first review recorded."""
+    return conflicts.excluding(_scan(spark, edges(spark, d), canon(spark, d)), recorded_conflicts(spark, d))
 
 
 # --- ambiguity --------------------------------------------------------------------------------------
@@ -294,7 +284,7 @@ def vague_language(spark, d):
 _PLACE = lambda c: f"lower(trim(coalesce({c}, ''))) IN {_IN(text.PLACEHOLDER_NAMES)}"
 _CHECK = lambda n, bad, total, src, passed=None: f"SELECT '{n}' AS \"check\", CAST({bad} AS BIGINT) AS bad, CAST({total} AS BIGINT) AS total, round(CASE WHEN {total} = 0 THEN 1.0 ELSE ({total} - {bad}) / {total} END, 6) AS score, {passed or f'CASE WHEN {total} = 0 THEN 1.0 ELSE ({total} - {bad}) / {total} END >= {verify.THRESHOLDS[n]}'} AS passed FROM {src}"
 _S1 = _CHECK("S1", "(total - hit)", "total", f"(SELECT count(*) AS total, count(h.k) AS hit FROM (SELECT DISTINCT {_NORM('quality')} AS k FROM kept_qualities WHERE {_NORM('quality')} <> '') w LEFT JOIN (SELECT DISTINCT {_NORM('sentence')} AS k FROM neighbor_views WHERE {_NORM('sentence')} <> '') h ON w.k = h.k)")
-_S2 = _CHECK("S2", "bad", "total", f"(SELECT count(*) AS total, count(*) FILTER (WHERE {_PLACE('source')} OR {_PLACE('target')}) AS bad FROM raw)")
+_S2 = _CHECK("S2", "bad", "total", f"(SELECT n + k AS total, b + k AS bad FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {_PLACE('source')} OR {_PLACE('target')}) AS b FROM raw), (SELECT count(DISTINCT coalesce(x, 'null')) AS k FROM (SELECT source AS x FROM raw UNION ALL SELECT target FROM raw) WHERE trim(coalesce(x, '')) = ''))")
 _PAIRS = f"SELECT {_NORM('source')} AS s, {_NORM('target')} AS t, string_agg(DISTINCT predicate, '|' ORDER BY predicate) AS predicates FROM e GROUP BY 1, 2 "
 _BAD = f" HAVING bool_or(predicate IN {_IN(text.POSITIVE)}) AND bool_or(predicate IN {_IN(text.NEGATIVE)})"
 _S3 = f"SELECT 'S3' AS \"check\", bad, total, CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END AS score, bad = 0 AS passed FROM (SELECT (SELECT count(*) FROM ({_PAIRS}{_BAD})) AS bad, (SELECT count(*) FROM ({_PAIRS})) AS total)"
@@ -459,12 +449,7 @@ def purge_seed(spark, d):
 )
 def latest_alignment_decision(spark, d):
     """Decisions on equivalent names, taken from the links: accepted unless the edge_id is divisible by 3."""
-    return store.latest_decisions(_decisions(spark, d))
-
-
-def _decisions(spark, d):
-    e = edges(spark, d).filter("predicate = 'is_equivalent_to' and source <> target")
-    return e.select(F.col("source").alias("term_a"), F.col("target").alias("term_b"), (F.col("edge_id") % 3 != 0).alias("accept"), F.round((F.col("edge_id") % 100) / 100.0, 2).alias("score"), F.col("created_at").alias("decided_at"))
+    return store.latest_decisions(_equivalences(edges(spark, d)))
 
 
 @query("near_synonyms", f"WITH {_EDGES}, {_LOG}, l AS (SELECT * FROM (SELECT least(term_a, term_b) AS term_a, greatest(term_a, term_b) AS term_b, accept, score, row_number() OVER (PARTITION BY least(term_a, term_b), greatest(term_a, term_b) ORDER BY decided_at DESC NULLS LAST, accept DESC, score DESC) AS k FROM lg) WHERE k = 1) SELECT term_a, term_b, score FROM l WHERE NOT accept AND score >= 0.8")
@@ -490,17 +475,37 @@ def similarity_kept(spark, d):
     return retrieval.kept(topk_neighbours(spark, d), 0.4)
 
 
-@query("alignment_candidates", f"WITH {_TOP} SELECT least(query_id, row_id) AS a, greatest(query_id, row_id) AS b, max(round(cos, 4)) AS score FROM tk WHERE cos >= 0.35 AND nth <= 10 GROUP BY ALL ORDER BY score DESC, a, b LIMIT 200")
+@query("vector_pairs", f"SELECT a, b, round(cos, 4) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id) WHERE cos >= 0.35 ORDER BY score DESC, a, b LIMIT 200")
+def vector_pairs(spark, d):
+    """The best 200 pairs of all vectors of at least 0.35."""
+    return retrieval.best_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, 200)
+
+
+def encoded_sql(rows: str, key: str, body: str, into: str = "") -> str:
+    """CTEs {into}gv (key, place, weight) and {into}gn (key, norm) of the encoded texts of rows."""
+    norm = _NORM(f"replace({body}, '_', ' ')")
+    return f"""{into}gv AS (SELECT k, h % {encoder.DIM} AS b, sum(CASE WHEN (h // {encoder.DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM (SELECT k, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT k, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT {key} AS k, ' ' || {norm} || ' ' AS p FROM {rows} WHERE {norm} <> ''))) GROUP BY 1, 2),
+{into}gn AS (SELECT k, sqrt(sum(w * w)) AS n FROM {into}gv GROUP BY k HAVING sum(w * w) > 0)"""
+
+
+@query(
+    "alignment_candidates",
+    f"""WITH {_EDGES}, {_LOG}, dp AS (SELECT DISTINCT least(term_a, term_b) AS a, greatest(term_a, term_b) AS b FROM lg), nm AS (SELECT source AS name FROM e UNION SELECT target FROM e), {encoded_sql("nm", "name", "name")},
+c AS (SELECT x.k AS a, y.k AS b, round(dot / (p.n * q.n), 6) AS cos FROM (SELECT x.k AS xk, y.k AS yk, sum(x.w * y.w) AS dot FROM gv x JOIN gv y ON x.b = y.b AND x.k < y.k GROUP BY ALL) d, (SELECT k FROM gn) x, (SELECT k FROM gn) y, gn p, gn q WHERE x.k = d.xk AND y.k = d.yk AND p.k = d.xk AND q.k = d.yk)
+SELECT a, b, round(cos, 4) AS score FROM c ANTI JOIN dp USING (a, b) WHERE cos >= 0.78 ORDER BY score DESC, a, b LIMIT 200""",
+)
 def alignment_candidates(spark, d):
-    """The best 200 pairs of the query set with its 10 nearest, as its SQL states; alignment_candidates_all is the whole report."""
-    t = topk_neighbours(spark, d).filter("cos >= 0.35")
-    return t.groupBy(F.least("query_id", "row_id").alias("a"), F.greatest("query_id", "row_id").alias("b")).agg(F.max(F.round("cos", 4)).alias("score")).orderBy(F.desc("score"), "a", "b").limit(200)
+    """The best 200 pairs of node names of a cosine of at least 0.78 on which no decision is recorded."""
+    names = node_names(spark, d).select("name", encoder.encode(F.col("name")).alias("v"))
+    decided = latest_alignment_decision(spark, d).select(F.col("term_a").alias("a"), F.col("term_b").alias("b"))
+    return retrieval.best_pairs(names, "name", "v", 0.78, 200, decided)
 
 
-@query("alignment_candidates_all", f"SELECT a, b, round(cos, 4) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cos FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id) WHERE cos >= 0.35 ORDER BY score DESC, a, b LIMIT 200")
-def alignment_candidates_all(spark, d):
-    """The best 200 candidate pairs of all vectors of at least 0.35; no decision on vectors is recorded in the tables."""
-    return retrieval.best_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, 200)
+@query("index_search", f"WITH {_TOP}, pl AS (SELECT vec_id AS query_id, unnest(range(1, 13)) AS nth FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, nth, row_id, coalesce(cos, 0.0) AS score FROM pl LEFT JOIN tk USING (query_id, nth)".replace("nth <= 10", "nth <= 12"))
+def index_search(spark, d):
+    """Twelve places for each query of the stated set, filled up with the score 0.0."""
+    v = table(spark, d, "embeddings")
+    return encoder.search(v.filter("vec_id % 100 = 0"), v, "vec_id", "embedding", 12)
 
 
 _LINES = "ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, line FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE line <> '')"
@@ -511,6 +516,12 @@ def document_lines(spark, d):
     return ingest.lines(table(spark, d, "documents"))
 
 
+_SECTION = ingest.SECTION_PREFIX.replace("(?i)", "").replace("\\s", r"[\s\x0b\x85\p{Z}]")
+_MARKS = r"[ .:;,\-–—()\[\]{}]+"
+_ENDS = lambda c: f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+_HEADING = lambda c: f"lower({_ENDS('regexp_replace(' + f"replace(regexp_replace({_ENDS('regexp_replace(' + _ENDS('regexp_replace(' + _ENDS(c) + ", '^[#*•\\-–— ]+', '')") + f", '{_SECTION}', '', 'i')")}, '^{_MARKS}|{_MARKS}$', '', 'g'), '&', ' and ')" + f", '{_SPACE}', ' ', 'g')")})"
+
+
 @query("document_paragraphs")
 def document_paragraphs(spark, d):
     return ingest.paragraphs(table(spark, d, "documents"))
@@ -519,7 +530,7 @@ def document_paragraphs(spark, d):
 @query(
     "reference_cut",
     f"""WITH {_LINES}, n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY 1),
-h AS (SELECT doc_id, min(idx) AS cut FROM ln JOIN n USING (doc_id) WHERE length(line) <= 90 AND regexp_matches(regexp_replace(lower(line), '^[#*\\s\\x0b\\x85\\p{{Z}}]+|[#*:.\\s\\x0b\\x85\\p{{Z}}]+$', '', 'g'), '^(?:(?:[0-9]+(?:\\.[0-9]+)*|[ivx]+)[.)]?\\s+)?(?:{'|'.join(ingest.REFERENCE_HEADINGS)})$') AND idx >= greatest(5, CAST(ceil(0.45 * n) AS INTEGER)) GROUP BY 1)
+h AS (SELECT doc_id, min(idx) AS cut FROM ln JOIN n USING (doc_id) WHERE length(line) <= 90 AND {_HEADING('line')} IN {_IN(ingest.REFERENCE_HEADINGS)} AND idx >= greatest(5, CAST(ceil(0.45 * n) AS INTEGER)) GROUP BY 1)
 SELECT doc_id, CAST(idx AS INTEGER) AS idx, line FROM ln LEFT JOIN h USING (doc_id) WHERE cut IS NULL OR idx < cut""",
 )
 def reference_cut(spark, d):

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
 
 # Phrases of the statement grammar, with the predicate that each states.
 PHRASES = {
-    "is a subclass of": "IsSubclassOf",
-    "is equivalent to": "IsEquivalentTo",
+    "is subclass of": "IsSubclassOf",
+    "is dimension of": "IsDimensionOf",
+    "is threat to": "IsThreatTo",
     "contributes to": "ContributesTo",
-    "is a threat to": "IsThreatTo",
-    "is a dimension of": "IsDimensionOf",
-    "requires": "Requires",
-    "recommends": "Recommends",
-    "prohibits": "Prohibits",
+    "applies to": "AppliesTo",
+    "implements": "Implements",
+    "is an": "IsAn",
+    "is a": "IsA",
 }
 
 
@@ -29,18 +29,30 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(parts).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), F.regexp_replace("line", r"\p{Punct}+$", "").alias("line"))
 
 
-def parse_statements(rows: DataFrame, line: str = "line") -> DataFrame:
+def first_phrase(c: Column, phrases: dict[str, str], ignore_case: bool = True) -> Column:
+    """struct(at, n, predicate) of the phrase that stands first as whole words, of several there the longest; null if there is none. at counts from 0."""
+    found = []
+    for k, (phrase, predicate) in enumerate(phrases.items()):
+        rule = rf"{'(?i)' if ignore_case else ''}(?U)(?<!\w){re.escape(phrase)}(?!\w)"
+        before = F.length(F.split(c, rule, 2)[0])
+        found.append(F.struct(F.when(c.rlike(rule), before).alias("at"), F.lit(-len(phrase)).alias("n"), F.lit(k).alias("k"), F.lit(predicate).alias("predicate")))
+    return F.array_min(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))
+
+
+def parse_statements(rows: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
     """(subject, predicate, object, sentence) of lines `<subject> <phrase> <object>`.
 
-    The earliest phrase decides, of those the longest; blank lines, comments (#) and lines without a phrase give nothing;
-    a triple given twice, case of its names aside, counts once (the smallest sentence stays).
+    The earliest phrase decides, of those the longest, whatever its case; blank lines, comments (#) and lines without a phrase or a name on
+    either side give nothing; a triple given twice, case of its names aside, counts once (the first by `order`, else the smallest sentence).
     """
-    c = F.regexp_replace(text.strip(F.col(line)), r"\.+$", "")
-    found = F.array(*(F.struct(F.when(F.instr(F.lower(c), f" {p} ") > 0, F.instr(F.lower(c), f" {p} ")).alias("at"), F.lit(-len(p)).alias("n"), F.lit(v).alias("predicate")) for p, v in PHRASES.items()))
-    best = F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))
-    rows = rows.select(c.alias("sentence"), best.alias("b")).filter("b is not null and not startswith(sentence, '#')")
-    rows = rows.selectExpr("trim(substring(sentence, 1, b.at - 1)) as subject", "b.predicate as predicate", "trim(substring(sentence, b.at - b.n + 2)) as object", "sentence").filter("subject <> '' and object <> ''")
-    return rows.groupBy(F.lower("subject").alias("ls"), "predicate", F.lower("object").alias("lo")).agg(F.min(F.struct("subject", "object", "sentence")).alias("f")).select("f.subject", "predicate", "f.object", "f.sentence")
+    c = text.strip(F.col(line))
+    at = F.col(order) if order else F.lit(0)
+    rows = rows.select(c.alias("sentence"), at.alias("nth")).filter("sentence <> '' and not startswith(sentence, '#')")
+    rows = rows.withColumn("b", first_phrase(F.col("sentence"), PHRASES)).filter("b is not null")
+    subject, obj = text.name(F.expr("substring(sentence, 1, b.at)")), text.name(F.expr("substring(sentence, b.at - b.n + 1)"))
+    rows = rows.select(subject.alias("subject"), F.col("b.predicate").alias("predicate"), obj.alias("object"), "sentence", "nth").filter("subject <> '' and object <> ''")
+    first = rows.groupBy(F.lower("subject").alias("ls"), "predicate", F.lower("object").alias("lo")).agg(F.min(F.struct("nth", "sentence", "subject", "object")).alias("f"))
+    return first.select("f.subject", "predicate", "f.object", "f.sentence")
 
 
 def csv_triples(spark: SparkSession, path: str) -> DataFrame:

@@ -22,18 +22,18 @@ def frame(spark, rows):
 
 
 def test_overlap_and_coverage(spark):
-    e = frame(spark, [("explainability", "contributes_to", "transparency", [rec("iso", "RECOMMENDED"), rec("fraun")]), ("provider", "requires", "risk assessment", [rec("iso", "MANDATORY")]), ("system", "provides", "explanation", [rec("a", "mandatory"), rec("b", "OPTIONAL"), rec(" ")]), (" ", "requires", "x", [rec("iso")])])
+    e = frame(spark, [("pump", "feeds", "tank", [rec("m1", "OPTIONAL"), rec("m2")]), ("valve", "requires", "seal", [rec("m1", "MANDATORY"), rec("m1", "MANDATORY")]), ("pump", "needs", "valve", [rec("m2", "optional"), rec("m3", "PROHIBITED"), rec(None)]), ("seal", "  ", "pump", [rec("m3")])])
     r = provenance.records(e)
     cover = {x.doc: (x.assertions, x.concepts, x.normative) for x in provenance.document_coverage(r).collect()}
-    assert cover["iso"] == (2, 4, 2) and cover["fraun"] == (1, 2, 0)
-    got = {x.source: (x.verdict, x.modalities) for x in provenance.overlap_relations(e, r).collect()}
-    assert got == {"explainability": ("AGREEMENT", "RECOMMENDED"), "system": ("TENSION", "MANDATORY|OPTIONAL")}
+    assert cover == {"m1": (2, 4, 2), "m2": (2, 3, 1), "m3": (1, 2, 1)}
+    got = {(x.source, x.target): (x.n_docs, x.verdict, x.modalities) for x in provenance.overlap_relations(e, r).collect()}
+    assert got == {("pump", "tank"): (2, "AGREEMENT", "OPTIONAL"), ("pump", "valve"): (2, "TENSION", "OPTIONAL|PROHIBITED")}
 
 
 def test_conflicts(spark):
     e = frame(spark, [("s", "requires", "t", [rec("a", "MANDATORY"), rec("b", "OPTIONAL")]), ("c", "defines", "one", [rec("a")]), ("c", "defines", "two", [rec("b")]), ("x", "is_a", "y", [rec("a")]), ("y", "is_a", "x", [rec("b")]), ("v", "has_threshold", "1", [rec("a")]), ("v", "has_threshold", "2", [rec("b")])])
     r = provenance.records(e)
-    every = conflicts.modality(r).unionByName(conflicts.definition(r)).unionByName(conflicts.taxonomy(e, r, ("is_a",))).unionByName(conflicts.value(r, ("has_threshold",)))
+    every = conflicts.modality(r).unionByName(conflicts.definition(r)).unionByName(conflicts.taxonomy(e, r, ("is_a",))).unionByName(conflicts.value(r))
     kinds = {x.type: x.conflict_id for x in every.collect()}
     assert set(kinds) == {"MODALITY_CONFLICT", "DEFINITION_DIVERGENCE", "TAXONOMY_CONFLICT", "VALUE_CONFLICT"}
     left = conflicts.excluding(every, every.filter("type = 'VALUE_CONFLICT'"))
@@ -46,7 +46,7 @@ def test_conflicts_by_canonical_names(spark):
     aliases = spark.createDataFrame([("S2", "elsewhere"), ("T2", "t")], "name string, canonical string")
     canon = components.overlay(aliases, components.same_as(spark.createDataFrame([("s", "S2")], "a string, b string")))
     assert {tuple(x) for x in canon.collect()} == {("T2", "t"), ("s", "s"), ("S2", "s")}
-    each = [conflicts.modality(r, canon=canon), conflicts.modality(r, True, canon), conflicts.definition(r, canon=canon), conflicts.taxonomy(e, r, ("is_a",), canon), conflicts.value(r, ("has_threshold",), canon)]
+    each = [conflicts.modality(r, canon), conflicts.modality_pairs(r, canon), conflicts.definition(r, canon=canon), conflicts.taxonomy(e, r, ("is_a",), canon), conflicts.value(r, canon=canon)]
     assert [[(x.concept, x.side_a, x.side_b) for x in df.collect()] for df in each] == [[("s", "MANDATORY", "OPTIONAL")]] * 2 + [[("s", "one", "two")], [("s", "s", "t")], [("s", "1", "2")]]
 
 
@@ -54,10 +54,36 @@ def test_concepts_by_canonical_names(spark):
     from graphloom.plans import catalog
 
     d = "/root/testdata/sf0.001"
-    same = {x.name: x.canonical for x in catalog.full_canon(spark, d).collect()}
+    same = {x.name: x.canonical for x in catalog.canonical_names(spark, d).collect()}
     aligned = {x.term_a for x in catalog.latest_alignment_decision(spark, d).filter("accept").collect()}
     assert aligned and aligned <= set(same)
-    assert not {x.concept for x in catalog.concept_matrix_canonical(spark, d).collect()} & {k for k, v in same.items() if k != v}
+    assert not {x.concept for x in catalog.concept_matrix(spark, d).collect()} & {k for k, v in same.items() if k != v}
+
+
+def test_representatives_of_conflicts(spark):
+    e = frame(spark, [("s", "requires", "t", [rec("b", "MANDATORY"), rec("a", "MANDATORY"), rec("a", "OPTIONAL")]), ("s", "requires", "u", [rec("a", "MANDATORY"), rec("a", "OPTIONAL")]), ("c", "defines", "One", [rec("a"), rec("b")]), ("c", "defines", "one", [rec("d")]), ("c", "defines", "two", [rec("c")])])
+    r = provenance.records(e)
+    assert [(x.concept, x.side_a, x.doc_a, x.side_b, x.doc_b) for x in conflicts.modality_pairs(r).collect()] == [("s", "MANDATORY", "b", "OPTIONAL", "a")]
+    assert [(x.side_a, x.doc_a, x.side_b, x.doc_b) for x in conflicts.definition(r).collect()] == [("One", "a", "two", "c")]
+    assert sorted(map(tuple, conflicts.definition_members(r).collect())) == [("c", "one", "a"), ("c", "one", "b"), ("c", "one", "d"), ("c", "two", "c")]
+
+
+def test_decisions_on_conflicts(spark):
+    log = spark.createDataFrame([("x", "s", True, 1), ("x", "s", False, 2), ("y", "s", True, 2), ("z", "gone", True, 1), (" ", "s", True, 1), (None, None, None, None)], "conflict_id string, concept string, accepted boolean, decided_at int")
+    last = conflicts.recorded(log)
+    assert {(r.conflict_id, r.status) for r in last.collect()} == {("x", "dismissed"), ("y", "accepted"), ("z", "accepted")}
+    assert [tuple(r) for r in conflicts.involved(last, spark.createDataFrame([("s",)], "name string")).collect()] == [("y", "s")]
+
+
+def test_types_over_deep_and_cyclic_links(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(2000)] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c1", "n1999"), ("x", "x"), (None, "n1"), ("two", "n5"), ("two", "c1")]
+    types = spark.createDataFrame([("n2000", "T"), ("c3", "U"), ("two", "V"), (None, "W")], "name string, type string")
+    got = components.inherit(types, spark.createDataFrame(links, "name string, parent string"))
+    by: dict = {}
+    for r in got.collect():
+        by.setdefault(r.name, set()).add(r.type)
+    assert by["n0"] == {"T"} and by["c2"] == {"T", "U"} and by["two"] == {"T", "U", "V"} and len(by) == 2001 + 3 + 1
+    assert components.inherit(types.limit(0), spark.createDataFrame([], "name string, parent string")).count() == 0
 
 
 def test_predicates(spark):
@@ -94,9 +120,30 @@ def test_hot_keys(spark):
 
 
 def test_statement_grammar(spark):
-    lines = ["# note", "", "Robustness contributes to Safety.", "robustness contributes to safety", "A requires B which requires C", "nothing here", None]
-    got = sorted(tuple(r)[:3] for r in readers.parse_statements(spark.createDataFrame([(x,) for x in lines], "line string")).collect())
-    assert got == [("A", "Requires", "B which requires C"), ("Robustness", "ContributesTo", "Safety")]
+    lines = ["# note", "", "Robustness contributes to  Safety", "robustness Contributes To safety", "A is a B which is an X", "nothing here", None, "Tool implements", "is a thing", "Drift is threat to Trust.", "Thesis a topic"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, line string")
+    got = sorted(tuple(r) for r in readers.parse_statements(df, order="n").collect())
+    assert got == [("A", "IsA", "B which is an X", "A is a B which is an X"), ("Drift", "IsThreatTo", "Trust.", "Drift is threat to Trust."), ("Robustness", "ContributesTo", "Safety", "Robustness contributes to  Safety")]
+
+
+def test_synonyms_by_suffix(spark):
+    words = ["explainability", "visibility", "fairness", "density", "mitigation", "assessment", "audit", None, "ness"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.synonyms_by_suffix(F.col("w"))).collect()]
+    assert got[:7] == [["explainable", "explaination", "explain"], ["visible", "vision", "vis"], ["fair"], ["dens"], ["mitigate"], ["assess"], []] and not got[7] and not got[8]
+
+
+def test_headings(spark):
+    said = ["## 9. References:", "Section 4: Bibliography", "C. Works Cited", "IV References & Notes", "— Reference list —", "Sources", "Preferences", "References used here", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "h string").select(ingest.heading_key(F.col("h")).isin(*ingest.REFERENCE_HEADINGS)).collect()]
+    assert got == [True] * 5 + [False] * 4
+
+
+def test_search_fills_up_places(spark):
+    from graphloom.operators import encoder
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "id int, v array<float>")
+    got = {(r.query_id, r.nth): (r.row_id, r.score) for r in encoder.search(df, df, "id", "v", 2).collect()}
+    assert got == {(1, 1): (2, 0.707107), (1, 2): (None, 0.0), (2, 1): (1, 0.707107), (2, 2): (None, 0.0), (3, 1): (None, 0.0), (3, 2): (None, 0.0)}
 
 
 def test_json_answers():
