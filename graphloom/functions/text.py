@@ -66,6 +66,8 @@ DIMENSION_ALIASES = {
     "human agency and oversight": "Human oversight",
     "human-in-the-loop": "Human oversight",
 }
+# Forms of times in file names, logs and reports.
+DATES = {"compact": "yyyyMMdd_HHmmss'Z'", "iso": "yyyy-MM-dd'T'HH:mm:ss", "human": "MMM dd, yyyy, HH:mm 'UTC'"}
 # Predicates of taxonomies and of values.
 TAXONOMY = ("is_subclass_of", "is_dimension_of")
 VALUED = ("with_low", "with_high", "has_threshold", "with_default")
@@ -176,3 +178,10 @@ def wording_modality(sentence: Column) -> Column:
         .when(low.rlike(r"\b(?:may|can)\b"), "OPTIONAL")
         .otherwise("NONE")
     )
+
+
+def duration(seconds: Column) -> Column:
+    """A duration in words: 12.40s, 1m 15.20s, 1h 2m 3.00s."""
+    rest = seconds - F.floor(seconds / 60) * 60
+    minutes = F.floor(seconds / 60).cast("long")
+    return F.when(seconds < 60, F.format_string("%.2fs", seconds)).when(minutes < 60, F.format_string("%dm %.2fs", minutes, rest)).otherwise(F.format_string("%dh %dm %.2fs", F.floor(minutes / 60).cast("long"), minutes % 60, rest))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import text
 
@@ -65,6 +67,40 @@ def clean_chunk(c):
     return F.array_join(F.filter(F.transform(kept, text.name), lambda x: x != ""), " ")
 
 
+#: Where a chunk may end, the strongest first: between paragraphs, lines, words.
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def cut_points(said: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most `size` characters: each ends at the last strongest separator in its latter half, else anywhere; the next begins `overlap` characters before, after a white space if one is there."""
+    out, start = [], 0
+    while start < len(said):
+        end = min(len(said), start + size)
+        if end < len(said):
+            for sep in SEPARATORS:
+                at = said.rfind(sep, start + size // 2, end)
+                if at > 0:
+                    end = at + len(sep)
+                    break
+        out.append((start, end))
+        if end == len(said):
+            break
+        back = max(start + 1, end - overlap)
+        space = said.find(" ", back, end)
+        start = space + 1 if 0 <= space < end - 1 else max(back, start + 1)
+    return out
+
+
+def chunks(docs: DataFrame, key: str = "doc_id", body: str = "text", size: int = 700, overlap: int = 70) -> DataFrame:
+    """(key, nth, start_index, chunk) of the texts: overlapping chunks that cover all of them, those of white space alone left out; a null text has none."""
+    kind = T.ArrayType(T.StructType([T.StructField("start_index", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+
+    def run(said: pd.Series) -> pd.Series:
+        return said.map(lambda x: [{"start_index": a, "chunk": x[a:b]} for a, b in cut_points(x, size, overlap) if x[a:b].strip()] if x else [])
+
+    return docs.select(key, F.posexplode(F.pandas_udf(run, kind)(F.col(body))).alias("nth", "c")).select(key, "nth", "c.*")
+
+
 def keyword_gate(parts: DataFrame, body: str, keyword: str, synonyms: list[str], score: str, at_least: float = 0.45) -> DataFrame:
     """Adds match: exact (the keyword as whole words), synonym, near_paragraph_global (score at least `at_least`), else unmatched."""
     syn = F.lit(False)

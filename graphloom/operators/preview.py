@@ -43,9 +43,20 @@ def preview(triples: DataFrame, e: DataFrame, r: DataFrame) -> DataFrame:
     return j.select("triple_id", "subject", "predicate", "object", category.alias("category"), F.coalesce("subject_known", F.lit(False)).alias("subject_known"), F.coalesce("object_known", F.lit(False)).alias("object_known"))
 
 
-def relation_duplicates(triples: DataFrame) -> DataFrame:
-    """(s, rel, t, n, predicates): triples that are the same in normal form, with the spellings of their predicate."""
+def _normal_triples(triples: DataFrame) -> DataFrame:
     t = triples.filter("subject rlike '(?U)\\\\S' and predicate rlike '(?U)\\\\S' and object rlike '(?U)\\\\S'")
     rel = F.coalesce(text.relationship_type(F.col("predicate")), F.lower(text.strip(F.col("predicate"))))
-    g = t.groupBy(text.normal(F.col("subject")).alias("s"), rel.alias("rel"), text.normal(F.col("object")).alias("t")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(text.strip(F.col("predicate")))), "|").alias("predicates"))
+    return t.withColumns({"s": text.normal(F.col("subject")), "rel": rel, "t": text.normal(F.col("object"))})
+
+
+def relation_duplicates(triples: DataFrame) -> DataFrame:
+    """(s, rel, t, n, predicates): triples that are the same in normal form, with the spellings of their predicate."""
+    g = _normal_triples(triples).groupBy("s", "rel", "t").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(text.strip(F.col("predicate")))), "|").alias("predicates"))
     return g.filter("n > 1")
+
+
+def duplicate_members(triples: DataFrame) -> DataFrame:
+    """(triple_id, s, rel, t, predicate, sentence) of the triples in groups of relation_duplicates."""
+    t = _normal_triples(triples).select("triple_id", "s", "rel", "t", text.strip(F.col("predicate")).alias("predicate"), "sentence")
+    n = t.groupBy("s", "rel", "t").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return t.join(n, ["s", "rel", "t"], "left_semi").select("triple_id", "s", "rel", "t", "predicate", "sentence")

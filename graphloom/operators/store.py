@@ -12,23 +12,26 @@ RECORD = "struct<doc string, quality string, chunk_index int, chunk_excerpt stri
 
 
 def merge(incoming: DataFrame) -> DataFrame:
-    """One row for each (source, predicate, target): docs and records united in the order of edge_id, the first knowledge_type and creation.
+    """One row for each (source, predicate, target): docs and records united in the order of edge_id, the last knowledge_type, the first creation and the last update.
 
     Only distinct records and documents are gathered, in their first order; both are combined before they are shuffled.
     """
-    keyed = incoming.select(*TRIPLE, "edge_id", "docs", "records", "knowledge_type", "created_at")
+    updated = F.coalesce("last_updated_at", "created_at") if "last_updated_at" in incoming.columns else F.col("created_at")
+    keyed = incoming.select(*TRIPLE, "edge_id", "docs", "records", "knowledge_type", "created_at", updated.alias("last_updated_at"))
     rec = keyed.select(*TRIPLE, "edge_id", F.posexplode("records").alias("pos", "r")).filter("r is not null").groupBy(*TRIPLE, "r").agg(F.min(F.struct("edge_id", "pos")).alias("at"))
     rec = rec.groupBy(*TRIPLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("records"))
     doc = keyed.select(*TRIPLE, "edge_id", F.posexplode("docs").alias("pos", "d")).filter("d is not null").groupBy(*TRIPLE, "d").agg(F.min(F.struct("edge_id", "pos")).alias("at"))
     doc = doc.groupBy(*TRIPLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]).alias("docs"))
-    head = keyed.groupBy(*TRIPLE).agg(F.min("edge_id").alias("edge_id"), F.min_by("knowledge_type", F.when(F.col("knowledge_type").isNotNull(), F.col("edge_id"))).alias("knowledge_type"), F.min("created_at").alias("created_at"), F.max("created_at").alias("last_updated_at"))
+    head = keyed.groupBy(*TRIPLE).agg(F.min("edge_id").alias("edge_id"), F.max_by("knowledge_type", F.when(F.col("knowledge_type").isNotNull(), F.col("edge_id"))).alias("knowledge_type"), F.min("created_at").alias("created_at"), F.max("last_updated_at").alias("last_updated_at"))
     out = head.join(doc, [*TRIPLE], "left").join(rec, [*TRIPLE], "left")
     return out.select("edge_id", *TRIPLE, F.coalesce("docs", F.array().cast("array<string>")).alias("docs"), F.coalesce("records", F.array().cast(f"array<{RECORD}>")).alias("records"), "knowledge_type", "created_at", "last_updated_at")
 
 
 def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The stored table after an append-only upsert; doing it again changes nothing."""
-    return merge(current.select(*TRIPLE, "edge_id", "docs", "records", "knowledge_type", "created_at").unionByName(incoming.select(*TRIPLE, "edge_id", "docs", "records", "knowledge_type", "created_at")))
+    """The stored table after an append-only upsert; what comes in overwrites the knowledge_type and dates the update. Doing it again changes nothing."""
+    cols = [*TRIPLE, "edge_id", "docs", "records", "knowledge_type", "created_at"]
+    with_date = lambda df: df.select(*cols, F.coalesce("last_updated_at", "created_at").alias("last_updated_at") if "last_updated_at" in df.columns else F.col("created_at").alias("last_updated_at"))
+    return merge(with_date(current).unionByName(with_date(incoming)))
 
 
 def purge(e: DataFrame, knowledge_type: str) -> DataFrame:
@@ -86,3 +89,29 @@ def incident(e: DataFrame) -> DataFrame:
 def display_nodes(e: DataFrame) -> DataFrame:
     """(node_id, label) for a graph viewer; the id is the first 12 digits of the label's SHA-1."""
     return nodes(e).select(F.substring(F.sha1("name"), 1, 12).alias("node_id"), F.col("name").alias("label"))
+
+
+def numbered_edges(e: DataFrame) -> DataFrame:
+    """(nth, source_id, target_id, label) for a graph viewer: distinct triples by edge_id, numbered from 0, with the ids of display_nodes."""
+    from graphloom.operators.retrieval import batches
+
+    once = e.groupBy(*TRIPLE).agg(F.min("edge_id").alias("edge_id"))
+    ident = lambda c: F.substring(F.sha1(c), 1, 12)
+    return batches(once, "edge_id", 1).join(once, "edge_id").select(F.col("batch").alias("nth"), ident("source").alias("source_id"), ident("target").alias("target_id"), F.replace("predicate", F.lit("_"), F.lit(" ")).alias("label"))
+
+
+def combined_subgraph(e: DataFrame, keywords: list[str], limit: int = 50) -> DataFrame:
+    """(edge_id, source, predicate, target, nth_keyword): the subgraphs of the keywords united, each triple once, at the first keyword that finds it."""
+    out = None
+    for k, w in enumerate(keywords):
+        part = keyword_subgraph(e, w, limit).select("edge_id", *TRIPLE, F.lit(k).alias("nth_keyword"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*TRIPLE).agg(F.min(F.struct("nth_keyword", "edge_id")).alias("f")).select("f.edge_id", *TRIPLE, "f.nth_keyword")
+
+
+def nested(r: DataFrame) -> DataFrame:
+    """(edge_id, pos, source, edge, target): records as relations of two labelled nodes and an edge with its label and properties; the sentence falls back to the triple."""
+    node = lambda c: F.struct(F.col(c).alias("label"))
+    said = F.coalesce("text", F.concat_ws(" ", "source", "predicate", "target"))
+    edge = F.struct(F.col("predicate").alias("label"), F.struct(said.alias("sentence"), "doc", "modality", "chunk_index").alias("properties"))
+    return r.select("edge_id", "pos", node("source").alias("source"), edge.alias("edge"), node("target").alias("target"))

@@ -425,7 +425,7 @@ def display_nodes(spark, d):
 
 @query(
     "upsert_merge",
-    f"""WITH {_EDGES}, h AS (SELECT source, predicate, target, min(edge_id) AS edge_id, arg_min(knowledge_type, edge_id) FILTER (WHERE knowledge_type IS NOT NULL) AS knowledge_type, min(created_at) AS created_at FROM e GROUP BY ALL),
+    f"""WITH {_EDGES}, h AS (SELECT source, predicate, target, min(edge_id) AS edge_id, arg_max(knowledge_type, edge_id) FILTER (WHERE knowledge_type IS NOT NULL) AS knowledge_type, min(created_at) AS created_at FROM e GROUP BY ALL),
 dd AS (SELECT source, predicate, target, string_agg(x, '|' ORDER BY edge_id, pos) AS docs FROM (SELECT *, row_number() OVER (PARTITION BY source, predicate, target, x ORDER BY edge_id, pos) AS k FROM (SELECT source, predicate, target, edge_id, unnest(docs) AS x, generate_subscripts(docs, 1) AS pos FROM e) WHERE x IS NOT NULL) WHERE k = 1 GROUP BY ALL),
 rr AS (SELECT source, predicate, target, count(DISTINCT x) AS n_records FROM (SELECT source, predicate, target, unnest(records) AS x FROM e) WHERE x IS NOT NULL GROUP BY ALL)
 SELECT edge_id, source, predicate, target, coalesce(docs, '') AS docs, coalesce(n_records, 0) AS n_records, knowledge_type, created_at FROM h LEFT JOIN dd USING (source, predicate, target) LEFT JOIN rr USING (source, predicate, target)""",

@@ -4,16 +4,17 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from graphloom.plans import catalog
+from graphloom.plans import catalog, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False, name=None))
+    return sorted(tuple("NULL" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="session")
