@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +63,7 @@ NOISE = (r"(?i)doi:\s*\d+\.\d+/\S+", r"^\d+[:.]", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0
 
 def clean_chunk(c):
     """A chunk without the lines of NOISE, its lines collapsed and joined by one space; null gives an empty text."""
-    kept = F.split(F.coalesce(c, F.lit("")), "\n")
-    for rule in NOISE:
-        kept = F.filter(kept, lambda x, rule=rule: ~x.rlike(rule))
+    kept = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: ~reduce(lambda a, b: a | b, (x.rlike(rule) for rule in NOISE)))
     return F.array_join(F.filter(F.transform(kept, text.name), lambda x: x != ""), " ")
 
 

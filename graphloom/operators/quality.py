@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.functions import text
 from graphloom.operators import components
@@ -15,41 +16,76 @@ from graphloom.session import Scratch
 
 #: Least ratio of a candidate pair, and of a pair that is confirmed without a judge.
 LEXICAL, CONFIRMED = 0.82, 0.9
+#: Keys of a block.
+KEYS = 1000
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """How alike two texts are: twice the matching characters over all, by longest matching blocks."""
-    return F.pandas_udf(lambda x, y: pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)]), T.DoubleType())(a, b)
+def forms(names: DataFrame, name: str = "name") -> DataFrame:
+    """(key, form): the distinct names by their normal form, the smallest spelling of each; blank and null ones are left out."""
+    return names.select(text.normal(F.col(name)).alias("key"), text.strip(F.col(name)).alias("form")).filter("key <> ''").groupBy("key").agg(F.min("form").alias("form"))
 
 
-def _grams(key: Column) -> Column:
-    """The trigrams of a key between two marks at each end, repeated ones told apart, so that an inserted or deleted character costs at most three."""
-    padded = F.concat(F.lit("\x01\x01"), key, F.lit("\x02\x02"))
-    own = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.transform(own, lambda g, i: F.concat(g, F.lit("\x03"), F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+def _counts(keys: list[str], size: int, grams: int) -> np.ndarray:
+    """How often each hashed gram occurs in each key."""
+    out = np.zeros((len(keys), size), np.int16)
+    for i, k in enumerate(keys):
+        for j in range(len(k) - grams + 1):
+            out[i, zlib.crc32(k[j : j + grams].encode("utf-8", "surrogatepass")) % size] += 1
+    return out
 
 
-def forms(names: DataFrame, name: str = "name") -> DataFrame:
-    """(key, form): the distinct names by their normal form, the smallest spelling of each; blank and null ones are left out."""
-    return names.select(text.normal(F.col(name)).alias("key"), text.strip(F.col(name)).alias("form")).filter("key <> ''").groupBy("key").agg(F.min("form").alias("form"))
+def alike(left: list[str], right: list[str], least: float, same: bool) -> list[tuple[str, str, float]]:
+    """The pairs of a ratio of at least `least`; with the same keys on both sides each pair once.
+
+    What is compared in full is only what its letters allow (the ratio is at most twice the shared ones over all) and its pairs of letters:
+    every one of the at most (1 - least) * (la + lb) characters that a pair does not share can cost two of them.
+    """
+    letters, other = _counts(left, 32, 1), _counts(right, 32, 1)
+    la, lb = (np.array([len(k) for k in x], np.int64) for x in (left, right))
+    hits = []
+    for i in range(len(left)):
+        shared = np.minimum(letters[i], other).sum(1)
+        ok = np.flatnonzero(2 * shared >= least * (la[i] + lb) - 1e-9)
+        hits.append(np.stack([np.full(len(ok), i), ok]))
+    i, j = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
+    if same:
+        i, j = i[i < j], j[i < j]
+    pairs, other = _counts(left, 128, 2), _counts(right, 128, 2)
+    out = []
+    for at in range(0, len(i), 20_000):
+        p, q = i[at : at + 20_000], j[at : at + 20_000]
+        lost = 2 * (1 - least) * (la[p] + lb[q])
+        for x, y in zip(*(v[np.minimum(pairs[p], other[q]).sum(1) >= np.maximum(la[p], lb[q]) - 1 - lost - 1e-9].tolist() for v in (p, q))):
+            a, b = sorted((left[x], right[y]))
+            matcher = difflib.SequenceMatcher(None, a, b)
+            if a != b and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
+                out.append((a, b, r))
+    return out
 
 
 def similar_forms(f: DataFrame, least: float = LEXICAL) -> DataFrame:
-    """(a, b, ratio), a < b: the pairs of keys whose ratio is at least `least`, all of them, without comparing all pairs.
+    """(a, b, ratio), a < b: the pairs of keys whose ratio is at least `least`, all of them.
 
-    A pair of this ratio differs by at most (1 - least) * (la + lb) single characters, each of which costs at most three of the
-    max(la, lb) + 2 trigrams, and one of length l has a partner of at most l * least / (2 - least) to its inverse. Hence it shares one of its
-    rarest grams, as many as can be lost and one more; only these are joined. Candidates are then checked by their ratio.
+    Keys of one length lie in blocks of about KEYS, and a block meets only those of lengths that allow the ratio, in a task of its own; in
+    a task few pairs are compared in full (see alike). The work grows with the square of the distinct names.
     """
-    s = Scratch(f.sparkSession)
-    g = s.write(f.select("key", F.length("key").alias("n"), F.posexplode(_grams(F.col("key"))).alias("i", "gram")).drop("i"))
-    count = g.groupBy("gram").agg(F.count("*").alias("df"))
-    # Lost at most: 3 * (1 - least) * (n + longest partner).
-    lost = F.ceil(F.lit(3 * (1 - least)) * (F.col("n") + F.col("n") * F.lit((2 - least) / least)) + F.lit(1e-9)).cast("int")
-    rare = g.join(count, "gram").withColumn("lost", lost).selectExpr("key", "n", "gram", "lost", "row_number() over (partition by key order by df, gram) as nth").filter("nth <= lost + 1")
-    a, b = rare.select("gram", F.col("key").alias("a"), F.col("n").alias("na")), rare.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "gram").filter(f"a < b and 2 * least(na, nb) >= {least} * (na + nb) - 1e-9").select("a", "b").distinct()
-    return near.withColumn("ratio", ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= least)
+    spark = f.sparkSession
+    k = Scratch(spark).write(f.select("key", F.length("key").alias("n")))
+    sizes = k.groupBy("n").agg(F.count("*").alias("c")).select(F.col("n"), F.ceil(F.col("c") / KEYS).cast("int").alias("blocks"))
+    k = k.join(F.broadcast(sizes), "n").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # Each pair of blocks, the one of the shorter keys first; lengths are few, whatever the keys.
+    b = sizes.select("n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    met = b.alias("x").join(F.broadcast(b).alias("y"), F.expr(f"(x.n < y.n or (x.n = y.n and x.own <= y.own)) and 2 * x.n >= {least} * (x.n + y.n) - 1e-9"))
+    met = met.selectExpr("x.n as xn", "x.own as xb", "y.n as yn", "y.own as yb")
+    left = k.select(F.col("n").alias("xn"), F.col("own").alias("xb"), "key").join(F.broadcast(met), ["xn", "xb"])
+    right = k.select(F.col("n").alias("yn"), F.col("own").alias("yb"), "key").join(F.broadcast(met), ["yn", "yb"])
+    unit = ["xn", "xb", "yn", "yb"]
+    right = right.select(*(F.col(c).alias(c) for c in unit), F.col("key").alias("other"))  # columns of its own beside those of left
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(alike([*x["key"]], [*y["other"]], least, key[:2] == key[2:]), columns=["a", "b", "ratio"])
+
+    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(run, "a string, b string, ratio double")
 
 
 def contained_forms(f: DataFrame, shortest: int = 4) -> DataFrame:
