@@ -30,7 +30,7 @@ SECTION_PREFIX = r"(?i)^\s*(?:(?:section|chapter)\s+)?(?:(?:\d+(?:\.\d+)*)|(?:[i
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """(key, idx, paragraph): the texts cut at blank lines, blank parts left out, idx from 0; a null text has none."""
-    parts = F.filter(F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n[ \t]*\n+"), lambda p: F.trim(F.regexp_replace(p, "[\n\t]", " ")) != "")
+    parts = F.filter(F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n[ \t]*\n+"), lambda p: text.strip(p) != "")
     return docs.select(key, F.posexplode(parts).alias("idx", "paragraph"))
 
 

@@ -366,9 +366,13 @@ def relation_duplicates(spark, d):
 
 
 # --- graph --------------------------------------------------------------------------------------------
-@query("same_as_clusters")
+@query(
+    "same_as_clusters",
+    f"""WITH RECURSIVE {_EDGES}, lk AS (SELECT source AS a, target AS b FROM e WHERE predicate = 'is_equivalent_to' AND source <> target UNION SELECT target, source FROM e WHERE predicate = 'is_equivalent_to' AND source <> target),
+rc AS (SELECT a AS name, a AS other FROM lk UNION SELECT rc.name, lk.b FROM rc JOIN lk ON lk.a = rc.other) SELECT name, arg_min(other, (length(other), other)) AS canonical FROM rc GROUP BY name""",
+)
 def same_as_clusters(spark, d):
-    """Clusters over is_equivalent_to links; tested against union-find on small graphs."""
+    """Clusters over is_equivalent_to links."""
     return components.same_as(edges(spark, d).filter("predicate = 'is_equivalent_to'").select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
@@ -522,7 +526,7 @@ _ENDS = lambda c: f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"  # noqa
 _HEADING = lambda c: f"lower({_ENDS('regexp_replace(' + f"replace(regexp_replace({_ENDS('regexp_replace(' + _ENDS('regexp_replace(' + _ENDS(c) + ", '^[#*•\\-–— ]+', '')") + f", '{_SECTION}', '', 'i')")}, '^{_MARKS}|{_MARKS}$', '', 'g'), '&', ' and ')" + f", '{_SPACE}', ' ', 'g')")})"
 
 
-@query("document_paragraphs")
+@query("document_paragraphs", "SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS idx, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n+'), lambda x: trim(x) <> '') AS p FROM documents WHERE text IS NOT NULL)")
 def document_paragraphs(spark, d):
     return ingest.paragraphs(table(spark, d, "documents"))
 
@@ -537,7 +541,10 @@ def reference_cut(spark, d):
     return ingest.cut_references(ingest.lines(table(spark, d, "documents")), body="line")
 
 
-@query("clean_chunks")
+_NOISE = " AND ".join(f"NOT regexp_matches(x, '{r}')" for r in ingest.NOISE)
+
+
+@query("clean_chunks", f"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_NOISE}), lambda x: {_NAME('x')}), lambda x: x <> ''), ' ') AS chunk FROM documents")
 def clean_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", ingest.clean_chunk(F.col("text")).alias("chunk"))
 
@@ -718,6 +725,14 @@ def rejected_edges(spark, d):
     return raw(spark, d).select("edge_id").join(edges(spark, d).select("edge_id"), "edge_id", "left_anti")
 
 
+_TREE = f"""WITH RECURSIVE lk AS (SELECT node, min(parent) AS parent FROM (SELECT trim(source) AS node, trim(target) AS parent FROM provenance_edges WHERE lower(regexp_replace(predicate, '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 'issubclassof' AND trim(source) <> '' AND trim(target) <> '') GROUP BY node),
+up AS (SELECT node, parent AS cur, [node] AS path FROM lk UNION ALL SELECT up.node, lk.parent, list_append(up.path, lk.node) FROM up JOIN lk ON lk.node = up.cur WHERE NOT list_contains(up.path, up.cur)),
+en AS (SELECT * FROM up WHERE list_contains(path, cur) OR cur NOT IN (SELECT node FROM lk)),
+tr AS (SELECT node, cur AS root, list_reverse(list_append(path, cur)) AS path FROM en WHERE NOT list_contains(path, cur) UNION ALL SELECT DISTINCT cur, cur, [cur] FROM en WHERE NOT list_contains(path, cur))"""
+SQL["p3_found"] = f"""{_TREE}, nd AS (SELECT cur AS node, count(*) AS n FROM up WHERE NOT list_contains(path, cur) GROUP BY cur)
+SELECT node, 'tree' AS kind, root, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, ' > ') AS path, CAST(coalesce(n, 0) AS INTEGER) AS n_desc FROM tr LEFT JOIN nd USING (node)
+UNION ALL SELECT node, CASE WHEN cur = node THEN 'cycle' ELSE 'below_cycle' END, '', -1, '', -1 FROM en WHERE list_contains(path, cur)"""
+SQL["p3_descendants"] = f"{_TREE} SELECT ancestor, node, CAST(n - nth AS INTEGER) AS distance FROM (SELECT node, len(path) AS n, unnest(path) AS ancestor, generate_subscripts(path, 1) AS nth FROM tr) WHERE nth < n"
 QUERIES["p3_found"] = hierarchy.p3_found
 QUERIES["p3_descendants"] = hierarchy.p3_descendants
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +94,70 @@ def first_json_object(said: str | None) -> str | None:
             k += 1
         start = said.find("{", start + 1)
     return None
+
+
+def read_source(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    """Rows of a source by its kind: TEXT (path, line_no, line), CHUNKS (path, nth, start_index, chunk) or PARAGRAPHS (path, idx, paragraph) of text files.
+
+    PDF files need a parser, which this library does not have: they raise an error, as any other kind does.
+    """
+    from graphloom.operators import ingest
+
+    if kind == "TEXT":
+        return text_lines(spark, path)
+    if kind in ("CHUNKS", "PARAGRAPHS"):
+        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+        return ingest.chunks(whole, "path", "text", **options) if kind == "CHUNKS" else ingest.paragraphs(whole, "path", "text")
+    raise ValueError(f"no reader for {kind}")
+
+
+def synonym_file(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
+    """(keyword, synonyms) of a JSON object {keyword: [synonym, ...]}: keywords in normal form, synonyms distinct without case and without the keyword, at most `limit`; a malformed or missing file gives none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    empty = spark.createDataFrame([], "keyword string, synonyms array<string>")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return empty
+    said = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("k", "v")).filter("v is not null")
+    said = said.select(text.normal(F.col("k")).alias("keyword"), F.posexplode("v").alias("at", "s")).withColumn("s", text.name(F.col("s"))).filter("keyword <> '' and s <> '' and lower(s) <> keyword")
+    first = said.groupBy("keyword", F.lower("s").alias("low")).agg(F.min(F.struct("at", "s")).alias("f"))
+    return first.groupBy("keyword").agg(F.slice(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["s"]), 1, limit).alias("synonyms"))
+
+
+def write_synonyms(df: DataFrame, path: str) -> None:
+    """The small table (keyword, synonyms) as one JSON object with sorted keys, written aside and renamed."""
+    spark = df.sparkSession
+    rows = {r.keyword: [*r.synonyms] for r in df.orderBy("keyword").collect()}
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    at, aside = Path(path), Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray((json.dumps(rows, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(aside, at)
+
+
+def keyword_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(keyword) of a list of one keyword a line: trimmed, blank lines left out."""
+    return spark.read.text(path).select(text.strip(F.col("value")).alias("keyword")).filter("keyword <> ''")
+
+
+def articles(spark: SparkSession, path: str, fields: tuple[str, ...] = ("id", "topic", "essay", "facts", "source")) -> DataFrame:
+    """(ordinal, fields) of a cached data set of articles in JSON lines, numbered in the order of their first field from 0; missing fields are null."""
+    from graphloom.operators.retrieval import batches
+
+    rows = spark.read.schema(", ".join(f"`{f}` string" for f in fields)).json(path)
+    return rows.join(batches(rows, fields[0], 1).withColumnRenamed("batch", "ordinal"), fields[0]).select("ordinal", *fields)
+
+
+def write_stage(df: DataFrame, folder: str, stage: str) -> str:
+    """The payload of a stage as JSON lines under folder/stage; the path."""
+    at = f"{folder}/{stage}"
+    df.write.mode("overwrite").json(at)
+    return at
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report for download, as CSV with a header or as JSON lines."""
+    writer = df.write.mode("overwrite")
+    writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
