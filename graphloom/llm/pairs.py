@@ -61,7 +61,7 @@ GENERAL_TIMES = 40
 PLACEHOLDERS = frozenset("na none null nil nan tbd tba todo blank empty noanswer norationale norationalegiven norationaleprovided notavailable notapplicable notgiven notprovided unknown pending missing undefined placeholder nocomment nothing noresponse nodata xxx xx x insertrationalehere rationale keineangabe keine keineantwort leer ka sinrespuesta ninguno ninguna vacío nd aucun aucune néant sansréponse pasderéponse vide nessuno nessunarisposta vuoto".split())
 REFUSAL = regex.compile(
     r"""\b(?:as\ an?\ (?:ai|artificial|language)\b
-    |(?:i(?:['’]?m|\ am)|we\ are)\ (?:sorry|afraid|unable|not\ (?:able|allowed|permitted|in\ a\ position))\b(?!\ to\ (?:find|see|locate|detect|match|identify|trace|spot)\b)
+    |(?:i(?:['’]?m|\ am)|we\ are)\ (?:sorry|afraid|unable|not\ (?:able|allowed|permitted|in\ a\ position))\b(?!\ to(?:\ (?:find|see|locate|detect|match|identify|trace|spot)\b|\ ?(?:…|\.\.\.)|\ ?$|\ (?:f|fi|fin|s|se|sp|spo|l|lo|loc|loca|locat|d|de|det|dete|detec|m|ma|mat|matc|i|id|ide|iden|ident|identi|identif|t|tr|tra|trac)$))
     |i\ (?:apologi[sz]e|decline|refuse|abstain)\b|i\ (?:must|have\ to|need\ to|would\ rather|prefer\ to)\ (?:decline|refrain|abstain|refuse|pass)\b
     |it\ is\ not\ possible\ for\ me\b|refrain\ from\ (?:an?y?\ )?(?:assessment|judg|comment)
     |i\ (?:can(?:not|['’]?t|\ not)|won['’]?t|will\ not|could\ not|couldn['’]?t|may\ not|must\ not)\ (?:\w+ly\ )?(?:judge|compare|assist|help|provide|rate|comply|answer|evaluate|assess|decide|continue|discuss|process|respond|do|give|make|offer|fulfil|take|complete|perform|comment)
@@ -75,6 +75,7 @@ REFUSAL = regex.compile(
 )
 _QUOTED = regex.compile(r"«[^«»]*»|„[^„“”]*[“”]|“[^“”]*”|\"[^\"]*\"|‘[^‘’]*’(?!\w)|‹[^‹›]*›")
 _REFUSAL_HINT = re.compile(r"\b(?:i|we|me|my|ai|ich|ki|mir|je|ia|désolée?|lo|no|debo|lamentablemente|como|mi|non|sono|come|unable|able|impossible|refrain|leider|bedaure|bedauerlicherweise|en tant)\b", re.IGNORECASE)
+_SENTENCE_END = re.compile(r"[.!?;。]\s+")
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W_]+")
 _RUN = re.compile(r"[^\W\d_]+")
@@ -174,6 +175,11 @@ I have been told not to comment on such matters. | It would be inappropriate for
 My apologies, but I am unwilling to answer. | I choose not to respond to this prompt. | Please consult a professional, I can give no advice on it. | Answering would violate my policy. | I'm not permitted to offer a judgement. | Regrettably I can be of no help here.
 I lack the authority to decide this, ask somebody else. | This falls outside my competence, so I abstain. | We must turn down this request. | I was not designed to evaluate this kind of content. | As a language model I do not hold opinions. | I shall not take a position.
 That is a matter I prefer to stay out of. | Unable to comply with this instruction. | I can not fulfil this task, thank you for your understanding.
+A judgement on this is not available. | No verdict will be given here. | It is declined to rate such content. | The question has to stay unanswered for policy reasons. | This prompt may not be processed under the usage policy. | An opinion can not be offered in this case, contact legal counsel. | Requests of this type are refused. | For questions of law please turn to an attorney.
+No answer can be provided because of safety policies. | This task was rejected, it breaks the terms of use. | The system is not allowed to evaluate this input. | Evaluation of such items is not supported. | Help with that can not be given. | Assessing this would be against the rules.
+Eine Bewertung ist hier nicht möglich, bitte fragen Sie einen Juristen. | Die Anfrage wird abgelehnt. | Hierzu kann keine Auskunft erteilt werden. | Diese Aufgabe darf nach den Nutzungsregeln nicht bearbeitet werden. | Eine Einschätzung wird nicht abgegeben. | Rechtliche Fragen werden hier nicht beantwortet.
+Aucun avis ne peut être donné ici, adressez-vous à un avocat. | La demande est rejetée. | Cette requête ne peut pas être traitée selon les règles d’utilisation. | Une évaluation n’est pas possible. | Il n’est pas permis de répondre à cette question.
+No se puede dar una opinión aquí, consulte a un abogado. | La solicitud se rechaza. | Esta petición no puede tramitarse según las normas de uso. | No es posible ofrecer una valoración. | No está permitido responder a esta pregunta.
 Dazu möchte ich mich nicht äußern. | Das zu beurteilen steht mir nicht zu. | Bei dieser Anfrage muss ich passen. | Hierzu gebe ich kein Urteil ab. | Ich enthalte mich einer Bewertung. | Diese Frage liegt außerhalb meiner Zuständigkeit. | Bitte wenden Sie sich an eine Fachperson, ich darf nicht beraten.
 Entschuldigung, dabei helfe ich nicht. | Meine Richtlinien verbieten mir eine Antwort. | Das lehne ich ab. | Als Sprachmodell habe ich keine Meinung. | Es ist mir nicht gestattet, eine Einschätzung zu geben. | Ich sehe mich außerstande, diese Aufgabe zu erfüllen. | Eine Entscheidung treffe ich hier nicht. | Dafür bin ich nicht der richtige Ansprechpartner.
 Je préfère ne pas me prononcer sur ce point. | Il ne m’appartient pas de juger cela. | Désolé, cette demande dépasse mes compétences. | Je m’abstiens de tout avis. | Je n’ai pas le droit de donner une évaluation. | Mes règles m’interdisent de répondre. | Veuillez consulter un spécialiste, je ne donne pas de conseil.
@@ -200,15 +206,22 @@ class Refusals:
     @staticmethod
     def fit(sound: list[str]) -> Refusals:
         told = [t.strip() for line in REFUSALS.strip().splitlines() for t in line.split("|")]
-        yes, no = (Counter(f for t in texts for f in _features(t)) for texts in (told, [t for t in sound if not REFUSAL.search(_QUOTED.sub(" ", t))]))
+        told = [p for t in told for p in _SENTENCE_END.split(t)]
+        sound = [p for t in sound if not REFUSAL.search(_QUOTED.sub(" ", t)) for p in _SENTENCE_END.split(_QUOTED.sub(" ", t))]
+        yes, no = (Counter(f for t in texts for f in _features(t)) for texts in (told, sound))
         n, m = len(told), max(1, len(sound))
+        no = Counter({f: c - 1 for f, c in no.items() if c > 1})  # one answer alone is no evidence: it may be the one that is judged
         for f in {f for t in GENERAL.values() for f in words(t)}:  # frequent words of a language that the answers lack are no sign of a refusal
             no[f] += max(1, m // 20)
         return Refusals({f: float(np.log((yes[f] + 0.1) / (n + 0.2)) - np.log((no[f] + 0.1) / (m + 0.2))) for f in {*yes, *no}})
 
     def declines(self, text: str) -> bool:
-        known = [self.odds[f] for f in _features(text) if f in self.odds]
-        return sum(known) > max(REFUSED, REFUSED_EACH * len(known))
+        """Whether any sentence of the text reads like a refusal."""
+        for part in _SENTENCE_END.split(_QUOTED.sub(" ", text)):
+            known = [self.odds[f] for f in _features(part) if f in self.odds]
+            if sum(known) > max(REFUSED, REFUSED_EACH * len(known)):
+                return True
+        return False
 
 
 def fit_refusals(answers: DataFrame, text: str) -> Refusals:

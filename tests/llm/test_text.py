@@ -139,6 +139,7 @@ def test_defects(spark):
         20: (q, "The neighbour covers the plan, but the", [], "truncated"),
         21: (q, "The neighbour covers the signed audit pl…", [], "truncated"),
         22: (q, sound[0], ["signed aud"], "truncated"),
+        24: (q, "The edges decline to name the plan, and I am not able to …", [], "truncated"),
         23: (None, sound[0], None, None),
     }
     rows += [(i, a, neighbours, b, c, None) for i, (a, b, c, _) in cases.items()]
@@ -186,7 +187,8 @@ def test_refusals_with_phrasings_that_were_not_seen():
         "Il ne m’est pas permis de juger, veuillez demander à un spécialiste.",
         "Me abstengo de opinar sobre esta frase.",
         "No me corresponde decidir, consulte a un profesional.",
+        "The neighbours are close. An answer to this can not be given for policy reasons.",
     ]
     declined = [model.declines(t) or bool(pairs.REFUSAL.search(t)) for t in refused]
-    assert sum(declined) >= 9, [t for t, d in zip(refused, declined) if not d]
+    assert sum(declined) >= 10, [t for t, d in zip(refused, declined) if not d]
     assert not [t for t in sound if model.declines(t)]
