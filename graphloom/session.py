@@ -79,6 +79,14 @@ def unique_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     return left.filter(is_hot).join(F.broadcast(right.filter(F.col(on).isin(hot))), on, how).unionByName(left.filter(~is_hot).join(right.filter(~F.col(on).isin(hot)), on, how))
 
 
+def hashed_share(c: Column, k: int, n: int, seed: int = 0) -> Column:
+    """Whether a value is among the about k of n values that a hash chooses; all of them if n is at most k.
+
+    Each row is decided where it lies, so that a sample of bounded size costs no sort and sends nothing but itself to the driver.
+    """
+    return F.lit(True) if n <= k else F.pmod(F.xxhash64(F.lit(seed), c), F.lit(2**40)) < F.lit(2**40 * k // n)
+
+
 def blank(c: Column | str) -> Column:
     """Null, or nothing but white space."""
     c = F.col(c) if isinstance(c, str) else c
