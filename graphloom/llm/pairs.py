@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import Scratch, unique_join
+from graphloom.session import Scratch, hashed_share, unique_join
 
 #: Labelled texts that the language model is fitted on, of each language, none longer than this.
 PER_LANGUAGE, LONGEST = 300, 20_000
@@ -225,10 +225,10 @@ class Refusals:
 
 
 def fit_refusals(answers: DataFrame, text: str) -> Refusals:
-    """Fit on REFUSALS against at most SAID distinct answers, chosen by hash; null, blank and longer ones give nothing."""
-    rows = answers.select(F.col(text).cast("string").alias("t")).filter(F.length(F.trim("t")).between(1, SAID_LONGEST)).distinct()
-    rows = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(SAID)
-    return Refusals.fit([r.t for r in rows.select("t").collect()])
+    """Fit on REFUSALS against about SAID distinct answers, chosen by hash; null, blank and longer ones give nothing."""
+    rows = answers.select(F.col(text).cast("string").alias("t")).filter(F.length(F.trim("t")).between(1, SAID_LONGEST))
+    n = rows.select(F.xxhash64("t").alias("h")).distinct().count()
+    return Refusals.fit(sorted(r.t for r in rows.filter(hashed_share(F.col("t"), SAID, n)).distinct().collect()))
 
 
 # --- how texts end ---------------------------------------------------------------------------

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import Scratch, free_name, unique_join
+from graphloom.session import Scratch, free_name, hashed_share, unique_join
 
 SEED = 7
 #: Sorted arrays of a cell, collisions that make a candidate, and window widths as shares of the last.
@@ -253,7 +253,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.
     once); of a group of copies only the k + 1 smallest keys can be neighbours, so that a vector held by a third of
     all rows costs no more than any other. Fewer than two vectors give an empty result. Other columns are ignored.
 
-    The index is fitted on at most MOST_PIVOTS vectors (pivots_for), the smallest by hash; every vector is indexed. What
+    The index is fitted on about pivots_for(n) vectors, MOST_PIVOTS at most, chosen by hash; every vector is indexed. What
     reaches the driver is these and the sizes of their cells.
     """
     spark = df.sparkSession
@@ -270,7 +270,9 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.
     vectors = s.write(vectors)
     if vectors.count() > n:  # a key given twice with one vector
         vectors = s.write(vectors.groupBy("rep").agg(F.first("v").alias("v")))
-    sample = np.array([r.v for r in vectors.withColumn("h", F.xxhash64(F.lit(SEED), "rep")).orderBy("h", "rep").limit(pivots_for(n)).select("v").collect()], np.float64).reshape(-1, dim)
+    sample = np.array([r.v for r in vectors.filter(hashed_share(F.col("rep"), pivots_for(n), n, SEED)).orderBy("rep").select("v").collect()], np.float64).reshape(-1, dim)
+    if n and not len(sample):  # few vectors, none of which the hash chose
+        sample = np.array([r.v for r in vectors.limit(1).select("v").collect()], np.float64).reshape(-1, dim)
     pivots = thin((sample / np.linalg.norm(sample, axis=1)[:, None]).astype(np.float32))
     blocks = np.ones(max(1, len(pivots)), np.int64)
     for r in vectors.select("v").mapInArrow(_sizes(dim, pivots), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(f"n > {BLOCK}").collect():
