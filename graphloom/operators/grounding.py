@@ -254,13 +254,24 @@ def predicate_hints(body: Column) -> Column:
 
 
 def class_hints(body: Column, classes: list[str], most: int = 8) -> Column:
-    """Class names that stand in a text as whole words, then those of CLASS_WORDS; the first `most`."""
-    said = text.key_words(F.coalesce(body, F.lit("")))
-    padded = F.concat(F.lit(" "), said, F.lit(" "))
-    none = F.array().cast("array<string>")
-    named = [F.when(padded.contains(f" {k} "), F.array(F.lit(c))).otherwise(none) for c in sorted(classes) if len(k := phrases.schema_key(c)) >= 4]
-    extra = [F.when(said.contains(w), F.array(F.lit(c))).otherwise(none) for w, c in CLASS_WORDS.items()]
-    return F.slice(F.array_distinct(F.concat(*named, *extra)), 1, most)
+    """Class names that stand in a text as whole words, by name, then those of CLASS_WORDS; the first `most`.
+
+    The spans of a text are looked up among the classes, of which a schema has no more than SCAN.
+    """
+    by_key: dict[str, list[str]] = {}
+    for c in sorted(classes):
+        if len(k := phrases.schema_key(c)) >= 4:
+            by_key.setdefault(k, []).append(c)
+    longest = max((len(k.split()) for k in by_key), default=0)
+
+    def hints(said: str | None) -> list[str]:
+        key = phrases.schema_key(said or "")
+        w = key.split()
+        spans = {" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)}
+        named = sorted(c for k in spans for c in by_key.get(k, ()))
+        return [*dict.fromkeys([*named, *(c for x, c in CLASS_WORDS.items() if x in key)])][:most]
+
+    return F.pandas_udf(lambda s: s.map(hints), T.ArrayType(T.StringType()))(body)
 
 
 def confidence(best: Column, classes: Column, hints: Column) -> Column:

@@ -72,13 +72,14 @@ def similar_forms(f: DataFrame, least: float = LEXICAL) -> DataFrame:
     spark = f.sparkSession
     k = Scratch(spark).write(f.select("key", F.length("key").alias("n")))
     sizes = k.groupBy("n").agg(F.count("*").alias("c")).select(F.col("n"), F.ceil(F.col("c") / KEYS).cast("int").alias("blocks"))
-    k = k.join(F.broadcast(sizes), "n").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Each pair of blocks, the one of the shorter keys first; lengths are few, whatever the keys.
+    k = k.join(sizes, "n").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # Each pair of blocks, the one of the shorter keys first.
     b = sizes.select("n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    met = b.alias("x").join(F.broadcast(b).alias("y"), F.expr(f"(x.n < y.n or (x.n = y.n and x.own <= y.own)) and 2 * x.n >= {least} * (x.n + y.n) - 1e-9"))
-    met = met.selectExpr("x.n as xn", "x.own as xb", "y.n as yn", "y.own as yb")
-    left = k.select(F.col("n").alias("xn"), F.col("own").alias("xb"), "key").join(F.broadcast(met), ["xn", "xb"])
-    right = k.select(F.col("n").alias("yn"), F.col("own").alias("yb"), "key").join(F.broadcast(met), ["yn", "yb"])
+    longest = F.floor(F.col("n") * F.lit((2 - least) / least) + F.lit(1e-9)).cast("int")
+    met = b.select(F.col("n").alias("xn"), F.col("own").alias("xb"), F.explode(F.sequence(F.col("n"), longest)).alias("yn"))
+    met = met.join(b.select(F.col("n").alias("yn"), F.col("own").alias("yb")), "yn").filter("xn < yn or xb <= yb")
+    left = k.select(F.col("n").alias("xn"), F.col("own").alias("xb"), "key").join(met, ["xn", "xb"])
+    right = k.select(F.col("n").alias("yn"), F.col("own").alias("yb"), "key").join(met, ["yn", "yb"])
     unit = ["xn", "xb", "yn", "yb"]
     right = right.select(*(F.col(c).alias(c) for c in unit), F.col("key").alias("other"))  # columns of its own beside those of left
 

@@ -369,7 +369,7 @@ def schema_matches(spark, d):
 def grounding_confidence(spark, d):
     """How well each kept quality is grounded."""
     s = schema(spark, d)
-    classes = sorted({r[0] for r in grounding.node_types(s, TYPING).select("type").distinct().limit(200).collect()} | {*grounding.ROLES.values()})
+    classes = sorted({r[0] for r in grounding.node_types(s, TYPING).select("type").distinct().collect()} | {*grounding.ROLES.values()})
     q = table(spark, d, "kept_qualities").select("vec_id", "quality")
     best = schema_matches(spark, d).filter("nth = 1").select("vec_id", "score")
     return q.join(best, "vec_id", "left").select("vec_id", F.round(grounding.confidence(F.col("score"), grounding.class_hints(F.col("quality"), classes), grounding.predicate_hints(F.col("quality"))), 3).alias("confidence"))
