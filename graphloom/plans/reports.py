@@ -51,11 +51,12 @@ def kept_report(spark, d):
     return catalog.similarity_kept(spark, d).orderBy(F.desc("max_score"), "query_id")
 
 
-@query("review_sheet", f"WITH {_RECORDS} SELECT chunk_index, text AS quality, edge_id, pos, source, predicate, target, doc FROM (SELECT * REPLACE (pos - 1 AS pos) FROM r) ORDER BY chunk_index NULLS LAST, quality NULLS LAST, edge_id, pos")
+@query("review_sheet", f"WITH {_RECORDS} SELECT coalesce(CAST(chunk_index AS VARCHAR), '') AS chunk, text AS quality, edge_id, pos, source, predicate, target, doc FROM (SELECT * REPLACE (pos - 1 AS pos) FROM r) ORDER BY chunk_index NULLS LAST, quality NULLS LAST, edge_id, pos")
 def review_sheet(spark, d):
     """The records by chunk and quality, those without one last."""
     r = records(spark, d).select("chunk_index", F.col("text").alias("quality"), "edge_id", "pos", *provenance.TRIPLE, "doc")
-    return r.orderBy(F.asc_nulls_last("chunk_index"), F.asc_nulls_last("quality"), "edge_id", "pos")
+    ordered = r.orderBy(F.asc_nulls_last("chunk_index"), F.asc_nulls_last("quality"), "edge_id", "pos")
+    return ordered.select(F.coalesce(F.col("chunk_index").cast("string"), F.lit("")).alias("chunk"), "quality", "edge_id", "pos", *provenance.TRIPLE, "doc")
 
 
 @query(
@@ -78,12 +79,12 @@ _TERM = lambda c: f"SELECT '{c}' AS kind"
 
 @query(
     "ambiguity_export",
-    f"SELECT 'undefined' AS kind, doc, term, predicate AS detail, CAST(NULL AS BIGINT) AS n FROM ({catalog.SQL['undefined_normative_terms']}) UNION ALL SELECT 'vague', CAST(doc AS VARCHAR), term, examples, n FROM ({catalog.SQL['vague_language']}) UNION ALL SELECT 'near_synonym', NULL, term_a, term_b, NULL FROM ({catalog.SQL['near_synonyms']})",
+    f"SELECT 'undefined' AS kind, doc, term, predicate AS detail, CAST(NULL AS VARCHAR) AS n FROM ({catalog.SQL['undefined_normative_terms']}) UNION ALL SELECT 'vague', CAST(doc AS VARCHAR), term, examples, CAST(n AS VARCHAR) FROM ({catalog.SQL['vague_language']}) UNION ALL SELECT 'near_synonym', NULL, term_a, term_b, NULL FROM ({catalog.SQL['near_synonyms']})",
 )
 def ambiguity_export(spark, d):
     """The three reports on ambiguity in one sheet."""
     u = catalog.undefined_normative_terms(spark, d).select(F.lit("undefined").alias("kind"), "doc", "term", F.col("predicate").alias("detail"))
-    v = catalog.vague_language(spark, d).select(F.lit("vague").alias("kind"), F.col("doc").cast("string").alias("doc"), "term", F.col("examples").alias("detail"), "n")
+    v = catalog.vague_language(spark, d).select(F.lit("vague").alias("kind"), F.col("doc").cast("string").alias("doc"), "term", F.col("examples").alias("detail"), F.col("n").cast("string").alias("n"))
     s = catalog.near_synonyms(spark, d).select(F.lit("near_synonym").alias("kind"), F.col("term_a").alias("term"), F.col("term_b").alias("detail"))
     return u.unionByName(v, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
 
@@ -135,11 +136,12 @@ def seed_graph(spark, d):
 @query(
     "clean_provenance",
     f"""WITH {_ONCE}, x AS (SELECT edge_id, unnest(records) AS r, generate_subscripts(records, 1) - 1 AS pos FROM raw), c AS (SELECT edge_id, pos, {_CLEAN('r.doc')} AS doc, {_CLEAN('r.quality')} AS quality, r.chunk_index AS chunk_index, substr({_CLEAN('r.chunk_excerpt')}, 1, 500) AS chunk_excerpt, CASE WHEN upper({_CLEAN('r.modality')}) IN {_IN(review.MODALITIES)} THEN upper({_CLEAN('r.modality')}) ELSE '' END AS modality FROM x)
-SELECT * FROM c WHERE doc <> '' OR quality <> '' OR chunk_index IS NOT NULL OR chunk_excerpt <> '' OR modality <> ''""",
+SELECT * REPLACE (coalesce(chunk_index, -1) AS chunk_index) FROM c WHERE doc <> '' OR quality <> '' OR chunk_index IS NOT NULL OR chunk_excerpt <> '' OR modality <> ''""",
 )
 def clean_provenance(spark, d):
+    """The cleaned records; -1 stands for a missing index here."""
     r = raw(spark, d).select("edge_id", F.posexplode("records").alias("pos", "r")).select("edge_id", F.col("pos").cast("long").alias("pos"), "r.*")
-    return review.clean_provenance(r, "edge_id", "pos")
+    return review.clean_provenance(r, "edge_id", "pos").withColumn("chunk_index", F.coalesce("chunk_index", F.lit(-1)))
 
 
 # --- filters and alignments ----------------------------------------------------------------------------
@@ -178,12 +180,12 @@ def include_default(spark, d):
     return catalog.triplet_coercion(spark, d).select("triple_id", (~F.col("non_standard")).alias("included"))
 
 
-@query("quality_context", "WITH nv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM novelty_results) WHERE nth = 1), f AS (SELECT trim(quality) AS t, arg_min(result_id, result_id) AS result_id FROM nv WHERE trim(quality) <> '' GROUP BY 1) SELECT vec_id, f.result_id AS result_id, n.doc AS doc FROM kept_qualities k LEFT JOIN f ON f.t = trim(k.quality) LEFT JOIN nv n ON n.result_id = f.result_id")
+@query("quality_context", "WITH nv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC NULLS LAST) AS nth FROM novelty_results) WHERE nth = 1), f AS (SELECT trim(quality) AS t, arg_min(result_id, result_id) AS result_id FROM nv WHERE trim(quality) <> '' GROUP BY 1) SELECT vec_id, coalesce(f.result_id, -1) AS result_id, n.doc AS doc FROM kept_qualities k LEFT JOIN f ON f.t = trim(k.quality) LEFT JOIN nv n ON n.result_id = f.result_id")
 def quality_context(spark, d):
-    """Each kept quality with the first result on the same text."""
+    """Each kept quality with the first result on the same text, -1 where there is none."""
     q = table(spark, d, "kept_qualities").select("vec_id", "quality")
     n = novelty(spark, d).select("result_id", "doc", F.col("quality").alias("t"))
-    return review.first_context(q, "quality", n, "t", "result_id", "doc").join(review.first_context(q, "quality", n.withColumn("first_id", F.col("result_id")), "t", "result_id", "first_id").select("vec_id", F.col("first_id").alias("result_id")), "vec_id").select("vec_id", "result_id", "doc")
+    return review.first_context(q, "quality", n, "t", "result_id", "doc").join(review.first_context(q, "quality", n.withColumn("first_id", F.col("result_id")), "t", "result_id", "first_id").select("vec_id", F.col("first_id").alias("result_id")), "vec_id").select("vec_id", F.coalesce("result_id", F.lit(-1)).alias("result_id"), "doc")
 
 
 @query("position_relevance", f"WITH {_RELEVANCE}, pp AS (SELECT doc_id, para_index, row_number() OVER (PARTITION BY doc_id ORDER BY para_index) - 1 AS pos FROM rl WHERE literal OR max_score >= 0.6) SELECT doc_id, pos, max_score, literal FROM pp JOIN rl USING (doc_id, para_index)")
