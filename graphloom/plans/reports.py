@@ -435,6 +435,25 @@ def sentence_neighbours(spark, d):
     return top.select(F.substring("query_id", 3, 99).cast("long").alias("vec_id"), "nth", F.substring("row_id", 3, 2**31 - 1).alias("sentence"), F.col("cos").alias("score"), (best >= 0.55).alias("kept"))
 
 
+_WORDS_ASKED = " ".join(catalog.BM25_WORDS)
+
+
+@query(
+    "hybrid_search",
+    f"""WITH dq AS (SELECT 0 AS id, '{_WORDS_ASKED}' AS t), dt AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {encoded_sql("dq", "id", "t", "q")}, {encoded_sql("dt", "doc_id", "text")},
+dn AS (SELECT doc_id, row_number() OVER (ORDER BY cos DESC, doc_id) AS nth FROM (SELECT r.k AS doc_id, round(sum(q.w * r.w) / (any_value(a.n) * any_value(b.n)), 6) AS cos FROM qgv q JOIN gv r ON q.b = r.b JOIN qgn a ON a.k = q.k JOIN gn b ON b.k = r.k GROUP BY r.k) ORDER BY cos DESC, doc_id LIMIT 10),
+bm AS ({catalog._bm25_sql(catalog.BM25_WORDS)})
+SELECT coalesce(bm.doc_id, dn.doc_id) AS doc_id, round(coalesce(0.5 / (60 + bm.nth), 0.0) + coalesce(0.5 / (60 + dn.nth), 0.0), 9) AS score FROM bm FULL JOIN dn ON bm.doc_id = dn.doc_id""",
+)
+def hybrid_search(spark, d):
+    """The word ranking and the vector ranking of all documents for one question, fused by their ranks."""
+    docs = table(spark, d, "documents")
+    q = spark.createDataFrame([(-1, _WORDS_ASKED)], "doc_id long, text string")
+    coded = lambda df: df.filter("text is not null").select("doc_id", encoder.encode(F.col("text")).alias("v"))
+    dense = retrieval.top_k(coded(q), coded(docs), "doc_id", "v", 10).select(F.col("row_id").alias("doc_id"), "nth")
+    return retrieval.fuse(retrieval.bm25(docs, "doc_id", "text", [*catalog.BM25_WORDS], 10), dense, "doc_id")
+
+
 @query("dense_mmr")
 def dense_mmr(spark, d):
     """Four of the ten nearest vectors of each query, near to it and far from each other; tested against brute force."""
