@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import difflib
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import components
+from graphloom.operators import components, ratios
 from graphloom.session import Scratch
 
 #: Least ratio of a candidate pair, and of a pair that is confirmed without a judge.
 LEXICAL, CONFIRMED = 0.82, 0.9
-#: Keys of a block.
-KEYS = 1000
+#: Keys of a block, and the most that it may have where there are many blocks.
+KEYS, WIDEST = 2000, 50_000
 
 
 def forms(names: DataFrame, name: str = "name") -> DataFrame:
@@ -25,68 +24,89 @@ def forms(names: DataFrame, name: str = "name") -> DataFrame:
     return names.select(text.normal(F.col(name)).alias("key"), text.strip(F.col(name)).alias("form")).filter("key <> ''").groupBy("key").agg(F.min("form").alias("form"))
 
 
-def _counts(keys: list[str], size: int, grams: int) -> np.ndarray:
-    """How often each hashed gram occurs in each key."""
-    out = np.zeros((len(keys), size), np.int16)
-    for i, k in enumerate(keys):
-        for j in range(len(k) - grams + 1):
-            out[i, zlib.crc32(k[j : j + grams].encode("utf-8", "surrogatepass")) % size] += 1
-    return out
+def _blocks(f: DataFrame, keys: int) -> tuple[DataFrame, int]:
+    """(key, own): the keys in blocks of neighbours by spelling, each of which is a partition, and the number of blocks."""
+    n = max(1, -(-f.count() // keys))
+    n = max(min(n, 16), -(-n * keys // WIDEST))
+    return f.select("key").repartitionByRange(n, "key").withColumn("own", F.spark_partition_id()), n
 
 
-def alike(left: list[str], right: list[str], least: float, same: bool) -> list[tuple[str, str, float]]:
-    """The pairs of a ratio of at least `least`; with the same keys on both sides each pair once.
+def _units(k: DataFrame, n: int, own: bool) -> DataFrame:
+    """Adds (unit, side) to rows of n blocks: each pair of blocks is a unit in which rows of the first have side 0, of the second 1; if wanted a block alone too. Units lie whole and in order in a partition."""
+    met = k.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter("own <> met" if not own else "true")
+    unit = F.least("own", "met") * F.lit(n) + F.greatest("own", "met")
+    return met.select(unit.alias("unit"), (F.col("own") > F.col("met")).cast("int").alias("side"), *k.columns).repartition(n * (n + 1) // 2, "unit").sortWithinPartitions("unit", "side")
 
-    What is compared in full is only what its letters allow (the ratio is at most twice the shared ones over all) and its pairs of letters:
-    every one of the at most (1 - least) * (la + lb) characters that a pair does not share can cost two of them.
+
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray]]:
+    """(unit, rows, side) of each unit, of which the batches have pieces."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[int, pa.Table, np.ndarray]:
+        x = pa.Table.from_batches(held)
+        return x["unit"][0].as_py(), x, x["side"].to_numpy()
+
+    for x in parts:
+        units = x.column("unit").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(units)) + 1).tolist(), len(units)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi > lo:
+                if held and held[0].column("unit")[0].as_py() != units[lo]:
+                    yield whole()
+                    held = []
+                held.append(x.slice(lo, hi - lo))
+    if held:
+        yield whole()
+
+
+def similar_forms(f: DataFrame, least: float = LEXICAL, keys: int = KEYS, decide: bool = False) -> DataFrame:
+    """(a, b, ratio), a < b: the pairs of keys whose ratio is at least `least`, all of them; decide: the ratio given may be lower than theirs, but not than `least`.
+
+    Keys lie in blocks of about `keys`, or more if that were many blocks, and each pair of blocks is compared in one go (see ratios). The work grows
+    with the square of the distinct bags of letters, and with the pairs of keys whose letters allow the ratio.
     """
-    letters, other = _counts(left, 32, 1), _counts(right, 32, 1)
-    la, lb = (np.array([len(k) for k in x], np.int64) for x in (left, right))
-    hits = []
-    for i in range(len(left)):
-        shared = np.minimum(letters[i], other).sum(1)
-        ok = np.flatnonzero(2 * shared >= least * (la[i] + lb) - 1e-9)
-        hits.append(np.stack([np.full(len(ok), i), ok]))
-    i, j = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
-    if same:
-        i, j = i[i < j], j[i < j]
-    pairs, other = _counts(left, 128, 2), _counts(right, 128, 2)
-    out = []
-    for at in range(0, len(i), 20_000):
-        p, q = i[at : at + 20_000], j[at : at + 20_000]
-        lost = 2 * (1 - least) * (la[p] + lb[q])
-        for x, y in zip(*(v[np.minimum(pairs[p], other[q]).sum(1) >= np.maximum(la[p], lb[q]) - 1 - lost - 1e-9].tolist() for v in (p, q))):
-            a, b = sorted((left[x], right[y]))
-            matcher = difflib.SequenceMatcher(None, a, b)
-            if a != b and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
-                out.append((a, b, r))
-    return out
-
-
-def similar_forms(f: DataFrame, least: float = LEXICAL) -> DataFrame:
-    """(a, b, ratio), a < b: the pairs of keys whose ratio is at least `least`, all of them.
-
-    Keys of one length lie in blocks of about KEYS, and a block meets only those of lengths that allow the ratio, in a task of its own; in
-    a task few pairs are compared in full (see alike). The work grows with the square of the distinct names.
+    k, n = _blocks(f, keys)
+    k = Scratch(f.sparkSession).write(k)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, x, side in _whole(parts):
+            left, right = (x["key"].filter(pa.array(side == i)).to_pylist() for i in (0, 1))
+            for found in ratios.alike(left, None if unit // n == unit % n else right, least, decide):
+                yield pa.RecordBatch.from_arrays([*found[:2], pa.array(found[2])], ["a", "b", "ratio"])
+
+    return _units(k, n, True).mapInArrow(run, "a string, b string, ratio double")
+
+
+def similar_roots(f: DataFrame, least: float = CONFIRMED, keys: int = KEYS) -> DataFrame:
+    """(key, root): the keys in clusters of two or more that pairs of a ratio of at least `least` connect; root is one of the cluster.
+
+    First what each block connects by itself, then each pair of blocks, where only what is not connected so far is compared: the pairs are
+    not listed, of which dense clusters have as many as the square of their keys.
     """
-    spark = f.sparkSession
-    k = Scratch(spark).write(f.select("key", F.length("key").alias("n")))
-    sizes = k.groupBy("n").agg(F.count("*").alias("c")).select(F.col("n"), F.ceil(F.col("c") / KEYS).cast("int").alias("blocks"))
-    k = k.join(sizes, "n").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Each pair of blocks, the one of the shorter keys first.
-    b = sizes.select("n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    longest = F.floor(F.col("n") * F.lit((2 - least) / least) + F.lit(1e-9)).cast("int")
-    met = b.select(F.col("n").alias("xn"), F.col("own").alias("xb"), F.explode(F.sequence(F.col("n"), longest)).alias("yn"))
-    met = met.join(b.select(F.col("n").alias("yn"), F.col("own").alias("yb")), "yn").filter("xn < yn or xb <= yb")
-    left = k.select(F.col("n").alias("xn"), F.col("own").alias("xb"), "key").join(met, ["xn", "xb"])
-    right = k.select(F.col("n").alias("yn"), F.col("own").alias("yb"), "key").join(met, ["yn", "yb"])
-    unit = ["xn", "xb", "yn", "yb"]
-    right = right.select(*(F.col(c).alias(c) for c in unit), F.col("key").alias("other"))  # columns of its own beside those of left
-
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(alike([*x["key"]], [*y["other"]], least, key[:2] == key[2:]), columns=["a", "b", "ratio"])
-
-    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(run, "a string, b string, ratio double")
+    s = Scratch(f.sparkSession)
+    k, n = _blocks(f, keys)
+
+    def inside(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [*parts]:
+            x = pa.Table.from_batches(held)
+            parent, _ = ratios.linked(x["key"].to_pylist(), None, np.arange(len(x)), None, least)
+            yield from x.append_column("root", x["key"].take(pa.array(parent))).to_batches()
+
+    def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, side in _whole(parts):
+            first = pa.array(side == 0)
+            lab = x["root"].combine_chunks().dictionary_encode()
+            of, keys = lab.indices.to_numpy(), x["key"]
+            _, links = ratios.linked(keys.filter(first).to_pylist(), keys.filter(pa.array(side == 1)).to_pylist(), of[side == 0], of[side == 1], least)
+            if links:
+                yield pa.RecordBatch.from_arrays([lab.dictionary.take(pa.array(c)) for c in zip(*links)], ["a", "b"])
+
+    own = s.write(k.mapInArrow(inside, "key string, own int, root string"))
+    if n > 1:
+        more = components.components(_units(own, n, False).mapInArrow(across, "a string, b string"))
+        own = own.join(more.select(F.col("name").alias("root"), F.col("root").alias("above")), "root", "left").select("key", F.coalesce("above", "root").alias("root"))
+    found = s.write(own.select("key", "root"))
+    return found.join(found.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "root").select("key", "root")
 
 
 def contained_forms(f: DataFrame, shortest: int = 4) -> DataFrame:
@@ -111,7 +131,7 @@ def entity_duplicates(names: DataFrame, name: str = "name", least: float = CONFI
     Without a judge a pair is confirmed by its ratio alone.
     """
     f = Scratch(names.sparkSession).write(forms(names, name))
-    c = components.components(similar_forms(f, least), "a", "b").join(f.select(F.col("key").alias("name"), "form"), "name")
+    c = similar_roots(f, least).join(f, "key")
     best = c.groupBy("root").agg(F.min(F.struct(F.length("form").alias("n"), "form")).alias("m"))
     return c.join(best.select("root", F.col("m.form").alias("canonical")), "root").select("form", "canonical")
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.operators import encoder, node_entity, phrases, quality
+from graphloom.operators import encoder, node_entity, phrases, quality, ratios
 
 STOP = frozenset("the of and a is for to by in".split())
 
@@ -87,3 +87,44 @@ def test_support_by_a_sentence(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, s string, w boolean")
     got = df.select("i", "w", quality.supported(F.col("p"), F.col("s"), ["the", "of"]).alias("g")).collect()
     assert [r.i for r in got if r.w != r.g] == []
+
+
+def test_ratios_of_arrays_are_those_of_difflib():
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("ab") for _ in range(rng.randrange(55, 75))) for _ in range(20)] + ["x" * i for i in (62, 63, 64, 65, 199, 201)]
+    keys += [f"{w} {rng.choice('xyé中-')}{rng.randrange(100):03d}" for w in ("bias audit", "bias edit") for _ in range(40)]
+    keys = sorted({*keys})
+    for least in (0.5, 0.82, 0.9, 1.0):
+        want = {(a, b): r for i, a in enumerate(keys) for b in keys[i + 1 :] if (r := difflib.SequenceMatcher(None, a, b).ratio()) >= least}
+        assert {(a, b): r for x, y, z in ratios.alike(keys, None, least) for a, b, r in zip(x.to_pylist(), y.to_pylist(), z.tolist())} == want
+        assert {p for x, y, _ in ratios.alike(keys[1::2], keys[::2], least, True) for p in zip(x.to_pylist(), y.to_pylist())} == {(a, b) for a, b in want if (keys.index(a) - keys.index(b)) % 2}
+    assert [*ratios.alike([], None, 0.9)] == []
+
+
+def test_duplicates_of_a_dense_table_do_not_list_its_pairs(spark, monkeypatch):
+    """Every name is like hundreds of others: clusters by a few comparisons of each, in one block and in several, as by all pairs."""
+    names = [f"{w} Audit {i % 1000:03d}" for w in ("Periodic Bias", "Federated Risk") for i in range(0, 500, 2)] + ["Sealed Gate", "Sealed  gates", "Else"]
+    keys = sorted({" ".join(n.lower().split()) for n in names})
+    compared, decided = [], ratios.decided
+    monkeypatch.setattr(ratios, "decided", lambda x, y, c, p, *a: (compared.append(len(p)), decided(x, y, c, p, *a))[1])
+    monkeypatch.setattr(ratios, "CHUNK", 4096)
+    parent, links = ratios.linked(keys, None, np.arange(len(keys)), None, 0.85)
+    few = sum(compared)
+    pairs = {(i, j) for a, b, _ in ratios.alike(keys, None, 0.85) for i, j in zip(map(keys.index, a.to_pylist()), map(keys.index, b.to_pylist()))}
+    whole = np.arange(len(keys))
+    for _ in keys:
+        low = whole.copy()
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+        if (low == whole).all():
+            break
+        whole = low
+    assert (parent == whole).all() and len(links) == len(keys) - len({*whole.tolist()}) and few < len(pairs)
+    want = {frozenset(keys[i] for i in np.flatnonzero(whole == r)) for r in {*whole.tolist()} if (whole == r).sum() > 1}
+    f = quality.forms(spark.createDataFrame([(n,) for n in names], "name string"))
+    for block in (100, 5000):
+        got: dict = {}
+        for r in quality.similar_roots(f, 0.85, block).collect():
+            got.setdefault(r.root, set()).add(r.key)
+        assert {frozenset(g) for g in got.values()} == want
+    assert {(r.a, r.b) for r in quality.similar_forms(f, 0.85, 150, True).collect()} == {(keys[i], keys[j]) for i, j in pairs}
