@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 import re
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text
-from graphloom.operators import components, phrases, quality
+from graphloom.operators import components, phrases, quality, ratios
 
 #: Edges that a schema is read from, by edge_id: a cap that is the feature, and the bound of what is broadcast.
 SCAN = 60_000
@@ -175,15 +176,8 @@ class AliasIndex:
         for k in self.keys:
             for w in {*k.split()}:
                 self.by_word.setdefault(w, []).append(k)
-        self.letters = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789+#.- ")}
-        self.size = np.array([len(k) for k in self.keys], np.int64)
-        self.count = np.array([self._letters(k) for k in self.keys], np.int16).reshape(len(self.keys), len(self.letters))
-
-    def _letters(self, key: str) -> list[int]:
-        out = [0] * len(self.letters)
-        for c in key:
-            out[self.letters[c]] += 1
-        return out
+        self._arrays: ratios.Keys | None = None  # made where they are used, not sent along
+        self._found: dict[tuple, list[tuple[float, str, str]]] = {}
 
     def contained(self, key: str) -> set[str]:
         """Aliases within the key, or that have it within them, as whole words."""
@@ -193,39 +187,63 @@ class AliasIndex:
         return out | {k for k in rare if f" {key} " in f" {k} "}
 
     def close(self, key: str, least: float, n: int = 3) -> list[tuple[float, str]]:
-        """The n closest aliases of a ratio of at least `least`; only those whose letters allow it are compared."""
-        if not self.keys:
-            return []
-        bound = 2 * np.minimum(self.count, np.array(self._letters(key), np.int16)).sum(1) / (self.size + len(key))
-        found = []
-        for i in np.flatnonzero(bound >= least - 1e-9).tolist():
-            s = difflib.SequenceMatcher(None, self.keys[i], key)
-            if s.ratio() >= least:
-                found.append((s.ratio(), self.keys[i]))
-        return sorted(found, reverse=True)[:n]
+        """The n closest aliases of a ratio of at least `least`."""
+        return self.close_all([key], least, n)[key]
+
+    def close_all(self, keys: list[str], least: float, n: int = 3) -> dict[str, list[tuple[float, str]]]:
+        """close for many different keys at a time; only pairs whose letters allow the ratio are compared."""
+        out: dict[str, list[tuple[float, str]]] = {k: [] for k in keys}
+        letters = np.array(sorted(map(ord, "abcdefghijklmnopqrstuvwxyz0123456789+#.- ")), np.uint32)
+        if self._arrays is None:
+            self._arrays = ratios.Keys(self.keys, letters)
+        x, reach = self._arrays, int(self._arrays.size.max(initial=0)) * (2 - least) / least + 1e-9
+        y = ratios.Keys([k for k in keys if len(k) <= reach], letters)
+        places = y.places()
+        for p, q in ratios.rectangles(x, y, False, least):
+            for i, j, r in zip(*(v.tolist() for v in ratios.decided(x, y, places, p, q, least, False, True))):
+                out[y.keys[j]].append((r, x.keys[i]))
+        return {k: sorted(v, reverse=True)[:n] for k, v in out.items()}
+
+    def _look_up(self, keys: list[str], most: int, least: float) -> None:
+        """Keeps for each key that is no alias its `most` best (score, node, match_type), ties by name: others cannot be among those of a text that has the key."""
+        fresh = [k for k in dict.fromkeys(keys) if len(k) >= 3 and k not in self.node and (k, most, least) not in self._found]
+        for key, near in self.close_all(fresh, least).items() if fresh else ():
+            best: dict[str, tuple[float, str]] = {}
+
+            def add(node: str, score: float, kind: str) -> None:
+                if node not in best or score > best[node][0]:
+                    best[node] = (score, kind)
 
-    def match(self, said: str | None, stop: frozenset[str], most: int = 5, least: float = 0.78) -> list[dict]:
-        """The best matches of a text and its entities: alias 1.0; contained up to 0.96 by the shares of their lengths; close ones by their ratio."""
-        best: dict[str, dict] = {}
-
-        def add(query: str, node: str, score: float, kind: str) -> None:
-            if node not in best or score > best[node]["score"]:
-                best[node] = {"query": query, "node": node, "score": score, "match_type": kind}
-
-        for query in (said or "", *phrases.schema_entities(said, stop)):
-            key = phrases.schema_key(query)
-            if len(key) < 3:
-                continue
-            if key in self.node:
-                best[self.node[key]] = {"query": query, "node": self.node[key], "score": 1.0, "match_type": "alias"}
-                continue
             if len(key) >= 5:
-                for a in sorted(self.contained(key)):
+                for a in self.contained(key):
                     if len(a) >= 5:
-                        add(query, self.node[a], min(0.96, 0.72 + min(len(key), len(a)) / max(len(key), len(a)) * 0.24), "substring")
-            for _, a in self.close(key, least):
-                add(query, self.node[a], difflib.SequenceMatcher(None, key, a).ratio(), "fuzzy")
-        return sorted(best.values(), key=lambda m: (-m["score"], m["node"]))[:most]
+                        add(self.node[a], min(0.96, 0.72 + min(len(key), len(a)) / max(len(key), len(a)) * 0.24), "substring")
+            for _, a in near:
+                add(self.node[a], difflib.SequenceMatcher(None, key, a).ratio(), "fuzzy")
+            self._found[key, most, least] = [(s, n, kind) for n, (s, kind) in heapq.nsmallest(most, best.items(), key=lambda m: (-m[1][0], m[0]))]
+
+    def match(self, said: str | None, stop: frozenset[str], most: int = 5, least: float = 0.78) -> list[dict]:
+        """The best matches of a text and its entities: alias 1.0; contained up to 0.96 by the shares of their lengths; close ones by their ratio."""
+        return self.match_all([said], stop, most, least)[said]
+
+    def match_all(self, texts: list[str | None], stop: frozenset[str], most: int = 5, least: float = 0.78) -> dict[str | None, list[dict]]:
+        """match for many different texts; what is said in several of them is looked up once."""
+        queries = {t: [(q, phrases.schema_key(q)) for q in (t or "", *phrases.schema_entities(t, stop))] for t in texts}
+        self._look_up([k for said in queries.values() for _, k in said], most, least)
+        out = {}
+        for t, said in queries.items():
+            best: dict[str, dict] = {}
+            for query, key in said:
+                if len(key) < 3:
+                    continue
+                if key in self.node:
+                    best[self.node[key]] = {"query": query, "node": self.node[key], "score": 1.0, "match_type": "alias"}
+                    continue
+                for score, node, kind in self._found[key, most, least]:
+                    if node not in best or score > best[node]["score"]:
+                        best[node] = {"query": query, "node": node, "score": score, "match_type": kind}
+            out[t] = sorted(best.values(), key=lambda m: (-m["score"], m["node"]))[:most]
+        return out
 
 
 def match_nodes(rows: DataFrame, key: str, body: str, statements: DataFrame, most: int = 5, least: float = 0.78, stop: frozenset[str] | None = None) -> DataFrame:
@@ -239,7 +257,7 @@ def match_nodes(rows: DataFrame, key: str, body: str, statements: DataFrame, mos
     kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("query", T.StringType()), ("node", T.StringType()), ("score", T.DoubleType()), ("match_type", T.StringType()))]))
 
     def run(said: pd.Series) -> pd.Series:
-        once = {x: index.match(x, words, most, least) for x in said.dropna().unique()}
+        once = index.match_all([*said.dropna().unique()], words, most, least)
         return said.map(lambda x: once.get(x, []))
 
     found = rows.select(F.col(key).alias("key"), F.posexplode(F.pandas_udf(run, kind)(F.col(body))).alias("nth", "m"))

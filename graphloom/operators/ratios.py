@@ -19,7 +19,7 @@ class Keys:
     four. The bits in which two keys differ are at most the characters that they do not share.
     """
 
-    def __init__(self, keys: list[str], alphabet: np.ndarray, rank: dict[str, int]):
+    def __init__(self, keys: list[str], alphabet: np.ndarray, rank: dict[str, int] | None = None):
         flat = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(k) for k in keys], np.int64)
         row = np.repeat(np.arange(len(keys)), size)
@@ -29,7 +29,7 @@ class Keys:
         words = np.packbits((counts[:, :, None] > np.arange(4)).reshape(len(keys), 192), axis=1).view(np.uint64)
         order = np.lexsort((words[:, 1], words[:, 0]))
         self.keys, self.size, self.words, self.at = [keys[i] for i in order], size[order], words[order], order
-        self.rank = np.array([rank[k] for k in self.keys], np.int64)
+        self.rank = np.array([rank[k] for k in self.keys], np.int64) if rank else None
         self.long = self.size > WIDE
         fits = size[row] <= WIDE
         codes = np.full((len(keys), WIDE + 1), len(alphabet), np.uint32)
@@ -159,20 +159,20 @@ def rectangles(x: Keys, y: Keys, same: bool, least: float) -> Iterator[tuple[np.
             yield p, q
 
 
-def decided(x: Keys, y: Keys, places: np.ndarray, p: np.ndarray, q: np.ndarray, least: float, decide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(p, q, ratio) of those of the given pairs that have the ratio, which is at least what is given if only that is to be decided. The smaller key is the first sequence."""
+def decided(x: Keys, y: Keys, places: np.ndarray, p: np.ndarray, q: np.ndarray, least: float, decide: bool, x_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, ratio) of those of the given pairs that have the ratio, which is at least what is given if only that is to be decided. The smaller key is the first sequence, or that of x."""
     total = x.size[p] + y.size[q]
     lost = (1 - least) * total + 1e-9
     ok = np.bitwise_count(x.words[p] ^ y.words[q]).sum(1) <= lost
     p, q, total = p[ok], q[ok], total[ok]
     slow = x.long[p] | y.long[q]
-    singly = [(i, j, r) for i, j in zip(p[slow].tolist(), q[slow].tolist()) if (r := _ratio(x.keys[i], y.keys[j], least)) >= least]
+    singly = [(i, j, r) for i, j in zip(p[slow].tolist(), q[slow].tolist()) if (r := _ratio(x.keys[i], y.keys[j], least, x_first)) >= least]
     p, q, total = p[~slow], q[~slow], total[~slow]
     need = np.ceil(least * total / 2 - 1e-9).astype(np.int64)
     ok = common(x, places, p, q) >= need
     p, q, total, need = p[ok], q[ok], total[ok], need[ok]
     n = np.zeros(len(p), np.int64)
-    first = x.rank[p] < y.rank[q]
+    first = np.ones(len(p), bool) if x_first else x.rank[p] < y.rank[q]
     n[first] = matched(x, y, p[first], q[first], need[first], decide)
     n[~first] = matched(y, x, q[~first], p[~first], need[~first], decide)
     ratio = 2.0 * n / total
@@ -181,8 +181,8 @@ def decided(x: Keys, y: Keys, places: np.ndarray, p: np.ndarray, q: np.ndarray,
     return np.r_[p[ok], more[:, 0]], np.r_[q[ok], more[:, 1]], np.r_[ratio[ok], np.array([s[2] for s in singly])]
 
 
-def _ratio(a: str, b: str, least: float) -> float:
-    matcher = difflib.SequenceMatcher(None, *sorted((a, b)))
+def _ratio(a: str, b: str, least: float, x_first: bool) -> float:
+    matcher = difflib.SequenceMatcher(None, *((a, b) if x_first else sorted((a, b))))
     return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
 
 

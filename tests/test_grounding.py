@@ -39,6 +39,31 @@ def test_node_matches(spark):
     assert got[(1, "Audit plan")] == (1.0, "alias") and got[(3, "model card")][1] == "fuzzy" and not [k for k in got if k[0] == 2]
 
 
+def test_phrases_of_many_texts_are_looked_up_once(monkeypatch):
+    words = "audit plan risk register model card data sheet drift report".split()
+    nodes = [f"{a.title()} {b.title()} {i}" for i, (a, b) in enumerate((a, b) for a in words for b in words)] + [f"{a}_{b}" for a in words for b in words]
+    texts = [f"The {a} {b}s of the {c} {a} is an {b}{c}" for a in words for b in words for c in words[:3]] + ["audit plan 0", "the Audit Plan 1", None, ""]
+    index, looked = grounding.AliasIndex(nodes), []
+    contained = index.contained
+    monkeypatch.setattr(index, "contained", lambda k: (looked.append(k), contained(k))[1])
+    got = index.match_all(texts, STOP)
+    assert len(looked) == len({*looked})
+    for t in texts:  # as by all aliases of each phrase
+        best: dict = {}
+        for q in (t or "", *phrases.schema_entities(t, STOP)):
+            key = phrases.schema_key(q)
+            if len(key) >= 3 and key in index.node:
+                best[index.node[key]] = (1.0, q, "alias")
+            elif len(key) >= 3:
+                hits = [(index.node[a], min(0.96, 0.72 + min(len(key), len(a)) / max(len(key), len(a)) * 0.24), "substring") for a in sorted(contained(key)) if len(key) >= 5 and len(a) >= 5]
+                hits += [(index.node[a], difflib.SequenceMatcher(None, key, a).ratio(), "fuzzy") for a in difflib.get_close_matches(key, index.keys, 3, 0.78)]
+                for node, score, kind in hits:
+                    if node not in best or score > best[node][0]:
+                        best[node] = (score, q, kind)
+        want = sorted(((-s, n, q, k) for n, (s, q, k) in best.items()))[:5]
+        assert [(-m["score"], m["node"], m["query"], m["match_type"]) for m in got[t]] == want
+
+
 def test_hints_and_confidence(spark):
     df = spark.createDataFrame([("The threshold of a risk score",), (None,)], "t string")
     got = df.select(grounding.predicate_hints(F.col("t")), grounding.class_hints(F.col("t"), ["Risk Score", "Of"])).collect()
