@@ -8,7 +8,7 @@ from graphloom.functions import text
 from graphloom.operators import components, encoder, grounding, ingest, node_entity, phrases, preview, provenance, quality, retrieval, review, store, verify
 from graphloom.plans import catalog
 from graphloom.plans.catalog import _ALL_CONFLICTS, _EDGES, _FULL_CANON, _IN, _LINES, _NORM, _NOVEL, _ONCE, _PARA, _PREVIEW, _RECORDS, _RELEVANCE, _REL, _TRIPLES, edges, encoded_sql, query, raw, records
-from graphloom.session import table
+from graphloom.session import Scratch, table
 
 _REPORT = lambda name, order: f"SELECT * FROM ({catalog.SQL[name]}) ORDER BY {order}"
 _SPACED = lambda c: f"trim(regexp_replace({c}, '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g'))"
@@ -370,10 +370,10 @@ def schema_matches(spark, d):
 @query("grounding_confidence")
 def grounding_confidence(spark, d):
     """How well each kept quality is grounded."""
-    s = schema(spark, d)
+    s = Scratch(spark).write(schema(spark, d))
     classes = sorted({r[0] for r in grounding.node_types(s, TYPING).select("type").distinct().collect()} | {*grounding.ROLES.values()})
     q = table(spark, d, "kept_qualities").select("vec_id", "quality")
-    best = schema_matches(spark, d).filter("nth = 1").select("vec_id", "score")
+    best = grounding.match_nodes(q.filter("quality is not null"), "vec_id", "quality", s).filter("nth = 1").select("vec_id", "score")
     return q.join(best, "vec_id", "left").select("vec_id", F.round(grounding.confidence(F.col("score"), grounding.class_hints(F.col("quality"), classes), grounding.predicate_hints(F.col("quality"))), 3).alias("confidence"))
 
 

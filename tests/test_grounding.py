@@ -3,6 +3,7 @@ import difflib
 from pyspark.sql import functions as F
 
 from graphloom.operators import grounding, phrases
+from graphloom.plans import reports
 
 VOCABULARY = [("is a", "IsA"), ("is a kind of", "IsKindOf"), ("has parameter", "HasParameter"), ("with default", "WithDefault")]
 STOP = frozenset(("the", "of", "a", "is"))
@@ -81,3 +82,13 @@ def test_status_of_triples(spark):
     assert [r.schema_status for r in got.orderBy("i").collect()] == ["SCHEMA_VALID", "NON_STANDARD_PREDICATE", "NO_SCHEMA_FIT", "NEEDS_SCHEMA_REVIEW", "NO_SCHEMA_FIT", "NEEDS_SCHEMA_REVIEW", "SCHEMA_VALID", "NO_SCHEMA_FIT", "NEEDS_SCHEMA_REVIEW"]
     assert {r.schema_status for r in grounding.sentence_status(got.filter("i in (0, 6)"), "sentence").collect()} == {"SCHEMA_VALID"}
     assert phrases.schema_key("A_b (C)") == "a b c"
+
+
+def test_confidence_reads_its_schema_once(spark, monkeypatch):
+    read, schema = [], reports.schema
+    monkeypatch.setattr(reports, "schema", lambda s, d: (read.append(d), schema(s, d))[1])
+    d = "/root/testdata/sf0.001"
+    best = {r.vec_id: r.score for r in reports.schema_matches(spark, d).filter("nth = 1").collect()}
+    del read[:]
+    got = {r.vec_id: r.confidence for r in reports.grounding_confidence(spark, d).collect()}
+    assert len(read) == 1 and all(got[k] >= round(s, 3) for k, s in best.items()) and {*best} <= {*got}
