@@ -122,7 +122,7 @@ def entity_candidates(names: DataFrame, name: str = "name", least: float = LEXIC
     """(a, b), a < b: keys that may be one entity: alike by their ratio, or one within the other."""
     f = Scratch(names.sparkSession).write(forms(names, name))
     inside = contained_forms(f).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return similar_forms(f, least).select("a", "b").unionByName(inside).distinct()
+    return similar_forms(f, least, decide=True).select("a", "b").unionByName(inside).distinct()
 
 
 def entity_duplicates(names: DataFrame, name: str = "name", least: float = CONFIRMED) -> DataFrame:
