@@ -128,3 +128,12 @@ def test_duplicates_of_a_dense_table_do_not_list_its_pairs(spark, monkeypatch):
             got.setdefault(r.root, set()).add(r.key)
         assert {frozenset(g) for g in got.values()} == want
     assert {(r.a, r.b) for r in quality.similar_forms(f, 0.85, 150, True).collect()} == {(keys[i], keys[j]) for i, j in pairs}
+
+
+def test_candidates_work_out_no_more_than_the_decision(spark, monkeypatch):
+    asked, forms = [], quality.similar_forms
+    monkeypatch.setattr(quality, "similar_forms", lambda *a, **k: (asked.append(k), forms(*a, **k))[1])
+    names = spark.createDataFrame([(n,) for n in ("Risk Register", "risk registers", "Registry", "Risk", "Else", "Register")], "name string")
+    got = {(r.a, r.b) for r in quality.entity_candidates(names).collect()}
+    assert asked == [{"decide": True}]
+    assert got == {("register", "registry"), ("risk register", "risk registers"), ("risk", "risk register"), ("risk", "risk registers"), ("register", "risk register"), ("register", "risk registers")}
