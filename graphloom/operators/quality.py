@@ -15,8 +15,9 @@ from graphloom.session import Scratch
 
 #: Least ratio of a candidate pair, and of a pair that is confirmed without a judge.
 LEXICAL, CONFIRMED = 0.82, 0.9
-#: Keys of a block, and the most that it may have where there are many blocks.
+#: Keys of a block, the most that it may have where there are many blocks, and the blocks that are no reason for wider ones, of listed pairs and of clusters.
 KEYS, WIDEST = 2000, 50_000
+LISTED, CLUSTERED = 16, 12
 
 
 def forms(names: DataFrame, name: str = "name") -> DataFrame:
@@ -24,10 +25,10 @@ def forms(names: DataFrame, name: str = "name") -> DataFrame:
     return names.select(text.normal(F.col(name)).alias("key"), text.strip(F.col(name)).alias("form")).filter("key <> ''").groupBy("key").agg(F.min("form").alias("form"))
 
 
-def _blocks(f: DataFrame, keys: int) -> tuple[DataFrame, int]:
+def _blocks(f: DataFrame, keys: int, blocks: int) -> tuple[DataFrame, int]:
     """(key, own): the keys in blocks of neighbours by spelling, each of which is a partition, and the number of blocks."""
     n = max(1, -(-f.count() // keys))
-    n = max(min(n, 16), -(-n * keys // WIDEST))
+    n = max(min(n, blocks), -(-n * keys // WIDEST))
     return f.select("key").repartitionByRange(n, "key").withColumn("own", F.spark_partition_id()), n
 
 
@@ -65,7 +66,7 @@ def similar_forms(f: DataFrame, least: float = LEXICAL, keys: int = KEYS, decide
     Keys lie in blocks of about `keys`, or more if that were many blocks, and each pair of blocks is compared in one go (see ratios). The work grows
     with the square of the distinct bags of letters, and with the pairs of keys whose letters allow the ratio.
     """
-    k, n = _blocks(f, keys)
+    k, n = _blocks(f, keys, LISTED)
     k = Scratch(f.sparkSession).write(k)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def similar_roots(f: DataFrame, least: float = CONFIRMED, keys: int = KEYS) -> D
     not listed, of which dense clusters have as many as the square of their keys.
     """
     s = Scratch(f.sparkSession)
-    k, n = _blocks(f, keys)
+    k, n = _blocks(f, keys, CLUSTERED)
 
     def inside(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [*parts]:

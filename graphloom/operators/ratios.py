@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 
 #: Characters of a key that the array forms hold; longer ones are compared one by one. Keys of a group, and pairs that are looked at together.
 WIDE, GROUP, CHUNK = 63, 256, 1 << 16
+#: Last characters of a key, by which keys are compared that are the same before them, and the most of them that may be left out for that.
+TAIL, LEFT_OUT = 8, 3
+#: Bits of a third word that are not for digits, and the most bits in which groups around a middle one differ from it.
+NO_DIGITS, NEAR = ~np.uint64((1 << 40) - 1), 3
 
 
 class Keys:
@@ -32,7 +37,7 @@ class Keys:
         self.rank = np.array([rank[k] for k in self.keys], np.int64) if rank else None
         self.long = self.size > WIDE
         fits = size[row] <= WIDE
-        codes = np.full((len(keys), WIDE + 1), len(alphabet), np.uint32)
+        codes = np.full((len(keys), WIDE + 1), len(alphabet), np.uint16 if len(alphabet) < 2**16 - 2 else np.uint32)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         codes[row[fits], place[fits]] = np.searchsorted(alphabet, flat[fits])
         self.codes = codes[order]
@@ -46,7 +51,7 @@ class Keys:
     def places(self) -> np.ndarray:
         """For each key and each of 64 buckets of characters the places where it stands, as bits; the last column is empty."""
         out = np.zeros((len(self.keys), 65), np.uint64)
-        pad, every = self.codes.max(initial=0), np.arange(len(self.keys))
+        every = np.arange(len(self.keys))
         for j in range(min(WIDE, int(self.size.max(initial=0)))):
             some = every[(self.size > j) & ~self.long]
             out[some, self.codes[some, j] % 64] |= np.uint64(1 << j)
@@ -109,7 +114,7 @@ def _longest(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, al: np.
         return np.where(at < hi, codes[row, np.minimum(at, WIDE)], np.uint32(none))
 
     x, y = cut(a, p, al, ah, tall, 2**32 - 1), cut(b, q, bl, bh, wide, 2**32 - 2)
-    if max(a.max(initial=0), b.max(initial=0)) < 2**16 - 2:
+    if a.dtype == b.dtype == np.uint16:
         x, y = x.astype(np.uint16), y.astype(np.uint16)
     # A run ending at j counts 64 for each character; the earlier j wins among runs of one length.
     tie = (WIDE - np.arange(wide)).astype(np.uint16)[:, None]
@@ -197,15 +202,185 @@ def alike(left: list[str], right: list[str] | None, least: float, decide: bool =
                 yield low[0].take(pa.array(low[1][some])), high[0].take(pa.array(high[1][some])), r[some]
 
 
+class Groups:
+    """Keys in groups of the same letters, marks, label and class, these in groups of the same letters, these around a middle one; each lie together in `order`.
+
+    many, first: how many of the next finer parts each has, and the first of them; widest, words: their largest size and their bits.
+    """
+
+    def __init__(self, k: Keys, label: np.ndarray, kind: np.ndarray):
+        bags, of = _distinct(k.words[:, 0], k.words[:, 1])
+        middle, far = _middles(bags)
+        marks = k.words[:, 2] & NO_DIGITS
+        self.order = np.lexsort((kind, label, marks, of, middle[of]))
+        part = np.stack([middle[of], of, marks.view(np.int64), label, kind])[:, self.order]
+        new = (part[:, 1:] != part[:, :-1]) if part.shape[1] else np.zeros((5, 0), bool)
+        starts = [np.flatnonzero(np.r_[True, new[:n].any(0)]) if part.shape[1] else np.zeros(0, np.int64) for n in (1, 2, 5)]
+        self.first = [np.searchsorted(fine, coarse) for coarse, fine in zip(starts, [*starts[1:], np.arange(part.shape[1])])]
+        self.many = [np.diff(np.r_[f, n]) for f, n in zip(self.first, [len(starts[1]), len(starts[2]), part.shape[1]])]
+        self.widest = [np.maximum.reduceat(k.size[self.order], f) if len(f) else f for f in starts]
+        at = self.order[starts[2]]
+        self.words, self.label, self.kind = np.c_[k.words[at, :2], marks[at]], label[at], kind[at]
+        at = part[0][starts[0]]
+        self.middle, self.far = bags[at], far[at]
+        self.bags = bags[part[1][starts[1]]]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of two words, and the place of each row's pair among them."""
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(a) else np.zeros(0, bool)
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return np.c_[a, b][order[new]], of
+
+
+def _middles(bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of bits the place of one from which it differs by NEAR at most, and how far the rows of each are from it."""
+    middle, far, left = np.full(len(bags), -1), np.zeros(len(bags), np.int64), np.arange(len(bags))
+    while len(left):
+        apart = np.bitwise_count(bags[left] ^ bags[left[0]]).sum(1)
+        near = apart <= NEAR
+        middle[left[near]], far[left[0]] = left[0], apart[near].max()
+        left = left[~near]
+    return middle, far
+
+
+def _crossed(s: np.ndarray, t: np.ndarray, a: Groups, b: Groups, level: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of the finer parts of a's groups s and b's groups t, some `most` at a time."""
+    count = a.many[level][s] * b.many[level][t]
+    part = np.cumsum(count) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(s)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        n = count[lo:hi]
+        which = np.repeat(np.arange(lo, hi), n)
+        off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = np.divmod(off, b.many[level][t[which]])
+        yield a.first[level][s[which]] + i, b.first[level][t[which]] + j
+
+
+def unlike(x: Keys, y: Keys, label_x: np.ndarray, label_y: np.ndarray, kind_x: np.ndarray, kind_y: np.ndarray, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, a chunk at a time, of all groups of another label and class whose letters and marks allow the ratio; in no order (see rectangles)."""
+    rng = np.random.default_rng(0)
+    a = Groups(x, label_x, kind_x)
+    b = a if same else Groups(y, label_y, kind_y)
+    rows = rng.permutation(len(a.middle))
+    step = max(1, (1 << 20) // max(1, len(b.middle)))
+    lost = lambda level, s, t: (1 - least) * (a.widest[level][s] + b.widest[level][t]) + 1e-9
+    for at in range(0, len(rows), step):
+        s, t = np.repeat(rows[at : at + step], len(b.middle)), np.tile(np.arange(len(b.middle)), len(rows[at : at + step]))
+        if same:
+            s, t = s[s <= t], t[s <= t]
+        ok = np.bitwise_count(a.middle[s] ^ b.middle[t]).sum(1) <= a.far[s] + b.far[t] + lost(0, s, t)
+        mix = rng.permutation(np.flatnonzero(ok))
+        for i, j in _crossed(s[mix], t[mix], a, b, 0, 1 << 20):
+            ok = np.bitwise_count(a.bags[i] ^ b.bags[j]).sum(1) <= lost(1, i, j)
+            if same:
+                ok &= i <= j
+            for g, h in _crossed(i[ok], j[ok], a, b, 1, 1 << 20):
+                ok = (a.label[g] != b.label[h]) & (a.kind[g] != b.kind[h])
+                if same:
+                    ok &= g < h
+                g, h = g[ok], h[ok]
+                ok = np.bitwise_count(a.words[g] ^ b.words[h]).sum(1) <= lost(2, g, h)
+                mix = rng.permutation(np.flatnonzero(ok))
+                for p, q in _crossed(g[mix], h[mix], a, b, 2, CHUNK):
+                    yield a.order[p], b.order[q]
+
+
+def _kinds(x: Keys, y: Keys, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, left out) of the keys of both sides: keys of a class are the same but for their last TAIL characters, of which left out ones may be without a partner.
+
+    A key of which more may be left out than LEFT_OUT has a class of its own on either side, and 0 of them.
+    """
+    ids: dict[str, int] = {}
+    out = []
+    for k, own in ((x, 1), (y, 2)):
+        kind = np.array([ids.setdefault(key[:-TAIL], len(ids)) for key in k.keys], np.int64) if k.keys else np.zeros(0, np.int64)
+        some = k.size - np.ceil(least * k.size - 1e-9).astype(np.int64)
+        alone = k.long | (some > LEFT_OUT) | (k.size < TAIL)
+        kind[alone] = -2 * np.flatnonzero(alone) - own
+        some[alone] = 0
+        out += [kind, some]
+    return tuple(out)
+
+
+def _tails(codes: np.ndarray, size: np.ndarray, kind: np.ndarray, some: int) -> np.ndarray:
+    """A row for each key: hashes of its class and of what is left of its tail without `some` characters, in all ways."""
+    tail = codes[np.arange(len(size))[:, None], size[:, None] - TAIL + np.arange(TAIL)].astype(np.uint64)
+    ways = [*combinations(range(TAIL), TAIL - some)]
+    out = np.empty((len(size), len(ways)), np.uint64)
+    for n, kept in enumerate(ways):
+        h = kind.astype(np.uint64)
+        for j in kept:
+            h = (h ^ tail[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out[:, n] = h
+    return out
+
+
+def close_tails(x: Keys, y: Keys, kind_x: np.ndarray, kind_y: np.ndarray, some_x: np.ndarray, some_y: np.ndarray, same: bool, labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, among them all those of one class but different labels whose tails have the common subsequence that the ratio needs.
+
+    labels() gives the labels of both sides as they are by then.
+    """
+    shared = np.intersect1d(kind_x, kind_y) if not same else (lambda u: u[0][u[1] > 1])(np.unique(kind_x, return_counts=True))
+    for some in range(1, LEFT_OUT + 1):
+        i = np.flatnonzero((some_x == some) & np.isin(kind_x, shared))
+        j = np.zeros(0, np.int64) if same else np.flatnonzero((some_y == some) & np.isin(kind_y, shared))
+        if not len(i) or not (same or len(j)):
+            continue
+        h = _tails(x.codes[i], x.size[i], kind_x[i], some)
+        ways = h.shape[1]
+        h = np.r_[h.ravel(), _tails(y.codes[j], y.size[j], kind_y[j], some).ravel()]
+        row = np.r_[np.repeat(i, ways), np.repeat(len(x.keys) + j, ways)]
+        order = np.argsort(h)
+        h, row, gap = h[order], row[order], 0
+        while len(row):
+            gap += 1
+            # Those of one hash whose labels are the same need no look; the others are met one place apart, then two, and so on.
+            lx, ly = labels()
+            label = (lx if same else np.r_[lx, ly])[row]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            n = np.diff(np.r_[start, len(h)])
+            keep = np.repeat((np.minimum.reduceat(label, start) < np.maximum.reduceat(label, start)) & (n > gap), n)
+            h, row = h[keep], row[keep]
+            meet = h[gap:] == h[:-gap]
+            p, q = row[:-gap][meet], row[gap:][meet]
+            if not same:
+                p, q = np.minimum(p, q), np.maximum(p, q)
+                ok = (p < len(x.keys)) & (q >= len(x.keys))
+                p, q = p[ok], q[ok] - len(x.keys)
+            ok = (p != q) if same else np.ones(len(p), bool)
+            pairs = np.unique(p[ok] * len(y.keys) + q[ok])
+            yield pairs // len(y.keys), pairs % len(y.keys)
+
+
+def _forest(a: list[int], b: list[int]) -> np.ndarray:
+    """Whether each of the pairs of labels would join what those before it have left apart."""
+    up: dict[int, int] = {}
+    out = np.zeros(len(a), bool)
+    for n, (i, j) in enumerate(zip(a, b)):
+        while (k := up.get(i, i)) != i:
+            i = up[i] = up.get(k, k)
+        while (k := up.get(j, j)) != j:
+            j = up[j] = up.get(k, k)
+        if i != j:
+            up[i], out[n] = j, True
+    return out
+
+
 def linked(left: list[str], right: list[str] | None, lab_left: np.ndarray, lab_right: np.ndarray | None, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(parent, links): as a forest over the labels what pairs of a ratio of at least `least` connect, and the pairs of labels that were joined.
 
-    Only pairs that are not connected so far are compared, so that a dense group costs little more than its links.
+    Only pairs that are not connected so far are compared, so that a dense group costs little more than its links: neighbours in order first, then
+    those of the same beginning by what their ends have in common, then all others whose letters and marks allow the ratio.
     """
     x, y = both(left, right)
+    same = right is None
     places, parent = y.places(), np.arange(max(lab_left.max(initial=-1), -1 if lab_right is None else lab_right.max(initial=-1)) + 1)
     lx = lab_left[x.at].copy()
-    ly = lx if right is None else lab_right[y.at].copy()
+    ly = lx if same else lab_right[y.at].copy()
     links = []
 
     def top(i: int) -> int:
@@ -214,21 +389,52 @@ def linked(left: list[str], right: list[str] | None, lab_left: np.ndarray, lab_r
             i = parent[i]
         return int(i)
 
-    for p, q in rectangles(x, y, right is None, least):
-        apart = np.flatnonzero(lx[p] != ly[q])
-        for at in range(0, len(apart), CHUNK // 4):
-            some = apart[at : at + CHUNK // 4]
-            some = some[lx[p[some]] != ly[q[some]]]
-            i, j, _ = decided(x, y, places, p[some], q[some], least, True)
-            before = len(links)
-            for a, b in {*zip(lx[i].tolist(), ly[j].tolist())}:
-                a, b = top(a), top(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((a, b))
-            if len(links) > before:
-                while (parent[parent] != parent).any():
-                    parent[:] = parent[parent]
-                lx = parent[lx]
-                ly = lx if right is None else parent[ly]
+    def meet(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Decides pairs whose characters allow the ratio, many at a time, as the steps of decided cost much for a few."""
+        held, many = [], 0
+        for p, q in pairs:
+            apart = np.flatnonzero(lx[p] != ly[q])
+            p, q = p[apart], q[apart]
+            ok = np.bitwise_count(x.words[p] ^ y.words[q]).sum(1) <= (1 - least) * (x.size[p] + y.size[q]) + 1e-9
+            held.append((p[ok], q[ok]))
+            many += len(held[-1][0])
+            if many >= CHUNK // 4:
+                join(*map(np.concatenate, zip(*held)))
+                held, many = [], 0
+        if many:
+            join(*map(np.concatenate, zip(*held)))
+
+    def join(p: np.ndarray, q: np.ndarray) -> None:
+        for at in range(0, len(p), CHUNK // 4):
+            a, b = p[at : at + CHUNK // 4], q[at : at + CHUNK // 4]
+            # First as many as could connect all of them, then those that this has left apart.
+            first = _forest(lx[a].tolist(), ly[b].tolist())
+            decide(a[first], b[first])
+            rest = np.flatnonzero((lx[a] != ly[b]) & ~first)
+            decide(a[rest], b[rest])
+
+    def decide(p: np.ndarray, q: np.ndarray) -> None:
+        nonlocal lx, ly
+        i, j, _ = decided(x, y, places, p, q, least, True)
+        before = len(links)
+        for a, b in {*zip(lx[i].tolist(), ly[j].tolist())}:
+            a, b = top(a), top(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((a, b))
+        if len(links) > before:
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+            lx = parent[lx]
+            ly = lx if same else parent[ly]
+
+    if same:
+        for turn in (0, TAIL):
+            order = np.array(sorted(range(len(x.keys)), key=[k[turn:] + k[:turn] for k in x.keys].__getitem__), np.int64)
+            meet(iter([(order[:-1], order[1:])]))
+    kinds_x, some_x, kinds_y, some_y = _kinds(x, y, least)
+    if same:
+        kinds_y = kinds_x
+    meet(close_tails(x, y, kinds_x, kinds_y, some_x, some_y, same, lambda: (lx, ly)))
+    meet(unlike(x, y, lx, ly, kinds_x, kinds_y, same, least))
     return parent, links

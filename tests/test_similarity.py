@@ -137,3 +137,71 @@ def test_candidates_work_out_no_more_than_the_decision(spark, monkeypatch):
     got = {(r.a, r.b) for r in quality.entity_candidates(names).collect()}
     assert asked == [{"decide": True}]
     assert got == {("register", "registry"), ("risk register", "risk registers"), ("risk", "risk register"), ("risk", "risk registers"), ("register", "risk register"), ("register", "risk registers")}
+
+
+def _clusters(keys: list[str], least: float) -> set:
+    root = list(range(len(keys)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(keys):
+        for j in range(i):
+            if difflib.SequenceMatcher(None, keys[j], a).real_quick_ratio() >= least and difflib.SequenceMatcher(None, keys[j], a).ratio() >= least:
+                root[top(i)] = top(j)
+    got: dict = {}
+    for i, k in enumerate(keys):
+        got.setdefault(top(i), set()).add(k)
+    return {frozenset(g) for g in got.values()}
+
+
+def test_keys_of_one_beginning_are_met_by_their_ends(monkeypatch):
+    """Many clusters that stay apart under the same letters and marks: only keys whose ends have enough in common are compared, in one block and across two, as by all pairs."""
+    rng = random.Random(7)
+    keys = sorted({f"sealed risk gate {rng.choice(('aab', 'aac', 'aba'))}-{rng.randrange(10000):04d}" for _ in range(500)})
+    compared, decided = [], ratios.decided
+    monkeypatch.setattr(ratios, "decided", lambda x, y, c, p, *a: (compared.append(len(p)), decided(x, y, c, p, *a))[1])
+    want = _clusters(keys, 0.95)
+    parent, links = ratios.linked(keys, None, np.arange(len(keys)), None, 0.95)
+    assert {frozenset(keys[i] for i in np.flatnonzero(parent == r)) for r in {*parent.tolist()}} == want and 50 < len(want) == len(keys) - len(links)
+    assert sum(compared) < 10 * len(keys)
+    compared.clear()
+    left, right = keys[::2], keys[1::2]
+    both = [*left, *right]
+    links = ratios.linked(left, right, np.arange(len(left)), len(left) + np.arange(len(right)), 0.95)[1]
+    assert links and all(any(both[i] in c and both[j] in c for c in want) for i, j in links)
+    assert sum(compared) < 10 * len(keys)
+
+
+def test_clusters_of_odd_keys_are_those_of_all_pairs():
+    rng = random.Random(8)
+    base = ["register", "audit", "aud", "a" * 70, "risk register aab-12", "Пример реестра 12-34", "模型\U0001d4b6卡片 0123456789", "x" * 31 + "0123456789", "é" * 19 + "-0001"]
+    keys = {*base}
+    for b in base:
+        for _ in range(25):
+            k = [*b]
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(k))
+                k[at:at + rng.randrange(2)] = rng.choice(["", "0", "1", "aa", "-", "é", "\U0001d4b6"])
+            keys.add("".join(k) or "-")
+    keys = sorted(keys)
+    for least in (0.82, 0.9, 0.95):
+        want = _clusters(keys, least)
+        parent, links = ratios.linked(keys, None, np.arange(len(keys)), None, least)
+        assert {frozenset(keys[i] for i in np.flatnonzero(parent == r)) for r in {*parent.tolist()}} == want and len(links) == len(keys) - len(want)
+        # In three parts: each by itself, then those that are left apart across pairs of them.
+        parts = [list(range(n, len(keys), 3)) for n in range(3)]
+        label = np.arange(len(keys))
+        for p in parts:
+            own, _ = ratios.linked([keys[i] for i in p], None, np.arange(len(p)), None, least)
+            label[p] = np.array(p)[own]
+        joined = []
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            joined += ratios.linked([keys[i] for i in parts[a]], [keys[i] for i in parts[b]], label[parts[a]], label[parts[b]], least)[1]
+        for a, b in joined:
+            a, b = label[a], label[b]
+            label[label == max(a, b)] = min(a, b)
+        assert {frozenset(keys[i] for i in np.flatnonzero(label == r)) for r in {*label.tolist()}} == want
+    assert ratios.linked([], None, np.zeros(0, np.int64), None, 0.9)[1] == [] and ratios.linked([], ["a"], np.zeros(0, np.int64), np.zeros(1, np.int64), 0.9)[1] == []
