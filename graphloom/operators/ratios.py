@@ -58,6 +58,13 @@ class Keys:
         return out
 
 
+def apart(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The number of bits in which rows of words differ, 192 at most."""
+    c = np.bitwise_count(u ^ v)
+    out = c[:, 0] + c[:, 1]
+    return out + c[:, 2] if c.shape[1] > 2 else out
+
+
 def both(left: list[str], right: list[str] | None) -> tuple[Keys, Keys]:
     """The keys of two sides, the same ones if there is no right one."""
     alphabet = np.unique(np.frombuffer("".join([*left, *(right or [])]).encode("utf-32-le", "surrogatepass"), np.uint32))
@@ -168,7 +175,7 @@ def decided(x: Keys, y: Keys, places: np.ndarray, p: np.ndarray, q: np.ndarray,
     """(p, q, ratio) of those of the given pairs that have the ratio, which is at least what is given if only that is to be decided. The smaller key is the first sequence, or that of x."""
     total = x.size[p] + y.size[q]
     lost = (1 - least) * total + 1e-9
-    ok = np.bitwise_count(x.words[p] ^ y.words[q]).sum(1) <= lost
+    ok = apart(x.words[p], y.words[q]) <= lost
     p, q, total = p[ok], q[ok], total[ok]
     slow = x.long[p] | y.long[q]
     singly = [(i, j, r) for i, j in zip(p[slow].tolist(), q[slow].tolist()) if (r := _ratio(x.keys[i], y.keys[j], least, x_first)) >= least]
@@ -239,9 +246,9 @@ def _middles(bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of bits the place of one from which it differs by NEAR at most, and how far the rows of each are from it."""
     middle, far, left = np.full(len(bags), -1), np.zeros(len(bags), np.int64), np.arange(len(bags))
     while len(left):
-        apart = np.bitwise_count(bags[left] ^ bags[left[0]]).sum(1)
-        near = apart <= NEAR
-        middle[left[near]], far[left[0]] = left[0], apart[near].max()
+        n = apart(bags[left], bags[left[0]])
+        near = n <= NEAR
+        middle[left[near]], far[left[0]] = left[0], n[near].max()
         left = left[~near]
     return middle, far
 
@@ -271,10 +278,10 @@ def unlike(x: Keys, y: Keys, label_x: np.ndarray, label_y: np.ndarray, kind_x: n
         s, t = np.repeat(rows[at : at + step], len(b.middle)), np.tile(np.arange(len(b.middle)), len(rows[at : at + step]))
         if same:
             s, t = s[s <= t], t[s <= t]
-        ok = np.bitwise_count(a.middle[s] ^ b.middle[t]).sum(1) <= a.far[s] + b.far[t] + lost(0, s, t)
+        ok = apart(a.middle[s], b.middle[t]) <= a.far[s] + b.far[t] + lost(0, s, t)
         mix = rng.permutation(np.flatnonzero(ok))
         for i, j in _crossed(s[mix], t[mix], a, b, 0, 1 << 20):
-            ok = np.bitwise_count(a.bags[i] ^ b.bags[j]).sum(1) <= lost(1, i, j)
+            ok = apart(a.bags[i], b.bags[j]) <= lost(1, i, j)
             if same:
                 ok &= i <= j
             for g, h in _crossed(i[ok], j[ok], a, b, 1, 1 << 20):
@@ -282,7 +289,7 @@ def unlike(x: Keys, y: Keys, label_x: np.ndarray, label_y: np.ndarray, kind_x: n
                 if same:
                     ok &= g < h
                 g, h = g[ok], h[ok]
-                ok = np.bitwise_count(a.words[g] ^ b.words[h]).sum(1) <= lost(2, g, h)
+                ok = apart(a.words[g], b.words[h]) <= lost(2, g, h)
                 mix = rng.permutation(np.flatnonzero(ok))
                 for p, q in _crossed(g[mix], h[mix], a, b, 2, CHUNK):
                     yield a.order[p], b.order[q]
@@ -393,9 +400,9 @@ def linked(left: list[str], right: list[str] | None, lab_left: np.ndarray, lab_r
         """Decides pairs whose characters allow the ratio, many at a time, as the steps of decided cost much for a few."""
         held, many = [], 0
         for p, q in pairs:
-            apart = np.flatnonzero(lx[p] != ly[q])
-            p, q = p[apart], q[apart]
-            ok = np.bitwise_count(x.words[p] ^ y.words[q]).sum(1) <= (1 - least) * (x.size[p] + y.size[q]) + 1e-9
+            some = np.flatnonzero(lx[p] != ly[q])
+            p, q = p[some], q[some]
+            ok = apart(x.words[p], y.words[q]) <= (1 - least) * (x.size[p] + y.size[q]) + 1e-9
             held.append((p[ok], q[ok]))
             many += len(held[-1][0])
             if many >= CHUNK // 4:
