@@ -111,19 +111,27 @@ def similar_roots(f: DataFrame, least: float = CONFIRMED, keys: int = KEYS) -> D
 
 
 def contained_forms(f: DataFrame, shortest: int = 4) -> DataFrame:
-    """(a, b): the pairs of keys of which a, of `shortest` characters or more, lies within b. Only keys that have the rarest four characters of a are looked at."""
+    """(a, b): the pairs of different keys of which a, of `shortest` characters or more, lies within b. Only keys that have the rarest four characters of a are looked at.
+
+    Spark takes the exploded characters to be as large as the keys, of which they have some twenty rows each: no side is left to be a broadcast.
+    """
     four = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))
     g = f.filter(F.length("key") >= 4).select("key", F.explode(four(F.col("key"))).alias("gram"))
     count = g.groupBy("gram").agg(F.count("*").alias("df"))
-    rare = g.filter(F.length("key") >= shortest).join(count, "gram").groupBy("key").agg(F.min(F.struct("df", "gram")).alias("r")).select(F.col("key").alias("a"), F.col("r.gram").alias("gram"))
-    return rare.join(g.withColumnRenamed("key", "b"), "gram").filter("a <> b and contains(b, a)").select("a", "b").distinct()
+    rare = g.filter(F.length("key") >= shortest).join(count.hint("merge"), "gram").groupBy("key").agg(F.min(F.struct("df", "gram")).alias("r")).select(F.col("key").alias("a"), F.col("r.gram").alias("gram"))
+    return rare.join(g.withColumnRenamed("key", "b").hint("merge"), "gram").filter("a <> b and contains(b, a)").select("a", "b")
 
 
 def entity_candidates(names: DataFrame, name: str = "name", least: float = LEXICAL) -> DataFrame:
-    """(a, b), a < b: keys that may be one entity: alike by their ratio, or one within the other."""
+    """(a, b), a < b: keys that may be one entity: alike by their ratio, or one within the other. Neither part has a pair twice, and those of both are left out of the second."""
     f = Scratch(names.sparkSession).write(forms(names, name))
+
+    def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            yield x.filter(pa.array(~ratios.contained_alike(x["a"], x["b"], least)))
+
     inside = contained_forms(f).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return similar_forms(f, least, decide=True).select("a", "b").unionByName(inside).distinct()
+    return similar_forms(f, least, decide=True).select("a", "b").unionByName(inside.mapInArrow(others, "a string, b string"))
 
 
 def entity_duplicates(names: DataFrame, name: str = "name", least: float = CONFIRMED) -> DataFrame:

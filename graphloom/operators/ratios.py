@@ -8,9 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of a key that the array forms hold; longer ones are compared one by one. Keys of a group, and pairs that are looked at together.
 WIDE, GROUP, CHUNK = 63, 256, 1 << 16
+#: Characters of a second sequence from which on difflib passes over frequent ones.
+JUNK = 200
 #: Last characters of a key, by which keys are compared that are the same before them, and the most of them that may be left out for that.
 TAIL, LEFT_OUT = 8, 3
 #: Bits of a third word that are not for digits, and the most bits in which groups around a middle one differ from it.
@@ -198,6 +201,15 @@ def _ratio(a: str, b: str, least: float, x_first: bool) -> float:
     return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
 
 
+def contained_alike(a: pa.Array, b: pa.Array, least: float) -> np.ndarray:
+    """Whether pairs, a < b and one within the other, have a ratio of at least `least`: the shorter one is the longest block, unless difflib passes over frequent characters."""
+    m, n = (pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (a, b))
+    out = 2.0 * np.minimum(m, n) / (m + n) >= least
+    for i in np.flatnonzero(n >= JUNK).tolist():
+        out[i] = _ratio(a[i].as_py(), b[i].as_py(), least, False) >= least
+    return out
+
+
 def alike(left: list[str], right: list[str] | None, least: float, decide: bool = False) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """(a, b, ratio), a < b, a chunk at a time: all pairs of a ratio of at least `least`, of the left keys with the right ones or among themselves."""
     x, y = both(left, right)

@@ -139,6 +139,20 @@ def test_candidates_work_out_no_more_than_the_decision(spark, monkeypatch):
     assert got == {("register", "registry"), ("risk register", "risk registers"), ("risk", "risk register"), ("risk", "risk registers"), ("register", "risk register"), ("register", "risk registers")}
 
 
+def test_candidates_are_each_listed_once_and_nothing_is_broadcast(spark, tmp_path):
+    rng = random.Random(8)
+    words = "model audit plan risk register deployer provider log record review".split()
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(150)] + [f"{'audit log ' * n}end" for n in (4, 5, 6, 18, 20, 21, 24)] + [f"{'x' * n} plan" for n in (4, 190, 197, 198, 240)]
+    names = spark.createDataFrame([(n,) for n in names], "name string")
+    keys = sorted(r.key for r in quality.forms(names).collect())
+    want = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if difflib.SequenceMatcher(None, a, b).ratio() >= 0.82 or (min(len(a), len(b)) >= 4 and (a in b or b in a))]
+    assert sorted((r.a, r.b) for r in quality.entity_candidates(names).collect()) == want
+    # Written forms look small to Spark, of whose characters the driver would have to hold some twenty rows for each key.
+    spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(str(tmp_path / "keys"))
+    f = quality.contained_forms(spark.read.parquet(str(tmp_path / "keys")))
+    assert "Broadcast" not in f._jdf.queryExecution().executedPlan().toString()
+
+
 def _clusters(keys: list[str], least: float) -> set:
     root = list(range(len(keys)))
 
