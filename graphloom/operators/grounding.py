@@ -5,18 +5,22 @@ from __future__ import annotations
 import difflib
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text
 from graphloom.operators import components, phrases, quality, ratios
+from graphloom.session import Scratch
 
-#: Edges that a schema is read from, by edge_id: a cap that is the feature, and the bound of what is broadcast.
+#: Edges of the reports on a schema, the first by edge_id: a cap that is the feature. Matches and confidence read all edges.
 SCAN = 60_000
+#: Aliases and phrases of a block, and words that texts and phrases share up to which these are sent to the workers.
+ALIASES, PHRASES, SHARED = 20_000, 20_000, 200_000
 # Predicates that give a type, and what the object of a predicate stands for.
 TYPING = ("IsA", "IsAn")
 ROLES = {
@@ -118,10 +122,10 @@ def parse_schema(lines: DataFrame, vocabulary: list[tuple[str, str]], line: str
     return rows.withColumn("modifiers", others).filter("predicate is not null and subject <> '' and object <> ''").drop("__parts")
 
 
-def from_edges(e: DataFrame, vocabulary: DataFrame, limit: int = SCAN) -> DataFrame:
-    """(edge_id, subject, predicate, object, raw) of the first `limit` edges by edge_id whose type is in the vocabulary (rel_type, canonical); raw is the triple in words."""
+def from_edges(e: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(edge_id, subject, predicate, object, raw) of the edges whose type is in the vocabulary (rel_type, canonical); raw is the triple in words."""
     v = vocabulary.select("rel_type", "canonical").dropDuplicates(["rel_type"])
-    rows = e.select("edge_id", "source", "predicate", "target").join(F.broadcast(v), F.col("predicate") == F.col("rel_type")).orderBy("edge_id").limit(limit)
+    rows = e.select("edge_id", "source", "predicate", "target").join(F.broadcast(v), F.col("predicate") == F.col("rel_type"))
     return rows.select("edge_id", F.col("source").alias("subject"), F.col("canonical").alias("predicate"), F.col("target").alias("object"), F.concat_ws(" ", "source", F.replace("predicate", F.lit("_"), F.lit(" ")), "target").alias("raw"))
 
 
@@ -166,8 +170,8 @@ def aliases(node: str) -> set[str]:
 class AliasIndex:
     """The aliases of the nodes of a schema: exact, contained and close ones of a key."""
 
-    def __init__(self, nodes: list[str]):
-        self.node: dict[str, str] = {}
+    def __init__(self, nodes: list[str], known: dict[str, str] | None = None):
+        self.node: dict[str, str] = known or {}
         for n in sorted(nodes):
             for a in sorted(aliases(n)):
                 self.node.setdefault(a, n)
@@ -246,22 +250,110 @@ class AliasIndex:
         return out
 
 
-def match_nodes(rows: DataFrame, key: str, body: str, statements: DataFrame, most: int = 5, least: float = 0.78, stop: frozenset[str] | None = None) -> DataFrame:
-    """(key, nth, query, node, score, match_type): up to `most` schema nodes for each text, the best first, ties by name.
+def _occurring(said: DataFrame, named: DataFrame, s: Scratch) -> DataFrame:
+    """(key, phrase): the phrases of named that stand in the keys of said as whole words; both distinct and normal (see schema_key).
 
-    The nodes are those of the statements, of which there are at most SCAN: they are what every worker holds. A null or blank text has none.
+    The spans of a key are looked up among all phrases by a join. Only those are made whose words occur on both sides, if there are no more than SHARED such words.
     """
-    words = phrases.stop_words() if stop is None else stop
-    nodes = [r[0] for r in statements.select(F.explode(F.array("subject", "object")).alias("n")).distinct().collect()]
-    index = AliasIndex(nodes)
-    kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("query", T.StringType()), ("node", T.StringType()), ("score", T.DoubleType()), ("match_type", T.StringType()))]))
+    words = lambda df, c: df.select(F.explode(F.split(c, " ")).alias("w")).distinct()
+    common = s.write(words(named, "phrase").join(words(said, "key").hint("merge"), "w"))
+    held = frozenset(r[0] for r in common.collect()) if common.count() <= SHARED else None
+    longest = named.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            keys, spans = [], []
+            for key in x["key"].to_pylist():
+                w, own = key.split(), set()
+                for i in range(len(w)):
+                    for j in range(i, min(len(w), i + longest)):
+                        if held is not None and w[j] not in held:
+                            break
+                        own.add(" ".join(w[i : j + 1]))
+                keys += [key] * len(own)
+                spans += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.string())], ["key", "phrase"])
+
+    return said.select("key").mapInArrow(cut, "key string, phrase string").join(named.select("phrase").hint("merge"), "phrase").select("key", "phrase")
 
-    def run(said: pd.Series) -> pd.Series:
-        once = index.match_all([*said.dropna().unique()], words, most, least)
-        return said.map(lambda x: once.get(x, []))
 
-    found = rows.select(F.col(key).alias("key"), F.posexplode(F.pandas_udf(run, kind)(F.col(body))).alias("nth", "m"))
-    return found.select(F.col("key").alias(key), (F.col("nth") + 1).alias("nth"), "m.*")
+def _blocks(df: DataFrame, by: str, n: int) -> DataFrame:
+    return df.repartitionByRange(n, by).withColumn("own", F.spark_partition_id())
+
+
+def _found(keys: DataFrame, known: DataFrame, s: Scratch, most: int, least: float) -> DataFrame:
+    """(key, node, score, match_type): the `most` best nodes of each distinct key among the aliases known (alias, node), those that match_all would look up.
+
+    Blocks of keys are met with blocks of aliases. Keys that are longer than what can be close to an alias only have aliases within them.
+    """
+    n, widest = known.agg(F.count("*"), F.max(F.length("alias"))).first()
+    reach = (widest or 0) * (2 - least) / least + 1e-9
+    near = keys.filter(F.length("key") <= reach)
+    na, nk = max(1, -(-n // ALIASES)), max(1, -(-near.count() // PHRASES))
+    own = s.write(_blocks(known.withColumnRenamed("alias", "key"), "key", na))
+    asked = s.write(_blocks(near, "key", nk))
+    each = lambda of, unit: F.explode(F.transform(F.sequence(F.lit(0), F.lit(of - 1)), unit)).alias("unit")
+    left = own.select(each(nk, lambda i: F.col("own") * nk + i), F.lit(0).alias("side"), "key", "node")
+    right = asked.select(each(na, lambda i: i * nk + F.col("own")), F.lit(1).alias("side"), "key", F.lit(None).cast("string").alias("node"))
+
+    def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, side in quality._whole(parts):
+            first = pa.array(side == 0)
+            index = AliasIndex([], dict(zip(x["key"].filter(first).to_pylist(), x["node"].filter(first).to_pylist())))
+            said = x["key"].filter(pa.array(side == 1)).to_pylist()
+            rows = [(k, "alias", 1.0, 1.0, k, index.node[k]) for k in said if k in index.node]
+            said = [k for k in said if k not in index.node] if index.node else []
+            for key, close in index.close_all(said, least).items() if said else ():
+                best: dict[str, tuple[float, str]] = {}
+                for a in index.contained(key) if len(key) >= 5 else ():
+                    if len(a) >= 5:
+                        score = min(0.96, 0.72 + min(len(key), len(a)) / max(len(key), len(a)) * 0.24)
+                        best[index.node[a]] = max(best.get(index.node[a], (0.0, "")), (score, a))
+                rows += [(key, "substring", 0.0, r, a, m) for m, (r, a) in heapq.nsmallest(most, best.items(), key=lambda m: (-m[1][0], m[0]))]
+                rows += [(key, "fuzzy", ratio, difflib.SequenceMatcher(None, key, a).ratio(), a, index.node[a]) for ratio, a in close]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "match_type", "ratio", "score", "alias", "node"])
+
+    met = left.unionByName(right).repartition(na * nk, "unit").sortWithinPartitions("unit", "side").mapInArrow(look_up, "key string, match_type string, ratio double, score double, alias string, node string")
+    # The closest aliases of all blocks, and no other nodes for a key that is an alias.
+    met = s.write(met).selectExpr("*", "row_number() over (partition by key, match_type order by ratio desc, alias desc) as nth", "max(match_type = 'alias') over (partition by key) as exact")
+    met = met.filter("match_type = 'alias' or not exact and (match_type = 'substring' or nth <= 3)").select("key", "node", "score", "match_type")
+    named = known.filter("length(alias) >= 5").withColumnRenamed("alias", "phrase")
+    share = F.least(F.length("key"), F.length("phrase")) / F.greatest(F.length("key"), F.length("phrase"))
+    inside = _occurring(keys.filter(F.length("key") > reach), named, s).join(named.hint("merge"), "phrase").select("key", "node", F.least(F.lit(0.96), F.lit(0.72) + share * 0.24).alias("score"), F.lit("substring").alias("match_type"))
+    best = met.unionByName(inside).groupBy("key", "node").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("match_type") == "fuzzy", "match_type")).alias("m"))
+    best = best.select("key", "node", (-F.col("m.less")).alias("score"), "m.match_type")
+    return best.selectExpr("*", "row_number() over (partition by key order by score desc, node) as nth").filter(f"nth <= {most}").drop("nth")
+
+
+def match_nodes(rows: DataFrame, key: str, body: str, statements: DataFrame, most: int = 5, least: float = 0.78, stop: frozenset[str] | None = None) -> DataFrame:
+    """(key, nth, query, node, score, match_type): up to `most` schema nodes for each text, the best first, ties by name, as by AliasIndex of all nodes.
+
+    The nodes are those of all the statements; their aliases lie in blocks, and no worker holds more than one of these. A null or blank text has none.
+    """
+    words = phrases.stop_words() if stop is None else stop
+    s = Scratch(rows.sparkSession)
+    texts = s.write(rows.filter(F.col(body).isNotNull()).select(F.col(body).alias("text")).distinct().withColumn("id", F.monotonically_increasing_id()))
+
+    def named(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            pairs = [(a, n) for n in x["n"].to_pylist() for a in sorted(aliases(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["alias", "node"])
+
+    def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            out = [(i, n, q, k) for i, t in zip(x["id"].to_pylist(), x["text"].to_pylist()) for n, q in enumerate((t, *phrases.schema_entities(t, words))) if len(k := phrases.schema_key(q)) >= 3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["id", "place", "query", "key"])
+
+    nodes = statements.select(F.explode(F.array("subject", "object")).alias("n")).filter("n is not null").distinct()
+    known = s.write(nodes.mapInArrow(named, "alias string, node string").groupBy("alias").agg(F.min("node").alias("node")))
+    said = s.write(texts.mapInArrow(asked, "id long, place int, query string, key string"))
+    found = s.write(_found(said.select("key").distinct(), known, s, most, least))
+    # Of several phrases the last that is an alias, else the first of the best score.
+    hit = said.join(found, "key").groupBy("id", "node").agg(F.min(F.struct((-F.col("score")).alias("less"), F.when(F.col("match_type") == "alias", -F.col("place")).otherwise(F.col("place")).alias("place"), "query", "match_type")).alias("m"))
+    hit = hit.selectExpr("id", "cast(row_number() over (partition by id order by m.less, node) as int) as nth", "m.query as query", "node", "-m.less as score", "m.match_type as match_type").filter(f"nth <= {most}")
+    out = rows.select(F.col(key).alias("__key"), F.col(body).alias("text")).join(texts, "text").join(hit, "id")
+    return out.select(F.col("__key").alias(key), "nth", "query", "node", "score", "match_type")
 
 
 def predicate_hints(body: Column) -> Column:
@@ -274,7 +366,7 @@ def predicate_hints(body: Column) -> Column:
 def class_hints(body: Column, classes: list[str], most: int = 8) -> Column:
     """Class names that stand in a text as whole words, by name, then those of CLASS_WORDS; the first `most`.
 
-    The spans of a text are looked up among the classes, of which a schema has no more than SCAN.
+    The spans of a text are looked up among the classes, which every worker holds.
     """
     by_key: dict[str, list[str]] = {}
     for c in sorted(classes):

@@ -321,18 +321,22 @@ def schema(spark, d):
     return grounding.from_edges(edges(spark, d), table(spark, d, "predicate_vocab"))
 
 
+def scanned(spark, d):
+    return schema(spark, d).orderBy("edge_id").limit(grounding.SCAN)
+
+
 _SCHEMA = f"ss AS (SELECT edge_id, source AS subject, canonical AS predicate, target AS object, source || ' ' || replace(predicate, '_', ' ') || ' ' || target AS raw FROM e JOIN (SELECT DISTINCT rel_type, canonical FROM predicate_vocab) v ON v.rel_type = predicate ORDER BY edge_id LIMIT {grounding.SCAN})"
 
 
 @query("schema_edges", f"WITH {_EDGES}, {_SCHEMA} SELECT * FROM ss")
 def schema_edges(spark, d):
     """The schema that the stored edges state; the cap is the feature."""
-    return schema(spark, d)
+    return scanned(spark, d)
 
 
 @query("schema_examples", f"WITH {_EDGES}, {_SCHEMA} SELECT predicate, nth, raw FROM (SELECT predicate, row_number() OVER (PARTITION BY predicate ORDER BY edge_id) AS nth, raw FROM ss) WHERE nth <= 12")
 def schema_examples(spark, d):
-    return grounding.examples(schema(spark, d))
+    return grounding.examples(scanned(spark, d))
 
 
 _ROLE_OF = "CASE predicate " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in grounding.ROLES.items()) + " END"
@@ -346,7 +350,7 @@ f AS (SELECT ss.predicate, ss.edge_id, coalesce(a.role, 'Concept') || ' --' || s
 SELECT predicate, nth, template, n FROM (SELECT predicate, template, n, row_number() OVER (PARTITION BY predicate ORDER BY n DESC, first) AS nth FROM (SELECT predicate, template, count(*) AS n, min(edge_id) AS first FROM f GROUP BY ALL)) WHERE nth <= 8""",
 )
 def schema_templates(spark, d):
-    s = schema(spark, d)
+    s = scanned(spark, d)
     return grounding.templates(s, grounding.node_types(s, TYPING), TYPING)
 
 
@@ -378,7 +382,7 @@ def grounding_confidence(spark, d):
 
 
 def _statuses(spark, d):
-    s = schema(spark, d)
+    s = scanned(spark, d)
     v = table(spark, d, "predicate_vocab")
     allowed = [r[0] for r in v.select("canonical").distinct().collect()]
     templated = [r[0] for r in s.select("predicate").distinct().collect()]

@@ -1,4 +1,5 @@
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,37 @@ def test_confidence_reads_its_schema_once(spark, monkeypatch):
     del read[:]
     got = {r.vec_id: r.confidence for r in reports.grounding_confidence(spark, d).collect()}
     assert len(read) == 1 and all(got[k] >= round(s, 3) for k, s in best.items()) and {*best} <= {*got}
+
+
+def test_all_edges_are_read_and_matched_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    words = "audit plan risk register model card data sheet drift report".split()
+    nodes = [f"{a.title()} {b.title()} {i}" for i, (a, b) in enumerate((a, b) for a in words for b in words)] + [f"{a}_{b}" for a in words for b in words] + ["X", "RISK_register", "Risk Registers", "audit.LogBook"]
+    texts = [f"The {a} {b}s of the {c} {a} is an {b}{c}" for a in words for b in words[:4] for c in words[:2]] + ["audit plan 0", "the Audit Plan 1", "Risk register and risk_register", "logbook", None, "", " "]
+    texts += [" ".join(rng.choice(words) for _ in range(25)) for _ in range(15)]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[5])], "id int, t string")
+    e = spark.createDataFrame([(i, n, "runs", nodes[-i - 1]) for i, n in enumerate(nodes)], "edge_id long, source string, predicate string, target string")
+    s = grounding.from_edges(e, spark.createDataFrame([("runs", "Runs")], "rel_type string, canonical string"))
+    assert s.count() == len(nodes) and "Limit" not in s._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(grounding, "ALIASES", 40)
+    monkeypatch.setattr(grounding, "PHRASES", 60)
+    one = grounding.AliasIndex(nodes).match_all(texts, STOP)
+    want = sorted((i, k + 1, m["query"], m["node"], m["score"], m["match_type"]) for i, t in [*enumerate(texts), (0, texts[5])] for k, m in enumerate(one[t]))
+    for shared in (grounding.SHARED, 0):
+        monkeypatch.setattr(grounding, "SHARED", shared)
+        got = grounding.match_nodes(rows, "id", "t", s, stop=STOP)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_queries_read_edges_beyond_the_reports_of_a_schema(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grounding, "SCAN", 1)
+    columns = "edge_id long, source string, predicate string, target string, knowledge_type string, created_at timestamp, ingested_at timestamp, docs array<string>, records array<struct<doc string, quality string, chunk_index int, chunk_excerpt string, modality string>>"
+    edges = [(i, n, "is instance of", t, None, None, None, ["d"], []) for i, (n, t) in enumerate([("first thing", "Odd Thing"), ("consent ledger", "Ledger Kind"), ("release gate", "Gate Kind")])]
+    spark.createDataFrame(edges, columns).write.parquet(f"{tmp_path}/provenance_edges.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.001/predicate_vocab.parquet").filter("canonical = 'IsInstanceOf'").first()
+    spark.createDataFrame(edges, columns).withColumn("predicate", F.lit(known.rel_type)).write.mode("overwrite").parquet(f"{tmp_path}/provenance_edges.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/predicate_vocab.parquet").write.parquet(f"{tmp_path}/predicate_vocab.parquet")
+    spark.createDataFrame([(1, "release gate"), (2, "This gate kind is shut"), (3, "nothing"), (4, None)], "vec_id long, quality string").write.parquet(f"{tmp_path}/kept_qualities.parquet")
+    assert ("release gate", 1.0) in {(r.node, r.score) for r in reports.schema_matches(spark, str(tmp_path)).filter("vec_id = 1").collect()}
+    got = {r.vec_id: r.confidence for r in reports.grounding_confidence(spark, str(tmp_path)).collect()}
+    assert got[1] == 1.0 and got[2] >= 0.72 and (got[3], got[4]) == (0.0, 0.0)
