@@ -250,6 +250,10 @@ class AliasIndex:
         return out
 
 
+def _keys(c: Column) -> Column:
+    return F.pandas_udf(lambda x: x.map(phrases.schema_key), T.StringType())(c)
+
+
 def _occurring(said: DataFrame, named: DataFrame, s: Scratch) -> DataFrame:
     """(key, phrase): the phrases of named that stand in the keys of said as whole words; both distinct and normal (see schema_key).
 
@@ -366,7 +370,7 @@ def predicate_hints(body: Column) -> Column:
 def class_hints(body: Column, classes: list[str], most: int = 8) -> Column:
     """Class names that stand in a text as whole words, by name, then those of CLASS_WORDS; the first `most`.
 
-    The spans of a text are looked up among the classes, which every worker holds.
+    The spans of a text are looked up among the classes, which every worker holds; see classes_in for many.
     """
     by_key: dict[str, list[str]] = {}
     for c in sorted(classes):
@@ -384,6 +388,19 @@ def class_hints(body: Column, classes: list[str], most: int = 8) -> Column:
     return F.pandas_udf(lambda s: s.map(hints), T.ArrayType(T.StringType()))(body)
 
 
+def classes_in(rows: DataFrame, body: str, classes: DataFrame, most: int = 8) -> DataFrame:
+    """Adds classes, as class_hints has them, for any number of classes (name): the spans of the distinct texts are joined with them."""
+    s = Scratch(rows.sparkSession)
+    texts = s.write(rows.filter(F.col(body).isNotNull()).select(F.col(body).alias(body)).distinct().withColumn("key", _keys(F.col(body))))
+    named = s.write(classes.filter("name is not null").select("name").distinct().withColumn("phrase", _keys(F.col("name"))).filter("length(phrase) >= 4"))
+    inside = _occurring(texts.select("key").distinct(), named.select("phrase").distinct(), s).join(named.hint("merge"), "phrase")
+    best = inside.selectExpr("key", "name", "row_number() over (partition by key order by name) as nth").filter(f"nth <= {most}").groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    none = F.array().cast("array<string>")
+    fixed = [F.when(F.col("key").contains(w), F.array(F.lit(c))).otherwise(none) for w, c in CLASS_WORDS.items()]
+    held = texts.join(best, "key", "left").select(body, F.slice(F.array_distinct(F.concat(F.coalesce("names", none), *fixed)), 1, most).alias("classes"))
+    return rows.join(held, body, "left").withColumn("classes", F.coalesce("classes", none))
+
+
 def confidence(best: Column, classes: Column, hints: Column) -> Column:
     """The best match, at least 0.72 with a class hint and 0.64 with a predicate hint."""
     return F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size(classes) > 0, 0.72).otherwise(0.0), F.when(F.size(hints) > 0, 0.64).otherwise(0.0))

@@ -375,10 +375,11 @@ def schema_matches(spark, d):
 def grounding_confidence(spark, d):
     """How well each kept quality is grounded."""
     s = Scratch(spark).write(schema(spark, d))
-    classes = sorted({r[0] for r in grounding.node_types(s, TYPING).select("type").distinct().collect()} | {*grounding.ROLES.values()})
+    classes = grounding.node_types(s, TYPING).select(F.col("type").alias("name")).union(spark.createDataFrame([(r,) for r in sorted({*grounding.ROLES.values()})], "name string"))
     q = table(spark, d, "kept_qualities").select("vec_id", "quality")
     best = grounding.match_nodes(q.filter("quality is not null"), "vec_id", "quality", s).filter("nth = 1").select("vec_id", "score")
-    return q.join(best, "vec_id", "left").select("vec_id", F.round(grounding.confidence(F.col("score"), grounding.class_hints(F.col("quality"), classes), grounding.predicate_hints(F.col("quality"))), 3).alias("confidence"))
+    said = grounding.classes_in(q.join(best, "vec_id", "left"), "quality", classes)
+    return said.select("vec_id", F.round(grounding.confidence(F.col("score"), F.col("classes"), grounding.predicate_hints(F.col("quality"))), 3).alias("confidence"))
 
 
 def _statuses(spark, d):

@@ -127,3 +127,11 @@ def test_queries_read_edges_beyond_the_reports_of_a_schema(spark, tmp_path, monk
     assert ("release gate", 1.0) in {(r.node, r.score) for r in reports.schema_matches(spark, str(tmp_path)).filter("vec_id = 1").collect()}
     got = {r.vec_id: r.confidence for r in reports.grounding_confidence(spark, str(tmp_path)).collect()}
     assert got[1] == 1.0 and got[2] >= 0.72 and (got[3], got[4]) == (0.0, 0.0)
+
+
+def test_classes_in_many_texts_are_those_of_the_hints(spark):
+    classes = ["Risk Score", "risk_score", "Of", "Data Sheet", "Model", "Parameter"] + [f"Kind {i}" for i in range(12)]
+    texts = ["The risk score of a model matrix", "kind 1 kind 2 kind 3 kind 4 kind 5 kind 6 kind 7 kind 8 kind 9 algorithm", "an Array", None, "", "datasheet", "a data_sheet evaluation"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = {r.t: r.c for r in df.select("t", grounding.class_hints(F.col("t"), classes).alias("c")).collect()}
+    assert {r.t: r.classes for r in grounding.classes_in(df, "t", spark.createDataFrame([(c,) for c in classes], "name string")).collect()} == want
